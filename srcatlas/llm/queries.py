@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .pivots import near_vectors
 from .quality import quality_report
 from .recompression import strip_repeats
+from .secrets import find_secrets
 from .token_files import read_token_files, write_token_files
 
 
@@ -28,6 +29,12 @@ def op2_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by place; the query shows a digest in place of the secret itself."""
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    return found.withColumn("secret_sha256", F.sha2("secret", 256)).drop("secret")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -64,6 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pivot_near_dedup": op2_pivot_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_html_extraction": op4_html_extraction,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_lm_scoring": op6_lm_scoring,
