@@ -8,19 +8,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from srcatlas.llm.common import checkpoint_root
+from srcatlas.llm.minhash import drop_near_duplicates
+from srcatlas.llm.mixing import mixed_documents
 from srcatlas.llm.packing import pack_documents
 from srcatlas.llm.quality import quality_filter
+from srcatlas.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES = [("quality_rules", quality), ("packing", packing)]
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
