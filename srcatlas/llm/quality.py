@@ -155,4 +155,6 @@ def clean_text(docs: DataFrame, text: str = "text", rules: dict = RULES) -> Data
 def quality_filter(docs: DataFrame, text: str = "text", rules: dict = RULES) -> DataFrame:
     """The documents kept, with their own columns only, whatever these are named."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col(f"`{text}`").alias("q_in"))
-    return _measure(inner, "q_in", rules).where("kept").select("q_row.*")
+    # The id keeps the optimiser from moving the filter below the counts, which would repeat them.
+    judged = _measure(inner, "q_in", rules).select("q_row", "kept", F.monotonically_increasing_id().alias("q_id"))
+    return judged.where("kept AND q_id >= 0").select("q_row.*")
