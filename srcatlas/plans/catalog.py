@@ -1,4 +1,277 @@
-"""Registered queries of the repository-analysis operators."""
+"""Registered queries of the repository-analysis operators, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables stand for source corpora: a document is a file of the repository `source`, a
+conversation turn is a chunk of a file, and notes are findings of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as X
+from ..operators import chunking, delta, evidence, files as fo, imports as io, notes as no, report as ro, state as so
+
+EXTS = [".py", ".js", ".ts", ".go", ".sql", ".md", ".proto", ".yaml"]
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """files(repo_id, rel_path, text, size, doc_id): every document as a source file."""
+    folder = F.when(F.col("doc_id") % 10 == 3, "node_modules/").when(F.col("doc_id") % 10 == 4, "migrations/").otherwise("")
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    imports = F.when(F.col("doc_id") % 8 == 0, F.concat(F.lit("from m"), (F.col("doc_id") + 40).cast("string"), F.lit(" import x\n"))).when(
+        F.col("doc_id") % 8 == 1, F.concat(F.lit("import y from './m"), (F.col("doc_id") + 40).cast("string"), F.lit("';\n"))
+    ).otherwise(F.lit(""))
+    body = F.coalesce("text", F.lit(""))
+    return _read(spark, sf, "documents").select(
+        F.col("source").alias("repo_id"),
+        F.concat("lang", F.lit("/"), folder, F.lit("m"), F.col("doc_id").cast("string"), ext).alias("rel_path"),
+        F.concat(imports, body).alias("text"),
+        F.octet_length(F.concat(imports, body)).cast("long").alias("size"),
+        "doc_id",
+    )
+
+
+FILES = """WITH files AS (SELECT source AS repo_id, doc_id,
+  lang || '/' || CASE doc_id % 10 WHEN 3 THEN 'node_modules/' WHEN 4 THEN 'migrations/' ELSE '' END || 'm' || doc_id ||
+  CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go' WHEN 4 THEN '.sql' WHEN 5 THEN '.md' WHEN 6 THEN '.proto' ELSE '.yaml' END AS rel_path,
+  CASE doc_id % 8 WHEN 0 THEN 'from m' || (doc_id + 40) || ' import x' || chr(10) WHEN 1 THEN 'import y from ''./m' || (doc_id + 40) || ''';' || chr(10) ELSE '' END || coalesce(text, '') AS text
+  FROM documents)
+"""
+KIND = """CASE doc_id % 8 WHEN 4 THEN CASE WHEN doc_id % 10 = 4 THEN 'migration' ELSE 'sql' END WHEN 6 THEN 'protobuf' WHEN 5 THEN 'other' WHEN 7 THEN 'other'
+  ELSE CASE WHEN doc_id % 10 = 4 THEN 'migration' ELSE 'application_code' END END"""
+STRIPPED = "length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+
+
+def _state(files: DataFrame) -> DataFrame:
+    """A former run: it lacks every fifth file, and every seventh has changed since."""
+    fp = X.fingerprint(F.col("text"))
+    return files.where("doc_id % 5 <> 0").select("repo_id", "rel_path", F.when(F.col("doc_id") % 7 == 0, F.reverse(fp)).otherwise(fp).alias("fingerprint"))
+
+
+def walk_changed_by_kind(spark, sf):
+    """Which files changed since the last run, by kind: S2 F1 F2 F3 X1 F4 J3 F5 A2."""
+    files = corpus(spark, sf)
+    live = fo.filter_near_empty(fo.filter_size(fo.filter_ignored(files)))
+    # The text is read once: all that later steps need is taken here, and the text goes no further.
+    slim = live.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"), fo.kind(F.col("rel_path"), F.col("text")).alias("kind"))
+    routed = fo.route(so.lookup_extraction(slim, _state(files)))
+    return routed.groupBy("repo_id", "kind", "route").agg(F.count("*").alias("files"))
+
+
+def f1_f2_f3_live_files(spark, sf):
+    return fo.filter_near_empty(fo.filter_size(fo.filter_ignored(corpus(spark, sf)))).select("repo_id", "rel_path", "size")
+
+
+def f4_classify(spark, sf):
+    return fo.classify(corpus(spark, sf)).groupBy("repo_id", "kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def x1_fingerprints(spark, sf):
+    return corpus(spark, sf).select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+def a1_summarize_tree(spark, sf):
+    tree = fo.summarize_tree(fo.filter_ignored(corpus(spark, sf)))
+    return tree.select("repo_id", "dir", "depth", "file_count", "total_bytes", F.array_join(F.transform("extensions", lambda x: F.concat(x["ext"], F.lit("="), x["n"].cast("string"))), ",").alias("extensions"))
+
+
+def x7_j1_j2_import_edges(spark, sf):
+    return io.import_edges(corpus(spark, sf))
+
+
+def a9_module_index(spark, sf):
+    return io.module_index(corpus(spark, sf)).groupBy("repo_id").agg(F.count("*").alias("keys"), F.countDistinct("key").alias("distinct_keys"))
+
+
+def a6_w4_neighbors(spark, sf):
+    files = corpus(spark, sf)
+    nodes = io.graph_nodes(files.select("repo_id", "rel_path"), io.import_edges(files))
+    return io.neighbors(nodes).select("repo_id", "rel_path", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+def j4_j5_upsert_state(spark, sf):
+    files = corpus(spark, sf)
+    state = so.prune_state(_state(files), files.where("doc_id % 11 <> 0"))
+    rows = files.where("doc_id % 5 = 0").select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"))
+    return so.upsert_state(state, rows)
+
+
+def a8_lookup_counts(spark, sf):
+    files = corpus(spark, sf)
+    return so.lookup_counts(so.lookup_extraction(files.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint")), _state(files)))
+
+
+def _turns(spark, sf):
+    return _read(spark, sf, "conversations").select(
+        (F.col("conv_id") % 10).cast("string").alias("repo_id"), F.col("conv_id").cast("string").alias("rel_path"), F.col("turn").alias("chunk_index"), "role", "text"
+    )
+
+
+def w1_dedupe_findings(spark, sf):
+    t = _turns(spark, sf).select("repo_id", "rel_path", "chunk_index", F.lit(0).alias("pos"), F.lit("intent").alias("section_id"), F.left("text", F.lit(12)).alias("finding"))
+    return no.dedupe_findings(no.filter_valid_sections(t)).groupBy("repo_id").agg(F.count("*").alias("findings"), F.sum("chunk_index").alias("chunk_sum"))
+
+
+def w2_running_summary(spark, sf):
+    t = _turns(spark, sf).withColumn("summary", F.when(F.col("role") == "user", F.left("text", F.lit(20))).otherwise(F.lit("")))
+    return no.running_summary(t).select("rel_path", "chunk_index", "summary_so_far")
+
+
+def a3_cacheable_files(spark, sf):
+    return no.cacheable_files(_turns(spark, sf).withColumn("ok", F.length("text") % 5 != 0)).select("repo_id", "rel_path", "chunks_processed")
+
+
+def _notes(spark, sf):
+    ids = F.array(*map(F.lit, no.PRIMARY))
+    return _read(spark, sf, "documents").select(
+        F.col("source").alias("repo_id"),
+        F.element_at(ids, (F.col("doc_id") % 8 + 1).cast("int")).alias("section_id"),
+        F.concat(F.lit("f"), (F.col("doc_id") % 300).cast("string")).alias("file"),
+        F.lit("role").alias("summary"),
+        F.left("text", F.lit(200)).alias("finding"),
+        F.lit(None).cast("array<struct<file:string,line_start:int,line_end:int,fingerprint:string>>").alias("sources"),
+        F.lit(None).cast("int").alias("chunk"),
+        F.col("doc_id").alias("seq"),
+    )
+
+
+NOTES = """WITH notes AS (SELECT source AS repo_id, doc_id AS seq, 'f' || (doc_id % 300) AS file, left(text, 200) AS finding, CASE doc_id % 8
+  WHEN 0 THEN 'domains' WHEN 1 THEN 'intent' WHEN 2 THEN 'capabilities' WHEN 3 THEN 'external_dependencies' WHEN 4 THEN 'integrations'
+  WHEN 5 THEN 'cross_cutting' WHEN 6 THEN 'entities' ELSE 'hard_specifications' END AS section_id FROM documents)
+"""
+
+
+def w3_x2_number_notes(spark, sf):
+    n = no.number_notes(_notes(spark, sf))
+    return n.select("repo_id", "section_id", "note_no", "seq", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")).alias("finding_id"))
+
+
+def j6_section_change(spark, sf):
+    n = _notes(spark, sf).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"])
+    live = n.groupBy("repo_id", "section_id").agg(listed.alias("live_ids"))
+    state = n.where("seq % 9 <> 0").groupBy("repo_id", "section_id").agg(listed.alias("finding_ids"))
+    out = delta.classify_section_change(state, live)
+    return out.select("repo_id", "section_id", "decision", F.size("added_indices").alias("added"), F.size("removed_ids").alias("removed"), "unchanged_count", "total_live")
+
+
+def j11_diff_notes(spark, sf):
+    n = _notes(spark, sf).select("repo_id", "section_id", "finding", "seq", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")).alias("finding_id"))
+    return delta.diff_notes(n.where("seq % 9 <> 0").drop("seq"), n.where("seq % 13 <> 0").drop("seq")).groupBy("repo_id", "section_id", "change").agg(F.count("*").alias("n"))
+
+
+def a4_coverage(spark, sf):
+    return ro.coverage(_notes(spark, sf))
+
+
+def x3_notes_hash_count(spark, sf):
+    """Rows only: digests are compared among runs, not with other engines."""
+    return so.notes_hash(_notes(spark, sf))
+
+
+def w6_number_sources(spark, sf):
+    n = _notes(spark, sf)
+    refs = n.select("repo_id", "section_id", F.col("seq").alias("claim_idx"), F.lit(0).alias("seq"), F.col("file").alias("ref"))
+    return evidence.number_sources(evidence.coalesce_refs(refs))
+
+
+def j9_claim_sources(spark, sf):
+    numbered = no.number_notes(_notes(spark, sf))
+    claims = numbered.select("repo_id", "section_id", F.col("note_no").alias("claim_idx"), F.array(F.col("note_no"), F.col("note_no") + 1).alias("note_indices"))
+    return evidence.resolve_claim_sources(claims, numbered).groupBy("repo_id", "section_id").agg(F.count("*").alias("refs"))
+
+
+def j8_collect_upstream(spark, sf):
+    bodies = _notes(spark, sf).groupBy("repo_id", "section_id").agg(F.count("*").cast("string").alias("body"))
+    return ro.collect_upstream(bodies, no.lineage(spark))
+
+
+def m7_review_outcome(spark, sf):
+    lab = _read(spark, sf, "labels").select(
+        (F.col("doc_id") % 10).cast("string").alias("repo_id"), F.col("doc_id").cast("string").alias("section_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("round"), "doc_id", "quality"
+    )
+    none = F.array().cast("array<string>")
+    c = lab.select("repo_id", "section_id", "round", (F.col("doc_id") % 10 + F.col("round") * (F.col("quality") * 2 - 1)).alias("score"), none.alias("unsupported_claims"), F.when(F.col("doc_id") % 3 == 0, none).otherwise(F.array(F.lit("gap"))).alias("gaps"))
+    return ro.review_outcome(c).groupBy("revise", "accepted").agg(F.count("*").alias("n"))
+
+
+def u1_chunk_text(spark, sf):
+    """Length that the chunks give back when overlaps are taken off, and chunks of each file."""
+    c = chunking.chunk_files(corpus(spark, sf), 2000, 100)
+    return c.groupBy("repo_id", "rel_path").agg((F.sum(F.length("body")) - (F.count("*") - 1) * 100).alias("n_chars"), (F.max(F.length("body")) <= 2000).alias("within"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        walk_changed_by_kind, f1_f2_f3_live_files, f4_classify, x1_fingerprints, a1_summarize_tree, x7_j1_j2_import_edges, a9_module_index, a6_w4_neighbors,
+        j4_j5_upsert_state, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j11_diff_notes,
+        a4_coverage, x3_notes_hash_count, w6_number_sources, j9_claim_sources, j8_collect_upstream, m7_review_outcome, u1_chunk_text,
+    )
+}
+
+_LIVE = f"doc_id % 10 <> 3 AND octet_length(encode(text)) <= 2000000 AND {STRIPPED} >= 64"
+_FP = "substring(sha256(text), 1, 12)"
+_STATE = f"state AS (SELECT repo_id, rel_path, CASE WHEN doc_id % 7 = 0 THEN reverse({_FP}) ELSE {_FP} END AS fingerprint FROM files WHERE doc_id % 5 <> 0)"
+_EDGES = """edges AS (SELECT a.repo_id, a.rel_path AS src, b.rel_path AS dst FROM files a JOIN files b ON a.repo_id = b.repo_id AND b.doc_id = a.doc_id + 40
+  WHERE a.doc_id % 8 = 0 OR (a.doc_id % 8 = 1 AND regexp_replace(a.rel_path, '[^/]*$', '') = regexp_replace(b.rel_path, '[^/]*$', '')))"""
+_FID = "CASE WHEN coalesce(finding, '') = '' THEN '' ELSE substring(sha256(file || '::' || section_id || '::' || finding), 1, 12) END"
+ORACLES = {
+    "walk_changed_by_kind": FILES
+    + f", {_STATE}, live AS (SELECT f.*, {KIND} AS kind, {_FP} AS fp FROM files f WHERE {_LIVE}), routed AS (SELECT live.repo_id, kind, CASE WHEN s.fingerprint IS NOT NULL THEN 'cache'"
+    " WHEN kind IN ('sql', 'protobuf') OR (kind = 'migration' AND doc_id % 8 = 4) THEN 'specialized:' || kind ELSE 'model' END AS route"
+    " FROM live LEFT JOIN state s ON s.repo_id = live.repo_id AND s.rel_path = live.rel_path AND s.fingerprint = live.fp)"
+    " SELECT repo_id, kind, route, count(*) AS files FROM routed GROUP BY ALL",
+    "f1_f2_f3_live_files": FILES + f"SELECT repo_id, rel_path, octet_length(encode(text))::BIGINT AS size FROM files WHERE {_LIVE}",
+    "f4_classify": FILES + f"SELECT repo_id, {KIND} AS kind, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM files GROUP BY 1, 2",
+    "x1_fingerprints": FILES + f"SELECT repo_id, rel_path, {_FP} AS fingerprint FROM files",
+    "a1_summarize_tree": FILES
+    + """, own AS (SELECT repo_id, regexp_replace(rel_path, '/[^/]*$', '') AS dir, regexp_extract(rel_path, '(\\.[a-z]+)$', 1) AS ext, regexp_extract(rel_path, '([^/]*)$', 1) AS name, octet_length(encode(text)) AS size FROM files WHERE doc_id % 10 <> 3),
+  spine AS (SELECT DISTINCT repo_id, unnest(['', split_part(dir, '/', 1), dir]) AS dir FROM own),
+  by_ext AS (SELECT repo_id, dir, ext, count(*) AS n, sum(size) AS bytes, min(name) AS first FROM own GROUP BY ALL),
+  dirs AS (SELECT repo_id, dir, sum(n)::BIGINT AS file_count, sum(bytes)::BIGINT AS total_bytes, string_agg(ext || '=' || n, ',' ORDER BY n DESC, first) AS extensions FROM by_ext GROUP BY ALL)
+  SELECT s.repo_id, s.dir, CASE WHEN s.dir = '' THEN 0 ELSE length(s.dir) - length(replace(s.dir, '/', '')) + 1 END::INTEGER AS depth, coalesce(file_count, 0) AS file_count, coalesce(total_bytes, 0) AS total_bytes, extensions
+  FROM spine s LEFT JOIN dirs d ON s.repo_id = d.repo_id AND s.dir = d.dir""",
+    "x7_j1_j2_import_edges": FILES + f", {_EDGES} SELECT repo_id, src, dst FROM edges",
+    "a6_w4_neighbors": FILES
+    + f""", {_EDGES}, ranked AS (SELECT repo_id, rel_path, other, min(rank) AS rank FROM (SELECT repo_id, src AS rel_path, dst AS other, 0 AS rank FROM edges
+  UNION ALL SELECT repo_id, dst, src, 1 FROM edges) GROUP BY ALL)
+  SELECT f.repo_id, f.rel_path, coalesce(string_agg(r.other, ',' ORDER BY rank, r.other), '') AS neighbors FROM files f LEFT JOIN ranked r ON r.repo_id = f.repo_id AND r.rel_path = f.rel_path GROUP BY ALL""",
+    "j4_j5_upsert_state": FILES
+    + f", {_STATE} SELECT s.repo_id, s.rel_path, s.fingerprint FROM state s JOIN files f ON f.repo_id = s.repo_id AND f.rel_path = s.rel_path WHERE f.doc_id % 11 <> 0 UNION ALL SELECT repo_id, rel_path, {_FP} FROM files WHERE doc_id % 5 = 0",
+    "a8_lookup_counts": FILES
+    + f", {_STATE} SELECT f.repo_id, count(s.fingerprint) AS hits, count(*) - count(s.fingerprint) AS misses FROM (SELECT *, {_FP} AS fp FROM files) f LEFT JOIN state s ON s.repo_id = f.repo_id AND s.rel_path = f.rel_path AND s.fingerprint = f.fp GROUP BY 1",
+    "w1_dedupe_findings": "SELECT (conv_id % 10)::VARCHAR AS repo_id, count(*) AS findings, sum(turn)::BIGINT AS chunk_sum FROM (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id, trim(left(text, 12), ' ' || chr(9) || chr(10) || chr(13))) GROUP BY 1",
+    "w2_running_summary": "SELECT conv_id::VARCHAR AS rel_path, turn AS chunk_index, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(left(text, 20), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS summary_so_far FROM conversations",
+    "a3_cacheable_files": "SELECT (conv_id % 10)::VARCHAR AS repo_id, conv_id::VARCHAR AS rel_path, count(*) AS chunks_processed FROM conversations GROUP BY conv_id HAVING bool_and(length(text) % 5 <> 0)",
+    "w3_x2_number_notes": NOTES + f"SELECT repo_id, section_id, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq)::INTEGER AS note_no, seq, {_FID} AS finding_id FROM notes",
+    "j6_section_change": NOTES
+    + f""", ids AS (SELECT *, {_FID} AS id FROM notes), live AS (SELECT repo_id, section_id, id, count(*) AS n FROM ids GROUP BY ALL),
+  was AS (SELECT repo_id, section_id, id, count(*) AS n FROM ids WHERE seq % 9 <> 0 GROUP BY ALL),
+  both_ids AS (SELECT coalesce(l.repo_id, w.repo_id) AS repo_id, coalesce(l.section_id, w.section_id) AS section_id, coalesce(l.id, w.id) AS id, l.n AS ln, w.n AS wn
+    FROM live l FULL JOIN was w ON l.repo_id = w.repo_id AND l.section_id = w.section_id AND l.id = w.id),
+  agg AS (SELECT repo_id, section_id, bool_or(id = '') AS blank, coalesce(sum(wn), 0) = 0 AS fresh, coalesce(sum(CASE WHEN wn IS NULL THEN ln END), 0) AS added, coalesce(sum(CASE WHEN ln IS NULL THEN wn END), 0) AS removed,
+    count(CASE WHEN ln IS NOT NULL AND wn IS NOT NULL THEN 1 END) AS same, coalesce(sum(ln), 0) AS total, coalesce(sum(wn), 0) AS cached FROM both_ids GROUP BY ALL)
+  SELECT repo_id, section_id, CASE WHEN fresh OR blank THEN 'rewrite' WHEN added + removed = 0 THEN 'unchanged' WHEN total = 0 THEN 'rewrite' WHEN (added + removed) / total <= 0.3 THEN 'surgical' ELSE 'rewrite' END AS decision,
+    (CASE WHEN fresh OR blank THEN total ELSE added END)::INTEGER AS added, (CASE WHEN fresh THEN 0 WHEN blank THEN cached ELSE removed END)::INTEGER AS removed,
+    (CASE WHEN fresh OR blank THEN 0 ELSE same END)::INTEGER AS unchanged_count, total::INTEGER AS total_live FROM agg""",
+    "j11_diff_notes": NOTES
+    + f""", ids AS (SELECT *, {_FID} AS id FROM notes), was AS (SELECT * FROM ids WHERE seq % 9 <> 0), now AS (SELECT * FROM ids WHERE seq % 13 <> 0)
+  SELECT repo_id, section_id, 'added' AS change, count(*) AS n FROM now WHERE (repo_id, section_id, id) NOT IN (SELECT (repo_id, section_id, id) FROM was) GROUP BY ALL
+  UNION ALL SELECT repo_id, section_id, 'removed', count(*) FROM was WHERE (repo_id, section_id, id) NOT IN (SELECT (repo_id, section_id, id) FROM now) GROUP BY ALL""",
+    "a4_coverage": NOTES + "SELECT repo_id, section_id, count(*) AS findings, count(DISTINCT file) AS files FROM notes GROUP BY GROUPING SETS ((repo_id, section_id), (repo_id))",
+    "w6_number_sources": NOTES
+    + "SELECT repo_id, section_id, file AS ref, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY first, file)::INTEGER AS number FROM (SELECT repo_id, section_id, file, min(seq) AS first FROM notes GROUP BY ALL)",
+    "j8_collect_upstream": NOTES
+    + """, bodies AS (SELECT repo_id, section_id, count(*)::VARCHAR AS body FROM notes GROUP BY ALL),
+  lin(section_id, upstream_id, ord) AS (VALUES ('personas', 'capabilities', 0), ('personas', 'intent', 1), ('personas', 'entities', 2), ('personas', 'integrations', 3), ('user_stories', 'personas', 0),
+   ('user_stories', 'capabilities', 1), ('user_stories', 'entities', 2), ('diagrams', 'domains', 0), ('diagrams', 'entities', 1), ('diagrams', 'integrations', 2))
+  SELECT repo_id, lin.section_id, ord::INTEGER AS ord, upstream_id, body FROM lin JOIN bodies b ON b.section_id = lin.upstream_id""",
+    "m7_review_outcome": "SELECT revise, revise AND quality = 1 AS accepted, count(*) AS n FROM (SELECT doc_id % 10 < 7 AND doc_id % 3 <> 0 AS revise, quality FROM labels) GROUP BY ALL",
+    "u1_chunk_text": FILES + "SELECT repo_id, rel_path, length(text)::BIGINT AS n_chars, true AS within FROM files",
+}

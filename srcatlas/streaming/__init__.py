@@ -1,0 +1 @@
+"""Nothing streams here: increments are batches over content-addressed state."""
