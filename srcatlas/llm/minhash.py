@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
     reps = (
         filled.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands", "bits").dropDuplicates(["doc_id"])
     )
-    member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    member = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = save(member.join(sizes, "bucket"), "members")
     reach = member.groupBy("doc_id").agg(F.sum("size").alias("reach"))
@@ -177,13 +177,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
     # What the leaders left open: members of one bucket in different components.
     placed = member.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    bits = reps.select("doc_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)])
+    bits = reps.select("doc_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)], *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
     opened = save(placed.join(split, "bucket").join(bits, "doc_id"), "open")
     left, right = opened.alias("x"), opened.alias("y")
     differing = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
     # One-bit coordinates differ with probability (1 - J) / 2.
     p = (1 - percent / 100) / 2
     most = int(np.ceil(COORDINATES * p + 5 * np.sqrt(COORDINATES * p * (1 - p))))
+    # A pair that shares several buckets is looked at in the first of them only.
+    before = F.lit(False)
+    for i in range(BANDS):
+        before = before | ((F.col("x.band") > i) & (F.col(f"x.b{i}") == F.col(f"y.b{i}")))
     crossing = (
         left.join(
             right,
@@ -191,7 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
             & (F.col("x.doc_id") < F.col("y.doc_id"))
             & (F.col("x.component") != F.col("y.component"))
             & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-            & (differing <= most),
+            & (differing <= most)
+            & ~before,
         )
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
