@@ -34,6 +34,10 @@ DOMAINS = ("poor", "good", "toxic")
 TARGETS = (0.04, 0.95, 0.01)
 #: Tokens wanted, as a multiple of those needed to keep the domain of the largest weight whole.
 BUDGET = 1.1
+#: No domain's target asks for more than this multiple of its tokens.
+MOST_REPEATS = 2.0
+#: Examples' worth of all domains' words that each domain's counts are smoothed with.
+LEAN = 4.0
 STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -70,7 +74,9 @@ def fit_domains(source: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_
             docs[d] += n
         else:
             table[d, b] = n
-    smooth = (table + 0.1) / (docs[:, None] + 1.0)
+    # Each domain leans on the words of all: one of few or no examples tells nothing apart.
+    common = (table.sum(axis=0) + 0.1) / (docs.sum() + 1.0)
+    smooth = (table + LEAN * common) / (docs[:, None] + LEAN)
     return np.log(smooth), np.log((docs + 1) / (docs + 1).sum())
 
 
@@ -111,6 +117,7 @@ def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET) -> Colu
     have = np.array([x or 0.0 for x in first])
     main = int(np.argmax(targets))
     want = np.array(targets) * have[main] / targets[main] * budget
+    want = np.minimum(want, have * MOST_REPEATS)
     steps: list[list[float]] = []
     for _ in range(STEPS):
         r = _rate(steps, k)
