@@ -16,10 +16,10 @@ PARTITION_BYTES = 32 << 20
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a fresh local one where unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="srcatlas-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="srcatlas-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 

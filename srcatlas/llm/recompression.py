@@ -8,9 +8,9 @@ each symbol goes its context, the words that its making depended on.  A symbol w
 lies inside a window is made in the same way wherever the window's words occur, so equal
 windows hold the same such interior symbols.
 
-A window of `window` words is represented by the least interior symbol, or by its own
-fingerprint if it has none (inside a long run).  Spark finds the representatives that two
-documents share; only windows of shared representatives are then verified, by fingerprints
+A window of `window` words is represented by its least and its greatest interior symbol, or by
+its own fingerprint if it has none (inside a long run).  Spark finds the representatives that two
+documents share; only windows of which both are shared are then verified, by fingerprints
 of all their words, against the smallest document that holds them.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; documents
@@ -79,7 +79,7 @@ def _shifted(lo: np.ndarray, hi: np.ndarray):
 
 
 def representatives(docs: list[np.ndarray], window: int = WINDOW):
-    """For documents of word fingerprints: the representative and fingerprint of each window."""
+    """For documents of word fingerprints: both representatives and the fingerprint of each window."""
     sep = np.array([0], dtype=U)
     flat = np.concatenate([x for d in docs for x in (sep, d)] + [sep])
     edge = np.zeros(len(flat), dtype=bool)
@@ -87,15 +87,19 @@ def representatives(docs: list[np.ndarray], window: int = WINDOW):
     edge[at] = True
     name, lo, hi = recompress(flat, edge)
     own = windows(flat, window)
-    out = mix(own.copy(), 55)
+    low = mix(own.copy(), 55)
+    high = low.copy()
     inside = (lo >= 0) & (hi <= len(flat)) & (hi - lo <= window)
     name, a, b = name[inside], np.maximum(hi[inside] - window, 0), lo[inside] + 1
-    order = np.argsort(name)[::-1]  # the least is laid last
-    for x, i, j in zip(name[order], a[order].tolist(), b[order].tolist()):
-        out[i:j] = x
+    order = np.argsort(name)
+    name, a, b = name[order], a[order].tolist(), b[order].tolist()
+    for x, i, j in zip(name, a, b):  # the greatest is laid last
+        high[i:j] = x
+    for x, i, j in zip(name[::-1], a[::-1], b[::-1]):  # the least is laid last
+        low[i:j] = x
     for k, d in enumerate(docs):
-        n = max(0, len(d) - window + 1)
-        yield out[at[k] + 1 : at[k] + 1 + n], own[at[k] + 1 : at[k] + 1 + n]
+        part = slice(at[k] + 1, at[k] + 1 + max(0, len(d) - window + 1))
+        yield low[part], high[part], own[part]
 
 
 def _slices(batch, window):
@@ -123,7 +127,7 @@ def passages(docs: DataFrame, window: int) -> DataFrame:
                     np.array([(mix(h.copy(), s) * mix(np.arange(len(h), dtype=U), s + 1)).sum(dtype=U) for _, h in held], dtype=U).view(np.int64)
                     for s in (201, 203)
                 ]
-                names = [np.unique(rep).view(np.int64) for rep, _ in representatives([h for _, h in held], window)]
+                names = [np.unique(np.concatenate((low, high))).view(np.int64) for low, high, _ in representatives([h for _, h in held], window)]
                 offsets = np.cumsum([0] + [len(x) for x in names], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("k").take(pa.array(rows)), *map(pa.array, digest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(names)))],
@@ -134,15 +138,15 @@ def passages(docs: DataFrame, window: int) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at, w): position and fingerprint of windows whose representative is in `shared`."""
+    """(doc_id, at, w): position and fingerprint of windows whose representatives are both in `shared`."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("shared")
             for held in _slices(batch, window):
-                for (row, _), (rep, own) in zip(held, representatives([h for _, h in held], window)):
+                for (row, _), (low, high, own) in zip(held, representatives([h for _, h in held], window)):
                     wanted = np.asarray(lists[row].values, dtype=np.int64).view(U)
-                    at = np.flatnonzero(np.isin(rep, wanted))
+                    at = np.flatnonzero(np.isin(low, wanted) & np.isin(high, wanted))
                     if len(at):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(at), batch.column("k")[row].as_py(), dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(own[at].view(np.int64))],
@@ -170,7 +174,8 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key
     names = found.join(copies, found.doc_id == copies.k, "left_anti").select("doc_id", F.explode("names").alias("name"))
     shared = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     wanted = names.join(shared, "name").groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("name").alias("shared"))
-    held = save(shared_windows(source.join(wanted, "k"), window), "windows")
+    # Dealt by window once: both the sums and the join below read that one shuffle.
+    held = save(shared_windows(source.join(wanted, "k"), window), "windows").repartition("w")
     least = held.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     cut = held.join(least, "w").where("doc_id > lo").groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("at").alias("at"))
     marks = cut.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("at", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True)))
