@@ -172,6 +172,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key
     copies = found.join(same, ["d1", "d2"]).where("doc_id > first").select(F.col("doc_id").alias("k")).distinct()
     copies = save(copies, "copies")
     names = found.join(copies, found.doc_id == copies.k, "left_anti").select("doc_id", F.explode("names").alias("name"))
+    names = names.repartition("name")  # one shuffle for the sums and the join
     shared = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     wanted = names.join(shared, "name").groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("name").alias("shared"))
     # Dealt by window once: both the sums and the join below read that one shuffle.
