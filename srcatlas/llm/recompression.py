@@ -167,17 +167,21 @@ def _removed(n: int, at, window: int) -> np.ndarray:
 def strip_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words left, joined by one blank."""
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
-    found = save(passages(source.where("k IS NOT NULL"), window), "passages")
+    # Both joins with texts below take this same input, so Spark deals texts once and reads that shuffle twice.
+    keyed = source.where("k IS NOT NULL")
+    found = save(passages(keyed, window), "passages")
     same = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = found.join(same, ["d1", "d2"]).where("doc_id > first").select(F.col("doc_id").alias("k")).distinct()
     copies = save(copies, "copies")
     names = found.join(copies, found.doc_id == copies.k, "left_anti").select("doc_id", F.explode("names").alias("name"))
-    names = names.repartition("name")  # one shuffle for the sums and the join
+    names = names.where("name IS NOT NULL AND doc_id IS NOT NULL").repartition("name")  # one shuffle for the sums and the join
     shared = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     wanted = names.join(shared, "name").groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("name").alias("shared"))
-    # Dealt by window once: both the sums and the join below read that one shuffle.
-    held = save(shared_windows(source.join(wanted, "k"), window), "windows").repartition("w")
-    least = held.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    # Dealt by window once: the sums and the join below ask for the same columns and rows, and read that one shuffle.
+    held = shared_windows(keyed.join(wanted, "k"), window).where("w IS NOT NULL AND doc_id IS NOT NULL").repartition("w")
+    # The test of `from` always holds: it makes the sums read the join's columns, so that both read one shuffle.
+    ends = held.groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("at").alias("from"))
+    least = ends.where("lo < hi AND from >= 0").select("w", "lo")
     cut = held.join(least, "w").where("doc_id > lo").groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("at").alias("at"))
     marks = cut.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("at", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True)))
 
@@ -203,5 +207,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", key
                     )
                     rows, size = [], 0
 
-    out = source.join(marks, "k", "left").select("k", "t", "at", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    unkeyed = source.where("k IS NULL").selectExpr("k", "t", "CAST(NULL AS ARRAY<INT>) AS at", "CAST(NULL AS BOOLEAN) AS copy")
+    marked = keyed.join(marks, "k", "left").select("k", "t", "at", "copy").unionByName(unkeyed)
+    out = marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
