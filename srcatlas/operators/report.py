@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_placeholder
+from ..functions.scalar import is_placeholder, strip
 
 KEY = ["repo_id", "section_id"]
 
@@ -44,3 +46,35 @@ def context_pack(bodies: DataFrame, sections: DataFrame) -> DataFrame:
     rows = bodies.where(~is_placeholder(F.col("body"))).join(F.broadcast(sections), "section_id")
     parts = F.sort_array(F.collect_list(F.struct("ord", "section_id", "body")))
     return rows.groupBy("repo_id").agg(F.array_join(F.transform(parts, lambda x: F.concat(F.lit("# "), x["section_id"], F.lit("\n\n"), x["body"])), "\n\n").alias("context"))
+
+
+#: Fixed markers of unpopulated bodies in reports: as written, and in any case.
+UNPOPULATED = ("Not yet populated", "No findings were extracted")
+UNPOPULATED_ANY_CASE = "upstream sections required to derive"
+
+
+def section_report(repos: DataFrame, sections: Sequence[str], counts: DataFrame, bodies: DataFrame, critiques: DataFrame) -> DataFrame:
+    """One row for each repository and section of the taxonomy, and the mean score of its scored sections.
+
+    `counts` is `coverage`; a section without findings counts 0 and one without body has an empty body.
+    Critiques of empty bodies do not count.  The gap shown is the first one, else the first
+    unsupported claim, else that the section is unpopulated.
+    """
+    body = F.coalesce("body", F.lit(""))
+    empty = body.contains(UNPOPULATED[0]) | body.contains(UNPOPULATED[1]) | F.lower(body).contains(UNPOPULATED_ANY_CASE)
+    rows = repos.select("repo_id").distinct().select("repo_id", F.posexplode(F.array(*map(F.lit, sections))).alias("ord", "section_id"))
+    for table in (counts.where("section_id IS NOT NULL"), bodies.select(*KEY, "body"), critiques.select(*KEY, "score", "gaps", "unsupported_claims")):
+        rows = rows.join(table, KEY, "left")
+    rows = rows.withColumn("is_empty", empty).withColumn("scored", ~F.col("is_empty") & (strip(body) != "") & F.col("score").isNotNull())
+    gap = (
+        F.when(F.col("scored") & (F.size("gaps") > 0), F.substring(F.get("gaps", F.lit(0)), 1, 60))
+        .when(F.col("scored") & (F.size("unsupported_claims") > 0), F.concat(F.lit("unsupported: "), F.substring(F.get("unsupported_claims", F.lit(0)), 1, 50)))
+        .when(F.col("is_empty"), "no findings")
+        .otherwise("")
+    )
+    score = F.when(F.col("scored"), F.col("score"))
+    return rows.select(
+        "repo_id", "ord", "section_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("findings", F.lit(0)).alias("findings"),
+        F.length(body).cast("long").alias("body_chars"), "is_empty", score.alias("score"), gap.alias("gap"),
+        F.avg(score).over(Window.partitionBy("repo_id")).alias("overall"),  # as many rows as sections
+    )

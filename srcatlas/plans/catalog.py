@@ -200,6 +200,22 @@ def m7_review_outcome(spark, sf):
     return ro.review_outcome(c).groupBy("revise", "accepted").agg(F.count("*").alias("n"))
 
 
+def a5_section_report(spark, sf):
+    """Bodies are the least findings of the sections; a section's critique comes from the labels of its documents."""
+    notes = _notes(spark, sf)
+    key = ["repo_id", "section_id"]
+    bodies = notes.groupBy(*key).agg(F.concat(F.when(F.max("seq") % 5 == 0, "Not yet populated. ").otherwise(""), F.min("finding")).alias("body"))
+    labelled = notes.join(_read(spark, sf, "labels").select(F.col("doc_id").alias("seq"), "quality"), "seq")
+    none = F.array().cast("array<string>")
+    text = F.concat(F.lit("the section says nothing of the files after the first ones, among them "), F.col("n").cast("string"))
+    critiques = labelled.groupBy(*key).agg(F.count("*").alias("n"), F.sum("quality").alias("good")).select(
+        *key, (F.col("good") % 11).cast("long").alias("score"),
+        F.when(F.col("n") % 3 == 0, F.array(text)).otherwise(none).alias("gaps"),
+        F.when(F.col("n") % 3 <= 1, F.array(text)).otherwise(none).alias("unsupported_claims"),
+    )
+    return ro.section_report(notes, [*no.PRIMARY, *no.DERIVED], ro.coverage(notes), bodies, critiques)
+
+
 def u1_chunk_text(spark, sf):
     """Length that the chunks give back when overlaps are taken off, and chunks of each file."""
     c = chunking.chunk_files(corpus(spark, sf), 2000, 100)
@@ -211,7 +227,7 @@ QUERIES = {
     for f in (
         walk_changed_by_kind, f1_f2_f3_live_files, f4_classify, x1_fingerprints, a1_summarize_tree, x7_j1_j2_import_edges, a9_module_index, a6_w4_neighbors,
         j4_j5_upsert_state, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j11_diff_notes,
-        a4_coverage, x3_notes_hash_count, w6_number_sources, j9_claim_sources, j8_collect_upstream, m7_review_outcome, u1_chunk_text,
+        a4_coverage, x3_notes_hash_count, w6_number_sources, j9_claim_sources, j8_collect_upstream, m7_review_outcome, a5_section_report, u1_chunk_text,
     )
 }
 
@@ -273,5 +289,20 @@ ORACLES = {
    ('user_stories', 'capabilities', 1), ('user_stories', 'entities', 2), ('diagrams', 'domains', 0), ('diagrams', 'entities', 1), ('diagrams', 'integrations', 2))
   SELECT repo_id, lin.section_id, ord::INTEGER AS ord, upstream_id, body FROM lin JOIN bodies b ON b.section_id = lin.upstream_id""",
     "m7_review_outcome": "SELECT revise, revise AND quality = 1 AS accepted, count(*) AS n FROM (SELECT doc_id % 10 < 7 AND doc_id % 3 <> 0 AS revise, quality FROM labels) GROUP BY ALL",
+    "a5_section_report": NOTES
+    + """, sections AS (SELECT unnest(range(11))::INT AS ord, unnest(['domains', 'intent', 'capabilities', 'external_dependencies', 'integrations', 'cross_cutting',
+      'entities', 'hard_specifications', 'personas', 'user_stories', 'diagrams']) AS section_id),
+    counts AS (SELECT repo_id, section_id, count(DISTINCT file) AS files, count(*) AS findings,
+      CASE WHEN max(seq) % 5 = 0 THEN 'Not yet populated. ' ELSE '' END || min(finding) AS body FROM notes GROUP BY ALL),
+    critiques AS (SELECT repo_id, section_id, count(*) AS n, (sum(quality) % 11)::BIGINT AS score FROM notes JOIN labels ON doc_id = seq GROUP BY ALL),
+    joined AS (SELECT r.repo_id, ord, s.section_id, coalesce(files, 0) AS files, coalesce(findings, 0) AS findings, coalesce(body, '') AS body, n, score,
+      coalesce(body, '') LIKE '%Not yet populated%' OR coalesce(body, '') LIKE '%No findings were extracted%' OR lower(coalesce(body, '')) LIKE '%upstream sections required to derive%' AS is_empty
+      FROM (SELECT DISTINCT repo_id FROM notes) r CROSS JOIN sections s LEFT JOIN counts c ON c.repo_id = r.repo_id AND c.section_id = s.section_id
+      LEFT JOIN critiques q ON q.repo_id = r.repo_id AND q.section_id = s.section_id),
+    scored AS (SELECT * REPLACE (CASE WHEN is_empty OR trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN NULL ELSE score END AS score),
+      'the section says nothing of the files after the first ones, among them ' || n AS said FROM joined)
+    SELECT repo_id, ord, section_id, files, findings, length(body) AS body_chars, is_empty, score,
+      CASE WHEN score IS NOT NULL AND n % 3 = 0 THEN left(said, 60) WHEN score IS NOT NULL AND n % 3 = 1 THEN 'unsupported: ' || left(said, 50)
+      WHEN is_empty THEN 'no findings' ELSE '' END AS gap, avg(score) OVER (PARTITION BY repo_id) AS overall FROM scored""",
     "u1_chunk_text": FILES + "SELECT repo_id, rel_path, length(text)::BIGINT AS n_chars, true AS within FROM files",
 }

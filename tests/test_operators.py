@@ -135,3 +135,14 @@ def test_percent_is_half_even(spark):
     a = spark.createDataFrame([("r", 1)], "repo_id string, with_findings long")
     b = spark.createDataFrame([("r", 16)], "repo_id string, state_files long")
     assert ro.coverage_percent(a, b).first().percent == 6.2
+
+
+def test_section_report_prefers_gaps_and_ignores_empty_bodies(spark):
+    counts = spark.createDataFrame([("r", "a", 3, 2), ("r", None, 3, 2)], "repo_id string, section_id string, findings long, files long")
+    bodies = spark.createDataFrame([("r", "a", "text"), ("r", "b", "No findings were extracted"), ("r", "c", "x" * 5)], "repo_id string, section_id string, body string")
+    rows = [("r", "a", 8, ["g" * 70], ["u"]), ("r", "b", 2, ["g"], []), ("r", "c", 5, [], ["u" * 60]), ("r", "d", 1, ["g"], [])]
+    critiques = spark.createDataFrame(rows, "repo_id string, section_id string, score long, gaps array<string>, unsupported_claims array<string>")
+    got = {r.section_id: r for r in ro.section_report(bodies, list("abcd"), counts, bodies, critiques).collect()}
+    assert {k: r.gap for k, r in got.items()} == {"a": "g" * 60, "b": "no findings", "c": "unsupported: " + "u" * 50, "d": ""}
+    assert {k: (r.files, r.findings, r.body_chars, r.score) for k, r in got.items()} == {"a": (2, 3, 4, 8), "b": (0, 0, 26, None), "c": (0, 0, 5, 5), "d": (0, 0, 0, None)}
+    assert {r.overall for r in got.values()} == {6.5}
