@@ -78,6 +78,29 @@ def _shifted(lo: np.ndarray, hi: np.ndarray):
     return left, right
 
 
+def _laid(best, n: int, name: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
+    """The least or greatest name over each of n places, names lying on intervals [a, b) of at most `longest` places.
+
+    An interval is two blocks of the largest power of two in it; blocks hand on to their halves.
+    """
+    none = U(0) if best is np.maximum else ~U(0)
+    size = b - a
+    level = int(longest).bit_length() - 1
+    above = np.full(n, none, dtype=U)
+    while True:
+        width = 1 << level
+        mine = (size >= width) & (size < 2 * width)
+        best.at(above, a[mine], name[mine])
+        best.at(above, b[mine] - width, name[mine])
+        if level == 0:
+            return above
+        level -= 1
+        below = above.copy()
+        half = 1 << level
+        below[half:] = best(below[half:], above[: n - half] if n > half else above[:0])
+        above = below
+
+
 def representatives(docs: list[np.ndarray], window: int = WINDOW):
     """For documents of word fingerprints: both representatives and the fingerprint of each window."""
     sep = np.array([0], dtype=U)
@@ -87,16 +110,14 @@ def representatives(docs: list[np.ndarray], window: int = WINDOW):
     edge[at] = True
     name, lo, hi = recompress(flat, edge)
     own = windows(flat, window)
-    low = mix(own.copy(), 55)
-    high = low.copy()
     inside = (lo >= 0) & (hi <= len(flat)) & (hi - lo <= window)
-    name, a, b = name[inside], np.maximum(hi[inside] - window, 0), lo[inside] + 1
-    order = np.argsort(name)
-    name, a, b = name[order], a[order].tolist(), b[order].tolist()
-    for x, i, j in zip(name, a, b):  # the greatest is laid last
-        high[i:j] = x
-    for x, i, j in zip(name[::-1], a[::-1], b[::-1]):  # the least is laid last
-        low[i:j] = x
+    name, a, b = name[inside], np.maximum(hi[inside] - window, 0), np.minimum(lo[inside] + 1, len(own))
+    some = b > a
+    name, a, b = name[some], a[some], b[some]
+    low = _laid(np.minimum, len(own), name, a, b, window)
+    high = _laid(np.maximum, len(own), name, a, b, window)
+    bare = low > high  # no interior symbol
+    low[bare] = high[bare] = mix(own[bare], 55)
     for k, d in enumerate(docs):
         part = slice(at[k] + 1, at[k] + 1 + max(0, len(d) - window + 1))
         yield low[part], high[part], own[part]
