@@ -1,8 +1,8 @@
 """Operator 2: embedding near-duplicates through a pivot-permutation index.
 
-A bounded sample of vectors serves as pivots.  Each vector is described by its `NEAREST`
-nearest pivots in order; inverted lists hold the vectors of a pivot.  Two vectors that share
-at least `SHARED` pivots are candidates and are verified by cosine in double precision.
+Random Gaussian directions serve as pivots.  Each vector is described by the `NEAREST` pivots
+of largest product with it, in order; inverted lists hold the vectors of a pivot.  Two vectors
+that share at least `SHARED` pivots are candidates and are verified by cosine in double precision.
 
 A list is cut into blocks of about `BLOCK` vectors and compared block against block, so a
 pivot that holds a third of all vectors is spread over many tasks.  A pair that shares
@@ -10,9 +10,11 @@ several pivots is looked at in the list of the smallest only.  A task returns fo
 the number of its links in that tile and one smaller member that it is linked with over the
 tile, so rows grow with vectors and tiles and never with pairs.
 
-Pivots: the vectors of the smallest hashes of their ids, one for `PER_PIVOT` vectors, at
-least `MIN_PIVOTS` and at most `MAX_PIVOTS`; they are the only thing broadcast (at most
-`MAX_PIVOTS` vectors).  Every vector is indexed.
+Pivots: one for `PER_PIVOT` vectors, at least `MIN_PIVOTS` and at most `MAX_PIVOTS`; they are
+the only thing broadcast (at most `MAX_PIVOTS` directions).  They do not depend on the vectors:
+the products of a pair with a pivot are normal with the pair's cosine as correlation, so the
+chance that it shares pivots follows from its cosine and the number of pivots alone, however
+dense the group that it lies in.  Every vector is indexed.
 
 Defined cases: null vectors, zero vectors, and those with null or non-finite components link
 with nothing, like those of another length than most; a null vec_id is carried through
@@ -31,6 +33,7 @@ from .common import connected_components, save
 NEAREST, SHARED = 12, 2
 PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 200, 64, 2048
 BLOCK = 512
+SEED = 4711
 
 
 def _unit(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +119,12 @@ def near_vectors(
     source = vectors.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{vector}` AS ARRAY<DOUBLE>) AS v")
     total = source.count()
     m = int(min(MAX_PIVOTS, max(MIN_PIVOTS, total // PER_PIVOT)))
-    sample = source.where("k IS NOT NULL AND size(v) > 0").orderBy(F.xxhash64("k"), "k").limit(m).toPandas()
-    units, _ = _unit(sample["v"])
-    if not units:
+    # Lengths of the vectors that `_unit` takes; the most frequent one counts.
+    valid = source.where("k IS NOT NULL AND forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')) AND exists(v, c -> c <> 0)")
+    most = valid.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    if most is None:
         return source.select(F.col("k").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
-    lengths = [len(u) for u in units]
-    length = max(sorted(set(lengths)), key=lengths.count)
-    pivots = np.stack([u for u in units if len(u) == length])
+    pivots = np.random.default_rng(SEED).normal(size=(m, most["length"]))
     found = save(described(source, pivots, nearest), "vectors")
     lists = found.withColumn("p", F.explode("near"))
     blocks = lists.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most MAX_PIVOTS rows

@@ -176,6 +176,19 @@ def test_near_vectors_equal_brute_force(spark):
     assert [got[k] for k in (300, 301, 302, 303)] == [(0, k, True) for k in (300, 301, 302, 303)]
 
 
+@pytest.mark.parametrize("n_pivots, n", [(500, 3000), (2000, 6000)])
+def test_near_vectors_find_the_links_of_a_dense_group(spark, monkeypatch, n_pivots, n):
+    monkeypatch.setattr(pivots, "MIN_PIVOTS", n_pivots)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(n // 3, 64)) * 0.3 / 8
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in pivots.near_vectors(df).collect())
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = int((u @ u.T >= 0.9).sum()) - n
+    assert 0.99 * want <= got <= want and want > n
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a href='/x'>menu</a></nav><article><h1>Head&amp;er</h1><p>First  text.<p>Second<br>one.</article><div class='comments'>bad</div><footer>&copy; x</footer></body></html>"
 
 
