@@ -1,12 +1,14 @@
 """Operator 6: stupid-backoff scores of all documents under the corpus's own bigram counts.
 
-The vocabulary is the `VOCABULARY` most frequent words of all documents; other words share one
-id.  Its counts are the only thing broadcast, and their number is fixed.  Each document is
-exploded into its distinct bigrams (rows bigram, document, times); the count table is the sum
-over all documents, partitioned by the hash of the bigram, and is joined back to the exploded
-rows.  A bigram that other documents hold too scores count / count(first word), leaving out
-the document's own; otherwise the score backs off to `BACKOFF` times the frequency of the
-word.  Scores are base-10 logarithms, summed per document.
+Words are told apart by 64-bit fingerprints, whatever their number.  The counts of the
+`VOCABULARY` most frequent ones are broadcast (their number is fixed); bigrams of two such
+words are packed into one number.  Each document is exploded into its distinct bigrams (rows
+bigram, document, times); the count table is the sum over all documents, partitioned by the
+hash of the bigram, and is joined back to the exploded rows.  The rest, bigrams with a rarer
+word and the rarer words themselves, is counted in one shuffle by their fingerprints; no key
+of it has more rows than the rarest broadcast word has occurrences.  A bigram that other documents hold too scores count / count(first
+word), leaving out the document's own; otherwise the score backs off to `BACKOFF` times the
+frequency of the word.  Scores are base-10 logarithms, summed per document.
 
 Defined cases: null and wordless texts score 0 over 0 words; the first word of a text follows
 a start symbol; null doc_ids are left out; rows that repeat an id are scored together; extra
@@ -17,11 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
-from .words import U, row_words
+from .words import U, mix, row_words
 
 VOCABULARY = 65_536
 BACKOFF = 0.4
@@ -43,10 +45,12 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def exploded_bigrams(docs: DataFrame, words: np.ndarray, backoff: np.ndarray) -> DataFrame:
-    """(pair, doc_id, n, base, n_words): distinct bigrams of each document.
+    """(pair, first, second, doc_id, n, base, n_words): distinct bigrams of each document.
 
-    Ids: 0 start, 1 other words, then the vocabulary by hash.  One more row per document, of a
-    pair of its own, holds what it scores if every bigram backs off.
+    Ids: 0 start, then from 2 the broadcast words by hash.  A bigram with a rarer word has its
+    fingerprints first and second (0 start) instead of a pair; a rarer word has second only.
+    One more row per document, of a pair of its own, holds what its broadcast words score if
+    every bigram backs off.
     """
     at = docs.sparkSession.sparkContext.broadcast((words, backoff))
 
@@ -57,26 +61,54 @@ def exploded_bigrams(docs: DataFrame, words: np.ndarray, backoff: np.ndarray) ->
             for row, h, *_ in row_words(batch.column("t"), fold_case=True):
                 spot = np.searchsorted(vocabulary, h)
                 spot[spot == len(vocabulary)] = 0
-                ids = np.where(vocabulary[spot] == h, spot + 2, 1) if len(vocabulary) else np.ones(len(h), dtype=np.int64)
-                pair, n = np.unique((np.concatenate(([0], ids[:-1])) << 32) | ids, return_counts=True) if len(ids) else (ids, ids)
-                held.append((keys[row], pair, n, back[ids].sum(), len(ids)))
-                size += len(pair)
+                known = vocabulary[spot] == h if len(vocabulary) else np.zeros(len(h), dtype=bool)
+                ids, before = spot[known] + 2, np.concatenate((np.zeros(1, dtype=U), h))[:-1]
+                packed = known & np.concatenate(([True], known))[:-1]
+                pair, n = np.unique((np.concatenate(([0], spot + 2))[:-1][packed] << 32) | (spot[packed] + 2), return_counts=True)
+                _, some, m = np.unique(mix(before[~packed], 5) + h[~packed], return_index=True, return_counts=True)
+                rare, k = np.unique(h[~known], return_counts=True)
+                held.append((keys[row], pair, n, back[ids].sum(), len(h), before[~packed][some], np.concatenate((h[~packed][some], rare)), np.concatenate((m, k))))
+                size += len(pair) + len(some) + len(rare)
                 if size > 1 << 19 or row + 1 == batch.num_rows:
                     doc = np.array([x[0] for x in held], dtype=np.int64)
-                    total = sum(len(x[1]) for x in held)
+                    total, rest = sum(len(x[1]) for x in held), sum(len(x[6]) for x in held)
+                    first = np.concatenate([np.concatenate((x[5], np.zeros(len(x[6]) - len(x[5]), dtype=U))) for x in held]).view(np.int64)
+                    alone = np.concatenate([np.arange(len(x[6])) >= len(x[5]) for x in held])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([-1 - doc, *[x[1] for x in held]]).astype(np.int64)),
-                            pa.array(np.concatenate((doc, np.repeat(doc, [len(x[1]) for x in held])))),
-                            pa.array(np.concatenate([np.zeros(len(doc), dtype=np.int64), *[x[2] for x in held]]).astype(np.int32)),
-                            pa.array([float(x[3]) for x in held] + [None] * total, pa.float64()),
-                            pa.array([x[4] for x in held] + [None] * total, pa.int64()),
+                            pa.array(np.concatenate([-1 - doc, *[x[1] for x in held], np.zeros(rest, dtype=np.int64)]).astype(np.int64), mask=np.arange(len(doc) + total + rest) >= len(doc) + total),
+                            pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(first, mask=alone)]),
+                            pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(np.concatenate([x[6] for x in held]).view(np.int64))]),
+                            pa.array(np.concatenate((doc, np.repeat(doc, [len(x[1]) for x in held]), np.repeat(doc, [len(x[6]) for x in held])))),
+                            pa.array(np.concatenate([np.zeros(len(doc), dtype=np.int64), *[x[2] for x in held], *[x[7] for x in held]]).astype(np.int32)),
+                            pa.array([float(x[3]) for x in held] + [None] * (total + rest), pa.float64()),
+                            pa.array([x[4] for x in held] + [None] * (total + rest), pa.int64()),
                         ],
-                        names=["pair", "doc_id", "n", "base", "n_words"],
+                        names=["pair", "first", "second", "doc_id", "n", "base", "n_words"],
                     )
                     held, size = [], 0
 
-    return docs.mapInArrow(run, "pair long, doc_id long, n int, base double, n_words long")
+    return docs.mapInArrow(run, "pair long, first long, second long, doc_id long, n int, base double, n_words long")
+
+
+def _rare_scores(frame: DataFrame, counts: DataFrame, broadcast: np.ndarray, n: int, total: int) -> DataFrame:
+    """(doc_id, s): what the words that are not broadcast score, and what their bigrams score beyond backing off."""
+    rows = frame.where("second IS NOT NULL").select("first", "second", "doc_id", "n")
+    # Words have no first, so c is the count of the word or of the bigram.
+    rows = rows.withColumn("c", F.sum("n").over(Window.partitionBy("first", "second")))
+    low = np.log10(BACKOFF / max(1, total))
+    words = rows.where("first IS NULL").select("doc_id", (F.col("n") * (F.log10("c") + low)).alias("s"))
+    known = counts.sparkSession.createDataFrame([(0, max(1, n)), *((int(w), None) for w in broadcast.view(np.int64))], "word long, docs long")
+    top = known.join(counts, "word", "left").select("word", F.coalesce("docs", "n").alias("m"))
+    pairs = rows.where("first IS NOT NULL AND c > n")
+    for side in ("first", "second"):
+        # Pairs of a broadcast word get a key of their own: frequent words would crowd one task.
+        key = F.when(F.col(f"{side}_top").isNull(), F.col(side)).otherwise(F.xxhash64("doc_id", "first", "second"))
+        pairs = pairs.join(F.broadcast(top.toDF(side, f"{side}_top")), side, "left").withColumn("key", key)
+        pairs = pairs.join(counts.toDF("key", f"{side}_n"), "key", "left").drop("key")
+    count = {side: F.coalesce(f"{side}_top", f"{side}_n") for side in ("first", "second")}
+    gain = F.log10(F.col("c") - F.col("n")) - F.log10(count["first"]) - F.log10(count["second"]) - low
+    return words.unionByName(pairs.select("doc_id", (F.col("n") * gain).alias("s")))
 
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -88,9 +120,8 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "
     words = top["word"].to_numpy(dtype=np.int64).view(U)
     order = np.argsort(words)
     known = top["n"].to_numpy(dtype=np.float64)[order]
-    other = max(1.0, total - known.sum())
     n = source.count()
-    count = np.concatenate(([max(1, n), other], known))  # of id as first word
+    count = np.concatenate(([max(1, n), 1.0], known))  # of id as first word; no word has id 1
     backoff = np.log10(BACKOFF) + np.log10(count / max(1, total))
     frame = exploded_bigrams(source, words[order], backoff)
     spark = docs.sparkSession
@@ -106,8 +137,9 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "
         .join(second, F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)) == F.col("j"))
         .select("pair", "c", (-F.col("log_count") - F.col("back")).alias("gain"))
     )
-    scored = frame.join(table, "pair", "left").withColumn(
+    scored = frame.where("pair IS NOT NULL").join(table, "pair", "left").withColumn(
         "s", F.when(F.col("c") > F.col("n"), F.col("n") * (F.log10(F.col("c") - F.col("n")) + F.col("gain"))).otherwise(F.coalesce("base", F.lit(0.0)))
     )
+    scored = scored.select("doc_id", "n_words", "s").unionByName(_rare_scores(frame, counts, words, n, total), allowMissingColumns=True)
     out = scored.groupBy("doc_id").agg(F.sum(F.coalesce("n_words", F.lit(0))).alias("n_words"), F.sum("s").alias("log10_score"))
     return out.withColumn("log10_per_word", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))

@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -253,6 +254,23 @@ def test_scores_equal_brute_force(spark):
         assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
 
 
+@pytest.mark.parametrize("vocabulary", [0, 25, lm_scoring.VOCABULARY])
+def test_scores_tell_all_words_apart(spark, vocabulary):
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(75_000)]  # more than are broadcast
+    shared = [names[k : k + 2] for k in range(0, 60_000, 1500)]
+    texts = [" ".join(names[k * 500 : k * 500 + 500] + rng.choice(shared) + rng.choice(shared) + ["common", "word"] * 3) for k in range(150)]
+    texts = texts if vocabulary == lm_scoring.VOCABULARY else [*corpus(12), *texts[:2]]
+    rows = {r.doc_id: r for r in lm_scoring.score_documents(docs(spark, texts), vocabulary).collect()}
+    words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
+    own = [Counter(zip([None, *w], w)) for w in words]
+    one, pairs = Counter(w for ws in words for w in ws), sum(own, Counter())
+    one[None], total = len(texts), one.total()
+    for k, mine in enumerate(own):
+        s = sum(n * (np.log10((pairs[p] - n) / one[p[0]]) if pairs[p] > n else np.log10(0.4 * one[p[1]] / total)) for p, n in mine.items())
+        assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     for run in (minhash.near_duplicates, recompression.strip_repeats, quality.quality_report, secrets.find_secrets, lm_scoring.score_documents):
