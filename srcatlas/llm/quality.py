@@ -6,7 +6,8 @@ enough words survive and its base counts pass.
 
 Defined cases: a null text is an empty text, has all counts 0 and is rejected; a null doc_id
 is carried through; repeated rows are judged each on their own; extra columns of the input
-are ignored by `quality_report` and carried by `quality_filter`.
+are ignored by `quality_report` and carried by `quality_filter`, which removes the failing lines
+of the documents that it keeps (lines without a word stay).
 """
 
 from __future__ import annotations
@@ -152,9 +153,14 @@ def clean_text(docs: DataFrame, text: str = "text", rules: dict = RULES) -> Data
     return docs.withColumn(text, F.array_join(good, "\n"))
 
 
-def quality_filter(docs: DataFrame, text: str = "text", rules: dict = RULES) -> DataFrame:
-    """The documents kept, with their own columns only, whatever these are named."""
+def quality_filter(docs: DataFrame, text: str = "text", rules: dict = RULES, length: str = "n_chars") -> DataFrame:
+    """The documents kept, without their failing lines, with their own columns only, whatever these are named.
+
+    A column `length` is computed again from the text that is left.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col(f"`{text}`").alias("q_in"))
     # The id keeps the optimiser from moving the filter below the counts, which would repeat them.
-    judged = _measure(inner, "q_in", rules).select("q_row", "kept", F.monotonically_increasing_id().alias("q_id"))
-    return judged.where("kept AND q_id >= 0").select("q_row.*")
+    judged = _measure(inner, "q_in", rules).select("q_row", "q_in", "kept", F.monotonically_increasing_id().alias("q_id"))
+    clean = clean_text(judged.where("kept AND q_id >= 0"), "q_in", rules)
+    new = {text: F.col("q_in")} | {f.name: F.length("q_in").cast(f.dataType) for f in docs.schema if f.name == length}
+    return clean.select(*[new.get(c, F.col(f"q_row.`{c}`")).alias(c) for c in docs.columns])

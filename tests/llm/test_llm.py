@@ -113,6 +113,13 @@ def test_quality_counts_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
 
 
+def test_quality_filter_removes_failing_lines(spark):
+    good = [" ".join(f"word{k}x{i}" for i in range(12)) + "." for k in range(6)]
+    texts = ["\n".join([*good[:3], "Home | About | Contact", "", *good[3:], "Click here"]), None]
+    (row,) = quality.quality_filter(docs(spark, texts)).collect()
+    assert row.text == "\n".join([*good[:3], "", *good[3:]]) and row.n_chars == len(row.text) and row.source == "src0"
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_piece_encoder_is_exact(name):
     from tokenizers import Tokenizer
