@@ -40,6 +40,39 @@ def classify_section_change(state: DataFrame, live: DataFrame, threshold: float
     return out.select(*KEY, decision.alias("decision"), "added_indices", "removed_ids", "unchanged_count", "total_live", churn.alias("churn"))
 
 
+def section_change_counts(state: DataFrame, live: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """`classify_section_change` in numbers, from one row per id (`id`) of the stored state and of the live notes.
+
+    Ids are counted by section and joined by id, so a section may have any number of them.
+    """
+    key = [*KEY, "id"]
+    was = state.groupBy(*key).agg(F.count("*").alias("cached"))
+    both = live.groupBy(*key).agg(F.count("*").alias("now")).join(was, key, "full_outer")
+    sums = both.groupBy(*KEY).agg(
+        F.bool_or(F.col("id") == "").alias("blank"),
+        F.sum(F.coalesce("cached", F.lit(0))).alias("cached"),
+        F.sum(F.coalesce("now", F.lit(0))).alias("total"),
+        F.sum(F.when(F.col("cached").isNull(), F.col("now")).otherwise(0)).alias("more"),
+        F.sum(F.when(F.col("now").isNull(), F.col("cached")).otherwise(0)).alias("less"),
+        F.count_if(F.col("cached").isNotNull() & F.col("now").isNotNull()).alias("same"),
+    )
+    fresh, blank = F.col("cached") == 0, F.col("blank")
+    out = sums.select(
+        *KEY,
+        (fresh | blank).alias("anew"),
+        F.when(fresh | blank, F.col("total")).otherwise(F.col("more")).cast("int").alias("added"),
+        F.when(fresh, 0).when(blank, F.col("cached")).otherwise(F.col("less")).cast("int").alias("removed"),
+        F.when(fresh | blank, 0).otherwise(F.col("same")).cast("int").alias("unchanged_count"),
+        F.col("total").cast("int").alias("total_live"),
+    )
+    changed = F.col("added") + F.col("removed")
+    decision = (
+        F.when(F.col("anew"), "rewrite").when(changed == 0, "unchanged").when(F.col("total_live") == 0, "rewrite")
+        .when(changed / F.greatest("total_live", F.lit(1)) <= threshold, "surgical").otherwise("rewrite")
+    )
+    return out.select(*KEY, decision.alias("decision"), "added", "removed", "unchanged_count", "total_live")
+
+
 def diff_notes(before: DataFrame, now: DataFrame) -> DataFrame:
     """Notes added (with text) and removed (by id) between two states of a section."""
     key = [*KEY, "finding_id"]

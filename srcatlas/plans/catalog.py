@@ -153,11 +153,7 @@ def w3_x2_number_notes(spark, sf):
 
 def j6_section_change(spark, sf):
     n = _notes(spark, sf).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"])
-    live = n.groupBy("repo_id", "section_id").agg(listed.alias("live_ids"))
-    state = n.where("seq % 9 <> 0").groupBy("repo_id", "section_id").agg(listed.alias("finding_ids"))
-    out = delta.classify_section_change(state, live)
-    return out.select("repo_id", "section_id", "decision", F.size("added_indices").alias("added"), F.size("removed_ids").alias("removed"), "unchanged_count", "total_live")
+    return delta.section_change_counts(n.where("seq % 9 <> 0"), n)
 
 
 def j11_diff_notes(spark, sf):

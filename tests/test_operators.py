@@ -146,3 +146,17 @@ def test_section_report_prefers_gaps_and_ignores_empty_bodies(spark):
     assert {k: r.gap for k, r in got.items()} == {"a": "g" * 60, "b": "no findings", "c": "unsupported: " + "u" * 50, "d": ""}
     assert {k: (r.files, r.findings, r.body_chars, r.score) for k, r in got.items()} == {"a": (2, 3, 4, 8), "b": (0, 0, 26, None), "c": (0, 0, 5, 5), "d": (0, 0, 0, None)}
     assert {r.overall for r in got.values()} == {6.5}
+
+
+def test_section_changes_count_like_the_lists(spark):
+    state = [("r", "a", i) for i in "wxyyz"] + [("r", "b", "x"), ("r", "c", ""), ("r", "d", "x"), ("r", "f", "p")]
+    live = [("r", "a", i) for i in "vvwxy"] + [("r", "b", "x"), ("r", "c", "x"), ("r", "e", "x"), *[("r", "f", i) for i in "pppq"]]
+    schema = "repo_id string, section_id string, id string"
+    was, now = spark.createDataFrame(state, schema), spark.createDataFrame(live, schema)
+    listed = lambda df, name: df.groupBy("repo_id", "section_id").agg(F.collect_list("id").alias(name))
+    want = delta.classify_section_change(listed(was, "finding_ids"), listed(now, "live_ids")).select(
+        "repo_id", "section_id", "decision", F.size("added_indices"), F.size("removed_ids"), "unchanged_count", "total_live"
+    )
+    got = delta.section_change_counts(was, now)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
