@@ -261,6 +261,18 @@ def test_scores_equal_brute_force(spark):
         assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
 
 
+def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
+    kind = lambda k: "bad awful scum" if k % 20 == 0 else "junk spam click" if k % 7 == 0 else "fine prose here"
+    texts = [" ".join([kind(k)] * 14) for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 7 != 0), int(k % 20 == 0)) for k in range(200)], "doc_id long, quality int, toxic int")
+    targets = (0.1, 0.5, 0.4)
+    rows = mixing.mix(docs(spark, texts), labels, targets).collect()
+    mass = [sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS]
+    assert np.allclose(np.array(mass) / sum(mass), targets, atol=0.005)
+    with pytest.warns(UserWarning, match="misses its targets"):
+        mixing.mix(docs(spark, ["fine prose here"] * 3), labels, targets)
+
+
 @pytest.mark.parametrize("vocabulary", [0, 25, lm_scoring.VOCABULARY])
 def test_scores_tell_all_words_apart(spark, vocabulary):
     rng = random.Random(3)
