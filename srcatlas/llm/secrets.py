@@ -9,7 +9,7 @@ trained on labelled findings, keeps or drops it; its trees are applied inside th
 texts are read once and never shuffled.
 
 Labelled findings are those given as a table, or, by default, the findings of a bounded sample
-of documents labelled by shape: key shapes and keyed high-entropy values are secrets;
+of documents labelled by shape: key shapes, keyed high-entropy values and unkeyed runs of ever-changing kinds of characters are secrets;
 addresses, numbers, links, repeated characters, placeholders and plain words are not.  At most
 `SAMPLE_DOCS` documents, those of the least hashes of their ids and those with a keyed value
 or key shape first, serve the model; every whole document is scanned.
@@ -42,15 +42,16 @@ _SHAPES = (
     ("slack_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("stripe_key", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]*PRIVATE KEY-----)?"),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{20,})+)?"),
 )
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?token|credential|private[_-]?key"
-_KEYED = rf"(?i:\b[\w.-]{{0,24}}(?:{_NAMES})[\w-]{{0,12}}[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,512}})"
-_LONG = r"(?<![A-Za-z0-9+/_=@.\-])[A-Za-z0-9+/_\-]{20,512}={0,2}(?![A-Za-z0-9@])"
+_KEYED = rf"(?i:\b[\w.-]{{0,24}}(?:{_NAMES})[\w-]{{0,12}}[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,}})"
+_LONG = r"(?<![A-Za-z0-9+/_=@.\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9@])"
 CANDIDATE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _SHAPES) + f"|(?P<keyed>{_KEYED})|(?P<long>{_LONG})")
 #: What every candidate needs; texts without it are passed over at once.
 QUICK = r"(?i)AKIA|ASIA|gh[pousr]_|xox|k_live|k_test|eyJ|PRIVATE KEY|token|secret|pass|pwd|key|auth|credential|[A-Za-z0-9+/_\-]{20}"
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|\*{3}|test|^none$|^null$|^true$|^false$|\$\{|^<")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 _URL = re.compile(r"(?i)https?:|www\.|\.com|\.org|/[a-z]+/")
 KINDS = [n for n, _ in _SHAPES] + ["keyed", "long"]
 
@@ -127,7 +128,10 @@ def shape_label(text: str, start: int, end: int, kind: str) -> int:
     mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
     if kind == "keyed":
         return int(mixed or entropy > 3.2 and not value.isalpha())
-    return 0
+    # Unkeyed runs count if digits, capitals and small letters keep changing places, as in no word or path.
+    sort = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
+    changes = sum(a != b for a, b in zip(sort, sort[1:]) if 3 not in (a, b))
+    return int(mixed and entropy > 3.0 and changes * 5 >= n and not _UUID.fullmatch(value))
 
 
 class Forest:

@@ -227,6 +227,17 @@ def test_secrets(spark):
     assert clean[1] == texts[1] and clean[0] == f'{plain} token = "[SECRET]" end' and clean[61] is None
 
 
+def test_secrets_are_found_bare_and_to_their_end(spark):
+    rng = random.Random(4)
+    run = lambda n, kinds="abcdef0123456789": "".join(rng.choice(kinds) for _ in range(n))
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "\n".join(run(64) for _ in range(200)) + "\n-----END RSA PRIVATE KEY-----"
+    whole = [run(40), "token=" + run(900), block]
+    texts = [f"before {whole[k % 3]} after" if k < 45 else "plain words in some/longer/path-to-internationalization here" for k in range(60)]
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert clean[k] == (t if k >= 45 else "before token=[SECRET] after" if k % 3 == 1 else "before [SECRET] after")
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(8)
     kind = lambda k: "bad awful scum" if k % 5 == 0 else "junk spam click" if k % 7 == 0 else "fine prose here"
