@@ -27,6 +27,8 @@ from .words import U, mix, row_words
 
 VOCABULARY = 65_536
 BACKOFF = 0.4
+#: Largest long: what a negative id is folded into, so that rows of base scores keep keys below those of pairs.
+HIGH = np.int64((1 << 63) - 1)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def exploded_bigrams(docs: DataFrame, words: np.ndarray, backoff: np.ndarray) ->
                     alone = np.concatenate([np.arange(len(x[6])) >= len(x[5]) for x in held])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([-1 - doc, *[x[1] for x in held], np.zeros(rest, dtype=np.int64)]).astype(np.int64), mask=np.arange(len(doc) + total + rest) >= len(doc) + total),
+                            pa.array(np.concatenate([-1 - (doc & HIGH), *[x[1] for x in held], np.zeros(rest, dtype=np.int64)]).astype(np.int64), mask=np.arange(len(doc) + total + rest) >= len(doc) + total),
                             pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(first, mask=alone)]),
                             pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(np.concatenate([x[6] for x in held]).view(np.int64))]),
                             pa.array(np.concatenate((doc, np.repeat(doc, [len(x[1]) for x in held]), np.repeat(doc, [len(x[6]) for x in held])))),

@@ -272,6 +272,12 @@ def test_scores_equal_brute_force(spark):
         assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
 
 
+def test_scores_do_not_depend_on_the_sign_of_ids(spark):
+    texts = corpus(12)[:20]
+    score = lambda ids: [r.log10_score for r in sorted(lm_scoring.score_documents(docs(spark, texts, ids)).collect(), key=lambda r: r.doc_id)]
+    assert np.allclose(score(list(range(20))), score([k - 25 for k in range(20)]))
+
+
 def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
     kind = lambda k: "bad awful scum" if k % 20 == 0 else "junk spam click" if k % 7 == 0 else "fine prose here"
     texts = [" ".join([kind(k)] * 14) for k in range(200)]
