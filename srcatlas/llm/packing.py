@@ -3,9 +3,12 @@
 Each input partition packs its own documents in scan order, so nothing is shuffled, a lost
 task is redone alone and gives the same sequences, and no counter is shared.  A document's
 full windows go out at once; its remainder is placed into the fill level that minimises the
-sum of squared counts of partly filled windows.  At the end of a partition the windows still
-open are poured together and cut anew, which leaves at most one short sequence per partition,
-padded to a power of two.
+sum of squared counts of partly filled windows.  A level spans a `LEVELS`-th of a window: with
+a level for every single token most windows would never meet their match.  A piece may run
+over the end of a window by less than a level; it is then cut there, the window goes out full,
+and what is left over is placed as a piece of its own.  So only the windows still open at the
+end of a partition, about two for each level, are poured together and cut anew, which leaves at
+most one short sequence per partition, padded to a power of two.
 
 Defined cases: a null text is an empty document of the end id alone; a null doc_id is carried
 through; repeated rows are packed each on their own; an empty table gives no rows; other
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from .tokens import encode_rows
 
 WINDOW = 2048
+LEVELS = 16
 #: Sequence ids of one partition lie below this distance from the next partition's.
 PARTITION_STRIDE = 1 << 40
 
@@ -32,38 +36,52 @@ PIECES = (
 
 
 class SumOfSquares:
-    """Level array of open windows; `level[h]` holds the windows filled up to h."""
-
-    def __init__(self, window: int):
-        self.window = window
-        self.count = np.zeros(window + 1, dtype=np.int64)
-        self.level: list[list[list]] = [[] for _ in range(window + 1)]
-
-    def place(self, size: int, item) -> list | None:
-        """Put an item of `size` < window; returns the window's items once it is full."""
-        w, count = self.window, self.count
-        fits = np.flatnonzero(count[1 : w - size + 1]) + 1
-        # Change of the sum of squares when a window moves from level h to h + size.
-        best, gain = 0, 2 * int(count[size]) + 1
-        if len(fits):
-            to = fits + size
-            change = 2 * (np.where(to == w, 0, count[to]) - count[fits]) + np.where(to == w, 1, 2)
-            k = len(change) - 1 - int(np.argmin(change[::-1]))  # the fullest of equal levels
-            if change[k] <= gain:
-                best = int(fits[k])
-        items = self.level[best].pop() if best else []
-        items.append(item)
-        if best:
-            count[best] -= 1
-        if best + size == w:
-            return items
-        count[best + size] += 1
-        self.level[best + size].append(items)
-        return None
+    """Level array of open windows; `level[h]` stacks (fill, items) of windows whose fill lies in the h-th span."""
+
+    def __init__(self, window: int, levels: int = LEVELS):
+        self.window, self.span = window, max(1, -(-window // levels))
+        self.level: list[list[tuple[int, list]]] = [[] for _ in range(-(-window // self.span))]
+
+    def choose(self, size: int) -> int:
+        """The level whose last window takes a piece of `size` at the least sum of squares; -1 for a new window.
+
+        A window that leaves level h lowers the sum by 2 * count - 1, and raises that of the level it
+        comes to by 2 * count + 1; a window that is full counts nowhere.  Of equal levels the fullest wins,
+        and an open window before a new one.
+        """
+        level, span, window = self.level, self.span, self.window
+        best, gain = -1, 2 * len(level[size // span]) + 1
+        for h, held in enumerate(level):
+            if not held:
+                continue
+            fill = held[-1][0] + size
+            if fill >= window + span:
+                break
+            to = fill // span
+            change = 1 - 2 * len(held)
+            if fill < window:
+                change = 0 if to == h else change + 2 * len(level[to]) + 1
+            if change <= gain:
+                best, gain = h, change
+        return best
+
+    def place(self, key, start: int, ids: bytes, total: int):
+        """Put a piece of less than a window; yields the items of each window that it fills."""
+        while ids:
+            size = len(ids) // 4
+            h = self.choose(size)
+            fill, items = self.level[h].pop() if h >= 0 else (0, [])
+            take = min(size, self.window - fill)
+            items.append((key, start, ids[: 4 * take], total))
+            if fill + take == self.window:
+                yield items
+            else:
+                self.level[(fill + take) // self.span].append((fill + take, items))
+            start, ids = start + take, ids[4 * take :]
 
     def rest(self) -> list[list]:
-        """The open windows, fullest first."""
-        return [items for h in range(self.window, 0, -1) for items in self.level[h]]
+        """The items of the open windows, fullest first."""
+        return [items for held in reversed(self.level) for _, items in sorted(held, key=lambda x: -x[0])]
 
 
 def pack_stream(documents, window: int = WINDOW):
@@ -83,8 +101,7 @@ def pack_stream(documents, window: int = WINDOW):
             yield from laid([(key, at, ids[4 * at : 4 * (at + window)], total)], window)
             sequence += 1
         if total > full:
-            done = packer.place(total - full, (key, full, ids[4 * full :], total))
-            if done is not None:
+            for done in packer.place(key, full, ids[4 * full :], total):
                 yield from laid(done, window)
                 sequence += 1
     current, filled = [], 0

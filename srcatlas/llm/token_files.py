@@ -11,8 +11,9 @@ magic.  Numbers are little-endian; bits of a block run from the lowest upwards.
 
 Defined cases: a null text is the end id alone; null doc ids come first and are kept; repeated
 rows are written each on their own; an empty table gives an empty manifest; other columns are
-ignored.  A shard is written under a name of its attempt and then renamed, so a repeated or
-speculative task leaves the same file.
+ignored.  A shard's name holds the attempt that wrote it and the manifest names the shards of
+the attempts that counted, so a repeated or speculative task harms nothing: what a lost
+attempt left behind is never read.
 """
 
 from __future__ import annotations
@@ -145,22 +146,20 @@ def write_token_files(
     def run(batches):
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        path = f"{root}/part-{task.partitionId():06d}.bin"
-        held = f"{path}.{task.taskAttemptId()}.tmp"
+        path = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         writer = out = None
         for batch in batches:
             keys = batch.column("k").to_pylist()
             for at, encoded in encode_rows(batch, "t", tokenizer):
                 if writer is None:
                     store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(held)
+                    out = store.open_output_stream(path)
                     writer = ShardWriter(out, bits)
                 for k, ids in zip(keys[at:], encoded):
                     writer.add(k, ids + end)
         if writer is not None:
             writer.close()
             out.close()
-            store.move(held, path)
             yield pa.RecordBatch.from_pylist(
                 [{"shard": task.partitionId(), "path": path, "n_docs": len(writer.docs), "n_ids": writer.starts[-1]}],
                 schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
@@ -200,4 +199,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=names
         )
 
-    return based.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # A task for each shard: the manifest's few bytes would else come together in one.
+    return based.repartition(max(1, manifest.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -3,7 +3,8 @@
 Words recur far more often than they are new, so each distinct whitespace-delimited piece is
 encoded once per worker and its ids are looked up from then on.  Cuts are made only where the
 tokenizer's own pre-tokenisation always cuts; a text with any other white space than blanks,
-tabs and line ends is encoded whole.
+tabs and line ends is encoded whole, and so is a text that holds the string of a special token,
+which the tokenizer cuts out before anything else.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]")
-#: Pieces remembered per worker, and as many that were in use before these.
-CACHE_PIECES = 350_000
+#: Bytes of pieces remembered per worker, and as many of pieces that were in use before these.
+CACHE_BYTES = 24 << 20
+#: What Python needs for an entry beyond its ids and characters.
+ENTRY_BYTES = 190
 _WORKER: dict[str, "PieceEncoder"] = {}
 
 
@@ -31,9 +34,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         # Tokenizers that keep white space attach one blank to the word after it.
         self.keeps_space = self._ids("a b") != self._ids("a") + self._ids("b")
         self.lowers = self._ids("A") == self._ids("a")
@@ -75,18 +80,23 @@ class PieceEncoder:
         if rest:
             self._each(rest)
 
+    def _whole(self, text: str) -> bool:
+        return bool(_ODD_SPACE.search(text) or (self.special and self.special.search(text)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
+        whole = [bool(t) and self._whole(t) for t in texts]
         if self.lowers:  # Latin-1 letters have one lower-case form each
-            texts = [t if not t or _BEYOND_LATIN.search(t) else t.lower() for t in texts]
-        cut = [None if not t or _ODD_SPACE.search(t) else self.pieces.findall(t) for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.older, self.cache = self.cache, {}
+            texts = [t if w or not t or _BEYOND_LATIN.search(t) else t.lower() for t, w in zip(texts, whole)]
+        cut = [None if w or not t else self.pieces.findall(t) for t, w in zip(texts, whole)]
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
         new = set().union(*[x for x in cut if x]) - self.cache.keys()
         known = new & self.older.keys()
         self.cache.update(zip(known, map(self.older.__getitem__, known)))
-        if new := new - known:
-            self._learn(list(new))
+        if fresh := new - known:
+            self._learn(list(fresh))
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, map(self.cache.__getitem__, new)))
         get, out = self.cache.__getitem__, []
         for t, pieces in zip(texts, cut):
             if pieces is not None:

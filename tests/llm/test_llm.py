@@ -127,12 +127,23 @@ def test_piece_encoder_is_exact(name):
     rng = random.Random(2)
     parts = ["a", "B", "é", "ß", " ", "  ", "\n", "\n\n", "\t", "'s", "'", ",", "###", "1", "23", "²", "Σ", "中", "　", "́", "_", "<|endoftext|>", "word", "¶", "İ", "😀", "\r\n"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += ["hello <|endoftext|> world", "A<|startoftext|>B", "a <|ENDOFTEXT|> b"]
     tok = Tokenizer.from_file(P.path(name))
-    tok.encode_special_tokens = True
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert PieceEncoder(P.path(name)).encode([*texts, None]) == [*want, b""]
 
 
+def test_piece_encoder_forgets_by_bytes(monkeypatch):
+    from srcatlas.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    enc, rng = PieceEncoder(P.path("byte_bpe_50k.json")), random.Random(6)
+    for _ in range(40):
+        texts = [" ".join("%x" % rng.getrandbits(40) for _ in range(9)) + " the same words"]
+        assert enc.encode(texts)[0] == np.array(enc.tok.encode(texts[0], add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert len(enc.cache) + len(enc.older) < 300
+
+
 def test_packing_places_every_id_once(spark):
     texts = [*corpus(4), "long text " * 3000]
     rows = packing.pack_documents(docs(spark, texts), P.path("word_bpe_49k.json"), end_id=1, window=256).collect()
@@ -151,6 +162,54 @@ def test_packing_places_every_id_once(spark):
         assert sum(r.length for r in rs) <= rs[0].padded_length <= 256
 
 
+def naive_packing(sizes, window, levels):
+    """Sequences as lists of (document, start, length), by trying every open window and summing all squares."""
+    span, held, out = -(-window // levels), [], []
+    squares = lambda ws: sum(n * n for n in Counter(w[0] // span for w in ws).values())
+
+    for doc, size in enumerate(sizes):
+        at = 0
+        while size >= window:
+            out.append([(doc, at, window)])
+            at, size = at + window, size - window
+        while size:
+            best = None
+            for k in [None, *range(len(held))]:
+                fill = held[k][0] if k is not None else 0
+                # Of one level's windows the last to come there is the one that counts.
+                if fill + size >= window + span or (k is not None and any(w[0] // span == fill // span for w in held[k + 1 :])):
+                    continue
+                after = [w for j, w in enumerate(held) if j != k] + [[min(window, fill + size)]] * (fill + size < window)
+                rank = (squares(after), -1 if k is None else -(fill // span) - 2)
+                if best is None or rank < best[0]:
+                    best = rank, k
+            fill, items = held.pop(best[1]) if best[1] is not None else [0, []]
+            take = min(size, window - fill)
+            items = [*items, (doc, at, take)]
+            if fill + take == window:
+                out.append(items)
+            else:
+                held.append([fill + take, items])
+            at, size = at + take, size - take
+    return out, held
+
+
+@pytest.mark.parametrize("window, levels", [(64, 8), (2048, 16), (100, 7), (8, 16)])
+def test_packing_equals_sums_over_all_windows(window, levels, monkeypatch):
+    rng = random.Random(window)
+    sizes = [rng.choice([rng.randint(1, window // 3), rng.randint(1, 3 * window)]) for _ in range(400)]
+    packer = packing.SumOfSquares(window, levels)
+    monkeypatch.setattr(packing, "SumOfSquares", lambda w: packer)
+    rows = list(packing.pack_stream(((k, b"\0" * (4 * n)) for k, n in enumerate(sizes)), window))
+    got = {}
+    for seq, _, _, key, start, ids, _ in rows:
+        got.setdefault(seq, []).append((key, start, len(ids) // 4))
+    want, held = naive_packing(sizes, window, levels)
+    assert [got[k] for k in range(len(want))] == want
+    assert sum(f for f, _ in held) == sum(n for k in range(len(want), len(got)) for *_, n in got[k]) < 0.1 * sum(sizes)
+    assert len([1 for k in got if sum(n for *_, n in got[k]) < window]) <= 1
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(0).integers(0, 1 << bits, 5001).astype("<u4")
@@ -159,13 +218,22 @@ def test_bit_packing_round_trip(bits):
     assert (token_files.unpack_bits(data, 5001, bits) == ids).all()
 
 
-def test_token_files_round_trip(spark):
+@pytest.mark.parametrize("vocabulary", [50257, 100_000])
+def test_token_files_round_trip(spark, vocabulary):
     texts = corpus(6)
-    manifest = token_files.write_token_files(docs(spark, texts), P.path("byte_bpe_50k.json"), 50257, 0)
-    rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.doc_id)
-    start = 0
-    for r, e in zip(rows, PieceEncoder(P.path("byte_bpe_50k.json")).encode(texts), strict=True):
-        assert (r.start, zlib.crc32(r.ids)) == (start, zlib.crc32(e + b"\0\0\0\0"))
+    from tokenizers import Tokenizer
+
+    texts += ["hello <|endoftext|> world", "word " * 20_000]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little becomes one shard
+    manifest = token_files.write_token_files(docs(spark, texts), P.path("byte_bpe_50k.json"), vocabulary, 0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = token_files.read_token_files(manifest)
+    assert read.rdd.getNumPartitions() == manifest.count() > 1
+    rows = sorted(read.collect(), key=lambda r: r.doc_id)
+    tok, start = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+        assert (r.start, r.n_tokens, zlib.crc32(r.ids)) == (start, len(ids) // 4, zlib.crc32(ids))
         start += r.n_tokens
 
 
