@@ -15,9 +15,11 @@ PARTITION_BYTES = 32 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one where unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; where unset, a fresh one if all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="srcatlas-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -31,6 +33,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(saved: DataFrame) -> None:
+    """Delete a table that `save` wrote, once nothing reads it any more."""
+    jvm, conf = saved.sparkSession._jvm, saved.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in saved.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """`rows` left-joined to `classes` (one row for each key, `size` rows each) without crowding a hot class into one task.
+
+    A class of at least a `share`-th of the `total` rows is joined by broadcast: there are at most
+    `share` of these, whatever the size of the tables.  All others are joined by a shuffle.
+    """
+    hot = F.col(size) * share >= total
+    big = F.broadcast(classes.where(hot))
+    cold = rows.join(F.broadcast(classes.where(hot).select(*key)), key, "left_anti").join(classes.where(~hot), key, "left")
+    return rows.join(big, key).unionByName(cold)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -62,7 +84,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        current = save(small, "edges")
+        last, current = current, save(small, "edges")
+        discard(last)
         # The state is a fixed point once a round leaves the same edge set behind.
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

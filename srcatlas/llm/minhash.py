@@ -7,12 +7,14 @@ value.  Rounds stop once all bins are filled; after `COORDINATES` rounds, round
 filled.  Coordinates then agree with probability equal to the Jaccard similarity J, and the
 share of agreeing ones concentrates about J as for independent samples.
 
-Documents with equal sets form classes first, by a digest of the set; only class
-representatives go on.  Bands of coordinates give buckets.  In a bucket, members are compared
+Documents with equal sets form classes first, by 128 bits of digest and the size of the set (as
+sure as the 64-bit fingerprints that all sets consist of); only class representatives go on.
+Bands of coordinates give buckets.  In a bucket, members are compared
 with one leader, the member that shares most buckets.  Members of a bucket that are not then
 in one component are compared across components, but for pairs whose sizes exclude a link
 and those whose `COORDINATES` one-bit coordinates estimate J more than five standard
-deviations below the threshold.  Every link is confirmed on the full sets.
+deviations below the threshold; large buckets are cut into tiles of blocks for that.  Every
+link is confirmed on the full sets.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; fewer than
 `words` words make one shingle; equal texts always share a class; rows of a null doc_id are
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, save
+from .common import connected_components, join_classes, save
 from .words import U, mix, row_words, shingles
 
 COORDINATES = 1024
 BANDS, ROWS = 24, 5
 #: One-bit coordinates are kept as this many longs.
 LONGS = COORDINATES // 64
+#: Tasks that the set of a document may go to, and members of a bucket compared in one tile with as many others.
+SALTS, BLOCK = 16, 1024
 FILLED = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -123,32 +127,46 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    @F.pandas_udf("boolean")
-    def linked(a, b):
+    The set of a goes once to each of its pairs; that of b, which thousands may be compared with,
+    goes once to each of `SALTS` tasks instead of travelling on every pair.
+    """
+    deal = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+    first = pairs.join(sets.withColumnRenamed("doc_id", "a"), "a").select("b", deal.alias("salt"), "a", "shingles")
+    second = pairs.select("b", deal.alias("salt")).distinct().join(sets.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.col("shingles").alias("other"))
+
+    def linked(frames):
         import pandas as pd
 
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        held, y = None, None
+        for frame in frames:
+            keep = []
+            for b, x, other in zip(frame["b"], frame["shingles"], frame["other"]):
+                if b != held:
+                    held, y = b, np.frombuffer(other, dtype=U)
+                x = np.frombuffer(x, dtype=U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pd.DataFrame({"a": frame["a"][keep], "b": frame["b"][keep]})
+
+    return first.join(second.hint("merge"), ["b", "salt"]).select("a", "b", "shingles", "other").mapInPandas(linked, "a long, b long")
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").where(linked("sa", "sb")).select("a", "b")
+
+def _tiles(opened: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a bucket's comparison with itself, in tiles of blocks of about `BLOCK` members."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = opened.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    return placed.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))), placed.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
     all_docs = save(document_sketches(docs, words, text, key), "sketches")
     filled = all_docs.where("n_shingles > 0")
-    classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = (
-        filled.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands", "bits").dropDuplicates(["doc_id"])
-    )
+    classes = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # Only a class's smallest id goes on: one row for each class, whatever the number of its copies.
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "bits")
     member = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     member = save(member.join(sizes, "bucket"), "members")
@@ -158,28 +176,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     star = (
         member.join(leaders, "bucket")
-        .select(
-            F.least("doc_id", -F.col("l.id")).alias("a"),
-            F.greatest("doc_id", -F.col("l.id")).alias("b"),
-            F.col("n_shingles").alias("na"),
-            F.col("l.n_shingles").alias("nb"),
-        )
+        .select(F.col("doc_id").alias("a"), (-F.col("l.id")).alias("b"), F.col("n_shingles").alias("na"), F.col("l.n_shingles").alias("nb"))
         .where(f"a <> b AND {fits}")
         .select("a", "b")
         .distinct()
     )
-    wanted = member.select(F.col("doc_id").alias("k")).distinct()
+    star = save(star, "pairs")
+    wanted = star.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
-    sets = save(shingle_sets(source.join(wanted, "k", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # Texts are dealt by id at every size of the tables, never the ids to all tasks.
+        return save(shingle_sets(source.join(ids.hint("merge"), "k", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+
+    sets = sets_of(wanted)
     links = save(confirmed(star, sets, percent), "links")
-    component = connected_components(links)
+    component = save(connected_components(links), "components")
 
     # What the leaders left open: members of one bucket in different components.
     placed = member.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
     bits = reps.select("doc_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)], *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
-    opened = save(placed.join(split, "bucket").join(bits, "doc_id"), "open")
-    left, right = opened.alias("x"), opened.alias("y")
+    opened = save(placed.drop("size").join(split.select("bucket"), "bucket").join(bits, "doc_id"), "open")
+    left, right = (side.alias(name) for side, name in zip(_tiles(opened, split), "xy"))
     differing = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
     # One-bit coordinates differ with probability (1 - J) / 2.
     p = (1 - percent / 100) / 2
@@ -192,29 +211,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
         left.join(
             right,
             (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.doc_id") < F.col("y.doc_id"))
+            & (F.col("x.i") == F.col("y.i"))
+            & (F.col("x.j") == F.col("y.j"))
+            & ((F.col("x.i") < F.col("y.j")) | (F.col("x.doc_id") < F.col("y.doc_id")))
             & (F.col("x.component") != F.col("y.component"))
             & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
             & (differing <= most)
             & ~before,
         )
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     )
-    more = save(confirmed(crossing, sets, percent), "links")
-    if not more.isEmpty():
-        component = connected_components(links.unionByName(more))
+    crossing = save(crossing, "pairs")
+    if not crossing.isEmpty():
+        others = crossing.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(sets.select(F.col("doc_id").alias("k")), "k", "left_anti")
+        more = confirmed(crossing, sets.unionByName(sets_of(others)), percent)
+        # The components found stand for their members; only what joins two of them is new.
+        for side in "ab":
+            found = component.select(F.col("node").alias(side), F.col("component").alias("to"))
+            more = more.join(found, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        joined = save(connected_components(more), "components").toDF("component", "to")
+        named = component.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        component = named.unionByName(joined.join(component.select("component"), "component", "left_anti").toDF("node", "component"))
     named = save(
         classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
+            "d1", "d2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id")
         ),
         "classes",
     )
+    total = all_docs.count()
+    rows = all_docs.select("doc_id", "n_shingles", "d1", "d2")
     return (
-        all_docs.select("doc_id", "n_shingles", "d1", "d2")
-        .join(named, ["d1", "d2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        join_classes(rows.where("n_shingles > 0"), named, ["d1", "d2", "n_shingles"], "copies", total)
+        .select("doc_id", "n_shingles", "component_id")
+        .unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
 

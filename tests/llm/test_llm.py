@@ -43,8 +43,7 @@ def test_components(spark):
     assert got == {**{k: 1 for k in range(1, 31)}, 40: 40, 50: 40}
 
 
-def test_near_duplicates_equal_brute_force(spark):
-    texts = corpus()
+def near_duplicate_classes(texts, percent=85):
     sets = []
     for t in texts:
         w = WORD.findall((t or "").lower())
@@ -58,11 +57,35 @@ def test_near_duplicates_equal_brute_force(spark):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k), find(k) == k) for k in range(len(texts))}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts = corpus()
+    rows = minhash.near_duplicates(docs(spark, texts).unionByName(docs(spark, texts[:3]))).collect()
+    assert len(rows) == len(texts) + 3
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == near_duplicate_classes(texts)
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Buckets of one coordinate hold texts of many groups, of which a leader is one: the tiles find the rest."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for g in range(8):
+        base = common[:30] + [f"g{g}w{k}" for k in range(120)]
+        for _ in range(6):
+            w = list(base)
+            w[rng.randrange(150)] = "x"
+            texts.append(" ".join(w))
+    for name, value in (("ROWS", 1), ("BANDS", 8), ("BLOCK", 5), ("SALTS", 3)):
+        monkeypatch.setattr(minhash, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, texts)).collect()}
-    assert got == {k: (len(sets[k]), find(k), find(k) == k) for k in range(len(texts))}
+    want = near_duplicate_classes(texts)
+    assert got == want and 1 < sum(k for _, _, k in want.values()) < 40
 
 
 def test_sketch_estimates_similarity():
