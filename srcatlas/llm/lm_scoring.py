@@ -1,147 +1,284 @@
-"""Operator 6: stupid-backoff scores of all documents under the corpus's own bigram counts.
-
-Words are told apart by 64-bit fingerprints, whatever their number.  The counts of the
-`VOCABULARY` most frequent ones are broadcast (their number is fixed); bigrams of two such
-words are packed into one number.  Each document is exploded into its distinct bigrams (rows
-bigram, document, times); the count table is the sum over all documents, partitioned by the
-hash of the bigram, and is joined back to the exploded rows.  The rest, bigrams with a rarer
-word and the rarer words themselves, is counted in one shuffle by their fingerprints; no key
-of it has more rows than the rarest broadcast word has occurrences.  A bigram that other documents hold too scores count / count(first
-word), leaving out the document's own; otherwise the score backs off to `BACKOFF` times the
-frequency of the word.  Scores are base-10 logarithms, summed per document.
+"""Operator 6: stupid-backoff scores of all documents under the bigram counts of all others.
+
+Words are told apart by 63-bit fingerprints, whatever their number.  The table of word counts
+is a plain aggregation; its `VOCABULARY` most frequent words are broadcast.  The table of bigram
+counts is partitioned by a hash of the bigram into buckets.  Documents are then exploded into
+their distinct bigrams, dealt by the same hash and joined to the count table bucket by bucket,
+and what the bigrams score is summed per document.  Rows travel as packed arrays, one for each
+bucket and slice of documents, so that counting and joining run on whole columns.
+
+Hot keys: a bigram that makes up a `HOT`-th or more of all is counted like the others, but its
+count is broadcast (there are at most `HOT` such bigrams) and it is scored where its document
+is read.  A bucket's count table is read before its exploded rows, which pass one array at a
+time, so a task holds the distinct bigrams of a bucket and never all rows of a key.  Words that
+are not broadcast are joined to the word counts by their fingerprints; only rows that need such
+a count take part in that.
+
+A document is scored by what all other documents hold: a bigram that occurs elsewhere scores
+its count there over that of its first word there; any other backs off to `BACKOFF` times the
+share that the word's count elsewhere, at least one, has in all words of the corpus.  Scores are
+base-10 logarithms, summed per document.
 
 Defined cases: null and wordless texts score 0 over 0 words; the first word of a text follows
-a start symbol; null doc_ids are left out; rows that repeat an id are scored together; extra
-columns are ignored; an empty table gives no rows.
+a start symbol, which is counted once a document; null doc_ids are left out; rows that repeat an
+id are scored each on their own and added up; extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
 from .words import U, mix, row_words
 
-VOCABULARY = 65_536
+VOCABULARY = 1 << 18
+HOT = 1 << 16
 BACKOFF = 0.4
-#: Largest long: what a negative id is folded into, so that rows of base scores keep keys below those of pairs.
-HIGH = np.int64((1 << 63) - 1)
+#: Words handled together inside a task, and words of the corpus for each bucket of bigrams.
+SLICE_WORDS, BUCKET_WORDS = 1 << 19, 1 << 21
+RARE = U(1 << 63)
+#: Rows of a bucket: its count table, then exploded bigrams and what documents score by themselves.
+TABLE, EXPLODED, SCORED = 0, 1, 2
+
+ROW = "bucket int, kind int, key binary, docs binary, rows binary, n binary, own binary, first binary, second binary"
+_NAMES = [x.split()[0] for x in ROW.split(", ")]
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * (len(_NAMES) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_NAMES, types)], names=_NAMES)
+
+
+def _bytes(x: np.ndarray, dtype) -> bytes:
+    return x.astype(dtype, copy=False).tobytes()
+
+
+def _array(value, dtype) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=dtype)
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
+def _slices(batches):
+    """Yield (batch, rows, fingerprints, row index of each word) for runs of rows of about `SLICE_WORDS` words."""
+    for batch in batches:
+        rows, held, size = [], [], 0
+        for row, h, *_ in row_words(batch.column("t"), fold_case=True):
+            rows.append(row)
+            held.append(h >> U(1))
+            size += len(h)
+            if size > SLICE_WORDS or row + 1 == batch.num_rows:
+                yield batch, np.array(rows), np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+                rows, held, size = [], [], 0
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            held, size = [], 0
-            for row, h, *_ in row_words(batch.column("t"), fold_case=True):
-                held.append(h)
-                size += len(h)
-                if size > 1 << 20 or row + 1 == batch.num_rows:
-                    word, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-                    held, size = [], 0
+        for _, _, h, _ in _slices(batches):
+            word, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select("t").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def exploded_bigrams(docs: DataFrame, words: np.ndarray, backoff: np.ndarray) -> DataFrame:
-    """(pair, first, second, doc_id, n, base, n_words): distinct bigrams of each document.
+class Pairs:
+    """The distinct bigrams of a slice; `of` names the bigram that each word ends.
 
-    Ids: 0 start, then from 2 the broadcast words by hash.  A bigram with a rarer word has its
-    fingerprints first and second (0 start) instead of a pair; a rarer word has second only.
-    One more row per document, of a pair of its own, holds what its broadcast words score if
-    every bigram backs off.
+    `first` and `second` are a broadcast word's place from 1 (0 is the start symbol), or a rarer
+    word's fingerprint with the highest bit set.
     """
-    at = docs.sparkSession.sparkContext.broadcast((words, backoff))
+
+    def __init__(self, h: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray):
+        words, self.word = np.unique(h, return_inverse=True)
+        spot = np.searchsorted(vocabulary, words)
+        spot[spot == len(vocabulary)] = 0
+        known = vocabulary[spot] == words if len(vocabulary) else np.zeros(len(words), dtype=bool)
+        code = np.where(known, (spot + 1).astype(U), words | RARE)
+        self.before = np.concatenate(([-1], self.word))[: len(h)]
+        self.before[np.concatenate(([True], doc[1:] != doc[:-1]))[: len(h)]] = -1
+        width = len(words) + 1
+        pair, self.of, self.n = np.unique((self.before + 1) * width + self.word, return_inverse=True, return_counts=True)
+        self.first, self.second = np.concatenate((np.zeros(1, dtype=U), code))[pair // width], code[pair % width]
+        rare = (self.first >= RARE) | (self.second >= RARE)
+        self.key = np.where(rare, mix(mix(self.first.copy(), 5) ^ self.second, 6) | RARE, (self.first << U(32)) | self.second)
+        self.n_words = len(words)
+
+
+def _by_bucket(key: np.ndarray, buckets: int):
+    """Yield (bucket, ascending positions of its keys)."""
+    bucket = (mix(key.copy(), 9) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(at):
+            yield int(bucket[at[0]]), at
+
+
+def bigram_table(docs: DataFrame, vocabulary, buckets: int, hot_count: int) -> DataFrame:
+    """A row for each bucket: its bigrams that occur twice or more (`key`, `n`), and again those of `hot_count` or more (`docs`, `rows`)."""
+
+    def count(batches):
+        for _, _, h, doc in _slices(batches):
+            pairs = Pairs(h, doc, vocabulary.value)
+            rows = [{"bucket": b, "kind": TABLE, "key": _bytes(pairs.key[at], U), "n": _bytes(pairs.n[at], np.uint32)} for b, at in _by_bucket(pairs.key, buckets)]
+            if rows:
+                yield _batch(rows)
+
+    def total(batches):
+        bucket, keys, counts, size = None, [], [], 0
+
+        def merge():
+            nonlocal keys, counts, size
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+            keys, counts, size = [key], [n], 0
+            return key, n
+
+        def done():
+            key, n = merge()
+            several, hot = n > 1, n >= hot_count
+            return _batch([{"bucket": bucket, "kind": TABLE, "key": key[several].tobytes(), "n": n[several].tobytes(), "docs": key[hot].tobytes(), "rows": n[hot].tobytes()}])
+
+        for batch in batches:
+            for b, k, n in zip(*(batch.column(x) for x in ("bucket", "key", "n"))):
+                if b.as_py() != bucket:
+                    if keys:
+                        yield done()
+                    bucket, keys, counts, size = b.as_py(), [], [], 0
+                keys.append(_array(k, U))
+                counts.append(_array(n, np.uint32).astype(np.int64))
+                size += len(keys[-1])
+                # Merged often enough to hold little more than the distinct bigrams.
+                if size > max(1 << 20, len(keys[0])):
+                    merge()
+        if keys:
+            yield done()
+
+    dealt = docs.select("t").mapInArrow(count, ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(total, ROW)
+
+
+def pair_scores(c, n, first, own_first, second, own_second, have, n_docs: int, total: int) -> np.ndarray:
+    """What bigrams of broadcast words score, for counts c in the corpus of which n in the document."""
+    count, there = np.concatenate(([n_docs], have)), c > n
+    before = np.maximum(count[first.astype(np.int64)] - own_first, 1)
+    alone = np.maximum(count[second.astype(np.int64)] - own_second, 1)
+    return n * np.where(there, np.log10(np.maximum(c - n, 1)) - np.log10(before), np.log10(BACKOFF / max(1, total)) + np.log10(alone))
+
+
+def exploded(docs: DataFrame, vocabulary, counts, hot, buckets: int, n_docs: int, total: int) -> DataFrame:
+    """Rows of `ROW`: the distinct bigrams of documents by bucket, and what their hot bigrams score."""
 
     def run(batches):
-        vocabulary, back = at.value
+        words, (keys, times), have = vocabulary.value, hot.value, counts.value
+        for batch, rows, h, doc in _slices(batches):
+            pairs, ids = Pairs(h, doc, words), batch.column("k").to_numpy()[rows]
+            n_words = np.bincount(doc, minlength=len(rows))
+            # How often a document holds each of its words, and the one before each.
+            _, at, held = np.unique(doc * pairs.n_words + pairs.word, return_inverse=True, return_counts=True)
+            own = held[at]
+            own_before = np.where(pairs.before < 0, 1, np.concatenate(([1], own))[: len(own)])
+            _, at, n = np.unique(doc * len(pairs.key) + pairs.of, return_index=True, return_counts=True)
+            doc, pair, own, own_before = doc[at], pairs.of[at], own[at], own_before[at]
+            key = pairs.key[pair]
+            spot = np.searchsorted(keys, key)
+            spot[spot == len(keys)] = 0
+            is_hot = keys[spot] == key if len(keys) else np.zeros(len(key), dtype=bool)
+            k = np.flatnonzero(is_hot & (key < RARE))
+            gain = pair_scores(times[spot[k]], n[k], pairs.first[pair[k]], own_before[k], pairs.second[pair[k]], own[k], have, n_docs, total)
+            scores = np.bincount(doc[k], weights=gain, minlength=len(rows))
+            out = [{"bucket": int(ids[0] % buckets), "kind": SCORED, "docs": _bytes(ids, np.int64), "rows": _bytes(n_words, np.int64), "n": _bytes(scores, np.float64)}]
+            rest = np.flatnonzero(~is_hot | (key >= RARE))
+            for b, at in _by_bucket(key[rest], buckets):
+                at = rest[at]
+                start = np.flatnonzero(np.concatenate(([True], doc[at][1:] != doc[at][:-1])))
+                rare = pair[at[key[at] >= RARE]]
+                out.append(
+                    {
+                        "bucket": b, "kind": EXPLODED, "key": _bytes(key[at], U), "docs": _bytes(ids[doc[at[start]]], np.int64), "rows": _bytes(np.diff(np.append(start, len(at))), np.uint32),
+                        "n": _bytes(n[at], np.uint32), "own": _bytes(own_before[at], np.uint32) + _bytes(own[at], np.uint32), "first": pairs.first[rare].tobytes(), "second": pairs.second[rare].tobytes(),
+                    }
+                )
+            yield _batch(out)
+
+    return docs.mapInArrow(run, ROW)
+
+
+SCORES = {"doc_id": pa.int64(), "n_words": pa.int64(), "s": pa.float64(), "word": pa.int64(), "n": pa.int64(), "own": pa.int64(), "hit": pa.bool_()}
+
+
+def _scores(**columns) -> pa.RecordBatch:
+    size = len(columns["doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in SCORES.items()], names=list(SCORES))
+
+
+def joined(rows: DataFrame, counts, n_docs: int, total: int) -> DataFrame:
+    """(doc_id, n_words, s) of what is scored, and (doc_id, word, n, own, hit) of what needs the count of a rarer word."""
+
+    def run(batches):
+        have, bucket, key, times = counts.value, None, np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            keys, held, size = batch.column("k").to_numpy(), [], 0
-            for row, h, *_ in row_words(batch.column("t"), fold_case=True):
-                spot = np.searchsorted(vocabulary, h)
-                spot[spot == len(vocabulary)] = 0
-                known = vocabulary[spot] == h if len(vocabulary) else np.zeros(len(h), dtype=bool)
-                ids, before = spot[known] + 2, np.concatenate((np.zeros(1, dtype=U), h))[:-1]
-                packed = known & np.concatenate(([True], known))[:-1]
-                pair, n = np.unique((np.concatenate(([0], spot + 2))[:-1][packed] << 32) | (spot[packed] + 2), return_counts=True)
-                _, some, m = np.unique(mix(before[~packed], 5) + h[~packed], return_index=True, return_counts=True)
-                rare, k = np.unique(h[~known], return_counts=True)
-                held.append((keys[row], pair, n, back[ids].sum(), len(h), before[~packed][some], np.concatenate((h[~packed][some], rare)), np.concatenate((m, k))))
-                size += len(pair) + len(some) + len(rare)
-                if size > 1 << 19 or row + 1 == batch.num_rows:
-                    doc = np.array([x[0] for x in held], dtype=np.int64)
-                    total, rest = sum(len(x[1]) for x in held), sum(len(x[6]) for x in held)
-                    first = np.concatenate([np.concatenate((x[5], np.zeros(len(x[6]) - len(x[5]), dtype=U))) for x in held]).view(np.int64)
-                    alone = np.concatenate([np.arange(len(x[6])) >= len(x[5]) for x in held])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([-1 - (doc & HIGH), *[x[1] for x in held], np.zeros(rest, dtype=np.int64)]).astype(np.int64), mask=np.arange(len(doc) + total + rest) >= len(doc) + total),
-                            pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(first, mask=alone)]),
-                            pa.concat_arrays([pa.nulls(len(doc) + total, pa.int64()), pa.array(np.concatenate([x[6] for x in held]).view(np.int64))]),
-                            pa.array(np.concatenate((doc, np.repeat(doc, [len(x[1]) for x in held]), np.repeat(doc, [len(x[6]) for x in held])))),
-                            pa.array(np.concatenate([np.zeros(len(doc), dtype=np.int64), *[x[2] for x in held], *[x[7] for x in held]]).astype(np.int32)),
-                            pa.array([float(x[3]) for x in held] + [None] * (total + rest), pa.float64()),
-                            pa.array([x[4] for x in held] + [None] * (total + rest), pa.int64()),
-                        ],
-                        names=["pair", "first", "second", "doc_id", "n", "base", "n_words"],
-                    )
-                    held, size = [], 0
-
-    return docs.mapInArrow(run, "pair long, first long, second long, doc_id long, n int, base double, n_words long")
-
-
-def _rare_scores(frame: DataFrame, counts: DataFrame, broadcast: np.ndarray, n: int, total: int) -> DataFrame:
-    """(doc_id, s): what the words that are not broadcast score, and what their bigrams score beyond backing off."""
-    rows = frame.where("second IS NOT NULL").select("first", "second", "doc_id", "n")
-    # Words have no first, so c is the count of the word or of the bigram.
-    rows = rows.withColumn("c", F.sum("n").over(Window.partitionBy("first", "second")))
-    low = np.log10(BACKOFF / max(1, total))
-    words = rows.where("first IS NULL").select("doc_id", (F.col("n") * (F.log10("c") + low)).alias("s"))
-    known = counts.sparkSession.createDataFrame([(0, max(1, n)), *((int(w), None) for w in broadcast.view(np.int64))], "word long, docs long")
-    top = known.join(counts, "word", "left").select("word", F.coalesce("docs", "n").alias("m"))
-    pairs = rows.where("first IS NOT NULL AND c > n")
-    for side in ("first", "second"):
-        # Pairs of a broadcast word get a key of their own: frequent words would crowd one task.
-        key = F.when(F.col(f"{side}_top").isNull(), F.col(side)).otherwise(F.xxhash64("doc_id", "first", "second"))
-        pairs = pairs.join(F.broadcast(top.toDF(side, f"{side}_top")), side, "left").withColumn("key", key)
-        pairs = pairs.join(counts.toDF("key", f"{side}_n"), "key", "left").drop("key")
-    count = {side: F.coalesce(f"{side}_top", f"{side}_n") for side in ("first", "second")}
-    gain = F.log10(F.col("c") - F.col("n")) - F.log10(count["first"]) - F.log10(count["second"]) - low
-    return words.unionByName(pairs.select("doc_id", (F.col("n") * gain).alias("s")))
+            column = {c: batch.column(c) for c in _NAMES}
+            for i in range(batch.num_rows):
+                value = lambda c, dtype: _array(column[c][i], dtype)  # noqa: B023, E731
+                if column["bucket"][i].as_py() != bucket:
+                    bucket, key, times = column["bucket"][i].as_py(), np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+                kind = column["kind"][i].as_py()
+                if kind == TABLE:
+                    key, times = value("key", U).copy(), value("n", np.int64).copy()
+                    continue
+                docs = value("docs", np.int64)
+                if kind == SCORED:
+                    yield _scores(doc_id=docs, n_words=value("rows", np.int64), s=value("n", np.float64))
+                    continue
+                mine, n, size = value("key", U), value("n", np.uint32).astype(np.int64), value("rows", np.uint32).astype(np.int64)
+                own_first, own_second = value("own", np.uint32).astype(np.int64).reshape(2, -1)
+                c = n
+                if len(key):
+                    spot = np.searchsorted(key, mine)
+                    spot[spot == len(key)] = 0
+                    c = np.where(key[spot] == mine, times[spot], n)
+                rare, first, second = mine >= RARE, mine >> U(32), mine & U(0xFFFFFFFF)
+                first[rare], second[rare] = value("first", U), value("second", U)
+                hit = c > n
+                asked = np.where(hit, first, second)
+                waits = asked >= RARE
+                s = pair_scores(c, n, np.where(first < RARE, first, U(0)), own_first, np.where(second < RARE, second, U(0)), own_second, have, n_docs, total)
+                # A rarer word's count is still to come: only the other part of the sum is known.
+                s[waits] = (n * np.where(hit, np.log10(np.maximum(c - n, 1)), np.log10(BACKOFF / max(1, total))))[waits]
+                yield _scores(doc_id=docs, s=np.add.reduceat(s, np.cumsum(size) - size))
+                if waits.any():
+                    own = np.where(hit, own_first, own_second)[waits]
+                    yield _scores(doc_id=np.repeat(docs, size)[waits], word=(asked[waits] & ~RARE).view(np.int64), n=n[waits], own=own, hit=hit[waits])
+
+    schema = "doc_id long, n_words long, s double, word long, n long, own long, hit boolean"
+    return rows.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, log10_score, log10_per_word)."""
+    context = docs.sparkSession.sparkContext
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t").where("k IS NOT NULL")
-    counts = save(_word_counts(source), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
+    counts = save(word_counts(source), "words")
+    total, n_docs = int(counts.agg(F.sum("n")).first()[0] or 0), source.count()
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()  # a fixed number of words
     words = top["word"].to_numpy(dtype=np.int64).view(U)
     order = np.argsort(words)
-    known = top["n"].to_numpy(dtype=np.float64)[order]
-    n = source.count()
-    count = np.concatenate(([max(1, n), 1.0], known))  # of id as first word; no word has id 1
-    backoff = np.log10(BACKOFF) + np.log10(count / max(1, total))
-    frame = exploded_bigrams(source, words[order], backoff)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(
-        [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(np.log10(count), backoff))], "id long, log_count double, back double"
-    )
-    first, second = F.broadcast(ids.select(F.col("id").alias("i"), "log_count")), F.broadcast(ids.select(F.col("id").alias("j"), "back"))
-    table = (
-        frame.where("pair >= 0")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("c"))
-        .join(first, F.shiftright("pair", 32) == F.col("i"))
-        .join(second, F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)) == F.col("j"))
-        .select("pair", "c", (-F.col("log_count") - F.col("back")).alias("gain"))
-    )
-    scored = frame.where("pair IS NOT NULL").join(table, "pair", "left").withColumn(
-        "s", F.when(F.col("c") > F.col("n"), F.col("n") * (F.log10(F.col("c") - F.col("n")) + F.col("gain"))).otherwise(F.coalesce("base", F.lit(0.0)))
-    )
-    scored = scored.select("doc_id", "n_words", "s").unionByName(_rare_scores(frame, counts, words, n, total), allowMissingColumns=True)
-    out = scored.groupBy("doc_id").agg(F.sum(F.coalesce("n_words", F.lit(0))).alias("n_words"), F.sum("s").alias("log10_score"))
+    at, have = context.broadcast(words[order]), context.broadcast(top["n"].to_numpy(dtype=np.int64)[order])
+    buckets = max(4, -(-total // BUCKET_WORDS))
+    table = save(bigram_table(source, at, buckets, max(2, -(-total // HOT))), "bigrams")
+    found = table.select("docs", "rows").toPandas()  # at most HOT bigrams in all
+    keys = np.concatenate([np.zeros(0, dtype=U), *[np.frombuffer(x, dtype=U) for x in found["docs"]]])
+    times = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in found["rows"]]])
+    order = np.argsort(keys)
+    rows = exploded(source, at, have, context.broadcast((keys[order], times[order])), buckets, n_docs, total)
+    none = F.lit(None).cast("binary")
+    dealt = rows.unionByName(table.withColumns({"docs": none, "rows": none})).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    scored = save(joined(dealt, have, n_docs, total), "scores")
+    plain = scored.where("word IS NULL").select("doc_id", "n_words", "s")
+    rarer = scored.where("word IS NOT NULL").join(counts.withColumnRenamed("n", "c"), "word")
+    part = F.col("n") * F.log10(F.greatest(F.col("c") - F.col("own"), F.lit(1))) * F.when(F.col("hit"), -1).otherwise(1)
+    out = plain.unionByName(rarer.select("doc_id", F.lit(0).cast("long").alias("n_words"), part.alias("s")))
+    out = out.groupBy("doc_id").agg(F.sum(F.coalesce("n_words", F.lit(0))).alias("n_words"), F.sum("s").alias("log10_score"))
     return out.withColumn("log10_per_word", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))

@@ -260,31 +260,54 @@ def test_token_files_round_trip(spark, vocabulary):
         start += r.n_tokens
 
 
-def test_near_vectors_equal_brute_force(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(300, 16))
-    x[100:160] = x[0] + rng.normal(size=(60, 16)) * 0.1
-    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(df).collect()}
-    u = x.astype(np.float32).astype(np.float64)
+def link_counts(x):
+    """Links of each row and the components, by all cosines."""
+    u = np.asarray(x).astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
-    n = (u @ u.T >= 0.9).sum(axis=1) - 1
-    found = sum(got[k][0] for k in range(300))
-    assert found >= 0.9 * n.sum() > 0 and all(got[k][0] <= n[k] for k in range(300))
-    assert [got[k] for k in (300, 301, 302, 303)] == [(0, k, True) for k in (300, 301, 302, 303)]
+    link = u @ u.T >= 0.9
+    label = np.arange(len(u))
+    while True:
+        new = np.where(link, label[None, :], len(u)).min(axis=1)
+        if (new == label).all():
+            return link.sum(axis=1) - 1, label
+        label = new
 
 
-@pytest.mark.parametrize("n_pivots, n", [(500, 3000), (2000, 6000)])
-def test_near_vectors_find_the_links_of_a_dense_group(spark, monkeypatch, n_pivots, n):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16))
+    x[100:160] = x[0] + rng.normal(size=(60, 16)) * 0.1
+    x[160:200] = x[7]
+    x = x.astype(np.float32)
+    bad = [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [1.0]), (304, [None] + [1.0] * 15), (305, []), (None, x[0].tolist())]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + bad + [(5, x[5].tolist())]
+    df = spark.createDataFrame([(*r, 1, "n") for r in rows], f"vec_id long, embedding array<{kind}>, label int, n string")
+    out = pivots.near_vectors(df).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
+    n, label = link_counts(x)
+    assert len(out) == len(rows) and n.sum() > 4000
+    assert [got[k] for k in range(300)] == [(n[k], label[k], label[k] == k) for k in range(300)]
+    assert [got[k] for k in range(300, 306)] == [(0, k, True) for k in range(300, 306)] and got[None] == (0, None, True)
+
+
+def test_near_vectors_link_among_many_invalid_ones(spark):
+    rows = [(k, [0.0] * 8) for k in range(5000)] + [(5000 + k, [1.0] * 7 + [1.0 + k / 100]) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df).where("n_links > 0").collect()}
+    assert got == {k: (3, 5000) for k in range(5000, 5004)}
+
+
+@pytest.mark.parametrize("n_pivots, n, block", [(500, 3000, 4096), (2000, 6000, 500)])
+def test_near_vectors_find_the_links_of_a_dense_group(spark, monkeypatch, n_pivots, n, block):
     monkeypatch.setattr(pivots, "MIN_PIVOTS", n_pivots)
+    monkeypatch.setattr(pivots, "BLOCK", block)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(n, 64))
     x[: n // 3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(n // 3, 64)) * 0.3 / 8
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = sum(r.n_links for r in pivots.near_vectors(df).collect())
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    want = int((u @ u.T >= 0.9).sum()) - n
+    want = int(link_counts(x)[0].sum())
     assert 0.99 * want <= got <= want and want > n
 
 
@@ -340,27 +363,42 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(np.array(mass) / sum(mass), mixing.TARGETS, atol=0.01)
 
 
-def test_scores_equal_brute_force(spark):
-    texts = corpus(12)
-    rows = {r.doc_id: r for r in lm_scoring.score_documents(docs(spark, texts)).collect()}
+def backoff_scores(texts):
+    """Score of each text by the counts of all others, from plain counters."""
     words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
-    one, pairs, own = {}, {}, []
-    for w in words:
-        mine = {}
-        for a, b in zip([None, *w], w):
-            mine[a, b] = mine.get((a, b), 0) + 1
-            one[b] = one.get(b, 0) + 1
-        own.append(mine)
-        for p, n in mine.items():
-            pairs[p] = pairs.get(p, 0) + n
-    total = sum(one.values())
-    for k, mine in enumerate(own):
-        s = 0.0
+    own = [Counter(zip([None, *w], w)) for w in words]
+    one, pairs = Counter(w for ws in words for w in ws), sum(own, Counter())
+    total, out = one.total(), []
+    for w, mine in zip(words, own):
+        held, s = Counter(w), 0.0
         for (a, b), n in mine.items():
-            left = pairs[a, b] - n
-            first = len(texts) if a is None else one[a]
-            s += n * (np.log10(left / first) if left else np.log10(0.4) + np.log10(one[b] / total))
-        assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
+            there = len(texts) - 1 if a is None else one[a] - held[a]
+            s += n * (np.log10((pairs[a, b] - n) / there) if pairs[a, b] > n else np.log10(0.4 * max(1, one[b] - held[b]) / total))
+        out.append((len(w), s))
+    return out
+
+
+def assert_scores(spark, texts, **args):
+    rows = {r.doc_id: r for r in lm_scoring.score_documents(docs(spark, texts), **args).collect()}
+    for k, (n, s) in enumerate(backoff_scores(texts)):
+        assert rows[k].n_words == n and abs(rows[k].log10_score - s) < 1e-6
+        assert rows[k].log10_per_word is None if n == 0 else abs(rows[k].log10_per_word - s / n) < 1e-6
+
+
+@pytest.mark.parametrize("vocabulary, hot, words", [(1 << 18, 1 << 16, 1 << 19), (0, 50, 200), (25, 1 << 16, 1000), (100, 200, 50)])
+def test_scores_equal_brute_force(spark, monkeypatch, vocabulary, hot, words):
+    """Also with few broadcast words, many hot bigrams and small slices."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "SLICE_WORDS", words)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 700)
+    assert_scores(spark, corpus(12), vocabulary=vocabulary)
+
+
+def test_scores_tell_all_words_apart(spark):
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(75_000)]
+    shared = [names[k : k + 2] for k in range(0, 60_000, 1500)]
+    assert_scores(spark, [" ".join(names[k * 500 : k * 500 + 500] + rng.choice(shared) + rng.choice(shared) + ["common", "word"] * 3) for k in range(150)], vocabulary=65_536)
 
 
 def test_scores_do_not_depend_on_the_sign_of_ids(spark):
@@ -381,23 +419,6 @@ def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
         mixing.mix(docs(spark, ["fine prose here"] * 3), labels, targets)
 
 
-@pytest.mark.parametrize("vocabulary", [0, 25, lm_scoring.VOCABULARY])
-def test_scores_tell_all_words_apart(spark, vocabulary):
-    rng = random.Random(3)
-    names = [f"n{k}" for k in range(75_000)]  # more than are broadcast
-    shared = [names[k : k + 2] for k in range(0, 60_000, 1500)]
-    texts = [" ".join(names[k * 500 : k * 500 + 500] + rng.choice(shared) + rng.choice(shared) + ["common", "word"] * 3) for k in range(150)]
-    texts = texts if vocabulary == lm_scoring.VOCABULARY else [*corpus(12), *texts[:2]]
-    rows = {r.doc_id: r for r in lm_scoring.score_documents(docs(spark, texts), vocabulary).collect()}
-    words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
-    own = [Counter(zip([None, *w], w)) for w in words]
-    one, pairs = Counter(w for ws in words for w in ws), sum(own, Counter())
-    one[None], total = len(texts), one.total()
-    for k, mine in enumerate(own):
-        s = sum(n * (np.log10((pairs[p] - n) / one[p[0]]) if pairs[p] > n else np.log10(0.4 * one[p[1]] / total)) for p, n in mine.items())
-        assert rows[k].n_words == len(words[k]) and abs(rows[k].log10_score - s) < 1e-6
-
-
 def test_empty_tables(spark):
     none = docs(spark, [])
     for run in (minhash.near_duplicates, recompression.strip_repeats, quality.quality_report, secrets.find_secrets, lm_scoring.score_documents):
