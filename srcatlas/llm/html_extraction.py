@@ -1,14 +1,16 @@
 """Operator 4: main text of web pages by a linear-chain conditional random field.
 
-A page is cut into leaf blocks, the texts between tags of block elements, each with the tags
-and class names of its ancestors.  A two-label chain over the blocks (main text or not) scores
-ancestor and text features and label changes; it is trained by gradient ascent on labelled
-pages and decoded by Viterbi.  Labelled pages are those given, or, by default, pages whose
-own markup says what each block is; ancestor features are blanked at random in training so
-that text features carry weight where a page lacks such markup.
+A page is cut into leaf blocks, the texts between tags of block elements.  A two-label chain
+over the blocks (main text or not) scores features of the block's ancestors, the tags and the
+words in class, id and role of all of them whatever the depth, features of its text, and label
+changes.  It is trained by gradient ascent on labelled pages and decoded by Viterbi.
 
-Training takes at most `TRAIN_PAGES` pages, those of the least hashes of their ids; every page
-is extracted from its whole html.
+Labelled pages are those given as a table (html, labels: one of 0 or 1 for each leaf block in
+page order), or, by default, `labelled_pages`, which are made by rule.  Ancestor features are
+blanked on some pages in training, so that text features carry weight where a page lacks
+telling markup.  At most `TRAIN_PAGES` pages are taken, those of the least hashes; every page
+is extracted from its whole html, in time linear in its length: what the open ancestors add to
+a block's score is kept as a running sum.
 
 Defined cases: null or empty html gives an empty text; markup left open at the end counts as
 closed there; a page of no main block gives an empty text; null ids are carried; rows that
@@ -26,96 +28,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 400
-FEATURES = 1 << 12
-SLOTS = 40
-ROUNDS, RATE, DECAY = 80, 0.2, 1e-4
+from .labelled_pages import labelled_pages
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+TRAIN_PAGES = 2000
+FEATURES = 1 << 14
+ROUNDS, RATE, DECAY = 120, 0.2, 1e-4
+BLANK = 0.25
+#: Weights of ancestors are summed in whole numbers of this size, so that sums come back exactly.
+UNIT = 1 << 20
+
+_NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+#: Elements whose content is no text of the page.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea iframe svg".split()}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data em font i img kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
-#: Elements that a start tag closes if they are open in the same container.
-CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+#: Elements that a start tag closes if they are open in the same container; a paragraph by any other.
+CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 CONTAINERS = frozenset("html body div article section main nav aside header footer form ul ol dl table figure blockquote".split())
-#: Markup that says by itself what a block is, for labelling pages.
-MAIN = frozenset("article main content post entry story".split())
-OTHER = frozenset(
-    "nav header footer aside form head button menu navbar sidebar ad ads advert advertisement banner promo sponsor cookie consent notice popup modal "
-    "comment comments reply replies respond share social related recommended breadcrumb breadcrumbs subscribe newsletter login search widget toolbar copyright".split()
-)
-
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[frozenset, ...], bool]]:
-    """(text, ancestors outermost first, is all link) of each block with text, in page order."""
-    stack: list[tuple[str, frozenset]] = []
-    blocks, parts, linked, length = [], [], 0, 0
 
-    def close():
-        nonlocal parts, linked, length
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            blocks.append((text, tuple(x for _, x in stack), length > 0 and linked * 2 > length))
-        parts, linked, length = [], 0, 0
-
-    def words(text):
-        nonlocal linked, length
-        if text:
-            parts.append(text)
-            n = len(text.strip())
-            length += n
-            if any(t == "a" for t, _ in stack):
-                linked += n
-
-    at = 0
-    for m in _TAG.finditer(page):
-        words(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+def pieces(page: str):
+    """Yield (text, tag, attributes) in page order: a text, or a tag ('/x' if it ends x) and its attributes."""
+    at, n, quoted = 0, len(page), True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], None, None
+            return
+        name = _NAME.match(page, lt + 1)
+        if name is None and page[lt + 1 : lt + 2] not in ("!", "?"):
+            yield page[at : lt + 1], None, None
+            at = lt + 1
             continue
-        if m[2]:
-            if tag in INLINE and not any(t == tag for t, _ in stack):
-                continue
-            if tag not in INLINE:
-                close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if lt > at:
+            yield page[at:lt], None, None
+        if name is None:
+            end, skip = (page.find("-->", lt + 4), 3) if page.startswith("<!--", lt) else (page.find(">", lt), 1)
+            at = n if end < 0 else end + skip
             continue
-        if tag == "br":
-            parts.append(" ")
-        if tag in VOID:
-            if tag not in INLINE:
-                close()
-            continue
-        if tag not in INLINE:
-            close()
-            shuts = CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shuts:
-                    del stack[k:]
-                    break
-                if stack[k][0] in CONTAINERS:
-                    break
-        names = {tag}
-        if m[4]:
-            for a in _ATTRIBUTE.findall(m[4]):
-                names.update(_TOKEN.findall("".join(a).lower()))
-        stack.append((tag, frozenset(names)))
-    words(page[at:])
-    close()
-    return blocks
-
-
-def markup_label(ancestors: tuple[frozenset, ...]) -> int:
-    """1 if the markup calls a block main text, 0 if it does not."""
-    names = frozenset().union(*ancestors) if ancestors else frozenset()
-    return int(bool(names & MAIN) and not names & OTHER)
+        end = name.end()
+        while quoted:
+            stop = _STOP.search(page, end)
+            if stop is None or stop[0] == ">":
+                end = n if stop is None else stop.start()
+                break
+            close = page.find(stop[0], stop.end())
+            end = stop.end() if close < 0 else close + 1
+        if not quoted or end >= n:
+            # Quotes that leave no tag end say nothing; they are not looked at again on this page.
+            quoted, end = False, page.find(">", name.end())
+            if end < 0:
+                end = n
+        tag = name[0].lower()
+        yield None, tag, page[name.end() : end]
+        at = end + 1
+        if tag in RAW:
+            close = RAW[tag].search(page, at)
+            at = n if close is None else close.end()
 
 
 _SLOT: dict[str, int] = {}
@@ -128,20 +100,127 @@ def _slot(name: str) -> int:
             h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
         if len(_SLOT) > 100_000:
             _SLOT.clear()
-        _SLOT[name] = 1 + h % (FEATURES - 1)
+        _SLOT[name] = (h ^ (h >> 29)) % FEATURES
     return _SLOT[name]
 
 
-def features(blocks) -> np.ndarray:
-    """Feature slots of each block: the first half for ancestors, the second for the text; 0 is none."""
-    out, half, n = np.zeros((len(blocks), SLOTS), dtype=np.int32), SLOTS // 2, len(blocks)
-    for k, (text, ancestors, linked) in enumerate(blocks):
-        names = [f"in:{x}" for group in ancestors[-6:] for x in sorted(group)][-(half - 1) :]
-        if ancestors:
-            names.append("own:" + min(ancestors[-1]))
+class Ancestors:
+    """The open elements, with the sum of the weights of their distinct features.
+
+    Every step costs what is opened or closed, whatever the depth.
+    """
+
+    def __init__(self, weights: list[tuple[int, int]] | None = None):
+        self.weights, self.held, self.sum = weights, {}, [0, 0]
+        self.stack: list[tuple] = []
+        self.open: dict[str, int] = {}
+        self.inline: dict[str, int] = {}  # open since the last block element
+        self.near: dict[str, int] = {}  # open since the last container
+        self.key = 0
+
+    def push(self, tag: str, slots) -> None:
+        self.stack.append((tag, slots, self.inline, self.near, self.key))
+        self.key = hash((self.key, tag, slots))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in INLINE:
+            self.inline[tag] = self.inline.get(tag, 0) + 1
+        else:
+            self.inline = {}
+        if tag in CONTAINERS:
+            self.near = {}
+        else:
+            self.near[tag] = self.near.get(tag, 0) + 1
+        for s in slots:
+            n = self.held.get(s, 0)
+            self.held[s] = n + 1
+            if not n and self.weights:
+                a, b = self.weights[s]
+                self.sum[0] += a
+                self.sum[1] += b
+
+    def pop(self) -> str:
+        tag, slots, self.inline, self.near, self.key = self.stack.pop()
+        self.open[tag] -= 1
+        if tag in INLINE:
+            self.inline[tag] -= 1
+        if tag not in CONTAINERS:
+            self.near[tag] -= 1
+        for s in slots:
+            n = self.held.pop(s) - 1
+            if n:
+                self.held[s] = n
+            elif self.weights:
+                a, b = self.weights[s]
+                self.sum[0] -= a
+                self.sum[1] -= b
+        return tag
+
+    def close(self, tags) -> None:
+        """End the innermost of `tags` and all that is open inside it."""
+        while self.pop() not in tags:
+            pass
+
+
+def leaf_blocks(page: str, weights: list[tuple[int, int]] | None = None) -> list[tuple]:
+    """(text, own tag, place, is mostly link, ancestors) of each block with text, in page order.
+
+    `place` is equal for blocks of equal ancestors; ancestors are their slots, or with `weights` the sums of these.
+    """
+    up, blocks = Ancestors(weights), []
+    parts, linked, length = [], 0, 0
+
+    def end():
+        nonlocal parts, linked, length
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                blocks.append((text, up.stack[-1][0] if up.stack else "", up.key, linked * 2 > length, tuple(up.sum) if weights else tuple(up.held)))
+            parts, linked, length = [], 0, 0
+
+    for text, tag, attributes in pieces(page):
+        if text is not None:
+            parts.append(text)
+            n = len(text.strip())
+            length += n
+            linked += n if up.open.get("a") else 0
+            continue
+        if tag[0] == "/":
+            tag = tag[1:]
+            if tag in INLINE:
+                if up.inline.get(tag):
+                    up.close((tag,))
+                continue
+            end()
+            if up.open.get(tag):
+                up.close((tag,))
+            continue
+        if tag == "br":
+            parts.append(" ")
+        if tag not in INLINE:
+            end()
+        if tag in VOID or tag in RAW:
+            continue
+        if tag not in INLINE:
+            shuts = CLOSES.get(tag, ("p",))
+            if any(up.near.get(t) for t in shuts):
+                up.close(shuts)
+        names = {tag}
+        if attributes:
+            for a in _ATTRIBUTE.findall(attributes):
+                names.update(_TOKEN.findall("".join(a).lower()))
+        up.push(tag, tuple(sorted({_slot(f"in:{x}") for x in names})))
+    end()
+    return blocks
+
+
+def text_slots(blocks) -> list[list[int]]:
+    """Feature slots of each block's own text and of its place among the blocks."""
+    out, n = [], len(blocks)
+    for k, (text, own, place, linked, _) in enumerate(blocks):
         words = text.count(" ") + 1
-        own = [
+        names = (
             "bias",
+            f"own:{own}",
             f"words:{min(8, words.bit_length())}",
             f"link:{linked}",
             f"stop:{text[-1] in '.!?…:;'}",
@@ -152,31 +231,36 @@ def features(blocks) -> np.ndarray:
             f"mark:{'©' in text}",
             f"bar:{'|' in text}",
             f"commas:{min(3, text.count(','))}",
-            f"same:{k > 0 and ancestors == blocks[k - 1][1]}",
-        ]
-        for j, x in enumerate(names):
-            out[k, j] = _slot(x)
-        for j, x in enumerate(own):
-            out[k, half + j] = _slot(x)
+            f"same:{k > 0 and place == blocks[k - 1][2]}",
+        )
+        out.append([_slot(x) for x in names])
     return out
 
 
-def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(weights (features, 2), transitions (2, 2)) that maximise the likelihood of labelled pages."""
+def train(pages: list[tuple[list, list[int]]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(weights (features, 2), transitions (2, 2)) that maximise the likelihood of pages of (blocks, labels)."""
     rng, w, trans = np.random.default_rng(seed), np.zeros((FEATURES, 2)), np.zeros((2, 2))
+    pages = [p for p in pages if p[1]]
     if not pages:
         return w, trans
     longest = max(len(y) for _, y in pages)
-    x = np.zeros((len(pages), longest, SLOTS), dtype=np.int32)
     y, on = np.zeros((len(pages), longest), dtype=np.int64), np.zeros((len(pages), longest), dtype=bool)
-    for k, (f, label) in enumerate(pages):
-        x[k, : len(label)], y[k, : len(label)], on[k, : len(label)] = f, label, True
+    cell, slot, above, page = [], [], [], []
+    for k, (blocks, label) in enumerate(pages):
+        y[k, : len(label)], on[k, : len(label)] = label, True
+        for t, (block, own) in enumerate(zip(blocks, text_slots(blocks))):
+            for more, up in ((block[4], True), (own, False)):
+                cell += [k * longest + t] * len(more)
+                slot += more
+                above += [up] * len(more)
+                page += [k] * len(more)
+    cell, slot, above, page = np.array(cell), np.array(slot), np.array(above), np.array(page)
     gw, gt = np.full_like(w, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(ROUNDS):
-        seen = x.copy()
-        blank = rng.random(len(pages)) < 0.3
-        seen[blank, :, : SLOTS // 2] = 0
-        score = w[seen].sum(axis=2)
+        blank = rng.random(len(pages)) < BLANK
+        use = ~(above & blank[page])
+        c, s = cell[use], slot[use]
+        score = np.stack([np.bincount(c, weights=w[s, k], minlength=on.size) for k in (0, 1)], axis=1).reshape(*on.shape, 2)
         alpha, beta = np.zeros_like(score), np.zeros_like(score)
         alpha[:, 0] = score[:, 0]
         for t in range(1, longest):
@@ -187,18 +271,15 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np
             step = np.logaddexp(trans[:, 0][None] + after[:, :1], trans[:, 1][None] + after[:, 1:])
             beta[:, t] = np.where(on[:, t + 1, None], step, 0.0)
         total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        gap = (np.eye(2)[y] - np.exp(alpha + beta - total[:, None, None])) * on[:, :, None]
-        grad = np.zeros_like(w)
-        np.add.at(grad, seen[on], gap[on][:, None, :])
-        pair = np.zeros((2, 2))
-        both = on[:, 1:]
+        gap = ((np.eye(2)[y] - np.exp(alpha + beta - total[:, None, None])) * on[:, :, None]).reshape(-1, 2)
+        grad = np.stack([np.bincount(s, weights=gap[c, k], minlength=FEATURES) for k in (0, 1)], axis=1)
+        pair, both = np.zeros((2, 2)), on[:, 1:]
         np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1.0)
         for a in (0, 1):
             for b in (0, 1):
                 e = alpha[:, :-1, a] + trans[a, b] + score[:, 1:, b] + beta[:, 1:, b] - total[:, None]
                 pair[a, b] -= np.exp(np.where(both, e, -np.inf)).sum()
         grad, pair = grad / len(pages) - DECAY * w, pair / len(pages) - DECAY * trans
-        grad[0] = 0
         gw += grad**2
         gt += pair**2
         w += RATE * grad / np.sqrt(gw)
@@ -223,36 +304,48 @@ def viterbi(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(pages: DataFrame, html: str = "html", key: str = "page_id", train_pages: int = TRAIN_PAGES):
-    """Chain weights from a bounded sample of pages labelled by their own markup."""
-    sample = (
-        pages.where(F.col(f"`{html}`").isNotNull() & (F.length(f"`{html}`") < 200_000))
-        .select(F.col(f"`{key}`").alias("k"), F.col(f"`{html}`").alias("h"))
-    )
-    chosen = sample.select("k").orderBy(F.xxhash64("k"), "k").limit(train_pages)
-    rows = sample.join(F.broadcast(chosen.distinct()), "k").limit(2 * train_pages).toPandas()
-    labelled = []
-    for page in rows["h"]:
-        blocks = leaf_blocks(page)
-        label = np.array([markup_label(b[1]) for b in blocks], dtype=np.int64)
-        if label.any():
-            labelled.append((features(blocks)[:400], label[:400]))
-    return train(labelled)
-
-
-def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url", model=None) -> DataFrame:
+class Extractor:
+    """Chain weights, ready to extract pages."""
+
+    def __init__(self, w: np.ndarray, trans: np.ndarray):
+        self.trans, self.text = trans, w
+        self.above = [tuple(x) for x in np.round(w * UNIT).astype(np.int64).tolist()]
+
+    def labels(self, page: str) -> list[tuple[str, int]]:
+        blocks = leaf_blocks(page, self.above)
+        if not blocks:
+            return []
+        own = np.array(text_slots(blocks))
+        score = self.text[own].sum(axis=1) + np.array([b[4] for b in blocks]) / UNIT
+        return [(b[0], int(y)) for b, y in zip(blocks, viterbi(score, self.trans))]
+
+    def main_text(self, page: str | None) -> str:
+        return "\n\n".join(text for text, y in self.labels(page) if y) if page else ""
+
+
+def fit(labelled: DataFrame | None = None, train_pages: int = TRAIN_PAGES) -> Extractor:
+    """The chain of labelled pages (html string, labels array<int>), or of those made by rule."""
+    if labelled is None:
+        rows = labelled_pages()
+    else:
+        chosen = labelled.where("html IS NOT NULL AND labels IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(train_pages)
+        rows = [(r.html, list(r.labels)) for r in chosen.select("html", "labels").toLocalIterator()]
+    pages = [(leaf_blocks(page), label) for page, label in rows]
+    for blocks, label in pages:
+        if len(blocks) != len(label):
+            raise ValueError(f"a page of {len(blocks)} leaf blocks has {len(label)} labels")
+    return Extractor(*train(pages))
+
+
+def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url", model: Extractor | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, url, text): blocks labelled as main text, joined by blank lines."""
-    at = pages.sparkSession.sparkContext.broadcast(model or fit(pages, html, key))
+    at = pages.sparkSession.sparkContext.broadcast(model or fit(labelled))
 
     def run(batches):
-        w, trans = at.value
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
-                part, out = batch.slice(first, 256), []
-                for page in part.column("h").to_pylist():
-                    blocks = leaf_blocks(page) if page else []
-                    labels = viterbi(w[features(blocks)].sum(axis=1), trans) if blocks else ()
-                    out.append("\n\n".join(b[0] for b, y in zip(blocks, labels) if y))
+                part = batch.slice(first, 256)
+                out = [at.value.main_text(page) for page in part.column("h").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("u"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     source = pages.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{url}` AS STRING) AS u", f"CAST(`{html}` AS STRING) AS h")

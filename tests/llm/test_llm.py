@@ -314,11 +314,64 @@ def test_near_vectors_find_the_links_of_a_dense_group(spark, monkeypatch, n_pivo
 PAGE = "<html><head><title>t</title></head><body><nav><a href='/x'>menu</a></nav><article><h1>Head&amp;er</h1><p>First  text.<p>Second<br>one.</article><div class='comments'>bad</div><footer>&copy; x</footer></body></html>"
 
 
-def test_page_extraction(spark):
-    rows = [(k, "u", PAGE.replace("First", f"First {k}")) for k in range(40)] + [(90, None, None), (91, "u", ""), (92, "u", "<p>open <b>tag")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in H.main_text(df).collect()}
-    assert got[3] == "Head&er\n\nFirst 3 text.\n\nSecond one." and got[90] == got[91] == ""
+@pytest.fixture(scope="module")
+def extractor():
+    return H.fit()
+
+
+def test_page_extraction(spark, extractor):
+    rows = [(k, "u", PAGE.replace("First", f"First {k}"), "x") for k in range(40)] + [(90, None, None, None), (91, "u", "", "x"), (92, "u", "<p>open <b>tag", "x"), (None, "u", PAGE, "x"), (3, "u", PAGE, "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = H.main_text(df, model=extractor).collect()
+    got = {r.page_id: r.text for r in out if r.page_id != 3}
+    assert len(out) == len(rows) and got[90] == got[91] == ""
+    assert got[None] == "Head&er\n\nFirst text.\n\nSecond one." and got[7] == got[None].replace("First", "First 7")
+
+
+def test_pages_are_told_apart_by_held_out_pages(extractor):
+    from srcatlas.llm.labelled_pages import labelled_pages
+
+    for telling, least in ((1.0, 0.97), (0.75, 0.93), (0.0, 0.85)):  # the last: no markup says what a part is
+        right = found = want = 0
+        for page, label in labelled_pages(150, seed=77, telling=telling):
+            got = [y for _, y in extractor.labels(page)]
+            assert len(got) == len(label)
+            right += sum(a and b for a, b in zip(got, label))
+            found, want = found + sum(got), want + sum(label)
+        assert right >= least * found and right >= least * want
+
+
+def test_pages_may_be_labelled_by_a_table(spark):
+    """Labels against all habit: what is in <nav> is main text here."""
+    page = "<body><nav><p>{}</p></nav><article><p>{}</p></article></body>"
+    rows = [(page.format(f"one {k} two.", f"three {k} four."), [1, 0]) for k in range(60)]
+    model = H.fit(spark.createDataFrame(rows, "html string, labels array<int>"))
+    assert model.main_text(page.format("five six.", "seven eight.")) == "five six."
+    with pytest.raises(ValueError, match="leaf blocks"):
+        H.fit(spark.createDataFrame([("<p>a<p>b", [1])], "html string, labels array<int>"))
+
+
+@pytest.mark.parametrize("wrap", [0, 7, 300])
+def test_depth_loses_no_article(extractor, wrap):
+    page = PAGE.replace("<article>", "<article>" + "<div>" * wrap).replace("</article>", "</div>" * wrap + "</article>")
+    assert extractor.main_text(page) == "Head&er\n\nFirst text.\n\nSecond one."
+
+
+@pytest.mark.parametrize("page", ["<a " * 16000, '<a "x>" ' * 16000, "<div>" * 30000, "<x>" * 20000 + "<p>" * 9000, "<b>" * 20000 + "</i>" * 20000, "<script>" * 20000, "<!--" * 20000, "<div><b>" * 9000 + "</b></div>x" * 9000, "</x>" * 40000])
+def test_hostile_pages_take_linear_time(extractor, page):
+    import time
+
+    start = time.time()
+    extractor.main_text(page)
+    assert time.time() - start < 5
+
+
+def test_blocks_follow_the_rules_of_open_elements():
+    page = "<p>a<p>b<b>c<li>d</b><li>e<td>f</p><i>g</x>h</i>i < j <br/>k&lt;<input>l<!-- m -->n<script>o</script>"
+    assert [(b[0], b[1]) for b in H.leaf_blocks(page)] == [("a", "p"), ("bc", "b"), ("d", "li"), ("e", "li"), ("f", "td"), ("g", "i"), ("hi < j k<", "td"), ("ln", "td")]
+    weights = [(k, -k) for k in range(H.FEATURES)]
+    for plain, summed in zip(H.leaf_blocks(PAGE), H.leaf_blocks(PAGE, weights), strict=True):
+        assert summed[4] == (sum(plain[4]), -sum(plain[4]))
 
 
 def test_viterbi_is_the_best_path():
@@ -426,5 +479,5 @@ def test_empty_tables(spark):
     assert packing.pack_documents(none, P.path("word_bpe_49k.json"), 1).count() == 0
     assert token_files.read_token_files(token_files.write_token_files(none, P.path("byte_bpe_50k.json"), 50257, 0)).count() == 0
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string"), model=H.Extractor(np.zeros((H.FEATURES, 2)), np.zeros((2, 2)))).count() == 0
     assert mixing.mix(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
