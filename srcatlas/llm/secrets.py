@@ -2,28 +2,28 @@
 
 A scan proposes candidates: vendor key shapes, private key blocks, values given to names such
 as token or password, and any long unbroken run of letters, digits and key marks.  Each is
-described by its length, its character transitions (mean log probability under a character
-bigram model of the corpus's words), entropy, the share of it that common words cover, its
-character kinds, the words beside it and the path of its source.  Spark's random forest,
-trained on labelled findings, keeps or drops it; its trees are applied inside the scan, so
-texts are read once and never shuffled.
-
-Labelled findings are those given as a table, or, by default, the findings of a bounded sample
-of documents labelled by shape: key shapes, keyed high-entropy values and unkeyed runs of ever-changing kinds of characters are secrets;
-addresses, numbers, links, repeated characters, placeholders and plain words are not.  At most
-`SAMPLE_DOCS` documents, those of the least hashes of their ids and those with a keyed value
-or key shape first, serve the model; every whole document is scanned.
+described by its length, its character transitions (mean log probability under the transitions
+of all texts), entropy, the share of it that the corpus's most frequent words cover, its
+character kinds, the words beside it and its path.  Spark's random forest, trained on labelled
+findings, keeps or drops it; its trees are applied inside the scan, so that texts are never
+shuffled.
+
+Labelled findings are those given as a table (text, start, length, path, label), at most
+`LABELS` of them, those of the least hashes, or by default `labelled_findings`, which are made
+by rule.  Word and transition counts are summed over all documents by Spark; what is broadcast
+has a fixed size: a table of 256 x 256 transitions, `DICTIONARY` words and the trees.
 
 Defined cases: null and empty texts have no findings; null doc_ids are carried; each repeated
-row yields its own findings; extra columns are ignored by `find_secrets` and kept by
-`redact_secrets`; an empty table gives no rows; overlapping candidates count once, the longest
-of the earliest first.
+row yields its own findings; without a path column all paths are empty; extra columns are ignored
+by `find_secrets` and kept by `redact_secrets`; an empty table gives no rows; overlapping
+candidates count once, the longest of the earliest first; values have no length limit.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,9 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 4000
-TREES, DEPTH = 24, 6
+from .common import save
+from .labelled_findings import labelled_findings
+from .words import row_words
+
+LABELS = 20_000
+TREES, DEPTH = 32, 10
 DICTIONARY = 5000
+#: Numbers that the words before and behind a candidate are hashed to.
+BEFORE, BEHIND = 24, 8
 REPLACEMENT = "[SECRET]"
 
 _SHAPES = (
@@ -51,28 +57,20 @@ CANDIDATE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _SHAPES) + f"|(?P<ke
 #: What every candidate needs; texts without it are passed over at once.
 QUICK = r"(?i)AKIA|ASIA|gh[pousr]_|xox|k_live|k_test|eyJ|PRIVATE KEY|token|secret|pass|pwd|key|auth|credential|[A-Za-z0-9+/_\-]{20}"
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|\*{3}|test|^none$|^null$|^true$|^false$|\$\{|^<")
-_UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 _URL = re.compile(r"(?i)https?:|www\.|\.com|\.org|/[a-z]+/")
 KINDS = [n for n, _ in _SHAPES] + ["keyed", "long"]
 
 
 class CorpusModel:
-    """Character transitions and common words of the sampled texts."""
-
-    def __init__(self, texts: list[str]):
-        words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
-        self.common = {w for w, n in words.most_common(DICTIONARY) if len(w) > 2}
-        pairs, ones = Counter(), Counter()
-        for w, n in words.most_common(50_000):
-            for a, b in zip("^" + w, w):
-                pairs[a + b] += n
-                ones[a] += n
-        self.floor = math.log(0.5 / (max(ones.values(), default=1) + 40))
-        self.log = {p: math.log((n + 0.5) / (ones[p[0]] + 40)) for p, n in pairs.items()}
+    """Character transitions and common words of all texts."""
+
+    def __init__(self, transitions: np.ndarray, common: set[str]):
+        self.common = common
+        self.log = np.log((transitions + 0.5) / (transitions.sum(axis=1, keepdims=True) + 40))
 
     def transitions(self, value: str) -> float:
-        low = value.lower()
-        return sum(self.log.get(a + b, self.floor) for a, b in zip(low, low[1:])) / max(1, len(low) - 1)
+        low = np.frombuffer(value.lower().encode(), dtype=np.uint8)
+        return float(self.log[low[:-1], low[1:]].mean()) if len(low) > 1 else 0.0
 
     def coverage(self, value: str) -> float:
         low, covered, k = value.lower(), 0, 0
@@ -82,6 +80,46 @@ class CorpusModel:
         return covered / max(1, len(low))
 
 
+def corpus_model(docs: DataFrame) -> CorpusModel:
+    """The model of all texts of `docs` (column t): one scan and one sum."""
+
+    def run(batches):
+        for batch in batches:
+            pairs, held, spans, size = np.zeros(1 << 16, dtype=np.int64), [], [], 0
+            for row, h, start, end, data in row_words(batch.column("t"), fold_case=True):
+                low = data + (((data >= 65) & (data <= 90)) * np.uint8(32))
+                if len(low) > 1:
+                    pairs += np.bincount(low[:-1].astype(np.int64) << 8 | low[1:], minlength=1 << 16)
+                held.append(h)
+                spans.append((data, start, end))
+                size += len(h)
+                if size > 1 << 19 or row + 1 == batch.num_rows:
+                    _, at, n = np.unique(np.concatenate(held), return_index=True, return_counts=True)
+                    first = np.cumsum([0] + [len(x) for x in held])
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    words, times = [], []
+                    for d, k, c in zip(doc.tolist(), (at - first[doc]).tolist(), n.tolist()):
+                        text, a, b = spans[d]
+                        if 2 < b[k] - a[k] < 32:
+                            word = text[a[k] : b[k]].tobytes().decode("utf-8", "replace").lower()
+                            if word.isalpha() and 2 < len(word) <= 16:
+                                words.append(word)
+                                times.append(c)
+                    some = np.flatnonzero(pairs)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([*words, *[None] * len(some)], pa.string()), pa.array([*[None] * len(words), *some.tolist()], pa.int32()), pa.array([*times, *pairs[some].tolist()], pa.int64())],
+                        names=["word", "pair", "n"],
+                    )
+                    pairs[:], held, spans, size = 0, [], [], 0
+
+    counts = save(docs.select("t").mapInArrow(run, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")), "words")
+    common = {r.word for r in counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()}
+    table = np.zeros(1 << 16)
+    for r in counts.where("pair IS NOT NULL").collect():  # at most 256 * 256 rows
+        table[r.pair] = r.n
+    return CorpusModel(table.reshape(256, 256), common)
+
+
 def candidates(text: str):
     """(start, end, kind) of what might be a secret, in order and without overlaps."""
     for m in CANDIDATE.finditer(text):
@@ -89,10 +127,18 @@ def candidates(text: str):
         yield (*m.span("value"), "keyed") if m["keyed"] else (*m.span(), kind)
 
 
+def _beside(word: list[str], n: int) -> int:
+    """The number that a word beside a candidate is hashed to; -1 for none."""
+    return zlib.crc32(word[0].lower().encode()) % n if word else -1
+
+
 def describe(text: str, start: int, end: int, kind: str, path: str, model: CorpusModel) -> list[float]:
     value, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 24]
     n, count = len(value), Counter(value)
     share = lambda f: sum(map(f, value)) / n
+    sort = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
+    word_before = _beside(re.findall(r"([A-Za-z][\w-]*)\W*$", before), BEFORE)
+    word_behind = _beside(re.findall(r"^\W*([A-Za-z][\w-]*)", after), BEHIND)
     return [
         n,
         model.transitions(value),
@@ -103,7 +149,7 @@ def describe(text: str, start: int, end: int, kind: str, path: str, model: Corpu
         share(str.islower),
         share(lambda c: c in "0123456789abcdef"),
         share(lambda c: not c.isalnum()),
-        sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:])) / n,
+        sum(a != b for a, b in zip(sort, sort[1:])) / n,
         float(bool(re.search(_NAMES, before, re.I))),
         float(bool(re.search(r"[=:]\s{0,3}[\"']?$", before))),
         float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)),
@@ -111,29 +157,13 @@ def describe(text: str, start: int, end: int, kind: str, path: str, model: Corpu
         model.coverage(after[:16]),
         float(bool(_PLACEHOLDER.search(value))),
         float(bool(_URL.search(before[-12:] + value))),
-        float(bool(re.search(r"(?i)test|example|sample|doc", path))),
-        float(KINDS.index(kind)),
+        float(bool(re.search(r"(?i)test|example|sample|doc|lock", path))),
+        *[float(KINDS.index(kind) == k) for k in range(len(KINDS))],
+        *[float(word_before == k) for k in range(BEFORE)],
+        *[float(word_behind == k) for k in range(BEHIND)],
     ]
 
 
-def shape_label(text: str, start: int, end: int, kind: str) -> int:
-    """1 if the shape says secret, 0 if it says not: the default labelled findings."""
-    value = text[start:end]
-    n, count = len(value), Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in count.values())
-    if _PLACEHOLDER.search(value) or value.isdigit() or entropy < 2.0:
-        return 0
-    if kind not in ("keyed", "long"):
-        return 1
-    mixed = any(map(str.isdigit, value)) and any(map(str.isalpha, value))
-    if kind == "keyed":
-        return int(mixed or entropy > 3.2 and not value.isalpha())
-    # Unkeyed runs count if digits, capitals and small letters keep changing places, as in no word or path.
-    sort = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
-    changes = sum(a != b for a, b in zip(sort, sort[1:]) if 3 not in (a, b))
-    return int(mixed and entropy > 3.0 and changes * 5 >= n and not _UUID.fullmatch(value))
-
-
 class Forest:
     """The trees of a fitted random forest as arrays."""
 
@@ -175,55 +205,57 @@ class Forest:
 class Scanner:
     """Corpus model and forest: finds the secrets of a text."""
 
-    def __init__(self, corpus: CorpusModel, forest: Forest | None):
+    def __init__(self, corpus: CorpusModel, forest: Forest):
         self.corpus, self.forest = corpus, forest
 
     def find(self, text: str, path: str):
         found = list(candidates(text))
         if not found:
             return []
-        if self.forest is None:
-            score = np.array([float(shape_label(text, *f)) for f in found])
-        else:
-            score = self.forest.scores(np.array([describe(text, *f, path, self.corpus) for f in found]))
+        score = self.forest.scores(np.array([describe(text, *f, path, self.corpus) for f in found]))
         return [(*f, float(s)) for f, s in zip(found, score) if s >= 0.5]
 
 
-def labelled_findings(docs: DataFrame, text: str, path: str, key: str, sample_docs: int):
-    """Texts of the bounded sample, and (features, label) of its findings."""
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("p"))
-    order = source.where("t IS NOT NULL AND length(t) < 50000").select("k", "t", "p", (~F.col("t").rlike(rf"(?i)AKIA|PRIVATE KEY|(?:{_NAMES})[\"']?\s?[=:]")).alias("plain"))
-    chosen = order.where("NOT plain").orderBy(F.xxhash64("k"), "k").limit(sample_docs // 8).unionByName(order.where("plain").orderBy(F.xxhash64("k"), "k").limit(sample_docs // 8))
-    rows = chosen.select("t", "p").toPandas()
-    corpus = CorpusModel(rows["t"].tolist())
-    findings = [(describe(t, *f, p, corpus), shape_label(t, *f)) for t, p in zip(rows["t"], rows["p"]) for f in candidates(t)]
-    # Plain words and numbers of the sample are findings known to be harmless.
-    for t, p in zip(rows["t"], rows["p"]):
-        for m in list(re.finditer(r"\S{12,}", t))[:3]:
-            if not CANDIDATE.search(m[0]):
-                findings.append((describe(t, *m.span(), "long", p, corpus), 0))
-    return corpus, findings
+def labelled_features(rows, corpus: CorpusModel):
+    """(features, label) of the candidates that lie on a labelled finding (text, start, length, path, label)."""
+    for text, start, length, path, label in rows:
+        for a, b, kind in candidates(text):
+            if a < start + length and b > start:
+                yield describe(text, a, b, kind, path or "", corpus), int(label)
 
 
-def fit_scanner(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Scanner:
+def fit_scanner(docs: DataFrame, text: str = "text", labels: DataFrame | None = None) -> Scanner:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors
 
-    corpus, findings = labelled_findings(docs, text, path, key, sample_docs)
-    if len({y for _, y in findings}) < 2:
-        return Scanner(corpus, None)
-    weight = {y: len(findings) / sum(1 for _, z in findings if z == y) for y in (0, 1)}
+    corpus = corpus_model(docs.select(F.col(f"`{text}`").cast("string").alias("t")))
+    if labels is None:
+        rows = labelled_findings()
+    else:
+        columns = ["text", "start", "length", "path", "label"]
+        rows = labels.where("text IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("text", "start"), "text", "start").limit(LABELS).select(*columns).toLocalIterator()
+    findings = list(labelled_features(rows, corpus))
+    weight = {y: len(findings) / max(1, sum(1 for _, z in findings if z == y)) for y in (0, 1)}
+    if min(sum(1 for _, z in findings if z == y) for y in (0, 1)) == 0:
+        raise ValueError("labelled findings must hold secrets and look-alikes that the scan proposes")
     frame = docs.sparkSession.createDataFrame([(Vectors.dense(x), float(y), weight[y]) for x, y in findings], ["features", "label", "weight"]).coalesce(2)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, weightCol="weight", minInstancesPerNode=2)
     return Scanner(corpus, Forest(forest.fit(frame)))
 
 
+def _source(docs: DataFrame, text: str, path: str, key: str) -> DataFrame:
+    place = F.col(f"`{path}`").cast("string") if path in docs.columns else F.lit("")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.coalesce(place, F.lit("")).alias("p"))
+
+
 FINDINGS = "doc_id long, start long, length long, kind string, secret string, score double"
 
 
-def find_secrets(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", scanner: Scanner | None = None) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", scanner: Scanner | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """One row per secret: doc_id, start and length in code points, kind, secret, score."""
-    at = docs.sparkSession.sparkContext.broadcast(scanner or fit_scanner(docs, text, path, key))
+    at = docs.sparkSession.sparkContext.broadcast(scanner or fit_scanner(docs, text, labels))
 
     def run(batches):
         for batch in batches:
@@ -237,13 +269,14 @@ def find_secrets(docs: DataFrame, text: str = "text", path: str = "source", key:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names=["doc_id", "start", "length", "kind", "secret", "score"])
 
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("p"))
-    return source.where(F.col("t").rlike(QUICK)).mapInArrow(run, FINDINGS)
+    return _source(docs, text, path, key).where(F.col("t").rlike(QUICK)).mapInArrow(run, FINDINGS)
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", scanner: Scanner | None = None) -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, text: str = "text", path: str = "source", scanner: Scanner | None = None, labels: DataFrame | None = None
+) -> DataFrame:
     """All documents with all their columns, each secret replaced by `REPLACEMENT`."""
-    at = docs.sparkSession.sparkContext.broadcast(scanner or fit_scanner(docs, text, path, key))
+    at = docs.sparkSession.sparkContext.broadcast(scanner or fit_scanner(docs, text, labels))
 
     @F.pandas_udf("string")
     def clean(texts, paths):
@@ -256,4 +289,5 @@ def redact_secrets(docs: DataFrame, text: str = "text", path: str = "source", ke
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text, clean(F.col(f"`{text}`").cast("string"), F.col(f"`{path}`").cast("string")))
+    place = F.col(f"`{path}`").cast("string") if path in docs.columns else F.lit("")
+    return docs.withColumn(text, clean(F.col(f"`{text}`").cast("string"), place))

@@ -382,6 +382,52 @@ def test_viterbi_is_the_best_path():
     assert H.viterbi(score, trans).tolist() == best
 
 
+@pytest.fixture(scope="module")
+def scanner(spark):
+    return secrets.fit_scanner(docs(spark, corpus()))
+
+
+def test_secrets_are_told_from_look_alikes(scanner):
+    """Findings made by rule of another seed: how many that the scan calls secrets are, and how many secrets it finds."""
+    from srcatlas.llm.labelled_findings import labelled_findings
+
+    right = found = want = 0
+    for text, start, length, path, label in labelled_findings(1500, seed=31):
+        hit = any(a < start + length and b > start for a, b, *_ in scanner.find(text, path))
+        right, found, want = right + (hit and label), found + hit, want + label
+    assert right >= 0.97 * found and right >= 0.9 * want and want > 500  # values that are short and have no name are never proposed
+
+
+def test_secrets_follow_the_labels_of_a_table(spark):
+    """What a table calls harmless is left alone, whatever its characters."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        lead = "ticket " if k % 2 else "locker "
+        rows.append((f"the {lead}{value} end", 4 + len(lead), 40, None, k % 2))
+    labels = spark.createDataFrame(rows, "text string, start int, length int, path string, label int")
+    one = secrets.fit_scanner(docs(spark, corpus()), labels=labels)
+    value = "8c45435718dcc700c184a7e303cdc64c6a8f7f01"
+    assert one.find(f"a ticket {value} b", "") and not one.find(f"a locker {value} b", "")
+
+
+def test_secrets_of_odd_tables(spark, scanner):
+    value = "8c45435718dcc700c184a7e303cdc64c6a8f7f01"
+    rows = [(None, f'token = "{value}"', "x", 1), (None, f'token = "{value}"', "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, f"password={value} password={value}", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret string, start int")
+    found = sorted((r.doc_id or 0, r.start, r.length) for r in secrets.find_secrets(df, scanner=scanner).collect())
+    assert found == [(0, 9, 40), (0, 9, 40), (4, 9, 40), (4, 59, 40)]
+    clean = secrets.redact_secrets(df, scanner=scanner)
+    assert clean.columns == df.columns and [r.text for r in clean.collect()][3:] == ["", "password=[SECRET] password=[SECRET]"]
+
+
+def test_corpus_model_counts_all_texts(spark):
+    model = secrets.corpus_model(spark.createDataFrame([("Abc abc",), ("abc, xyz",), (None,), ("",)], "t string"))
+    assert model.common == {"abc", "xyz"}
+    assert abs(model.log[ord("a"), ord("b")] - np.log(3.5 / 43)) < 1e-9 and abs(model.log[ord("q"), ord("b")] - np.log(0.5 / 40)) < 1e-9
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     hexa = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
