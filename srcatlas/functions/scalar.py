@@ -62,13 +62,23 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
 
 
-#: Markers of texts that stand for a section without content.
-PLACEHOLDERS = ("no findings", "not yet populated", "insufficient evidence")
-
-
-def is_placeholder(body: Column, markers=PLACEHOLDERS) -> Column:
-    low = F.lower(F.coalesce(body, F.lit("")))
-    found = strip(low) == ""
-    for m in markers:
-        found = found | low.contains(m)
+#: Fixed markers of bodies that stand for a section without content: by use, those that count as
+#: written and those that count in any case.
+PLACEHOLDERS = {
+    "derive": ((), ("not yet populated", "no findings were extracted", "upstream sections required to derive")),
+    "report": (("Not yet populated", "No findings were extracted"), ("upstream sections required to derive",)),
+    "upstream": (("Not yet populated", "No findings were extracted"), ()),
+    "chat": (("_Not yet populated. Run `",), ()),
+}
+
+
+def is_placeholder(body: Column, mode: str = "derive") -> Column:
+    """Whether a body has a marker of the given use; a null body has none."""
+    written, any_case = PLACEHOLDERS[mode]
+    text = F.coalesce(body, F.lit(""))
+    found = F.lit(False)
+    for m in written:
+        found = found | text.contains(m)
+    for m in any_case:
+        found = found | F.lower(text).contains(m)
     return found

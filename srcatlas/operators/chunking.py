@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of chunks handed back to Spark at once.
+FLUSH = 8 << 20
 
 
-def split_text(text: str, size: int = 150_000, overlap: int = 8_000) -> list[str]:
-    """Chunks of at most `size` characters; each after the first begins with the tail before it."""
+def base_spans(text: str, limit: int, start: int = 0, stop: int | None = None, level: int = 0):
+    """Yield (start, stop) of pieces of at most `limit` characters, end to end.
+
+    Parts between separators are packed while they fit.  A part that is too long by itself closes
+    the piece before it and is split by the next separator on its own: its pieces never merge
+    with what stands before or behind it.
+    """
+    stop = len(text) if stop is None else stop
+    separator = SEPARATORS[level]
+    if stop - start <= limit or not separator:
+        for at in range(start, stop, limit):
+            yield at, min(at + limit, stop)
+        return
+    open_, at = start, start
+    while at < stop:
+        found = text.find(separator, at, stop)
+        end = stop if found < 0 else found + len(separator)
+        if end - open_ > limit and at > open_:
+            yield open_, at
+            open_ = at
+        if end - at > limit:
+            yield from base_spans(text, limit, at, end, level + 1)
+            open_ = end
+        at = end
+    if open_ < stop:
+        yield open_, stop
+
+
+def chunk_spans(text: str, size: int = 150_000, overlap: int = 8_000) -> list[tuple[int, int]]:
+    """(start, stop) of each chunk; each after the first begins with the tail of the piece before it."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     if len(text) <= size:
-        return [text]
-    base = _pack(_pieces(text, size - overlap, 0), size - overlap)
-    return base if not overlap else [base[0], *[a[-overlap:] + b for a, b in zip(base, base[1:])]]
+        return [(0, len(text))]
+    base = list(base_spans(text, size - overlap))
+    return base[:1] + [(max(before, start - overlap), stop) for (before, _), (start, stop) in zip(base, base[1:])]
 
 
-def _pieces(text: str, limit: int, level: int):
-    """Parts of at most `limit` characters whose concatenation is the text."""
-    if len(text) <= limit:
-        yield text
-        return
-    sep = SEPARATORS[level]
-    if not sep:
-        yield from (text[k : k + limit] for k in range(0, len(text), limit))
-        return
-    start = 0
-    while start < len(text):
-        at = text.find(sep, start)
-        stop = len(text) if at < 0 else at + len(sep)
-        yield from _pieces(text[start:stop], limit, level + 1)
-        start = stop
-
-
-def _pack(pieces, limit: int) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
-    n = 0
-    for p in pieces:
-        if held and n + len(p) > limit:
-            out.append("".join(held))
-            held, n = [], 0
-        held.append(p)
-        n += len(p)
-    if held:
-        out.append("".join(held))
+def split_text(text: str, size: int = 150_000, overlap: int = 8_000) -> list[str]:
+    return [text[a:b] for a, b in chunk_spans(text, size, overlap)]
+
+
+def line_offsets(text: str, chunks: list[str]) -> list[int]:
+    """Lines before each chunk, by searching it from half a chunk behind the last find: repeated text may give an earlier line."""
+    ends, cursor, out = [m.start() for m in re.finditer("\n", text)], 0, []
+    for body in chunks:
+        at = text.find(body, cursor)
+        if at < 0:
+            at = text.find(body)
+        if at >= 0:
+            cursor = at + max(1, len(body) // 2)
+        out.append(bisect_left(ends, max(at, 0)))
     return out
 
 
@@ -61,17 +79,21 @@ def chunk_files(files: DataFrame, size: int = 150_000, overlap: int = 8_000) ->
     short = files.where(F.length("text") <= size).select(
         "repo_id", "rel_path", F.lit(0).alias("chunk_index"), F.lit(1).alias("chunks"), F.col("text").alias("body"), F.lit(0).alias("line_offset"), F.lit(0).alias("char_start")
     )
+    names = CHUNKS.replace(",", "").split()[::2]
 
     def run(frames):
+        rows, held = [], 0
         for frame in frames:
             for repo, path, text in zip(frame["repo_id"], frame["rel_path"], frame["text"]):
-                parts, at, rows = split_text(text, size, overlap), 0, []
-                for k, body in enumerate(parts):
-                    start = at if k == 0 else at - overlap
-                    start = max(0, start)
-                    rows.append((repo, path, k, len(parts), body, text.count("\n", 0, start), start))
-                    at = start + len(body)
-                yield pd.DataFrame(rows, columns=["repo_id", "rel_path", "chunk_index", "chunks", "body", "line_offset", "char_start"])
+                spans = chunk_spans(text, size, overlap)
+                bodies = [text[a:b] for a, b in spans]
+                rows += [(repo, path, k, len(spans), body, line, a) for k, (body, line, (a, _)) in enumerate(zip(bodies, line_offsets(text, bodies), spans))]
+                held += sum(map(len, bodies))
+                if held > FLUSH:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     long = files.where(F.length("text") > size).select("repo_id", "rel_path", "text").mapInPandas(run, CHUNKS)
     return short.unionByName(long)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evidence import claims_with_sources
+
 KEY = ["repo_id", "section_id"]
 
 
@@ -81,7 +83,50 @@ def diff_notes(before: DataFrame, now: DataFrame) -> DataFrame:
     return added.unionByName(removed)
 
 
-def merge_surgical_edit(claims: DataFrame, removed: DataFrame, new_claims: DataFrame) -> DataFrame:
-    """Claims that an edit leaves (1-based indices removed) followed by its new ones."""
-    kept = claims.join(removed, [*KEY, "claim_idx"], "left_anti").withColumn("part", F.lit(0))
-    return kept.unionByName(new_claims.withColumn("part", F.lit(1)))
+def merge_surgical_edit(claims: DataFrame, removed: DataFrame, new_claims: DataFrame, added_notes: DataFrame) -> DataFrame:
+    """Claims that an edit leaves, followed by its new ones, numbered from 1.
+
+    `claims` are the stored ones (claim_idx, text, sources), `removed` 1-based indices of these (others
+    are ignored), `new_claims` (claim_idx, text, note_indices) refer to `added_notes` (note_no counts
+    the added notes of the section alone).
+    """
+    kept = claims.join(removed.select(*KEY, "claim_idx"), [*KEY, "claim_idx"], "left_anti").select(*KEY, F.lit(0).alias("part"), "claim_idx", "text", "sources")
+    new = claims_with_sources(new_claims, added_notes).select(*KEY, F.lit(1).alias("part"), "claim_idx", "text", "sources")
+    order = Window.partitionBy(*KEY).orderBy("part", "claim_idx")
+    return kept.unionByName(new).select(*KEY, F.row_number().over(order).alias("claim_idx"), "text", "sources")
+
+
+def resolve_contradictions(contradictions: DataFrame, notes: DataFrame) -> DataFrame:
+    """Contradictions (c_idx, summary, positions of text and note_indices) with sources in place of indices; they replace stored ones."""
+    place = F.struct("c_idx", "p_idx").alias("claim_idx")
+    sides = contradictions.select(*KEY, "c_idx", "summary", F.posexplode("positions").alias("p_idx", "p"))
+    found = claims_with_sources(sides.select(*KEY, place, F.col("p.text").alias("text"), F.col("p.note_indices").alias("note_indices")), notes)
+    rows = found.select(*KEY, F.col("claim_idx.c_idx").alias("c_idx"), F.struct(F.col("claim_idx.p_idx").alias("p_idx"), "text", "sources").alias("p"))
+    sides = rows.groupBy(*KEY, "c_idx").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: F.struct(p["text"].alias("text"), p["sources"].alias("sources"))).alias("positions"))
+    return contradictions.select(*KEY, "c_idx", "summary").join(sides, [*KEY, "c_idx"], "left")
+
+
+def section_path(sections: DataFrame, live: DataFrame, state: DataFrame, changes: DataFrame, answers: DataFrame) -> DataFrame:
+    """What becomes of each section, and whether it is stored.
+
+    `sections` has (repo_id, section_id) of all primary sections, `live` their notes_hash where there
+    are notes, `state` the stored notes_hash, `changes` the decision for each, `answers` (request, ok)
+    what came of an edit or a rewrite.  A failed edit falls back to a rewrite, a failed rewrite to the
+    raw findings, which are not stored; a section whose ids have not changed is shown again with its
+    old digest left in place, so that a later run still refreshes its citations.
+    """
+    ok = answers.groupBy(*KEY).agg(F.bool_or((F.col("request") == "edit") & F.col("ok")).alias("edited"), F.bool_or((F.col("request") == "rewrite") & F.col("ok")).alias("rewritten"))
+    rows = sections.select(*KEY).join(live.select(*KEY, "notes_hash"), KEY, "left").join(state.select(*KEY, F.col("notes_hash").alias("was")), KEY, "left")
+    rows = rows.join(changes.select(*KEY, "decision"), KEY, "left").join(ok, KEY, "left")
+    path = (
+        F.when(F.col("notes_hash").isNull(), "empty").when(F.col("was") == F.col("notes_hash"), "cached").when((F.col("decision") == "unchanged") & F.col("was").isNotNull(), "unchanged")
+        .when((F.col("decision") == "surgical") & F.col("was").isNotNull() & F.coalesce("edited", F.lit(False)), "edited").when(F.coalesce("rewritten", F.lit(False)), "rewritten").otherwise("fallback")
+    )
+    rows = rows.withColumn("path", path).withColumn("stored", F.col("path").isin("empty", "edited", "rewritten"))
+    kept = F.when(F.col("stored"), F.coalesce("notes_hash", F.lit(""))).otherwise(F.col("was"))
+    return rows.select(*KEY, "path", "stored", kept.alias("stored_hash"))
+
+
+def fallback_lines(notes: DataFrame) -> DataFrame:
+    """The lines that list a section's raw findings where no answer came."""
+    return notes.select(*KEY, "note_no", F.concat(F.lit("- **"), F.coalesce("file", F.lit("?")), F.lit("** — "), F.coalesce("finding", F.lit(""))).alias("line"))

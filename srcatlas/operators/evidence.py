@@ -2,37 +2,124 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import render_ref
+from ..functions.scalar import claim_in_body, render_ref, strip
 
 KEY = ["repo_id", "section_id"]
 
 
+SOURCES = "array<struct<file:string,line_start:int,line_end:int,fingerprint:string>>"
+#: Claims whose first references are ordered in one task.
+CLAIMS = 10_000
+
+
+def note_refs(file: Column, sources: Column) -> Column:
+    """The references of a note: its sources, or its file where it has none."""
+    none = F.lit(None).cast("int")
+    bare = F.array(F.struct(file.alias("file"), none.alias("line_start"), none.alias("line_end"), F.lit("").alias("fingerprint")))
+    return F.when(F.size(F.coalesce(sources, F.array().cast(SOURCES))) > 0, sources).when(F.coalesce(file, F.lit("")) != "", bare).otherwise(F.array().cast(SOURCES))
+
+
 def resolve_claim_sources(claims: DataFrame, numbered_notes: DataFrame) -> DataFrame:
     """One row per source of a claim: 1-based note indices to references; out of range is ignored."""
     asked = claims.select(*KEY, "claim_idx", F.posexplode("note_indices").alias("at", "note_no"))
-    own = F.when(F.size(F.coalesce("sources", F.array().cast("array<struct<file:string,line_start:int,line_end:int,fingerprint:string>>"))) > 0, F.col("sources")).otherwise(
-        F.array(F.struct(F.col("file"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit("").alias("fingerprint")))
-    )
-    notes = numbered_notes.select(*KEY, "note_no", own.alias("refs"))
-    rows = asked.join(notes, [*KEY, "note_no"]).select(*KEY, "claim_idx", "at", F.posexplode("refs").alias("ref_at", "ref"))
-    return coalesce_refs(rows.select(*KEY, "claim_idx", (F.col("at") * 100_000 + F.col("ref_at")).alias("seq"), render_ref(F.col("ref.file"), F.col("ref.line_start"), F.col("ref.line_end")).alias("ref")))
+    notes = numbered_notes.select(*KEY, "note_no", note_refs(F.col("file"), F.col("sources")).alias("refs"))
+    rows = asked.join(notes, [*KEY, "note_no"]).select(*KEY, "claim_idx", "at", F.posexplode("refs").alias("ref_at", "source"))
+    at = F.col("source")
+    return coalesce_refs(rows.select(*KEY, "claim_idx", F.struct("at", "ref_at").alias("seq"), "source", render_ref(at["file"], at["line_start"], at["line_end"]).alias("ref")))
 
 
 def coalesce_refs(rows: DataFrame) -> DataFrame:
     """First-seen references of each claim."""
-    return rows.groupBy(*KEY, "claim_idx", "ref").agg(F.min("seq").alias("seq"))
+    first = [F.min_by("source", "seq").alias("source")] if "source" in rows.columns else []
+    return rows.groupBy(*KEY, "claim_idx", "ref").agg(F.min("seq").alias("seq"), *first)
+
+
+def claims_with_sources(claims: DataFrame, numbered_notes: DataFrame) -> DataFrame:
+    """The claims (claim_idx, text, note_indices) with the references that their notes give, in first-seen order."""
+    refs = resolve_claim_sources(claims, numbered_notes).groupBy(*KEY, "claim_idx").agg(F.sort_array(F.collect_list(F.struct("seq", "source"))).alias("r"))
+    out = claims.select(*KEY, "claim_idx", "text").join(refs, [*KEY, "claim_idx"], "left")
+    return out.select(*KEY, "claim_idx", "text", F.coalesce(F.transform("r", lambda x: x["source"]), F.array().cast(SOURCES)).alias("sources"))
 
 
 def number_sources(claim_refs: DataFrame) -> DataFrame:
-    """Source numbers by first appearance over the section's claims."""
-    first = claim_refs.groupBy(*KEY, "ref").agg(F.min(F.struct("claim_idx", "seq")).alias("first"))
-    return first.withColumn("number", F.row_number().over(Window.partitionBy(*KEY).orderBy("first", "ref"))).drop("first")
+    """Source numbers by first appearance over the section's claims.
+
+    First appearances are ordered within ranges of `CLAIMS` claims; the ranges are counted before each other.
+    """
+    first = claim_refs.groupBy(*KEY, "ref").agg(F.min(F.struct("claim_idx", "seq")).alias("first")).withColumn("range", F.floor(F.col("first.claim_idx") / CLAIMS))
+    ahead = Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = first.groupBy(*KEY, "range").agg(F.count("*").alias("n")).select(*KEY, "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("int").alias("before"))
+    own = F.row_number().over(Window.partitionBy(*KEY, "range").orderBy("first", "ref"))
+    return first.withColumn("own", own).join(before, [*KEY, "range"]).select(*KEY, "ref", (F.col("own") + F.col("before")).alias("number"))
 
 
 def annotate_claims(claim_refs: DataFrame, numbers: DataFrame) -> DataFrame:
     """The marker of each claim: its source numbers in order."""
     rows = claim_refs.join(numbers, [*KEY, "ref"]).groupBy(*KEY, "claim_idx").agg(F.sort_array(F.collect_set("number")).alias("n"))
     return rows.select(*KEY, "claim_idx", F.array_join(F.transform("n", lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), "").alias("marker"))
+
+
+def _refs(sources: Column) -> Column:
+    return F.transform(F.coalesce(sources, F.array().cast(SOURCES)), lambda s: render_ref(s["file"], s["line_start"], s["line_end"]))
+
+
+def markers(refs: Column, numbered: Column) -> Column:
+    """[1][3] for references, by their places in `numbered`, in order of the references."""
+    return F.array_join(F.transform(F.array_distinct(refs), lambda r: F.concat(F.lit("["), F.array_position(numbered, r).cast("string"), F.lit("]"))), "")
+
+
+def annotate_body(body: Column, claims: Column) -> Column:
+    """The body with the marker of each of `claims` (text, marker), in order, behind the first place where its text stands.
+
+    A claim without marker is passed over, and so is one whose marker the body already holds.
+    """
+
+    def step(text: Column, c: Column) -> Column:
+        said, mark = strip(c["text"]), c["marker"]
+        at = F.instr(text, said)
+        fits = (mark != "") & claim_in_body(c["text"], text) & (said != "") & (at > 0) & ~F.contains(text, mark)
+        return F.when(fits, F.concat(F.substring(text, F.lit(1), at + F.length(said) - 1), mark, F.substring(text, at + F.length(said), F.length(text)))).otherwise(text)
+
+    return F.aggregate(claims, body, step)
+
+
+CONFLICTS = "_The walker found disagreements across files. Migration teams should resolve these before re-implementation._"
+
+
+def render_sections(bodies: DataFrame, claims: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(repo_id, section_id, document): marked body, supporting claims, conflicts and sources; empty parts are left out.
+
+    `claims` has claim_idx, text and sources, `contradictions` c_idx, summary and positions of text and
+    sources.  A section is one document, so what one row gathers is what its reader would read.
+    """
+    held = claims.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("claim_idx", "text", _refs(F.col("sources")).alias("refs")))).alias("claims"))
+    sides = F.transform("positions", lambda p: F.struct(p["text"].alias("text"), _refs(p["sources"]).alias("refs")))
+    against = contradictions.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("c_idx", "summary", sides.alias("sides")))).alias("against"))
+    rows = bodies.select(*KEY, F.coalesce("body", F.lit("")).alias("body")).join(held, KEY, "left").join(against, KEY, "left")
+    rows = rows.withColumns(
+        {
+            "claims": F.coalesce("claims", F.array().cast("array<struct<claim_idx:int,text:string,refs:array<string>>>")),
+            "against": F.coalesce("against", F.array().cast("array<struct<c_idx:int,summary:string,sides:array<struct<text:string,refs:array<string>>>>>")),
+        }
+    )
+    named = F.concat(F.flatten(F.transform("claims", lambda c: c["refs"])), F.flatten(F.flatten(F.transform("against", lambda a: F.transform(a["sides"], lambda p: p["refs"])))))
+    rows = rows.withColumn("numbered", F.array_distinct(named))
+    rows = rows.withColumn("marked", F.transform("claims", lambda c: F.struct(c["text"].alias("text"), markers(c["refs"], F.col("numbered")).alias("marker"))))
+    said = strip(annotate_body(F.col("body"), F.col("marked")))
+    beside = F.filter("marked", lambda c: (c["marker"] != "") & ~claim_in_body(c["text"], F.col("body")))
+    bullet = lambda c: F.concat(F.lit("- "), strip(c["text"]), F.lit(" "), c["marker"])
+    in_brackets = lambda refs: F.when(F.size(refs) > 0, F.concat(F.lit(" ("), F.array_join(F.transform(refs, lambda r: F.concat(F.lit("`"), r, F.lit("`"))), ", "), F.lit(")"))).otherwise("")
+    side = lambda p: F.concat(F.lit("  - "), strip(p["text"]), in_brackets(p["refs"]))
+    conflict = lambda a: F.concat(F.array(F.lit(""), F.concat(F.lit("- **"), strip(a["summary"]), F.lit("**"))), F.transform(a["sides"], side))
+    none = F.array().cast("array<string>")
+    part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.array(*map(F.lit, head)), lines)).otherwise(none)
+    lines = F.concat(
+        F.when(said != "", F.array(said)).otherwise(none),
+        part(("", "## Supporting claims"), F.transform(beside, bullet)),
+        part(("", "## Conflicts in source", CONFLICTS), F.flatten(F.transform("against", conflict))),
+        part(("", "## Sources"), F.transform("numbered", lambda r, k: F.concat((k + 1).cast("string"), F.lit(". `"), r, F.lit("`")))),
+    )
+    return rows.select(*KEY, strip(F.array_join(lines, "\n")).alias("document"))

@@ -29,7 +29,7 @@ def coverage_percent(contributing: DataFrame, state_files: DataFrame) -> DataFra
 
 def collect_upstream(bodies: DataFrame, lineage: DataFrame) -> DataFrame:
     """Populated upstream bodies of each derivative section, in declared order."""
-    up = bodies.where(~is_placeholder(F.col("body"))).withColumnRenamed("section_id", "upstream_id")
+    up = bodies.where(F.col("body").isNotNull() & ~is_placeholder(F.col("body"), "derive")).withColumnRenamed("section_id", "upstream_id")
     return up.join(F.broadcast(lineage), "upstream_id").select("repo_id", "section_id", "ord", "upstream_id", "body")
 
 
@@ -42,17 +42,13 @@ def review_outcome(critiques: DataFrame, min_score: int = 7) -> DataFrame:
 
 
 def context_pack(bodies: DataFrame, sections: DataFrame) -> DataFrame:
-    """All populated sections of a repository as one text, in order of the taxonomy."""
-    rows = bodies.where(~is_placeholder(F.col("body"))).join(F.broadcast(sections), "section_id")
-    parts = F.sort_array(F.collect_list(F.struct("ord", "section_id", "body")))
+    """All populated sections of a repository as one text, in order of the taxonomy; a repository has one body for each section."""
+    body = strip(F.col("body"))
+    rows = bodies.where((body != "") & ~is_placeholder(F.col("body"), "chat")).join(F.broadcast(sections), "section_id")
+    parts = F.sort_array(F.collect_list(F.struct("ord", "section_id", body.alias("body"))))
     return rows.groupBy("repo_id").agg(F.array_join(F.transform(parts, lambda x: F.concat(F.lit("# "), x["section_id"], F.lit("\n\n"), x["body"])), "\n\n").alias("context"))
 
 
-#: Fixed markers of unpopulated bodies in reports: as written, and in any case.
-UNPOPULATED = ("Not yet populated", "No findings were extracted")
-UNPOPULATED_ANY_CASE = "upstream sections required to derive"
-
-
 def section_report(repos: DataFrame, sections: Sequence[str], counts: DataFrame, bodies: DataFrame, critiques: DataFrame) -> DataFrame:
     """One row for each repository and section of the taxonomy, and the mean score of its scored sections.
 
@@ -61,7 +57,7 @@ def section_report(repos: DataFrame, sections: Sequence[str], counts: DataFrame,
     unsupported claim, else that the section is unpopulated.
     """
     body = F.coalesce("body", F.lit(""))
-    empty = body.contains(UNPOPULATED[0]) | body.contains(UNPOPULATED[1]) | F.lower(body).contains(UNPOPULATED_ANY_CASE)
+    empty = is_placeholder(body, "report")
     rows = repos.select("repo_id").distinct().select("repo_id", F.posexplode(F.array(*map(F.lit, sections))).alias("ord", "section_id"))
     for table in (counts.where("section_id IS NOT NULL"), bodies.select(*KEY, "body"), critiques.select(*KEY, "score", "gaps", "unsupported_claims")):
         rows = rows.join(table, KEY, "left")
@@ -78,3 +74,25 @@ def section_report(repos: DataFrame, sections: Sequence[str], counts: DataFrame,
         F.length(body).cast("long").alias("body_chars"), "is_empty", score.alias("score"), gap.alias("gap"),
         F.avg(score).over(Window.partitionBy("repo_id")).alias("overall"),  # as many rows as sections
     )
+
+
+def derivation_path(sections: DataFrame, upstream: DataFrame, state: DataFrame, review: bool = False) -> DataFrame:
+    """What becomes of each derivative section of each repository, and whether it is stored when that succeeds.
+
+    `sections` holds (repo_id, section_id) of all derivative sections, `upstream` their `upstream_hash`
+    where there is something to derive from, `state` the stored `upstream_hash` and `revised`.  Without
+    upstream a section is skipped, and stored as empty.  A stored body of the same upstream is reused,
+    under review only if it was revised.
+    """
+    was = state.select(*KEY, F.col("upstream_hash").alias("was"), "revised")
+    both = sections.select(*KEY).join(upstream.select(*KEY, "upstream_hash"), KEY, "left").join(was, KEY, "left")
+    same = (F.col("was") == F.col("upstream_hash")) & (F.coalesce("revised", F.lit(False)) if review else F.lit(True))
+    path = F.when(F.col("upstream_hash").isNull(), "skipped").when(F.coalesce(same, F.lit(False)), "cached").otherwise("derive")
+    return both.select(*KEY, path.alias("path"), (path != "cached").alias("stored_on_success"), F.coalesce("upstream_hash", F.lit("")).alias("upstream_hash"))
+
+
+def derivation_rows(paths: DataFrame, answers: DataFrame, review: bool = False) -> DataFrame:
+    """State rows after the answers (repo_id, section_id, body, ok): failures and reused bodies are not stored again."""
+    out = paths.where("stored_on_success").join(answers.select(*KEY, "body", "ok"), KEY, "left")
+    kept = out.where((F.col("path") == "skipped") | F.coalesce("ok", F.lit(False)))
+    return kept.select(*KEY, "upstream_hash", F.when(F.col("path") == "skipped", "").otherwise(F.col("body")).alias("body"), F.lit(review).alias("revised"))

@@ -6,7 +6,7 @@ conversation turn is a chunk of a file, and notes are findings of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
@@ -15,7 +15,7 @@ from ..operators import chunking, delta, evidence, files as fo, imports as io, n
 EXTS = [".py", ".js", ".ts", ".go", ".sql", ".md", ".proto", ".yaml"]
 
 
-def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
@@ -27,7 +27,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id") % 8 == 1, F.concat(F.lit("import y from './m"), (F.col("doc_id") + 40).cast("string"), F.lit("';\n"))
     ).otherwise(F.lit(""))
     body = F.coalesce("text", F.lit(""))
-    return _read(spark, sf, "documents").select(
+    return read(spark, sf, "documents").select(
         F.col("source").alias("repo_id"),
         F.concat("lang", F.lit("/"), folder, F.lit("m"), F.col("doc_id").cast("string"), ext).alias("rel_path"),
         F.concat(imports, body).alias("text"),
@@ -47,19 +47,20 @@ KIND = """CASE doc_id % 8 WHEN 4 THEN CASE WHEN doc_id % 10 = 4 THEN 'migration'
 STRIPPED = "length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 
 
-def _state(files: DataFrame) -> DataFrame:
-    """A former run: it lacks every fifth file, and every seventh has changed since."""
+def former_state(files: DataFrame) -> DataFrame:
+    """A former run: every fifth file had another name then, and every seventh another content."""
     fp = X.fingerprint(F.col("text"))
-    return files.where("doc_id % 5 <> 0").select("repo_id", "rel_path", F.when(F.col("doc_id") % 7 == 0, F.reverse(fp)).otherwise(fp).alias("fingerprint"))
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old/"), "rel_path")).otherwise(F.col("rel_path"))
+    return files.select("repo_id", path.alias("rel_path"), F.when(F.col("doc_id") % 7 == 0, F.reverse(fp)).otherwise(fp).alias("fingerprint"))
 
 
 def walk_changed_by_kind(spark, sf):
-    """Which files changed since the last run, by kind: S2 F1 F2 F3 X1 F4 J3 F5 A2."""
+    """Which files changed since the last run, by kind: F1 F2 F3 X1 F4 J3 F5."""
     files = corpus(spark, sf)
     live = fo.filter_near_empty(fo.filter_size(fo.filter_ignored(files)))
     # The text is read once: all that later steps need is taken here, and the text goes no further.
     slim = live.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"), fo.kind(F.col("rel_path"), F.col("text")).alias("kind"))
-    routed = fo.route(so.lookup_extraction(slim, _state(files)))
+    routed = fo.route(so.lookup_extraction(slim, former_state(files)))
     return routed.groupBy("repo_id", "kind", "route").agg(F.count("*").alias("files"))
 
 
@@ -85,40 +86,47 @@ def x7_j1_j2_import_edges(spark, sf):
 
 
 def a9_module_index(spark, sf):
-    return io.module_index(corpus(spark, sf)).groupBy("repo_id").agg(F.count("*").alias("keys"), F.countDistinct("key").alias("distinct_keys"))
+    return io.module_index(corpus(spark, sf))
 
 
 def a6_w4_neighbors(spark, sf):
     files = corpus(spark, sf)
-    nodes = io.graph_nodes(files.select("repo_id", "rel_path"), io.import_edges(files))
-    return io.neighbors(nodes).select("repo_id", "rel_path", F.array_join("neighbors", ",").alias("neighbors"))
+    near = io.nearest_neighbors(files.select("repo_id", "rel_path"), io.import_edges(files))
+    return near.select("repo_id", "rel_path", F.array_join("neighbors", ",").alias("neighbors"))
 
 
 def j4_j5_upsert_state(spark, sf):
+    """The state after a run: what is out of scope goes, what is new or changed is put in."""
+    now = corpus(spark, sf).select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"))
+    state = former_state(corpus(spark, sf))
+    kept = so.prune_state(state, now)
+    changed = so.lookup_extraction(now, kept).where("NOT hit").drop("hit")
+    return so.upsert_state(kept.withColumn("written", F.lit("before")), changed.withColumn("written", F.lit("now")))
+
+
+def j4_pruned(spark, sf):
     files = corpus(spark, sf)
-    state = so.prune_state(_state(files), files.where("doc_id % 11 <> 0"))
-    rows = files.where("doc_id % 5 = 0").select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"))
-    return so.upsert_state(state, rows)
+    return so.count_pruned(former_state(files), files)
 
 
 def a8_lookup_counts(spark, sf):
     files = corpus(spark, sf)
-    return so.lookup_counts(so.lookup_extraction(files.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint")), _state(files)))
+    return so.lookup_counts(so.lookup_extraction(files.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint")), former_state(files)))
 
 
 def _turns(spark, sf):
-    return _read(spark, sf, "conversations").select(
+    return read(spark, sf, "conversations").select(
         (F.col("conv_id") % 10).cast("string").alias("repo_id"), F.col("conv_id").cast("string").alias("rel_path"), F.col("turn").alias("chunk_index"), "role", "text"
     )
 
 
 def w1_dedupe_findings(spark, sf):
-    t = _turns(spark, sf).select("repo_id", "rel_path", "chunk_index", F.lit(0).alias("pos"), F.lit("intent").alias("section_id"), F.left("text", F.lit(12)).alias("finding"))
+    t = _turns(spark, sf).select("repo_id", "rel_path", "chunk_index", F.lit(0).alias("pos"), F.lit("intent").alias("section_id"), F.col("text").alias("finding"))
     return no.dedupe_findings(no.filter_valid_sections(t)).groupBy("repo_id").agg(F.count("*").alias("findings"), F.sum("chunk_index").alias("chunk_sum"))
 
 
 def w2_running_summary(spark, sf):
-    t = _turns(spark, sf).withColumn("summary", F.when(F.col("role") == "user", F.left("text", F.lit(20))).otherwise(F.lit("")))
+    t = _turns(spark, sf).withColumn("summary", F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit("")))
     return no.running_summary(t).select("rel_path", "chunk_index", "summary_so_far")
 
 
@@ -126,69 +134,76 @@ def a3_cacheable_files(spark, sf):
     return no.cacheable_files(_turns(spark, sf).withColumn("ok", F.length("text") % 5 != 0)).select("repo_id", "rel_path", "chunks_processed")
 
 
-def _notes(spark, sf):
+def documents_as_notes(spark, sf):
+    """Every document as a note, its whole text as the finding."""
     ids = F.array(*map(F.lit, no.PRIMARY))
-    return _read(spark, sf, "documents").select(
+    return read(spark, sf, "documents").select(
         F.col("source").alias("repo_id"),
         F.element_at(ids, (F.col("doc_id") % 8 + 1).cast("int")).alias("section_id"),
         F.concat(F.lit("f"), (F.col("doc_id") % 300).cast("string")).alias("file"),
         F.lit("role").alias("summary"),
-        F.left("text", F.lit(200)).alias("finding"),
+        F.col("text").alias("finding"),
         F.lit(None).cast("array<struct<file:string,line_start:int,line_end:int,fingerprint:string>>").alias("sources"),
         F.lit(None).cast("int").alias("chunk"),
         F.col("doc_id").alias("seq"),
     )
 
 
-NOTES = """WITH notes AS (SELECT source AS repo_id, doc_id AS seq, 'f' || (doc_id % 300) AS file, left(text, 200) AS finding, CASE doc_id % 8
+NOTES = """WITH notes AS (SELECT source AS repo_id, doc_id AS seq, 'f' || (doc_id % 300) AS file, text AS finding, CASE doc_id % 8
   WHEN 0 THEN 'domains' WHEN 1 THEN 'intent' WHEN 2 THEN 'capabilities' WHEN 3 THEN 'external_dependencies' WHEN 4 THEN 'integrations'
   WHEN 5 THEN 'cross_cutting' WHEN 6 THEN 'entities' ELSE 'hard_specifications' END AS section_id FROM documents)
 """
 
 
+def _note_ids(spark, sf):
+    """Notes by the digest of their finding: texts go no further."""
+    return documents_as_notes(spark, sf).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding"))).select("repo_id", "section_id", "file", "chunk", "seq", "id")
+
+
+def _altered(ids, every: int):
+    """The ids of another run, in which every so manyth note read otherwise."""
+    return F.when(F.col("seq") % every == 0, F.reverse(ids)).otherwise(ids)
+
+
 def w3_x2_number_notes(spark, sf):
-    n = no.number_notes(_notes(spark, sf))
-    return n.select("repo_id", "section_id", "note_no", "seq", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")).alias("finding_id"))
+    return no.number_notes(_note_ids(spark, sf)).select("repo_id", "section_id", "note_no", "seq", F.col("id").alias("finding_id"))
 
 
 def j6_section_change(spark, sf):
-    n = _notes(spark, sf).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")))
-    return delta.section_change_counts(n.where("seq % 9 <> 0"), n)
+    n = _note_ids(spark, sf)
+    return delta.section_change_counts(n.withColumn("id", _altered(F.col("id"), 9)), n)
 
 
 def j11_diff_notes(spark, sf):
-    n = _notes(spark, sf).select("repo_id", "section_id", "finding", "seq", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")).alias("finding_id"))
-    return delta.diff_notes(n.where("seq % 9 <> 0").drop("seq"), n.where("seq % 13 <> 0").drop("seq")).groupBy("repo_id", "section_id", "change").agg(F.count("*").alias("n"))
+    n = _note_ids(spark, sf)
+    run = lambda every: n.select("repo_id", "section_id", F.col("file").alias("finding"), _altered(F.col("id"), every).alias("finding_id"))
+    return delta.diff_notes(run(9), run(13))
 
 
 def a4_coverage(spark, sf):
-    return ro.coverage(_notes(spark, sf))
+    return ro.coverage(documents_as_notes(spark, sf))
 
 
-def x3_notes_hash_count(spark, sf):
-    """Rows only: digests are compared among runs, not with other engines."""
-    return so.notes_hash(_notes(spark, sf))
+def x3_notes_hash(spark, sf):
+    return so.notes_hash(documents_as_notes(spark, sf))
 
 
 def w6_number_sources(spark, sf):
-    n = _notes(spark, sf)
+    n = documents_as_notes(spark, sf)
     refs = n.select("repo_id", "section_id", F.col("seq").alias("claim_idx"), F.lit(0).alias("seq"), F.col("file").alias("ref"))
     return evidence.number_sources(evidence.coalesce_refs(refs))
 
 
 def j9_claim_sources(spark, sf):
-    numbered = no.number_notes(_notes(spark, sf))
-    claims = numbered.select("repo_id", "section_id", F.col("note_no").alias("claim_idx"), F.array(F.col("note_no"), F.col("note_no") + 1).alias("note_indices"))
-    return evidence.resolve_claim_sources(claims, numbered).groupBy("repo_id", "section_id").agg(F.count("*").alias("refs"))
-
-
-def j8_collect_upstream(spark, sf):
-    bodies = _notes(spark, sf).groupBy("repo_id", "section_id").agg(F.count("*").cast("string").alias("body"))
-    return ro.collect_upstream(bodies, no.lineage(spark))
+    """Each note a claim that refers to itself, the next note and one out of range."""
+    numbered = no.number_notes(_note_ids(spark, sf)).withColumn("sources", F.lit(None).cast(evidence.SOURCES))
+    claims = numbered.select("repo_id", "section_id", F.col("note_no").alias("claim_idx"), F.lit("").alias("text"), F.array(F.col("note_no"), F.col("note_no") + 1, F.lit(0)).alias("note_indices"))
+    found = evidence.claims_with_sources(claims, numbered)
+    return found.select("repo_id", "section_id", "claim_idx", F.array_join(F.transform("sources", lambda x: x["file"]), ",").alias("refs"))
 
 
 def m7_review_outcome(spark, sf):
-    lab = _read(spark, sf, "labels").select(
+    lab = read(spark, sf, "labels").select(
         (F.col("doc_id") % 10).cast("string").alias("repo_id"), F.col("doc_id").cast("string").alias("section_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("round"), "doc_id", "quality"
     )
     none = F.array().cast("array<string>")
@@ -198,10 +213,10 @@ def m7_review_outcome(spark, sf):
 
 def a5_section_report(spark, sf):
     """Bodies are the least findings of the sections; a section's critique comes from the labels of its documents."""
-    notes = _notes(spark, sf)
+    notes = documents_as_notes(spark, sf)
     key = ["repo_id", "section_id"]
     bodies = notes.groupBy(*key).agg(F.concat(F.when(F.max("seq") % 5 == 0, "Not yet populated. ").otherwise(""), F.min("finding")).alias("body"))
-    labelled = notes.join(_read(spark, sf, "labels").select(F.col("doc_id").alias("seq"), "quality"), "seq")
+    labelled = notes.join(read(spark, sf, "labels").select(F.col("doc_id").alias("seq"), "quality"), "seq")
     none = F.array().cast("array<string>")
     text = F.concat(F.lit("the section says nothing of the files after the first ones, among them "), F.col("n").cast("string"))
     critiques = labelled.groupBy(*key).agg(F.count("*").alias("n"), F.sum("quality").alias("good")).select(
@@ -213,35 +228,38 @@ def a5_section_report(spark, sf):
 
 
 def u1_chunk_text(spark, sf):
-    """Length that the chunks give back when overlaps are taken off, and chunks of each file."""
+    """Each file put together again from its chunks by their places, and whether all chunks are in bounds."""
     c = chunking.chunk_files(corpus(spark, sf), 2000, 100)
-    return c.groupBy("repo_id", "rel_path").agg((F.sum(F.length("body")) - (F.count("*") - 1) * 100).alias("n_chars"), (F.max(F.length("body")) <= 2000).alias("within"))
+    before = F.lag(F.col("char_start") + F.length("body"), 1, 0).over(Window.partitionBy("repo_id", "rel_path").orderBy("chunk_index"))
+    c = c.withColumn("more", F.substring("body", before - F.col("char_start") + 1, F.length("body")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "more"))), lambda x: x["more"]), "")
+    return c.groupBy("repo_id", "rel_path").agg(F.sha2(whole, 256).alias("text_sha256"), (F.max(F.length("body")) <= 2000).alias("within"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         walk_changed_by_kind, f1_f2_f3_live_files, f4_classify, x1_fingerprints, a1_summarize_tree, x7_j1_j2_import_edges, a9_module_index, a6_w4_neighbors,
-        j4_j5_upsert_state, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j11_diff_notes,
-        a4_coverage, x3_notes_hash_count, w6_number_sources, j9_claim_sources, j8_collect_upstream, m7_review_outcome, a5_section_report, u1_chunk_text,
+        j4_j5_upsert_state, j4_pruned, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j11_diff_notes,
+        a4_coverage, x3_notes_hash, w6_number_sources, j9_claim_sources, m7_review_outcome, a5_section_report, u1_chunk_text,
     )
 }
 
-_LIVE = f"doc_id % 10 <> 3 AND octet_length(encode(text)) <= 2000000 AND {STRIPPED} >= 64"
-_FP = "substring(sha256(text), 1, 12)"
-_STATE = f"state AS (SELECT repo_id, rel_path, CASE WHEN doc_id % 7 = 0 THEN reverse({_FP}) ELSE {_FP} END AS fingerprint FROM files WHERE doc_id % 5 <> 0)"
-_EDGES = """edges AS (SELECT a.repo_id, a.rel_path AS src, b.rel_path AS dst FROM files a JOIN files b ON a.repo_id = b.repo_id AND b.doc_id = a.doc_id + 40
+LIVE = f"doc_id % 10 <> 3 AND octet_length(encode(text)) <= 2000000 AND {STRIPPED} >= 64"
+FP = "substring(sha256(text), 1, 12)"
+STATE = f"state AS (SELECT repo_id, CASE WHEN doc_id % 5 = 0 THEN 'old/' || rel_path ELSE rel_path END AS rel_path, CASE WHEN doc_id % 7 = 0 THEN reverse({FP}) ELSE {FP} END AS fingerprint FROM files)"
+EDGES = """edges AS (SELECT a.repo_id, a.rel_path AS src, b.rel_path AS dst FROM files a JOIN files b ON a.repo_id = b.repo_id AND b.doc_id = a.doc_id + 40
   WHERE a.doc_id % 8 = 0 OR (a.doc_id % 8 = 1 AND regexp_replace(a.rel_path, '[^/]*$', '') = regexp_replace(b.rel_path, '[^/]*$', '')))"""
-_FID = "CASE WHEN coalesce(finding, '') = '' THEN '' ELSE substring(sha256(file || '::' || section_id || '::' || finding), 1, 12) END"
+FID = "CASE WHEN coalesce(finding, '') = '' THEN '' ELSE substring(sha256(file || '::' || section_id || '::' || finding), 1, 12) END"
 ORACLES = {
     "walk_changed_by_kind": FILES
-    + f", {_STATE}, live AS (SELECT f.*, {KIND} AS kind, {_FP} AS fp FROM files f WHERE {_LIVE}), routed AS (SELECT live.repo_id, kind, CASE WHEN s.fingerprint IS NOT NULL THEN 'cache'"
+    + f", {STATE}, live AS (SELECT f.*, {KIND} AS kind, {FP} AS fp FROM files f WHERE {LIVE}), routed AS (SELECT live.repo_id, kind, CASE WHEN s.fingerprint IS NOT NULL THEN 'cache'"
     " WHEN kind IN ('sql', 'protobuf') OR (kind = 'migration' AND doc_id % 8 = 4) THEN 'specialized:' || kind ELSE 'model' END AS route"
     " FROM live LEFT JOIN state s ON s.repo_id = live.repo_id AND s.rel_path = live.rel_path AND s.fingerprint = live.fp)"
     " SELECT repo_id, kind, route, count(*) AS files FROM routed GROUP BY ALL",
-    "f1_f2_f3_live_files": FILES + f"SELECT repo_id, rel_path, octet_length(encode(text))::BIGINT AS size FROM files WHERE {_LIVE}",
+    "f1_f2_f3_live_files": FILES + f"SELECT repo_id, rel_path, octet_length(encode(text))::BIGINT AS size FROM files WHERE {LIVE}",
     "f4_classify": FILES + f"SELECT repo_id, {KIND} AS kind, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM files GROUP BY 1, 2",
-    "x1_fingerprints": FILES + f"SELECT repo_id, rel_path, {_FP} AS fingerprint FROM files",
+    "x1_fingerprints": FILES + f"SELECT repo_id, rel_path, {FP} AS fingerprint FROM files",
     "a1_summarize_tree": FILES
     + """, own AS (SELECT repo_id, regexp_replace(rel_path, '/[^/]*$', '') AS dir, regexp_extract(rel_path, '(\\.[a-z]+)$', 1) AS ext, regexp_extract(rel_path, '([^/]*)$', 1) AS name, octet_length(encode(text)) AS size FROM files WHERE doc_id % 10 <> 3),
   spine AS (SELECT DISTINCT repo_id, unnest(['', split_part(dir, '/', 1), dir]) AS dir FROM own),
@@ -249,22 +267,30 @@ ORACLES = {
   dirs AS (SELECT repo_id, dir, sum(n)::BIGINT AS file_count, sum(bytes)::BIGINT AS total_bytes, string_agg(ext || '=' || n, ',' ORDER BY n DESC, first) AS extensions FROM by_ext GROUP BY ALL)
   SELECT s.repo_id, s.dir, CASE WHEN s.dir = '' THEN 0 ELSE length(s.dir) - length(replace(s.dir, '/', '')) + 1 END::INTEGER AS depth, coalesce(file_count, 0) AS file_count, coalesce(total_bytes, 0) AS total_bytes, extensions
   FROM spine s LEFT JOIN dirs d ON s.repo_id = d.repo_id AND s.dir = d.dir""",
-    "x7_j1_j2_import_edges": FILES + f", {_EDGES} SELECT repo_id, src, dst FROM edges",
+    "x7_j1_j2_import_edges": FILES + f", {EDGES} SELECT repo_id, src, dst FROM edges",
     "a6_w4_neighbors": FILES
-    + f""", {_EDGES}, ranked AS (SELECT repo_id, rel_path, other, min(rank) AS rank FROM (SELECT repo_id, src AS rel_path, dst AS other, 0 AS rank FROM edges
+    + f""", {EDGES}, ranked AS (SELECT repo_id, rel_path, other, min(rank) AS rank FROM (SELECT repo_id, src AS rel_path, dst AS other, 0 AS rank FROM edges
   UNION ALL SELECT repo_id, dst, src, 1 FROM edges) GROUP BY ALL)
   SELECT f.repo_id, f.rel_path, coalesce(string_agg(r.other, ',' ORDER BY rank, r.other), '') AS neighbors FROM files f LEFT JOIN ranked r ON r.repo_id = f.repo_id AND r.rel_path = f.rel_path GROUP BY ALL""",
     "j4_j5_upsert_state": FILES
-    + f", {_STATE} SELECT s.repo_id, s.rel_path, s.fingerprint FROM state s JOIN files f ON f.repo_id = s.repo_id AND f.rel_path = s.rel_path WHERE f.doc_id % 11 <> 0 UNION ALL SELECT repo_id, rel_path, {_FP} FROM files WHERE doc_id % 5 = 0",
+    + f", {STATE} SELECT f.repo_id, f.rel_path, {FP} AS fingerprint, CASE WHEN s.fingerprint = {FP} THEN 'before' ELSE 'now' END AS written FROM files f LEFT JOIN state s ON s.repo_id = f.repo_id AND s.rel_path = f.rel_path",
+    "j4_pruned": FILES + "SELECT repo_id, count(*) AS removed FROM files WHERE doc_id % 5 = 0 GROUP BY 1",
+    "a9_module_index": FILES
+    + """, parts AS (SELECT repo_id, rel_path, string_split(rel_path, '/') AS p, doc_id % 8 AS e, regexp_replace(rel_path, '\\.[a-z]+$', '') AS bare FROM files),
+  tails AS (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM parts), keys AS (SELECT repo_id, rel_path, regexp_extract(bare, '([^/]+)$', 1) AS key FROM parts
+  UNION SELECT repo_id, rel_path, replace(array_to_string(list_slice(string_split(bare, '/'), (len(p) - n + 1)::INT, len(p)), '/'), '/', '.') FROM tails WHERE e = 0
+  UNION SELECT repo_id, rel_path, array_to_string(list_slice(p, (len(p) - n + 1)::INT, len(p)), '/') FROM tails WHERE e IN (1, 2, 3)
+  UNION SELECT repo_id, rel_path, array_to_string(list_slice(string_split(bare, '/'), (len(p) - n + 1)::INT, len(p)), '/') FROM tails WHERE e IN (1, 2))
+  SELECT repo_id, key, rel_path AS path FROM keys""",
     "a8_lookup_counts": FILES
-    + f", {_STATE} SELECT f.repo_id, count(s.fingerprint) AS hits, count(*) - count(s.fingerprint) AS misses FROM (SELECT *, {_FP} AS fp FROM files) f LEFT JOIN state s ON s.repo_id = f.repo_id AND s.rel_path = f.rel_path AND s.fingerprint = f.fp GROUP BY 1",
-    "w1_dedupe_findings": "SELECT (conv_id % 10)::VARCHAR AS repo_id, count(*) AS findings, sum(turn)::BIGINT AS chunk_sum FROM (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id, trim(left(text, 12), ' ' || chr(9) || chr(10) || chr(13))) GROUP BY 1",
-    "w2_running_summary": "SELECT conv_id::VARCHAR AS rel_path, turn AS chunk_index, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(left(text, 20), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS summary_so_far FROM conversations",
+    + f", {STATE} SELECT f.repo_id, count(s.fingerprint) AS hits, count(*) - count(s.fingerprint) AS misses FROM (SELECT *, {FP} AS fp FROM files) f LEFT JOIN state s ON s.repo_id = f.repo_id AND s.rel_path = f.rel_path AND s.fingerprint = f.fp GROUP BY 1",
+    "w1_dedupe_findings": "SELECT (conv_id % 10)::VARCHAR AS repo_id, count(*) AS findings, sum(turn)::BIGINT AS chunk_sum FROM (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) GROUP BY 1",
+    "w2_running_summary": "SELECT conv_id::VARCHAR AS rel_path, turn AS chunk_index, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS summary_so_far FROM conversations",
     "a3_cacheable_files": "SELECT (conv_id % 10)::VARCHAR AS repo_id, conv_id::VARCHAR AS rel_path, count(*) AS chunks_processed FROM conversations GROUP BY conv_id HAVING bool_and(length(text) % 5 <> 0)",
-    "w3_x2_number_notes": NOTES + f"SELECT repo_id, section_id, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq)::INTEGER AS note_no, seq, {_FID} AS finding_id FROM notes",
+    "w3_x2_number_notes": NOTES + f"SELECT repo_id, section_id, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq)::INTEGER AS note_no, seq, {FID} AS finding_id FROM notes",
     "j6_section_change": NOTES
-    + f""", ids AS (SELECT *, {_FID} AS id FROM notes), live AS (SELECT repo_id, section_id, id, count(*) AS n FROM ids GROUP BY ALL),
-  was AS (SELECT repo_id, section_id, id, count(*) AS n FROM ids WHERE seq % 9 <> 0 GROUP BY ALL),
+    + f""", ids AS (SELECT *, {FID} AS id FROM notes), live AS (SELECT repo_id, section_id, id, count(*) AS n FROM ids GROUP BY ALL),
+  was AS (SELECT repo_id, section_id, CASE WHEN seq % 9 = 0 THEN reverse(id) ELSE id END AS id, count(*) AS n FROM ids GROUP BY ALL),
   both_ids AS (SELECT coalesce(l.repo_id, w.repo_id) AS repo_id, coalesce(l.section_id, w.section_id) AS section_id, coalesce(l.id, w.id) AS id, l.n AS ln, w.n AS wn
     FROM live l FULL JOIN was w ON l.repo_id = w.repo_id AND l.section_id = w.section_id AND l.id = w.id),
   agg AS (SELECT repo_id, section_id, bool_or(id = '') AS blank, coalesce(sum(wn), 0) = 0 AS fresh, coalesce(sum(CASE WHEN wn IS NULL THEN ln END), 0) AS added, coalesce(sum(CASE WHEN ln IS NULL THEN wn END), 0) AS removed,
@@ -273,17 +299,21 @@ ORACLES = {
     (CASE WHEN fresh OR blank THEN total ELSE added END)::INTEGER AS added, (CASE WHEN fresh THEN 0 WHEN blank THEN cached ELSE removed END)::INTEGER AS removed,
     (CASE WHEN fresh OR blank THEN 0 ELSE same END)::INTEGER AS unchanged_count, total::INTEGER AS total_live FROM agg""",
     "j11_diff_notes": NOTES
-    + f""", ids AS (SELECT *, {_FID} AS id FROM notes), was AS (SELECT * FROM ids WHERE seq % 9 <> 0), now AS (SELECT * FROM ids WHERE seq % 13 <> 0)
-  SELECT repo_id, section_id, 'added' AS change, count(*) AS n FROM now WHERE (repo_id, section_id, id) NOT IN (SELECT (repo_id, section_id, id) FROM was) GROUP BY ALL
-  UNION ALL SELECT repo_id, section_id, 'removed', count(*) FROM was WHERE (repo_id, section_id, id) NOT IN (SELECT (repo_id, section_id, id) FROM now) GROUP BY ALL""",
+    + f""", ids AS (SELECT *, {FID} AS id FROM notes), was AS (SELECT repo_id, section_id, file, CASE WHEN seq % 9 = 0 THEN reverse(id) ELSE id END AS id FROM ids),
+  now AS (SELECT repo_id, section_id, file, CASE WHEN seq % 13 = 0 THEN reverse(id) ELSE id END AS id FROM ids)
+  SELECT repo_id, section_id, id AS finding_id, file AS finding, 'added' AS change FROM now n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)
+  UNION ALL SELECT repo_id, section_id, id, NULL, 'removed' FROM was w WHERE NOT EXISTS (SELECT 1 FROM now n WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)""",
+    "x3_notes_hash": NOTES
+    + """, one AS (SELECT repo_id, section_id, file, seq, substring(sha256(file), 1, 3) AS g, substring(sha256(concat_ws(chr(1), file, 'role', coalesce(finding, ''), '')), 1, 12) AS h FROM notes),
+  parts AS (SELECT repo_id, section_id, g, substring(sha256(string_agg(h, chr(1) ORDER BY file, seq)), 1, 12) AS d FROM one GROUP BY ALL)
+  SELECT repo_id, section_id, substring(sha256(string_agg(d, chr(1) ORDER BY g)), 1, 12) AS notes_hash FROM parts GROUP BY ALL""",
+    "j9_claim_sources": NOTES
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq)::INTEGER AS note_no FROM notes)
+  SELECT a.repo_id, a.section_id, a.note_no AS claim_idx, a.file || CASE WHEN b.file IS NULL OR b.file = a.file THEN '' ELSE ',' || b.file END AS refs
+  FROM numbered a LEFT JOIN numbered b ON b.repo_id = a.repo_id AND b.section_id = a.section_id AND b.note_no = a.note_no + 1""",
     "a4_coverage": NOTES + "SELECT repo_id, section_id, count(*) AS findings, count(DISTINCT file) AS files FROM notes GROUP BY GROUPING SETS ((repo_id, section_id), (repo_id))",
     "w6_number_sources": NOTES
     + "SELECT repo_id, section_id, file AS ref, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY first, file)::INTEGER AS number FROM (SELECT repo_id, section_id, file, min(seq) AS first FROM notes GROUP BY ALL)",
-    "j8_collect_upstream": NOTES
-    + """, bodies AS (SELECT repo_id, section_id, count(*)::VARCHAR AS body FROM notes GROUP BY ALL),
-  lin(section_id, upstream_id, ord) AS (VALUES ('personas', 'capabilities', 0), ('personas', 'intent', 1), ('personas', 'entities', 2), ('personas', 'integrations', 3), ('user_stories', 'personas', 0),
-   ('user_stories', 'capabilities', 1), ('user_stories', 'entities', 2), ('diagrams', 'domains', 0), ('diagrams', 'entities', 1), ('diagrams', 'integrations', 2))
-  SELECT repo_id, lin.section_id, ord::INTEGER AS ord, upstream_id, body FROM lin JOIN bodies b ON b.section_id = lin.upstream_id""",
     "m7_review_outcome": "SELECT revise, revise AND quality = 1 AS accepted, count(*) AS n FROM (SELECT doc_id % 10 < 7 AND doc_id % 3 <> 0 AS revise, quality FROM labels) GROUP BY ALL",
     "a5_section_report": NOTES
     + """, sections AS (SELECT unnest(range(11))::INT AS ord, unnest(['domains', 'intent', 'capabilities', 'external_dependencies', 'integrations', 'cross_cutting',
@@ -300,5 +330,5 @@ ORACLES = {
     SELECT repo_id, ord, section_id, files, findings, length(body) AS body_chars, is_empty, score,
       CASE WHEN score IS NOT NULL AND n % 3 = 0 THEN left(said, 60) WHEN score IS NOT NULL AND n % 3 = 1 THEN 'unsupported: ' || left(said, 50)
       WHEN is_empty THEN 'no findings' ELSE '' END AS gap, avg(score) OVER (PARTITION BY repo_id) AS overall FROM scored""",
-    "u1_chunk_text": FILES + "SELECT repo_id, rel_path, length(text)::BIGINT AS n_chars, true AS within FROM files",
+    "u1_chunk_text": FILES + "SELECT repo_id, rel_path, sha256(text) AS text_sha256, true AS within FROM files",
 }

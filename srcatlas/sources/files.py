@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import decode_text, strip
 
 STATE_VERSION = 3
+#: Fixed names of the state tables; each is written and reset on its own.
+SCOPES = ("extraction", "aggregation", "derivation", "scope")
+
+
+def _path(spark: SparkSession, where: str):
+    """(Hadoop file system, path) of a location of any scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def read_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """files(repo_id, rel_path, content, size) below a folder; unreadable files are skipped."""
+    """files(repo_id, rel_path, content, size) below a folder of any scheme; unreadable files are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    at = F.locate("/" + root.strip("/") + "/", F.col("path")) + len(root.strip("/")) + 2
-    return raw.select(F.lit(repo_id).alias("repo_id"), F.expr("path").substr(at, F.length("path")).alias("rel_path"), "content", F.col("length").alias("size"))
+    store, path = _path(spark, root)
+    base = store.makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    # Paths come with scheme and host, and escaped like URLs; the root's own path tells where the rest begins.
+    place = F.regexp_replace(F.col("path"), r"^[a-zA-Z][\w+.-]*:(?://[^/]*)?(?=/)", "")
+    rel = F.substring(F.url_decode(F.regexp_replace(place, r"\+", "%2B")), len(base) + 1, 1 << 20)
+    return raw.select(F.lit(repo_id).alias("repo_id"), rel.alias("rel_path"), "content", F.col("length").alias("size"))
 
 
 def with_text(files: DataFrame) -> DataFrame:
@@ -22,25 +37,46 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
+    """Append notes as JSON lines by repository and section, with the time of writing."""
     notes.withColumn("ts", F.current_timestamp()).write.mode("append").partitionBy("repo_id", "section_id").json(path)
 
 
 def read_notes(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
-def save_state(state: DataFrame, path: str) -> None:
-    state.withColumn("version", F.lit(STATE_VERSION)).write.mode("overwrite").parquet(path)
-
-
-def load_state(spark: SparkSession, path: str, required=("repo_id",)) -> DataFrame:
-    """Rows of the current version with their required columns; others load as absent."""
-    df = spark.read.parquet(path).where(F.col("version") == STATE_VERSION)
+    store, place = _path(spark, path)
+    return spark.read.schema(schema).json(path) if store.exists(place) else spark.createDataFrame([], schema)
+
+
+def reset(spark: SparkSession, path: str) -> None:
+    """Remove all notes, or a whole state; what is read afterwards is empty."""
+    store, place = _path(spark, path)
+    store.delete(place, True)
+
+
+def save_state(state: DataFrame, root: str, scope: str) -> None:
+    """Replace the table of one scope.  The new rows are written beside the old ones, which they may be read from, and then swapped in."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope}")
+    spark, new = state.sparkSession, f"{root}/.{scope}-{uuid.uuid4().hex}"
+    state.withColumn("version", F.lit(STATE_VERSION)).withColumn("saved_at", F.current_timestamp()).write.parquet(new)
+    reset(spark, f"{root}/{scope}")
+    store, path = _path(spark, new)
+    if not store.rename(path, _path(spark, f"{root}/{scope}")[1]):
+        raise OSError(f"could not put the {scope} state in place; it is left in {new}")
+
+
+def load_state(spark: SparkSession, root: str, scope: str, schema: str, required=("repo_id",)) -> DataFrame:
+    """Rows of the current version of one scope with their required columns; all else loads as absent, and so does a missing table."""
+    store, path = _path(spark, f"{root}/{scope}")
+    fields = StructType.fromDDL(schema)
+    if not store.exists(path):
+        return spark.createDataFrame([], fields)
+    df = spark.read.schema(StructType([*fields.fields, *StructType.fromDDL("version int").fields])).parquet(f"{root}/{scope}").where(F.col("version") == STATE_VERSION)
     for c in required:
         df = df.where(F.col(c).isNotNull())
-    return df
+    return df.drop("version")
 
 
 def write_sections(bodies: DataFrame, path: str) -> None:
+    """One document for each section, replacing old ones."""
     text = F.concat(F.lit("# "), F.col("section_id"), F.lit("\n\n"), strip(F.col("body")), F.lit("\n"))
     bodies.select("repo_id", "section_id", text.alias("document")).write.mode("overwrite").partitionBy("repo_id").parquet(path)
