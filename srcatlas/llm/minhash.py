@@ -182,14 +182,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
         .distinct()
     )
     star = save(star, "pairs")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    # Sets of all members of buckets, for both steps below.  Texts are dealt by id at every size of
+    # the tables, never the ids to all tasks.
+    wanted = member.select(F.col("doc_id").alias("k")).distinct()
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        # Texts are dealt by id at every size of the tables, never the ids to all tasks.
-        return save(shingle_sets(source.join(ids.hint("merge"), "k", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
-
-    sets = sets_of(wanted)
+    sets = save(shingle_sets(source.join(wanted.hint("merge"), "k", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
     links = save(confirmed(star, sets, percent), "links")
     component = save(connected_components(links), "components")
 
@@ -224,8 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
     )
     crossing = save(crossing, "pairs")
     if not crossing.isEmpty():
-        others = crossing.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(sets.select(F.col("doc_id").alias("k")), "k", "left_anti")
-        more = confirmed(crossing, sets.unionByName(sets_of(others)), percent)
+        more = confirmed(crossing, sets, percent)
         # The components found stand for their members; only what joins two of them is new.
         for side in "ab":
             found = component.select(F.col("node").alias(side), F.col("component").alias("to"))
