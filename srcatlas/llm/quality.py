@@ -32,7 +32,7 @@ RULES = {
     "max_line_symbol_percent": 50,  # symbols to words of a line
     "max_line_shout_percent": 50,  # words ending in !! to words of a line
     "max_line_separator_percent": 20,  # words that are only a separator, as in menus
-    "max_boilerplate_bytes": 200,  # longer lines are neither boilerplate nor headings
+    "max_boilerplate_chars": 200,  # longer lines are neither boilerplate nor headings
     "min_unpunctuated_words": 10,  # shorter lines must end in a mark
     "stutter": r"(?:^| )(\S+)(?: \1){4}(?: |$)",  # a word five times in a row
     "min_kept_percent": 40,  # words that must survive the line rules
@@ -65,7 +65,7 @@ def line_fails(line: Column, rules: dict = RULES) -> Column:
     return (
         (line.rlike(r"[#*$%&|<>»›•]") & ((symbols * 100 > words * rules["max_line_symbol_percent"]) | (separators * 100 > words * rules["max_line_separator_percent"])))
         | (line.contains("!!") & (shouts * 100 > words * rules["max_line_shout_percent"]))
-        | ((F.octet_length(line) < rules["max_boilerplate_bytes"]) & (boiler | ((words < rules["min_unpunctuated_words"]) & ~ends)))
+        | ((F.length(line) < rules["max_boilerplate_chars"]) & (boiler | ((words < rules["min_unpunctuated_words"]) & ~ends)))
         | line.rlike(rules["stutter"])
     )
 
