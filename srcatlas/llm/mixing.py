@@ -1,7 +1,7 @@
 """Operator 1: soft-membership mixing of documents to target domain weights.
 
-A classifier fitted on labelled rows (hashed-word naive Bayes, scaled by the square root of
-the length so that long texts stay soft) gives each document a posterior over domains.
+A classifier fitted on labelled rows (logistic regression on the hashed words and runs of marks
+of a text) gives each document a posterior over domains.
 Projected gradient then fits nonnegative document rates r so that for each domain d the
 expected tokens sum(r * tokens * p_d) meet their target in the least-squares sense, starting
 from r = 1.  A step is taken in the metric of the domains' own second moments, so documents of
@@ -13,7 +13,7 @@ repeated as often as it takes, and a fit outside the tolerance warns of what was
 The classifier is fitted on at most `TRAIN_DOCS` labelled documents, those of the least hashes
 of their ids; everything else covers all documents.
 
-Defined cases: null and empty texts count 0 tokens and get the prior; null doc_ids are kept;
+Defined cases: null and empty texts count 0 tokens and get the bias alone; null doc_ids are kept;
 a label row without document is ignored; without any labelled document all posteriors are
 even; rows that repeat are rated each on their own; an empty table gives no rows.
 """
@@ -28,17 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
-from .words import U, row_words
+from .words import U, hash_words, mix as scramble, text_slices
 
 TRAIN_DOCS = 6000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: ASCII marks; everything else but white space belongs to words.
+_MARK = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+#: Training: rounds of gradient descent, their rate and momentum, decay, and documents that a feature must occur in.
+ROUNDS, RATE, MOMENTUM, DECAY, LEAST_DOCS = 200, 20.0, 0.9, 1e-6, 8
 #: Domains of the labels table and the weights aimed at.
 DOMAINS = ("poor", "good", "toxic")
 TARGETS = (0.04, 0.95, 0.01)
 #: Tokens wanted, as a multiple of those needed to keep the domain of the largest weight whole.
 BUDGET = 1.1
-#: Examples' worth of all domains' words that each domain's counts are smoothed with.
-LEAN = 4.0
 STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -48,53 +50,87 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("k"), domain.alias("domain")).where("k IS NOT NULL AND domain IN (0, 1, 2)")
 
 
+def features(column: pa.Array):
+    """Yield (row, number of words, distinct feature slots) of each text of an Arrow column."""
+    for first, offsets, data in text_slices(column):
+        for k in range(len(offsets) - 1):
+            text = data[offsets[k] : offsets[k + 1]]
+            marks = _MARK[text]
+            words = hash_words(np.where(marks, np.uint8(32), text), fold_case=True)[0]
+            runs = hash_words(np.where(marks, text, np.uint8(32)))[0]
+            slots = np.concatenate((words & U(BUCKETS - 1), scramble(runs.copy(), 3) & U(BUCKETS - 1)))
+            yield first + k, len(hash_words(text)[0]), np.unique(slots).astype(np.int64)
+
+
+def train(rows: list[np.ndarray], domain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights (domains, buckets), bias) of slots that occur in enough documents; NaN marks all others.
+
+    A document's slots count by the root of their number, so that long texts stay soft.
+    """
+    k, n = len(DOMAINS), len(rows)
+    weights, bias = np.full((k, BUCKETS), np.nan), np.zeros(k)
+    if n == 0:
+        return weights, bias
+    slot, row = np.concatenate(rows), np.repeat(np.arange(n), [len(x) for x in rows])
+    often = np.bincount(slot, minlength=BUCKETS) >= min(LEAST_DOCS, max(1, n // 50))
+    slot, row = slot[often[slot]], row[often[slot]]
+    names, at = np.unique(slot, return_inverse=True)
+    value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))[row]
+    by_slot = np.argsort(at, kind="stable")
+    row_of, value_of = row[by_slot], value[by_slot]
+    row_cut, slot_cut = np.flatnonzero(np.diff(row, prepend=-1)), np.flatnonzero(np.diff(at[by_slot], prepend=-1))
+    w, dw, db, want = np.zeros((k, len(names))), np.zeros((k, len(names))), np.zeros(k), np.eye(k)[domain]
+    for _ in range(ROUNDS):
+        score = np.zeros((n, k)) + bias
+        if len(names):
+            for d in range(k):
+                score[row[row_cut], d] += np.add.reduceat(w[d, at] * value, row_cut)
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        gap = p / p.sum(axis=1, keepdims=True) - want
+        for d in range(k if len(names) else 0):
+            dw[d] = MOMENTUM * dw[d] - RATE * (np.add.reduceat(gap[row_of, d] * value_of, slot_cut) / n + DECAY * w[d])
+            w[d] += dw[d]
+        db = MOMENTUM * db - gap.mean(axis=0)
+        bias = bias + db
+    weights[:, names] = w
+    return weights, bias
+
+
 def fit_domains(source: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Log weights (domains, buckets) and log priors, from counts summed over the tasks."""
+    """Weights and bias, trained on the features of at most `train_docs` labelled documents."""
     sample = labelled.groupBy("k").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("k"), "k").limit(train_docs)
 
     def run(batches):
         for batch in batches:
             domain = batch.column("domain").to_numpy()
-            count = np.zeros((len(DOMAINS), BUCKETS), dtype=np.int64)
-            for row, h, *_ in row_words(batch.column("t"), fold_case=True):
-                # Each word once a document: its presence is what tells domains apart.
-                count[domain[row]] += np.bincount(np.unique(h & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            docs = np.bincount(domain, minlength=len(DOMAINS))
-            d, b = np.nonzero(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((d, np.arange(len(DOMAINS)))), pa.int32()), pa.array(np.concatenate((b, np.full(len(DOMAINS), -1))), pa.int32()), pa.array(np.concatenate((count[d, b], docs)), pa.int64())],
-                names=["domain", "bucket", "n"],
-            )
-
-    counts = (
-        source.join(F.broadcast(sample), "k").select("domain", "t").mapInArrow(run, "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    )  # at most domains * buckets rows
-    table, docs = np.zeros((len(DOMAINS), BUCKETS)), np.zeros(len(DOMAINS))
-    for d, b, n in counts.itertuples(index=False):
-        if b < 0:
-            docs[d] += n
-        else:
-            table[d, b] = n
-    # Each domain leans on the words of all: one of few or no examples tells nothing apart.
-    common = (table.sum(axis=0) + 0.1) / (docs.sum() + 1.0)
-    smooth = (table + LEAN * common) / (docs[:, None] + LEAN)
-    return np.log(smooth), np.log((docs + 1) / (docs + 1).sum())
-
-
-def posteriors(source: DataFrame, weights: np.ndarray, prior: np.ndarray) -> DataFrame:
+            for row, _, slots in features(batch.column("t")):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("k")[row].as_py()]), pa.array([int(domain[row])], pa.int32()), pa.array([slots.astype(np.int32).tobytes()])], names=["k", "domain", "slots"]
+                )
+
+    found = source.join(F.broadcast(sample), "k").select("k", "domain", "t").mapInArrow(run, "k long, domain int, slots binary").toPandas()
+    found = found.sort_values(["k", "slots"])  # the order of rows must not tell in the sums
+    return train([np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in found["slots"]], found["domain"].to_numpy())
+
+
+def posterior(slots: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    w = weights[:, slots]
+    w = w[:, ~np.isnan(w[0])]
+    score = bias + w.sum(axis=1) / max(1.0, np.sqrt(w.shape[1]))
+    score = np.exp(score - score.max())
+    return score / score.sum()
+
+
+def posteriors(source: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(doc_id, tokens, p): tokens are words, p one posterior for each domain."""
-    at = source.sparkSession.sparkContext.broadcast((weights - weights.mean(axis=0), prior))
+    at = source.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches):
         w, base = at.value
         for batch in batches:
             n, p = np.zeros(batch.num_rows, dtype=np.int64), np.zeros((batch.num_rows, len(base)))
-            for row, h, *_ in row_words(batch.column("t"), fold_case=True):
-                n[row] = len(h)
-                seen = np.unique(h & U(BUCKETS - 1)).astype(np.int64)
-                score = base + (w[:, seen].sum(axis=1) / max(1.0, np.sqrt(len(seen) / 20)) if len(seen) else 0)
-                score = np.exp(score - score.max())
-                p[row] = score / score.sum()
+            for row, words, slots in features(batch.column("t")):
+                n[row], p[row] = words, posterior(slots, w, base)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n), lists], names=["doc_id", "tokens", "p"])
 
@@ -139,8 +175,8 @@ def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET) -> Colu
 def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = BUDGET, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate) of every document."""
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
-    weights, prior = fit_domains(source, domain_of(labels))
-    table = save(posteriors(source, weights, prior), "posteriors")
+    weights, bias = fit_domains(source, domain_of(labels))
+    table = save(posteriors(source, weights, bias), "posteriors")
     rate = fit_rates(table, targets, budget)
     return table.select("doc_id", "tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], rate.alias("rate"))
 
@@ -157,23 +193,16 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget:
     Rates are computed again in the scan that emits the rows, so no text is shuffled.
     """
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
-    weights, prior = fit_domains(source, domain_of(labels))
-    rate = fit_rates(save(posteriors(source, weights, prior), "posteriors"), targets, budget)
-    at = docs.sparkSession.sparkContext.broadcast((weights - weights.mean(axis=0), prior))
+    weights, bias = fit_domains(source, domain_of(labels))
+    rate = fit_rates(save(posteriors(source, weights, bias), "posteriors"), targets, budget)
+    at = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("array<double>")
-    def posterior(column):
+    def judged(column):
         import pandas as pd
 
-        w, base = at.value
-        out = []
-        for _, h, *_ in row_words(pa.array(column, pa.string()), fold_case=True):
-            seen = np.unique(h & U(BUCKETS - 1)).astype(np.int64)
-            score = base + (w[:, seen].sum(axis=1) / max(1.0, np.sqrt(len(seen) / 20)) if len(seen) else 0)
-            score = np.exp(score - score.max())
-            out.append(score / score.sum())
-        return pd.Series(out)
-
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), posterior(F.col(f"`{text}`").cast("string")).alias("p"))
+        return pd.Series([posterior(slots, *at.value) for _, _, slots in features(pa.array(column, pa.string()))])
+
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), judged(F.col(f"`{text}`").cast("string")).alias("p"))
     n = copies_of(rate, F.col(f"row.`{key}`"))
     return row.withColumn("n", n).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -506,6 +506,65 @@ def test_scores_do_not_depend_on_the_sign_of_ids(spark):
     assert np.allclose(score(list(range(20))), score([k - 25 for k in range(20)]))
 
 
+def plain_posteriors(texts, domain, rounds):
+    """The classifier by plain dictionaries and loops over the texts' words and runs of marks."""
+    marks = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    words = [{("w", w) for w in WORD.findall("".join(" " if c in marks else c for c in t).lower())} for t in texts]
+    found = [w | {("m", m) for m in WORD.findall("".join(c if c in marks else " " for c in t))} for w, t in zip(words, texts)]
+    held = Counter(f for k in domain for f in found[k])
+    least = min(mixing.LEAST_DOCS, max(1, len(domain) // 50))
+    found = [{f for f in x if held[f] >= least} for x in found]
+    w, dw = ({(d, f): 0.0 for d in range(3) for f in held} for _ in range(2))
+    b, db = [0.0] * 3, [0.0] * 3
+
+    def judge(x):
+        s = [b[d] + sum(w[d, f] for f in x) / max(1.0, len(x) ** 0.5) for d in range(3)]
+        e = [np.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    for _ in range(rounds):
+        grad, bias = Counter(), [0.0] * 3
+        for k, y in domain.items():
+            for d, p in enumerate(judge(found[k])):
+                bias[d] += (p - (d == y)) / len(domain)
+                for f in found[k]:
+                    grad[d, f] += (p - (d == y)) / max(1.0, len(found[k]) ** 0.5) / len(domain)
+        for key in w:
+            if held[key[1]] >= least:
+                dw[key] = mixing.MOMENTUM * dw[key] - mixing.RATE * (grad[key] + mixing.DECAY * w[key])
+                w[key] += dw[key]
+        for d in range(3):
+            db[d] = mixing.MOMENTUM * db[d] - bias[d]
+            b[d] += db[d]
+    return [judge(x) for x in found]
+
+
+def test_posteriors_and_rates_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 30)
+    rng = random.Random(8)
+    kind = lambda k: "Bad aweful scum!" if k % 5 == 0 else "junk *** spam | click" if k % 7 == 0 else "fine prose, here"
+    texts = [" ".join(rng.choice(kind(k).split() + ["the", "of"]) for _ in range(12)) for k in range(60)] + ["", "unseen"]
+    domain = {k: 2 if k % 5 == 0 else int(k % 7 != 0) for k in range(40)}
+    labels = spark.createDataFrame([(k, int(k % 7 != 0), int(k % 5 == 0)) for k in domain], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in mixing.mix(docs(spark, texts), labels).collect()}
+    want = np.array(plain_posteriors(texts, domain, 30))
+    got = np.array([[rows[k][f"p_{d}"] for d in mixing.DOMAINS] for k in range(62)])
+    assert np.allclose(got, want, atol=1e-9)
+    # Rates: the steps of the descent, taken one by one over all documents.
+    tokens = np.array([len(t.split()) for t in texts])
+    assert [rows[k].tokens for k in range(62)] == tokens.tolist()
+    mass = want * tokens[:, None]
+    goal = np.array(mixing.TARGETS) * mass[:, 1].sum() / mixing.TARGETS[1] * mixing.BUDGET
+    r = np.ones(62)
+    for _ in range(mixing.STEPS):
+        gap = r @ mass - goal
+        if np.abs(gap).max() <= mixing.TOLERANCE * goal.sum():
+            break
+        moment = (mass[r > 0].T @ want[r > 0]) + 1e-6 * np.trace(mass[r > 0].T @ want[r > 0]) * np.eye(3)
+        r = np.maximum(0, r - want @ np.linalg.solve(moment, gap))
+    assert np.allclose([rows[k].rate for k in range(62)], r, atol=1e-6) and np.allclose(r @ mass, goal, atol=1e-3 * goal.sum())
+
+
 def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
     kind = lambda k: "bad awful scum" if k % 20 == 0 else "junk spam click" if k % 7 == 0 else "fine prose here"
     texts = [" ".join([kind(k)] * 14) for k in range(200)]
