@@ -22,7 +22,7 @@ def _path(spark: SparkSession, where: str):
 
 
 def read_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """files(repo_id, rel_path, content, size) below a folder of any scheme; unreadable files are skipped."""
+    """files(repo_id, rel_path, content, size) below a folder of any scheme; unreadable files are skipped, and Spark lists none of 0 bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     store, path = _path(spark, root)
     base = store.makeQualified(path).toUri().getPath().rstrip("/") + "/"

@@ -94,17 +94,77 @@ def test_section_change(spark, cached, live, threshold, decision):
     assert delta.classify_section_change(state, now, threshold).first().decision == decision
 
 
-@pytest.mark.parametrize("text,size,overlap", [("hello world", 100, 10), ("", 100, 10), ("x" * 1000, 100, 0), ("line\n" * 200, 200, 40), ("abcdefghij" * 20, 50, 0), ("a b\n\n" * 50, 30, 0)])
+TEXTS = [("hello world", 100, 10), ("", 100, 10), ("x" * 1000, 100, 0), ("line\n" * 200, 200, 40), ("abcdefghij" * 20, 50, 0), ("a b\n\n" * 50, 30, 0), ("aa\n\nbbb\ncccccccccccc\n\ndd", 10, 4), ("p q" * 9 + "\n\n\n" + "z" * 33, 12, 5)]
+
+
+def packed(text, size, separators):
+    """The pieces of a text by the rule itself: parts joined while they fit, a part too long split on its own."""
+    if len(text) <= size:
+        return [text] if text else []
+    sep, *rest = separators
+    parts = [p + sep for p in text.split(sep)[:-1]] + [text.split(sep)[-1]] if sep else list(text)
+    out, held = [], ""
+    for p in parts:
+        if held and (len(p) > size or len(held) + len(p) > size):
+            out, held = [*out, held], ""
+        if len(p) > size:
+            out += packed(p, size, rest)
+        else:
+            held += p
+    return [*out, held] if held else out
+
+
+@pytest.mark.parametrize("text,size,overlap", TEXTS)
 def test_chunks(text, size, overlap):
     out = chunking.split_text(text, size, overlap)
-    assert all(len(c) <= size for c in out)
-    assert out[0] + "".join(c[overlap:] for c in out[1:]) == text
-    assert all(b.startswith(a[-overlap:]) for a, b in zip(out, out[1:]) if overlap)
+    base = packed(text, size - overlap, ["\n\n", "\n", " ", ""]) if len(text) > size else [text]
+    assert out == [base[0], *[(a[-overlap:] if overlap else "") + b for a, b in zip(base, base[1:])]]
+    assert all(len(c) <= size for c in out) and "".join(base) == text
+    assert [text[a:b] for a, b in chunking.chunk_spans(text, size, overlap)] == out
 
 
-def test_chunk_errors(spark):
+def test_long_parts_are_split_on_their_own():
+    assert chunking.split_text("aa\n\nbbb\ncccccccccccc\n\ndd", 10, 0) == ["aa\n\n", "bbb\n", "cccccccccc", "cc\n", "\n", "dd"]
+
+
+def test_chunk_files_place_and_lines(spark):
+    rows = [(f"f{k}", t) for k, (t, *_) in enumerate(TEXTS)]
+    got = {}
+    for r in chunking.chunk_files(files(spark, rows), 40, 8).collect():
+        got.setdefault(r.rel_path, {})[r.chunk_index] = r
+    for path, text in rows:
+        spans, held = chunking.chunk_spans(text, 40, 8), got[path]
+        assert [(held[k].char_start, held[k].body, held[k].chunks) for k in range(len(held))] == [(a, text[a:b], len(spans)) for a, b in spans]
+        assert [held[k].line_offset for k in range(len(held))] == chunking.line_offsets(text, [text[a:b] for a, b in spans])
+    assert chunking.line_offsets("a\nb\nc\nd", ["a\nb\n", "c\n", "d"]) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("overlap", [10, -1])
+def test_chunk_errors(spark, overlap):
     with pytest.raises(ValueError):
-        chunking.split_text("x", 10, 10)
+        chunking.split_text("x", 10, overlap)
+
+
+IMPORTS = [
+    (".py", "import os\nfrom a.b import c\n  from .d import e\nfrom .. import f, g\nx = 1\nimportant = 2\nfrom z", {"os", "a.b", ".d", "..", "..f"}),
+    (".py", "from . import a, b", {".", ".a", ".b"}), (".py", "from . import a\nclass B:", {"."}), (".py", "from . import (a, b)", {"."}), (".py", "from . import a as c, d", {".", ".d"}),
+    (".js", "import x, { y } from './w';\nconst z = require( \"q/r\" );\nawait import('./lazy')\nrequire(name + '/x')", {"./w", "q/r", "./lazy"}),
+    (".go", 'import "fmt"\nimport (\n  "net/http"\n  alias "os"\n)', {"fmt", "net/http"}), (".java", "import a.b.C;\nimport static d.E.f;\nimport g.*;\nimport h", {"a.b.C", "d.E.f"}),
+    (".rb", "require 'set'\nrequire_relative \"../x\"\nrequired 'no'", {"set", "../x"}), (".md", "import os", set()),
+]
+
+
+@pytest.mark.parametrize("ext,text,expected", IMPORTS)
+def test_imports_of_languages(spark, ext, text, expected):
+    assert {r.name for r in io.raw_imports(files(spark, [("a" + ext, text)])).collect()} == expected
+
+
+def test_neighbors_of_a_hub(spark):
+    df = files(spark, [("hub.py", "import leaf3\n")] + [(f"leaf{k}.py", "import hub\n") for k in range(30)])
+    near = {r.rel_path: r.neighbors for r in io.nearest_neighbors(df, io.import_edges(df), 4).collect()}
+    assert near["hub.py"] == ["leaf3.py", "leaf0.py", "leaf1.py", "leaf10.py"] and near["leaf5.py"] == ["hub.py"]
+    graph = io.neighbors(io.graph_nodes(df, io.import_edges(df)), 4)
+    assert {r.rel_path: r.neighbors for r in graph.collect()} == near
 
 
 def test_state_roundtrip(spark):
