@@ -36,13 +36,15 @@ from .common import save
 from .words import U, mix, row_words
 
 VOCABULARY = 1 << 18
-HOT = 1 << 16
+HOT = 1 << 18
 BACKOFF = 0.4
 #: Words handled together inside a task, and words of the corpus for each bucket of bigrams.
 SLICE_WORDS, BUCKET_WORDS = 1 << 19, 1 << 21
 RARE = U(1 << 63)
-#: Rows of a bucket: its count table, then exploded bigrams and what documents score by themselves.
-TABLE, EXPLODED, SCORED = 0, 1, 2
+#: Places of broadcast words take this many bits, and bigrams of two such words five bytes.
+BITS = U(20)
+#: Rows of a bucket: its count table, then bigrams of broadcast words, of rarer ones, and what documents score by themselves.
+TABLE, COMMON, RARER, SCORED = 0, 1, 2, 3
 
 ROW = "bucket int, kind int, key binary, docs binary, rows binary, n binary, own binary, first binary, second binary"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
@@ -61,6 +63,34 @@ def _array(value, dtype) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=dtype)
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the greatest."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(value, n: int) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(data, dtype=f"<u{data.size // max(1, n)}", count=n).astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+
+
+def _five(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _keys(value, kind: int) -> np.ndarray:
+    data = _array(value, np.uint8)
+    if kind != COMMON:
+        return data.view(U).copy()
+    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = data.reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def rare_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first.copy(), 5) ^ second, 6) | RARE
+
+
 def _slices(batches):
     """Yield (batch, rows, fingerprints, row index of each word) for runs of rows of about `SLICE_WORDS` words."""
     for batch in batches:
@@ -102,17 +132,18 @@ class Pairs:
         pair, self.of, self.n = np.unique((self.before + 1) * width + self.word, return_inverse=True, return_counts=True)
         self.first, self.second = np.concatenate((np.zeros(1, dtype=U), code))[pair // width], code[pair % width]
         rare = (self.first >= RARE) | (self.second >= RARE)
-        self.key = np.where(rare, mix(mix(self.first.copy(), 5) ^ self.second, 6) | RARE, (self.first << U(32)) | self.second)
+        self.key = np.where(rare, rare_key(self.first, self.second), (self.first << BITS) | self.second)
         self.n_words = len(words)
 
 
 def _by_bucket(key: np.ndarray, buckets: int):
-    """Yield (bucket, ascending positions of its keys)."""
-    bucket = (mix(key.copy(), 9) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+    """Yield (bucket, COMMON or RARER, ascending positions of its keys of that sort)."""
+    place = (mix(key.copy(), 9) % U(buckets)).astype(np.int64) * 2 + (key >= RARE)
+    order = np.argsort(place, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
         if len(at):
-            yield int(bucket[at[0]]), at
+            bucket, rare = divmod(int(place[at[0]]), 2)
+            yield bucket, RARER if rare else COMMON, at
 
 
 def bigram_table(docs: DataFrame, vocabulary, buckets: int, hot_count: int) -> DataFrame:
@@ -121,7 +152,10 @@ def bigram_table(docs: DataFrame, vocabulary, buckets: int, hot_count: int) -> D
     def count(batches):
         for _, _, h, doc in _slices(batches):
             pairs = Pairs(h, doc, vocabulary.value)
-            rows = [{"bucket": b, "kind": TABLE, "key": _bytes(pairs.key[at], U), "n": _bytes(pairs.n[at], np.uint32)} for b, at in _by_bucket(pairs.key, buckets)]
+            rows = [
+                {"bucket": b, "kind": kind, "key": _five(pairs.key[at]) if kind == COMMON else _bytes(pairs.key[at], U), "n": _small(pairs.n[at])}
+                for b, kind, at in _by_bucket(pairs.key, buckets)
+            ]
             if rows:
                 yield _batch(rows)
 
@@ -141,13 +175,13 @@ def bigram_table(docs: DataFrame, vocabulary, buckets: int, hot_count: int) -> D
             return _batch([{"bucket": bucket, "kind": TABLE, "key": key[several].tobytes(), "n": n[several].tobytes(), "docs": key[hot].tobytes(), "rows": n[hot].tobytes()}])
 
         for batch in batches:
-            for b, k, n in zip(*(batch.column(x) for x in ("bucket", "key", "n"))):
+            for b, kind, k, n in zip(*(batch.column(x) for x in ("bucket", "kind", "key", "n"))):
                 if b.as_py() != bucket:
                     if keys:
                         yield done()
                     bucket, keys, counts, size = b.as_py(), [], [], 0
-                keys.append(_array(k, U))
-                counts.append(_array(n, np.uint32).astype(np.int64))
+                keys.append(_keys(k, kind.as_py()))
+                counts.append(_counts(n, len(keys[-1])))
                 size += len(keys[-1])
                 # Merged often enough to hold little more than the distinct bigrams.
                 if size > max(1 << 20, len(keys[0])):
@@ -190,16 +224,12 @@ def exploded(docs: DataFrame, vocabulary, counts, hot, buckets: int, n_docs: int
             scores = np.bincount(doc[k], weights=gain, minlength=len(rows))
             out = [{"bucket": int(ids[0] % buckets), "kind": SCORED, "docs": _bytes(ids, np.int64), "rows": _bytes(n_words, np.int64), "n": _bytes(scores, np.float64)}]
             rest = np.flatnonzero(~is_hot | (key >= RARE))
-            for b, at in _by_bucket(key[rest], buckets):
+            for b, kind, at in _by_bucket(key[rest], buckets):
                 at = rest[at]
                 start = np.flatnonzero(np.concatenate(([True], doc[at][1:] != doc[at][:-1])))
-                rare = pair[at[key[at] >= RARE]]
-                out.append(
-                    {
-                        "bucket": b, "kind": EXPLODED, "key": _bytes(key[at], U), "docs": _bytes(ids[doc[at[start]]], np.int64), "rows": _bytes(np.diff(np.append(start, len(at))), np.uint32),
-                        "n": _bytes(n[at], np.uint32), "own": _bytes(own_before[at], np.uint32) + _bytes(own[at], np.uint32), "first": pairs.first[rare].tobytes(), "second": pairs.second[rare].tobytes(),
-                    }
-                )
+                names = {"key": _five(key[at])} if kind == COMMON else {"first": pairs.first[pair[at]].tobytes(), "second": pairs.second[pair[at]].tobytes()}
+                counts_of = {"rows": _small(np.diff(np.append(start, len(at)))), "n": _small(n[at]), "own": _small(np.concatenate((own_before[at], own[at])))}
+                out.append({"bucket": b, "kind": kind, "docs": _bytes(ids[doc[at[start]]], np.int64), **names, **counts_of})
             yield _batch(out)
 
     return docs.mapInArrow(run, ROW)
@@ -232,15 +262,19 @@ def joined(rows: DataFrame, counts, n_docs: int, total: int) -> DataFrame:
                 if kind == SCORED:
                     yield _scores(doc_id=docs, n_words=value("rows", np.int64), s=value("n", np.float64))
                     continue
-                mine, n, size = value("key", U), value("n", np.uint32).astype(np.int64), value("rows", np.uint32).astype(np.int64)
-                own_first, own_second = value("own", np.uint32).astype(np.int64).reshape(2, -1)
+                if kind == COMMON:
+                    mine = _keys(column["key"][i], kind)
+                    first, second = mine >> BITS, mine & U((1 << 20) - 1)
+                else:
+                    first, second = value("first", U), value("second", U)
+                    mine = rare_key(first, second)
+                size, n = _counts(column["rows"][i], len(docs)), _counts(column["n"][i], len(mine))
+                own_first, own_second = _counts(column["own"][i], 2 * len(mine)).reshape(2, -1)
                 c = n
                 if len(key):
                     spot = np.searchsorted(key, mine)
                     spot[spot == len(key)] = 0
                     c = np.where(key[spot] == mine, times[spot], n)
-                rare, first, second = mine >= RARE, mine >> U(32), mine & U(0xFFFFFFFF)
-                first[rare], second[rare] = value("first", U), value("second", U)
                 hit = c > n
                 asked = np.where(hit, first, second)
                 waits = asked >= RARE
@@ -262,7 +296,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t").where("k IS NOT NULL")
     counts = save(word_counts(source), "words")
     total, n_docs = int(counts.agg(F.sum("n")).first()[0] or 0), source.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()  # a fixed number of words
+    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, (1 << 20) - 2)).toPandas()  # a fixed number of words
     words = top["word"].to_numpy(dtype=np.int64).view(U)
     order = np.argsort(words)
     at, have = context.broadcast(words[order]), context.broadcast(top["n"].to_numpy(dtype=np.int64)[order])
