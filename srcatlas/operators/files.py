@@ -124,9 +124,13 @@ def route(files: DataFrame, specialized: bool = True) -> DataFrame:
 
 
 def select_manifests(files: DataFrame, max_depth: int = 3, limit: int = 20_000) -> DataFrame:
-    depth = F.size(F.split("rel_path", "/")) - 1
-    cut = F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit("\n... [truncated]"))).otherwise(F.col("text"))
-    return files.where(file_name(F.col("rel_path")).isin(*NOTABLE) & (depth <= max_depth)).select(*KEY, cut.alias("text"))
+    """Texts of notable files, cut at `limit` characters with a mark; `place` orders them by directory, parents first, then by name."""
+    parts = F.split("rel_path", "/")
+    cut = F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit("\n... [truncated]\n"))).otherwise(F.col("text"))
+    chosen = files.where(file_name(F.col("rel_path")).isin(*NOTABLE) & (F.size(parts) - 1 <= max_depth))
+    # A name that begins with a blank sorts before all directories, so a directory's own files come first.
+    place = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.lit(" "), F.element_at(parts, -1))))
+    return chosen.select(*KEY, cut.alias("text"), place.alias("place"))
 
 
 def summarize_tree(files: DataFrame, max_depth: int = 3, top: int = 10) -> DataFrame:

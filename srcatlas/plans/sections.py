@@ -288,10 +288,36 @@ RENDER = f"""WITH t AS (SELECT (conv_id % 10)::VARCHAR AS repo_id, conv_id::VARC
     FROM t GROUP BY repo_id, section_id)
   SELECT repo_id, section_id, sha256(document) AS document_sha256, length(document)::BIGINT AS n_chars FROM d"""
 
+# --- files -----------------------------------------------------------------------------------
+
+
+def f8_select_manifests(spark, sf):
+    """Every document in a directory of its own, by a notable name or not, at several depths."""
+    name = F.get(F.array(*map(F.lit, ("README.md", "Makefile", "notes.txt"))), (F.col("doc_id") % 3).cast("int"))
+    deep = F.when(F.col("doc_id") % 5 == 0, "a/b/c/").otherwise("a/")
+    files = read(spark, sf, "documents").select(F.col("source").alias("repo_id"), F.concat("lang", F.lit("/"), deep, F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("rel_path"), F.coalesce("text", F.lit("")).alias("text"))
+    return fo.select_manifests(files, 3).select("repo_id", "rel_path", F.sha2("text", 256).alias("text_sha256"), F.array_join("place", "/").alias("place"))
+
+
+def s2_decode_text(spark, sf):
+    """Bytes with every sort of line end and one that is no UTF-8, as text."""
+    raw = F.concat(F.encode(F.concat(F.lit("a\rb\r\n"), F.coalesce("text", F.lit(""))), "UTF-8"), F.unhex(F.lit("FF0D0A")))
+    return read(spark, sf, "documents").select("doc_id", F.sha2(X.decode_text(raw), 256).alias("text_sha256"))
+
+
+def a4_coverage_percent(spark, sf):
+    """Files with findings of all files in the state: here notes are the documents with a label."""
+    notes = documents_as_notes(spark, sf)
+    labelled = notes.join(read(spark, sf, "labels").select(F.col("doc_id").alias("seq")).distinct(), "seq", "left_semi")
+    contributing = labelled.groupBy("repo_id").agg(F.countDistinct("file").alias("with_findings"))
+    state = notes.groupBy("repo_id").agg(F.countDistinct("file").alias("state_files"))
+    return ro.coverage_percent(contributing, state)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        u2_u6_contract_findings, j7_scope_rpcs, o3_touched_tables, m2_apply_extraction, m3_o2_union_notes, a2_extraction_stats, m4_section_requests, m1_extraction_requests,
+        f8_select_manifests, s2_decode_text, a4_coverage_percent, u2_u6_contract_findings, j7_scope_rpcs, o3_touched_tables, m2_apply_extraction, m3_o2_union_notes, a2_extraction_stats, m4_section_requests, m1_extraction_requests,
         m5_section_paths, m6_derivation_paths, j8_collect_upstream, m9_context_pack, a7_short_circuit, j10_merge_edit, x8_m8_render_sections,
     )
 }
@@ -299,6 +325,13 @@ QUERIES = {
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq)::INTEGER AS note_no FROM notes)"
 _EXTRACTOR = "CASE WHEN file::BIGINT % 3 = 0 THEN 'llm:application_code' ELSE 'cache' END"
 ORACLES = {
+    "f8_select_manifests": """WITH f AS (SELECT source AS repo_id, lang || '/' || CASE WHEN doc_id % 5 = 0 THEN 'a/b/c/' ELSE 'a/' END || 'd' || doc_id || '/' AS dir, CASE doc_id % 3 WHEN 0 THEN 'README.md' WHEN 1 THEN 'Makefile' ELSE 'notes.txt' END AS name,
+    doc_id % 5 = 0 AS deep, coalesce(text, '') AS text FROM documents)
+  SELECT repo_id, dir || name AS rel_path, sha256(CASE WHEN length(text) > 20000 THEN left(text, 20000) || chr(10) || '... [truncated]' || chr(10) ELSE text END) AS text_sha256, dir || ' ' || name AS place FROM f WHERE name <> 'notes.txt' AND NOT deep""",
+    "s2_decode_text": "SELECT doc_id, sha256('a' || chr(10) || 'b' || chr(10) || regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') || chr(65533) || chr(10)) AS text_sha256 FROM documents",
+    "a4_coverage_percent": NOTES
+    + """, c AS (SELECT repo_id, count(DISTINCT file) AS total_files, count(DISTINCT file) FILTER (seq IN (SELECT doc_id FROM labels)) AS with_findings FROM notes GROUP BY 1)
+  SELECT repo_id, total_files, with_findings, round_even(with_findings * 100.0 / total_files, 1)::DOUBLE AS percent FROM c""",
     "u2_u6_contract_findings": CONTRACT_SQL,
     "j7_scope_rpcs": CONTRACTS
     + "SELECT repo_id, rel_path, 'S' || doc_id AS service, 'Get' || n_chars AS name, 'A' AS takes, 'stream B' AS gives, 5::INTEGER AS line FROM f WHERE doc_id % 4 = 1 UNION ALL SELECT repo_id, rel_path, 'S' || doc_id, 'Put', 'A', 'B', 6 FROM f WHERE doc_id % 4 = 1",
