@@ -13,8 +13,8 @@ Bands of coordinates give buckets.  In a bucket, members are compared
 with one leader, the member that shares most buckets.  Members of a bucket that are not then
 in one component are compared across components, but for pairs whose sizes exclude a link
 and those whose `COORDINATES` one-bit coordinates estimate J more than five standard
-deviations below the threshold; large buckets are cut into tiles of blocks for that.  Every
-link is confirmed on the full sets.
+deviations below the threshold.  Buckets are cut into tiles of blocks for that, and a tile gives
+no more links than it has members.  Every link is confirmed on the full sets.
 
 Defined cases: null and wordless texts have an empty set and link with nothing; fewer than
 `words` words make one shingle; equal texts always share a class; rows of a null doc_id are
@@ -33,10 +33,8 @@ from .words import U, mix, row_words, shingles
 
 COORDINATES = 1024
 BANDS, ROWS = 24, 5
-#: One-bit coordinates are kept as this many longs.
-LONGS = COORDINATES // 64
 #: Tasks that the set of a document may go to, and members of a bucket compared in one tile with as many others.
-SALTS, BLOCK = 16, 1024
+SALTS, BLOCK = 16, 512
 FILLED = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -153,11 +151,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return first.join(second.hint("merge"), ["b", "salt"]).select("a", "b", "shingles", "other").mapInPandas(linked, "a long, b long")
 
 
-def _tiles(opened: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a bucket's comparison with itself, in tiles of blocks of about `BLOCK` members."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = opened.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    return placed.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))), placed.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+def tile_links(percent: int, most: int):
+    """Function of one tile of a bucket: rows (i, j, block, band, doc_id, component, n_shingles, bits, bands, shingles) to links (a, b).
+
+    Pairs of members in different components are looked at if sizes and bits allow a link and no
+    earlier band puts them into one bucket too; a pair that earlier links of the tile have joined
+    need not be.  What comes back joins each member to the smallest that it is linked with over the
+    tile, so rows grow with the members and never with the pairs.
+    """
+
+    def run(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("doc_id", ignore_index=True)
+        i, j, band = (int(frame[c].iloc[0]) for c in ("i", "j", "band"))
+        ids, block, component, size = (frame[c].to_numpy() for c in ("doc_id", "block", "component", "n_shingles"))
+        bits, bands = (np.stack(frame[c].to_numpy()).view(U) for c in ("bits", "bands"))
+        sets = [np.frombuffer(x, dtype=U) for x in frame["shingles"]]
+        _, first, of = np.unique(component, return_index=True, return_inverse=True)
+        root = first[of].tolist()
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        links = []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            open_ = component[rows][:, None] != component[right][None, :]
+            if i == j:
+                open_ &= rows[:, None] < right[None, :]
+            least, greatest = np.minimum(size[rows][:, None], size[right][None, :]), np.maximum(size[rows][:, None], size[right][None, :])
+            open_ &= 100 * least >= percent * greatest
+            r, c = np.nonzero(open_)
+            for k in range(0, len(r), 1 << 16):
+                a, b = rows[r[k : k + (1 << 16)]], right[c[k : k + (1 << 16)]]
+                near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most
+                near &= ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+                for x, y in zip(a[near].tolist(), b[near].tolist()):
+                    u, v = find(x), find(y)
+                    if u != v:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                            root[max(u, v)] = min(u, v)
+                            links.append((ids[x], ids[y]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -182,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
         .distinct()
     )
     star = save(star, "pairs")
-    # Sets of all members of buckets, for both steps below.  Texts are dealt by id at every size of
+    # Sets of all members of buckets, for the star and for the tiles below.  Texts are dealt by id at every size of
     # the tables, never the ids to all tasks.
     wanted = member.select(F.col("doc_id").alias("k")).distinct()
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
@@ -193,35 +236,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, text: st
     # What the leaders left open: members of one bucket in different components.
     placed = member.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-    bits = reps.select("doc_id", *[F.col("bits")[i].alias(f"w{i}") for i in range(LONGS)], *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)])
-    opened = save(placed.drop("size").join(split.select("bucket"), "bucket").join(bits, "doc_id"), "open")
-    left, right = (side.alias(name) for side, name in zip(_tiles(opened, split), "xy"))
-    differing = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(LONGS)), F.lit(0))
     # One-bit coordinates differ with probability (1 - J) / 2.
     p = (1 - percent / 100) / 2
     most = int(np.ceil(COORDINATES * p + 5 * np.sqrt(COORDINATES * p * (1 - p))))
-    # A pair that shares several buckets is looked at in the first of them only.
-    before = F.lit(False)
-    for i in range(BANDS):
-        before = before | ((F.col("x.band") > i) & (F.col(f"x.b{i}") == F.col(f"y.b{i}")))
-    crossing = (
-        left.join(
-            right,
-            (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.i") == F.col("y.i"))
-            & (F.col("x.j") == F.col("y.j"))
-            & ((F.col("x.i") < F.col("y.j")) | (F.col("x.doc_id") < F.col("y.doc_id")))
-            & (F.col("x.component") != F.col("y.component"))
-            & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-            & (differing <= most)
-            & ~before,
-        )
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .join(star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    )
-    crossing = save(crossing, "pairs")
-    if not crossing.isEmpty():
-        more = confirmed(crossing, sets, percent)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    opened = placed.drop("size").join(split, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    opened = opened.join(reps.select("doc_id", "bits", "bands"), "doc_id").join(sets, "doc_id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = opened.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "band", "doc_id", "component", "n_shingles", "bits", "bands", "shingles")
+    more = save(tiles.groupBy("bucket", "i", "j").applyInPandas(tile_links(percent, most), "a long, b long"), "links")
+    if not more.isEmpty():
         # The components found stand for their members; only what joins two of them is new.
         for side in "ab":
             found = component.select(F.col("node").alias(side), F.col("component").alias("to"))
