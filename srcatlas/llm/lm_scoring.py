@@ -1,7 +1,7 @@
 """Operator 6: stupid-backoff scores of all documents under the bigram counts of all others.
 
 Words are told apart by 63-bit fingerprints, whatever their number.  The table of word counts
-is a plain aggregation; its `VOCABULARY` most frequent words are broadcast.  The table of bigram
+is a plain aggregation; at most `VOCABULARY` of the most frequent words are broadcast.  The table of bigram
 counts is partitioned by a hash of the bigram into buckets.  Documents are then exploded into
 their distinct bigrams, dealt by the same hash and joined to the count table bucket by bucket,
 and what the bigrams score is summed per document.  Rows travel as packed arrays, one for each
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import save
 from .words import U, mix, row_words
 
-VOCABULARY = 1 << 18
+VOCABULARY = (1 << 20) - 2
 HOT = 1 << 18
 BACKOFF = 0.4
 #: Words handled together inside a task, and words of the corpus for each bucket of bigrams.
@@ -193,15 +193,15 @@ def bigram_table(docs: DataFrame, vocabulary, buckets: int, hot_count: int) -> D
     return dealt.mapInArrow(total, ROW)
 
 
-def pair_scores(c, n, first, own_first, second, own_second, have, n_docs: int, total: int) -> np.ndarray:
-    """What bigrams of broadcast words score, for counts c in the corpus of which n in the document."""
-    count, there = np.concatenate(([n_docs], have)), c > n
+def pair_scores(c, n, first, own_first, second, own_second, count: np.ndarray, total: int) -> np.ndarray:
+    """What bigrams of broadcast words score, for counts c in the corpus of which n in the document; `count` is by place, 0 the start."""
+    there = c > n
     before = np.maximum(count[first.astype(np.int64)] - own_first, 1)
     alone = np.maximum(count[second.astype(np.int64)] - own_second, 1)
     return n * np.where(there, np.log10(np.maximum(c - n, 1)) - np.log10(before), np.log10(BACKOFF / max(1, total)) + np.log10(alone))
 
 
-def exploded(docs: DataFrame, vocabulary, counts, hot, buckets: int, n_docs: int, total: int) -> DataFrame:
+def exploded(docs: DataFrame, vocabulary, counts, hot, buckets: int, total: int) -> DataFrame:
     """Rows of `ROW`: the distinct bigrams of documents by bucket, and what their hot bigrams score."""
 
     def run(batches):
@@ -220,7 +220,7 @@ def exploded(docs: DataFrame, vocabulary, counts, hot, buckets: int, n_docs: int
             spot[spot == len(keys)] = 0
             is_hot = keys[spot] == key if len(keys) else np.zeros(len(key), dtype=bool)
             k = np.flatnonzero(is_hot & (key < RARE))
-            gain = pair_scores(times[spot[k]], n[k], pairs.first[pair[k]], own_before[k], pairs.second[pair[k]], own[k], have, n_docs, total)
+            gain = pair_scores(times[spot[k]], n[k], pairs.first[pair[k]], own_before[k], pairs.second[pair[k]], own[k], have, total)
             scores = np.bincount(doc[k], weights=gain, minlength=len(rows))
             out = [{"bucket": int(ids[0] % buckets), "kind": SCORED, "docs": _bytes(ids, np.int64), "rows": _bytes(n_words, np.int64), "n": _bytes(scores, np.float64)}]
             rest = np.flatnonzero(~is_hot | (key >= RARE))
@@ -243,7 +243,7 @@ def _scores(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in SCORES.items()], names=list(SCORES))
 
 
-def joined(rows: DataFrame, counts, n_docs: int, total: int) -> DataFrame:
+def joined(rows: DataFrame, counts, total: int) -> DataFrame:
     """(doc_id, n_words, s) of what is scored, and (doc_id, word, n, own, hit) of what needs the count of a rarer word."""
 
     def run(batches):
@@ -278,7 +278,7 @@ def joined(rows: DataFrame, counts, n_docs: int, total: int) -> DataFrame:
                 hit = c > n
                 asked = np.where(hit, first, second)
                 waits = asked >= RARE
-                s = pair_scores(c, n, np.where(first < RARE, first, U(0)), own_first, np.where(second < RARE, second, U(0)), own_second, have, n_docs, total)
+                s = pair_scores(c, n, np.where(first < RARE, first, U(0)), own_first, np.where(second < RARE, second, U(0)), own_second, have, total)
                 # A rarer word's count is still to come: only the other part of the sum is known.
                 s[waits] = (n * np.where(hit, np.log10(np.maximum(c - n, 1)), np.log10(BACKOFF / max(1, total))))[waits]
                 yield _scores(doc_id=docs, s=np.add.reduceat(s, np.cumsum(size) - size))
@@ -290,26 +290,43 @@ def joined(rows: DataFrame, counts, n_docs: int, total: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints and counts of the most frequent words, at most `most` of them.
+
+    Words are counted by eighths of an octave of their frequency, a few hundred rows, and all words
+    from the lowest eighth on that still fits are taken: nothing is sorted and no task sends more.
+    """
+    octave = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(octave.alias("o")).count().collect(), key=lambda r: -r.o):
+        held += r["count"]
+        if held > most:
+            break
+        least = r.o
+    top = counts.where(octave >= least if least is not None else F.lit(False)).toPandas()
+    words = top["word"].to_numpy(dtype=np.int64).view(U)
+    order = np.argsort(words)
+    return words[order], top["n"].to_numpy(dtype=np.int64)[order]
+
+
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, log10_score, log10_per_word)."""
     context = docs.sparkSession.sparkContext
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t").where("k IS NOT NULL")
     counts = save(word_counts(source), "words")
     total, n_docs = int(counts.agg(F.sum("n")).first()[0] or 0), source.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, (1 << 20) - 2)).toPandas()  # a fixed number of words
-    words = top["word"].to_numpy(dtype=np.int64).view(U)
-    order = np.argsort(words)
-    at, have = context.broadcast(words[order]), context.broadcast(top["n"].to_numpy(dtype=np.int64)[order])
+    words, times = frequent_words(counts, min(vocabulary, (1 << 20) - 2))
+    at, have = context.broadcast(words), context.broadcast(np.concatenate(([n_docs], times)))
     buckets = max(4, -(-total // BUCKET_WORDS))
     table = save(bigram_table(source, at, buckets, max(2, -(-total // HOT))), "bigrams")
     found = table.select("docs", "rows").toPandas()  # at most HOT bigrams in all
     keys = np.concatenate([np.zeros(0, dtype=U), *[np.frombuffer(x, dtype=U) for x in found["docs"]]])
     times = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in found["rows"]]])
     order = np.argsort(keys)
-    rows = exploded(source, at, have, context.broadcast((keys[order], times[order])), buckets, n_docs, total)
+    rows = exploded(source, at, have, context.broadcast((keys[order], times[order])), buckets, total)
     none = F.lit(None).cast("binary")
     dealt = rows.unionByName(table.withColumns({"docs": none, "rows": none})).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    scored = save(joined(dealt, have, n_docs, total), "scores")
+    scored = save(joined(dealt, have, total), "scores")
     plain = scored.where("word IS NULL").select("doc_id", "n_words", "s")
     rarer = scored.where("word IS NOT NULL").join(counts.withColumnRenamed("n", "c"), "word")
     part = F.col("n") * F.log10(F.greatest(F.col("c") - F.col("own"), F.lit(1))) * F.when(F.col("hit"), -1).otherwise(1)
