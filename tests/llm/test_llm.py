@@ -573,6 +573,12 @@ def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
     rows = mixing.mix(docs(spark, texts), labels, targets).collect()
     mass = [sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS]
     assert np.allclose(np.array(mass) / sum(mass), targets, atol=0.005)
+    # As upper bounds, the weights of what is scarce come to what is there, and nothing is repeated beyond the budget.
+    rows = mixing.mix(docs(spark, texts), labels, targets, at_most=True).collect()
+    got = np.array([sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS])
+    have = np.array([sum(r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS]) / sum(r.tokens for r in rows)
+    assert np.allclose(got / got.sum(), [min(0.1, have[0]), 1 - min(0.1, have[0]) - min(0.4, have[2]), min(0.4, have[2])], atol=0.005)
+    assert max(r.rate for r in rows) < 1.3 and min(r.rate for r in rows) > 0.5
     with pytest.warns(UserWarning, match="misses its targets"):
         mixing.mix(docs(spark, ["fine prose here"] * 3), labels, targets)
 
