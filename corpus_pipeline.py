@@ -28,7 +28,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # The quality stage has taken most poor texts out: weights are upper bounds, so that what is left of these is not repeated.
+    return mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), at_most=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
