@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import save
 from .words import U, mix, row_words
 
-VOCABULARY = (1 << 20) - 2
+VOCABULARY = 1 << 19
 HOT = 1 << 18
 BACKOFF = 0.4
 #: Words handled together inside a task, and words of the corpus for each bucket of bigrams.
@@ -303,10 +303,10 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
         if held > most:
             break
         least = r.o
-    top = counts.where(octave >= least if least is not None else F.lit(False)).toPandas()
-    words = top["word"].to_numpy(dtype=np.int64).view(U)
+    top = counts.where(octave >= least if least is not None else F.lit(False)).toArrow()
+    words = top["word"].to_numpy().view(U)
     order = np.argsort(words)
-    return words[order], top["n"].to_numpy(dtype=np.int64)[order]
+    return words[order], top["n"].to_numpy()[order]
 
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -319,9 +319,9 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, text: str = "
     at, have = context.broadcast(words), context.broadcast(np.concatenate(([n_docs], times)))
     buckets = max(4, -(-total // BUCKET_WORDS))
     table = save(bigram_table(source, at, buckets, max(2, -(-total // HOT))), "bigrams")
-    found = table.select("docs", "rows").toPandas()  # at most HOT bigrams in all
-    keys = np.concatenate([np.zeros(0, dtype=U), *[np.frombuffer(x, dtype=U) for x in found["docs"]]])
-    times = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in found["rows"]]])
+    found = table.select("docs", "rows").toArrow()  # at most HOT bigrams in all
+    keys = np.concatenate([np.zeros(0, dtype=U), *[_array(x, U) for x in found["docs"]]])
+    times = np.concatenate([np.zeros(0, dtype=np.int64), *[_array(x, np.int64) for x in found["rows"]]])
     order = np.argsort(keys)
     rows = exploded(source, at, have, context.broadcast((keys[order], times[order])), buckets, total)
     none = F.lit(None).cast("binary")
