@@ -20,7 +20,7 @@ _MARKS = r"!-&(-/:-@\[-`{-~"
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
 _ODD_SPACE = re.compile(r"[^\S \t\n\r]")
 #: Bytes of pieces remembered per worker, and as many of pieces that were in use before these.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 40 << 20
 #: What Python needs for an entry beyond its ids and characters.
 ENTRY_BYTES = 190
 _WORKER: dict[str, "PieceEncoder"] = {}
@@ -36,6 +36,8 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.special = re.compile("|".join(map(re.escape, special)), re.I) if special else None
+        # What all of them begin with, before any letter: few texts hold it at all.
+        self.sign = re.match(r"[^A-Za-z]*", os.path.commonprefix(special))[0]
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -81,7 +83,7 @@ class PieceEncoder:
             self._each(rest)
 
     def _whole(self, text: str) -> bool:
-        return bool(_ODD_SPACE.search(text) or (self.special and self.special.search(text)))
+        return bool((self.special and self.sign in text and self.special.search(text)) or _ODD_SPACE.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
