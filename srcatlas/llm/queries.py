@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .common import read
+from .common import checkpoint_root, read
 from .html_extraction import main_text
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
@@ -19,7 +20,10 @@ from .pivots import near_vectors
 from .quality import quality_report
 from .recompression import strip_repeats
 from .secrets import find_secrets
+from .token_alignment import align_documents
+from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
+from .turn_repair import damage, repair_chunks, repair_report
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +73,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair_report(conversations, repair_chunks(damage(conversations)))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that figures are of counting and not of what an earlier run left."""
+    cache = f"{checkpoint_root(spark)}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pivot_near_dedup": op2_pivot_near_dedup,
@@ -80,5 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
