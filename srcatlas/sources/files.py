@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,31 +54,138 @@ def reset(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
-def save_state(state: DataFrame, root: str, scope: str) -> None:
-    """Replace the table of one scope.  The new rows are written beside the old ones, which they may be read from, and then swapped in."""
+# --- state ---------------------------------------------------------------------------------------
+#
+# A scope is a folder of numbered snapshots (Parquet) and of numbered commits (one small file each that
+# names a snapshot).  A snapshot counts once its commit can be read: what a writer that stopped left
+# behind (rows without commit, a commit cut short) is passed over, and the state before it holds.  The
+# commit file is created without overwriting, so of two writers of one number a single one succeeds.
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where unset, a fresh one if all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="srcatlas-state-")
+    return root.rstrip("/")
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    store, path = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []
+
+
+def _number(name: str) -> int:
+    digits = name.split(".")[0].split("-")[0]
+    return int(digits) if digits.isdigit() else 0
+
+
+def _write_snapshot(state: DataFrame, folder: str) -> None:
+    state.withColumn("version", F.lit(STATE_VERSION)).withColumn("saved_at", F.current_timestamp()).write.parquet(folder)
+
+
+def _write_commit(spark: SparkSession, file: str, content: str) -> None:
+    store, path = _path(spark, file)
+    out = store.create(path, False)
+    try:
+        out.writeBytes(content)
+    finally:
+        out.close()
+
+
+def _read_commit(spark: SparkSession, file: str) -> dict | None:
+    """What a commit says; None for one that was cut short."""
+    store, path = _path(spark, file)
+    stream = store.open(path)
+    try:
+        found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+    return found if isinstance(found, dict) and "snapshot" in found else None
+
+
+def last_commit(spark: SparkSession, root: str, scope: str) -> dict | None:
+    """The newest commit of a scope whose snapshot is there."""
+    for name in reversed(_names(spark, f"{root}/{scope}/commits")):
+        found = _read_commit(spark, f"{root}/{scope}/commits/{name}")
+        store, path = _path(spark, f"{root}/{scope}/snapshots/{found['snapshot']}/_SUCCESS") if found else (None, None)
+        if found and store.exists(path):
+            return found | {"number": _number(name)}
+    return None
+
+
+def save_state(state: DataFrame, root: str, scope: str, keep: int = 2) -> None:
+    """Replace the table of one scope by a new snapshot.
+
+    The rows may come from the state itself: older snapshots stay while they are read, and the last
+    `keep` of them remain after the commit.  Another writer that commits the same number makes this fail.
+    """
     if scope not in SCOPES:
         raise ValueError(f"unknown scope {scope}")
-    spark, new = state.sparkSession, f"{root}/.{scope}-{uuid.uuid4().hex}"
-    state.withColumn("version", F.lit(STATE_VERSION)).withColumn("saved_at", F.current_timestamp()).write.parquet(new)
-    reset(spark, f"{root}/{scope}")
-    store, path = _path(spark, new)
-    if not store.rename(path, _path(spark, f"{root}/{scope}")[1]):
-        raise OSError(f"could not put the {scope} state in place; it is left in {new}")
+    spark, place = state.sparkSession, f"{root}/{scope}"
+    number = 1 + max([0, *map(_number, _names(spark, f"{place}/commits"))])
+    snapshot = f"{number:012d}-{uuid.uuid4().hex}"
+    _write_snapshot(state, f"{place}/snapshots/{snapshot}")
+    _write_commit(spark, f"{place}/commits/{number:012d}.json", json.dumps({"snapshot": snapshot, "version": STATE_VERSION}))
+    drop_snapshots(spark, root, scope, keep)
+
+
+def drop_snapshots(spark: SparkSession, root: str, scope: str, keep: int = 2) -> None:
+    """Remove snapshots and commits that are older than the last `keep` good commits, and what torn writers before these left."""
+    place, good = f"{root}/{scope}", []
+    for name in reversed(_names(spark, f"{place}/commits")):
+        if len(good) < keep and (found := _read_commit(spark, f"{place}/commits/{name}")):
+            good.append((_number(name), found["snapshot"]))
+    if not good:
+        return
+    newest, oldest, named = good[0][0], good[-1][0], {s for _, s in good}
+    for name in _names(spark, f"{place}/snapshots"):
+        if name not in named and _number(name) <= newest:
+            reset(spark, f"{place}/snapshots/{name}")
+    for name in _names(spark, f"{place}/commits"):
+        if _number(name) < oldest:
+            reset(spark, f"{place}/commits/{name}")
 
 
 def load_state(spark: SparkSession, root: str, scope: str, schema: str, required=("repo_id",)) -> DataFrame:
-    """Rows of the current version of one scope with their required columns; all else loads as absent, and so does a missing table."""
-    store, path = _path(spark, f"{root}/{scope}")
+    """Rows of the current version of one scope's last committed snapshot with their required columns; all else loads as absent.
+
+    A folder of Parquet files without commits, as earlier releases wrote it, is read as it is.
+    """
     fields = StructType.fromDDL(schema)
-    if not store.exists(path):
+    found = last_commit(spark, root, scope)
+    place = f"{root}/{scope}/snapshots/{found['snapshot']}" if found else f"{root}/{scope}"
+    if not found and not any(n.endswith(".parquet") for n in _names(spark, place)):
         return spark.createDataFrame([], fields)
-    df = spark.read.schema(StructType([*fields.fields, *StructType.fromDDL("version int").fields])).parquet(f"{root}/{scope}").where(F.col("version") == STATE_VERSION)
+    df = spark.read.schema(StructType([*fields.fields, *StructType.fromDDL("version int").fields])).parquet(place).where(F.col("version") == STATE_VERSION)
     for c in required:
         df = df.where(F.col(c).isNotNull())
     return df.drop("version")
 
 
-def write_sections(bodies: DataFrame, path: str) -> None:
-    """One document for each section, replacing old ones."""
-    text = F.concat(F.lit("# "), F.col("section_id"), F.lit("\n\n"), strip(F.col("body")), F.lit("\n"))
-    bodies.select("repo_id", "section_id", text.alias("document")).write.mode("overwrite").partitionBy("repo_id").parquet(path)
+# --- sections ------------------------------------------------------------------------------------
+
+#: Fixed text of a section that no run has filled yet; the name of the tool that fills it is a parameter.
+NOT_YET = "_Not yet populated. Run `{tool} walk` to fill this section._"
+
+
+def section_documents(bodies: DataFrame, sections: DataFrame, tool: str = "srcatlas") -> DataFrame:
+    """(repo_id, section_id, document) of every section of each repository: title and stripped body.
+
+    `sections` (section_id, title, description) is the small table of the taxonomy.  A section without
+    a body gets a placeholder with its description, an empty body an empty document.
+    """
+    spine = bodies.select("repo_id").distinct().crossJoin(F.broadcast(sections.select("section_id", "title", "description")))
+    title, none = F.concat(F.lit("# "), "title", F.lit("\n\n")), NOT_YET.format(tool=tool)
+    blank = F.concat(title, F.lit(f"{none}\n\n> "), "description", F.lit("\n"))
+    rows = spine.join(bodies.select("repo_id", "section_id", "body"), ["repo_id", "section_id"], "left")
+    return rows.select("repo_id", "section_id", F.when(F.col("body").isNull(), blank).otherwise(F.concat(title, strip(F.col("body")), F.lit("\n"))).alias("document"))
+
+
+def write_sections(documents: DataFrame, path: str) -> None:
+    """Write the documents of `section_documents`, replacing old ones."""
+    documents.select("repo_id", "section_id", "document").write.mode("overwrite").partitionBy("repo_id").parquet(path)
