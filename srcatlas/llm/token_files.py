@@ -10,7 +10,7 @@ uint64 (one more than blocks) | footer of 6 uint64: documents, ids, blocks, bits
 magic.  Numbers are little-endian; bits of a block run from the lowest upwards.
 
 Defined cases: a null text is the end id alone; null doc ids come first and are kept; repeated
-rows are written each on their own; an empty table gives an empty manifest; other columns are
+ids are written each on their own, in order of their texts (null first); an empty table gives an empty manifest; other columns are
 ignored.  A shard's name holds the attempt that wrote it and the manifest names the shards of
 the attempts that counted, so a repeated or speculative task harms nothing: what a lost
 attempt left behind is never read.
@@ -166,7 +166,7 @@ def write_token_files(
             )
 
     ordered = (
-        docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t").repartitionByRange("k").sortWithinPartitions("k")
+        docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t").repartitionByRange("k").sortWithinPartitions("k", "t")
     )
     manifest = save(ordered.mapInArrow(run, MANIFEST), "manifest")
     return manifest.withColumn("folder", F.lit(folder))

@@ -260,6 +260,18 @@ def test_token_files_round_trip(spark, vocabulary):
         start += r.n_tokens
 
 
+def test_repeated_ids_are_in_order_of_their_texts(spark):
+    texts, ids = ["zz top", "a b c", None, "a b c", "m", "x"], [3, 3, 3, 3, 1, None]
+    manifest = token_files.write_token_files(docs(spark, texts, ids).repartition(4), P.path("byte_bpe_50k.json"), 50257, 0)
+    rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 3, 3, 3, 3]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [np.array([*tok.encode(t, add_special_tokens=False).ids, 0], dtype="<u4").tobytes() for t in ("x", "m", "", "a b c", "a b c", "zz top")]
+    assert [bytes(r.ids) for r in rows] == want
+
+
 def link_counts(x):
     """Links of each row and the components, by all cosines."""
     u = np.asarray(x).astype(np.float64)
