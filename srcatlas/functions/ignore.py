@@ -61,6 +61,24 @@ def compile_rule(line: str) -> tuple[str, bool, bool] | None:
     return ("^" if anchored else "^(?:.*/)?") + body + "$", negate, dir_only
 
 
+def rule_key(line: str) -> tuple[str, str]:
+    """How paths meet a rule: by their `name`, whole `path` or the `suffix` of their name equal to a key, or by a `pattern`."""
+    text = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\n\r"))
+    text = text[1:] if text.startswith("!") else text
+    text = text.rstrip("/")
+    if not re.search(r"[*?\[\\]", text):
+        return ("path", text.lstrip("/")) if "/" in text else ("name", text)
+    if re.fullmatch(r"\*\.[^*?\[\\/.]+", text):
+        return "suffix", text[1:]
+    return "pattern", ""
+
+
+def keyed_rules(lines) -> list[tuple[int, str, str, str, bool, bool]]:
+    """(seq, meets, key, regex, negate, directories only) of each rule, in order."""
+    rules = [(line, compile_rule(line)) for line in lines]
+    return [(k, *rule_key(line), *rule) for k, (line, rule) in enumerate((x for x in rules if x[1]))]
+
+
 def compile_rules(lines) -> list[tuple[int, str, bool, bool]]:
     rules = (compile_rule(x) for x in lines)
     return [(k, *r) for k, r in enumerate(x for x in rules if x)]

@@ -2,50 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evidence import claims_with_sources
+from .evidence import CLAIMS, claims_with_sources, numbered
 
 KEY = ["repo_id", "section_id"]
 
 
-def classify_section_change(state: DataFrame, live: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Decision per section from cached ids (`finding_ids`) and live ids (`live_ids`).
-
-    Counts keep multiplicities: added and removed count places, unchanged counts distinct ids.
-    """
-    none = F.array().cast("array<string>")
-    both = live.join(state.select(*KEY, "finding_ids"), KEY, "full_outer").withColumns({"cached": F.coalesce("finding_ids", none), "now": F.coalesce("live_ids", none)})
-    blank = F.array_contains("cached", "") | F.array_contains("now", "")
-    fresh = F.size("cached") == 0
-    added = F.filter(F.transform("now", lambda x, i: F.when(~F.array_contains("cached", x), i.cast("int"))), lambda i: i.isNotNull())
-    removed = F.filter("cached", lambda x: ~F.array_contains("now", x))
-    everything = F.transform("now", lambda x, i: i.cast("int"))
-    out = both.select(
-        *KEY,
-        "cached",
-        "now",
-        fresh.alias("fresh"),
-        blank.alias("blank"),
-        F.when(fresh | blank, everything).otherwise(added).alias("added_indices"),
-        F.when(fresh, none).when(blank, F.col("cached")).otherwise(removed).alias("removed_ids"),
-        F.when(fresh | blank, 0).otherwise(F.size(F.array_intersect("cached", "now"))).alias("unchanged_count"),
-        F.size("now").alias("total_live"),
-    )
-    changed = F.size("added_indices") + F.size("removed_ids")
-    decision = (
-        F.when(F.col("fresh") | F.col("blank"), "rewrite").when(changed == 0, "unchanged").when(F.col("total_live") == 0, "rewrite")
-        .when(changed / F.greatest("total_live", F.lit(1)) <= threshold, "surgical").otherwise("rewrite")
-    )
-    churn = F.when(F.col("total_live") == 0, F.when(F.size("removed_ids") > 0, 1.0).otherwise(0.0)).otherwise(changed / F.col("total_live"))
-    return out.select(*KEY, decision.alias("decision"), "added_indices", "removed_ids", "unchanged_count", "total_live", churn.alias("churn"))
-
-
 def section_change_counts(state: DataFrame, live: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """`classify_section_change` in numbers, from one row per id (`id`) of the stored state and of the live notes.
+    """Decision per section from one row per id (`id`) of the stored state and of the live notes.
 
-    Ids are counted by section and joined by id, so a section may have any number of them.
+    Added and removed count places, unchanged counts distinct ids.  Ids are counted by section and joined
+    by id, so a section may have any number of them.  `churn` is the share of changed places of all live
+    ones; without live ones it is 1 if anything was removed.
     """
     key = [*KEY, "id"]
     was = state.groupBy(*key).agg(F.count("*").alias("cached"))
@@ -72,7 +42,26 @@ def section_change_counts(state: DataFrame, live: DataFrame, threshold: float =
         F.when(F.col("anew"), "rewrite").when(changed == 0, "unchanged").when(F.col("total_live") == 0, "rewrite")
         .when(changed / F.greatest("total_live", F.lit(1)) <= threshold, "surgical").otherwise("rewrite")
     )
-    return out.select(*KEY, decision.alias("decision"), "added", "removed", "unchanged_count", "total_live")
+    churn = F.when(F.col("total_live") == 0, F.when(F.col("removed") > 0, 1.0).otherwise(0.0)).otherwise(changed / F.col("total_live"))
+    return out.select(*KEY, decision.alias("decision"), "added", "removed", "unchanged_count", "total_live", churn.alias("churn"))
+
+
+def changed_places(state: DataFrame, live: DataFrame) -> DataFrame:
+    """(repo_id, section_id, change, place, id): the live places whose ids are new and the stored ones whose ids are gone.
+
+    Both tables have a row for each place: `place` and `id`.  Where either side has a blank id, all places
+    of both have changed; where nothing was stored, all live ones are new.  Places stay rows: a section
+    may have any number of them, and each is joined by its id.
+    """
+    key = [*KEY, "id"]
+    blank = state.where("id = ''").select(*KEY).unionByName(live.where("id = ''").select(*KEY)).distinct().withColumn("blank", F.lit(True))
+
+    def lacking(rows: DataFrame, other: DataFrame, change: str) -> DataFrame:
+        known = other.select(*key).distinct().withColumn("known", F.lit(True))
+        found = rows.select(*KEY, F.col("place").cast("int").alias("place"), "id").join(known, key, "left").join(blank, KEY, "left")
+        return found.where("known IS NULL OR blank").select(*KEY, F.lit(change).alias("change"), "place", "id")
+
+    return lacking(live, state, "added").unionByName(lacking(state, live, "removed"))
 
 
 def diff_notes(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -92,8 +81,8 @@ def merge_surgical_edit(claims: DataFrame, removed: DataFrame, new_claims: DataF
     """
     kept = claims.join(removed.select(*KEY, "claim_idx"), [*KEY, "claim_idx"], "left_anti").select(*KEY, F.lit(0).alias("part"), "claim_idx", "text", "sources")
     new = claims_with_sources(new_claims, added_notes).select(*KEY, F.lit(1).alias("part"), "claim_idx", "text", "sources")
-    order = Window.partitionBy(*KEY).orderBy("part", "claim_idx")
-    return kept.unionByName(new).select(*KEY, F.row_number().over(order).alias("claim_idx"), "text", "sources")
+    rows = kept.unionByName(new).withColumnRenamed("claim_idx", "was").withColumn("range", F.floor(F.col("was") / CLAIMS))
+    return numbered(rows, KEY, ["was"], ["part", "range"], "claim_idx").select(*KEY, "claim_idx", "text", "sources")
 
 
 def resolve_contradictions(contradictions: DataFrame, notes: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from ..functions.scalar import claim_in_body, render_ref, strip
+from ..functions.scalar import collapse, render_ref, strip
+from .markers import annotated, missing
 
 KEY = ["repo_id", "section_id"]
 
@@ -44,16 +47,22 @@ def claims_with_sources(claims: DataFrame, numbered_notes: DataFrame) -> DataFra
     return out.select(*KEY, "claim_idx", "text", F.coalesce(F.transform("r", lambda x: x["source"]), F.array().cast(SOURCES)).alias("sources"))
 
 
-def number_sources(claim_refs: DataFrame) -> DataFrame:
-    """Source numbers by first appearance over the section's claims.
+def numbered(rows: DataFrame, key: list[str], order: list[str], ranges: list[str], name: str) -> DataFrame:
+    """`rows` with their 1-based place among all of their `key` in `order`.
 
-    First appearances are ordered within ranges of `CLAIMS` claims; the ranges are counted before each other.
+    Rows are ordered within the ranges that the columns `ranges` (the coarse part of the order) tell apart;
+    the ranges are counted before each other, so that a key may have any number of rows.
     """
+    ahead = Window.partitionBy(*key).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*key, *ranges).agg(F.count("*").alias("_n")).select(*key, *ranges, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).cast("int").alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*key, *ranges).orderBy(*order))
+    return rows.withColumn(name, own).join(before, [*key, *ranges]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+
+def number_sources(claim_refs: DataFrame) -> DataFrame:
+    """Source numbers by first appearance over the section's claims, counted over ranges of `CLAIMS` claims."""
     first = claim_refs.groupBy(*KEY, "ref").agg(F.min(F.struct("claim_idx", "seq")).alias("first")).withColumn("range", F.floor(F.col("first.claim_idx") / CLAIMS))
-    ahead = Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = first.groupBy(*KEY, "range").agg(F.count("*").alias("n")).select(*KEY, "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("int").alias("before"))
-    own = F.row_number().over(Window.partitionBy(*KEY, "range").orderBy("first", "ref"))
-    return first.withColumn("own", own).join(before, [*KEY, "range"]).select(*KEY, "ref", (F.col("own") + F.col("before")).alias("number"))
+    return numbered(first, KEY, ["first", "ref"], ["range"], "number").select(*KEY, "ref", "number")
 
 
 def annotate_claims(claim_refs: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -66,60 +75,79 @@ def _refs(sources: Column) -> Column:
     return F.transform(F.coalesce(sources, F.array().cast(SOURCES)), lambda s: render_ref(s["file"], s["line_start"], s["line_end"]))
 
 
-def markers(refs: Column, numbered: Column) -> Column:
-    """[1][3] for references, by their places in `numbered`, in order of the references."""
-    return F.array_join(F.transform(F.array_distinct(refs), lambda r: F.concat(F.lit("["), F.array_position(numbered, r).cast("string"), F.lit("]"))), "")
+#: Place of contradictions behind all claims when sources are numbered.
+BEHIND = 1 << 40
+MARKED = StructType([StructField("body", StringType()), StructField("beside", ArrayType(BooleanType()))])
 
 
-def annotate_body(body: Column, claims: Column) -> Column:
-    """The body with the marker of each of `claims` (text, marker), in order, behind the first place where its text stands.
+@F.pandas_udf(MARKED)
+def annotate_body(body: pd.Series, claims: pd.Series, flat: pd.Series, flat_claims: pd.Series) -> pd.DataFrame:
+    """The body with its claims' markers, and for each claim whether it stands beside the body.
 
-    A claim without marker is passed over, and so is one whose marker the body already holds.
+    `claims` holds (text, marker) with stripped texts in order; `flat` and `flat_claims` are the body and the
+    texts with their white space collapsed.
     """
+    rows = zip(body, claims, flat, flat_claims)
+    out = [(annotated(b, [(c["text"], c["marker"]) for c in cs]), missing(f, list(fs))) for b, cs, f, fs in rows]
+    return pd.DataFrame(out, columns=["body", "beside"])
 
-    def step(text: Column, c: Column) -> Column:
-        said, mark = strip(c["text"]), c["marker"]
-        at = F.instr(text, said)
-        fits = (mark != "") & claim_in_body(c["text"], text) & (said != "") & (at > 0) & ~F.contains(text, mark)
-        return F.when(fits, F.concat(F.substring(text, F.lit(1), at + F.length(said) - 1), mark, F.substring(text, at + F.length(said), F.length(text)))).otherwise(text)
 
-    return F.aggregate(claims, body, step)
+CONFLICTS = "_The walker found disagreements across files. Migration teams should resolve these before re-implementation._"
 
 
-CONFLICTS = "_The walker found disagreements across files. Migration teams should resolve these before re-implementation._"
+def _sides(contradictions: DataFrame) -> DataFrame:
+    """(c_idx, summary, p_idx, text, sources): the positions of contradictions; p_idx is null where there is none."""
+    rows = contradictions.select(*KEY, F.col("c_idx").cast("long").alias("c_idx"), "summary", F.posexplode_outer("positions").alias("p_idx", "p"))
+    return rows.select(*KEY, "c_idx", "summary", "p_idx", F.col("p.text").alias("text"), F.col("p.sources").alias("sources"))
 
 
 def render_sections(bodies: DataFrame, claims: DataFrame, contradictions: DataFrame) -> DataFrame:
     """(repo_id, section_id, document): marked body, supporting claims, conflicts and sources; empty parts are left out.
 
     `claims` has claim_idx, text and sources, `contradictions` c_idx, summary and positions of text and
-    sources.  A section is one document, so what one row gathers is what its reader would read.
+    sources.  Sources are numbered once (W6) and their numbers joined to the references; a section is
+    gathered only as the lines of its document, which is what its reader reads.
     """
-    held = claims.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("claim_idx", "text", _refs(F.col("sources")).alias("refs")))).alias("claims"))
-    sides = F.transform("positions", lambda p: F.struct(p["text"].alias("text"), _refs(p["sources"]).alias("refs")))
-    against = contradictions.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("c_idx", "summary", sides.alias("sides")))).alias("against"))
-    rows = bodies.select(*KEY, F.coalesce("body", F.lit("")).alias("body")).join(held, KEY, "left").join(against, KEY, "left")
-    rows = rows.withColumns(
-        {
-            "claims": F.coalesce("claims", F.array().cast("array<struct<claim_idx:int,text:string,refs:array<string>>>")),
-            "against": F.coalesce("against", F.array().cast("array<struct<c_idx:int,summary:string,sides:array<struct<text:string,refs:array<string>>>>>")),
-        }
+    sides = _sides(contradictions)
+    each = F.posexplode(_refs(F.col("sources"))).alias("n", "ref")
+    refs = lambda df, place, at: df.select(*KEY, place.alias("claim_idx"), at.alias("p"), each).select(*KEY, "claim_idx", F.struct("p", "n").alias("seq"), "ref")
+    claim = F.col("claim_idx").cast("long")
+    of_claims = refs(claims, claim, F.lit(0))
+    of_sides = refs(sides.where("p_idx IS NOT NULL"), F.col("c_idx") + BEHIND, F.col("p_idx"))
+    numbers = number_sources(of_claims.unionByName(of_sides))
+
+    first = of_claims.groupBy(*KEY, "claim_idx", "ref").agg(F.min("seq").alias("seq")).join(numbers, [*KEY, "ref"])
+    marks = first.groupBy(*KEY, "claim_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "number"))), lambda x: F.concat(F.lit("["), x["number"].cast("string"), F.lit("]"))), "").alias("marker"))
+    said = claims.select(*KEY, claim.alias("claim_idx"), F.coalesce("text", F.lit("")).alias("text")).join(marks, [*KEY, "claim_idx"], "left")
+    one = F.struct("claim_idx", strip(F.col("text")).alias("text"), F.coalesce("marker", F.lit("")).alias("marker"), collapse(F.col("text")).alias("flat"))
+    held = said.groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("claims"))
+
+    brackets = F.concat(F.lit(" ("), F.array_join(F.transform(_refs(F.col("sources")), lambda r: F.concat(F.lit("`"), r, F.lit("`"))), ", "), F.lit(")"))
+    line = F.concat(F.lit("  - "), strip(F.coalesce("text", F.lit(""))), F.when(F.size(F.coalesce("sources", F.array().cast(SOURCES))) > 0, brackets).otherwise(""))
+    against = sides.groupBy(*KEY, "c_idx").agg(
+        F.first("summary").alias("summary"), F.transform(F.sort_array(F.collect_list(F.when(F.col("p_idx").isNotNull(), F.struct("p_idx", line.alias("line"))))), lambda x: x["line"]).alias("lines")
     )
-    named = F.concat(F.flatten(F.transform("claims", lambda c: c["refs"])), F.flatten(F.flatten(F.transform("against", lambda a: F.transform(a["sides"], lambda p: p["refs"])))))
-    rows = rows.withColumn("numbered", F.array_distinct(named))
-    rows = rows.withColumn("marked", F.transform("claims", lambda c: F.struct(c["text"].alias("text"), markers(c["refs"], F.col("numbered")).alias("marker"))))
-    said = strip(annotate_body(F.col("body"), F.col("marked")))
-    beside = F.filter("marked", lambda c: (c["marker"] != "") & ~claim_in_body(c["text"], F.col("body")))
-    bullet = lambda c: F.concat(F.lit("- "), strip(c["text"]), F.lit(" "), c["marker"])
-    in_brackets = lambda refs: F.when(F.size(refs) > 0, F.concat(F.lit(" ("), F.array_join(F.transform(refs, lambda r: F.concat(F.lit("`"), r, F.lit("`"))), ", "), F.lit(")"))).otherwise("")
-    side = lambda p: F.concat(F.lit("  - "), strip(p["text"]), in_brackets(p["refs"]))
-    conflict = lambda a: F.concat(F.array(F.lit(""), F.concat(F.lit("- **"), strip(a["summary"]), F.lit("**"))), F.transform(a["sides"], side))
+    conflict = F.struct("c_idx", F.concat(F.array(F.lit(""), F.concat(F.lit("- **"), strip(F.coalesce("summary", F.lit(""))), F.lit("**"))), "lines").alias("lines"))
+    conflicts = against.groupBy(*KEY).agg(F.flatten(F.transform(F.sort_array(F.collect_list(conflict)), lambda x: x["lines"])).alias("conflicts"))
+    entry = F.struct("number", F.concat(F.col("number").cast("string"), F.lit(". `"), "ref", F.lit("`")).alias("line"))
+    sources = numbers.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]).alias("sources"))
+
+    rows = bodies.select(*KEY, F.coalesce("body", F.lit("")).alias("body"))
+    for part in (held, conflicts, sources):
+        rows = rows.join(part, KEY, "left")
     none = F.array().cast("array<string>")
+    rows = rows.withColumns({"conflicts": F.coalesce("conflicts", none), "sources": F.coalesce("sources", none)})
+    marked = annotate_body("body", F.transform("claims", lambda c: F.struct(c["text"].alias("text"), c["marker"].alias("marker"))), collapse(F.col("body")), F.transform("claims", lambda c: c["flat"]))
+    plain = rows.where("claims IS NULL").withColumns({"said": F.col("body"), "beside": none})
+    with_claims = rows.where("claims IS NOT NULL").withColumn("m", marked)
+    aside = F.filter(F.zip_with("claims", "m.beside", lambda c, lacks: F.when(lacks & (c["marker"] != ""), F.concat(F.lit("- "), c["text"], F.lit(" "), c["marker"]))), lambda x: x.isNotNull())
+    with_claims = with_claims.withColumns({"said": F.col("m.body"), "beside": aside}).drop("m")
+    rows = plain.unionByName(with_claims).withColumn("said", strip(F.col("said")))
     part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.array(*map(F.lit, head)), lines)).otherwise(none)
     lines = F.concat(
-        F.when(said != "", F.array(said)).otherwise(none),
-        part(("", "## Supporting claims"), F.transform(beside, bullet)),
-        part(("", "## Conflicts in source", CONFLICTS), F.flatten(F.transform("against", conflict))),
-        part(("", "## Sources"), F.transform("numbered", lambda r, k: F.concat((k + 1).cast("string"), F.lit(". `"), r, F.lit("`")))),
+        F.when(F.col("said") != "", F.array("said")).otherwise(none),
+        part(("", "## Supporting claims"), "beside"),
+        part(("", "## Conflicts in source", CONFLICTS), "conflicts"),
+        part(("", "## Sources"), "sources"),
     )
     return rows.select(*KEY, strip(F.array_join(lines, "\n")).alias("document"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ignore import DEFAULT_EXCLUDES, compile_rules
+from ..functions.ignore import DEFAULT_EXCLUDES, compile_rules, keyed_rules
 from ..functions.scalar import file_name, strip, suffix
 
 KEY = ["repo_id", "rel_path"]
@@ -47,41 +47,79 @@ def _any_rule(rules) -> str:
     return "^(?:" + "|".join(f"(?:{regex[1:-1]})" + ("/.*" if dir_only else "(?:/.*)?") for _, regex, _, dir_only in rules) + ")$"
 
 
-def filter_ignored(files: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES, own_rules: bool = True) -> DataFrame:
+def filter_ignored(files: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES, own_rules: bool | DataFrame = True) -> DataFrame:
     """Drop files that the defaults, their repository's root .gitignore or `extra` exclude.
 
-    Rules without exceptions are one pattern over the path.  With `own_rules`, a look at the paths
-    tells whether any repository has a .gitignore; only then rules are joined, as one array per repository.
+    With `own_rules`, the .gitignore texts come from `files`, or are given as (repo_id, text); what goes is
+    decided on paths alone and anti-joined.  Filter a table without texts where files are many: the join
+    then moves paths only.  Without own rules, rules without exceptions are one pattern over the path.
     """
-    ignores = files.where("rel_path = '.gitignore'").select("repo_id", "text")
-    if own_rules and not ignores.isEmpty():
-        return _filter_by_repo_rules(files, ignores, extra, defaults)
     rules = compile_rules([*defaults, *extra])
+    if own_rules is not False:
+        ignores = files.where("rel_path = '.gitignore'").select("repo_id", "text") if own_rules is True else own_rules
+        return files.join(ignored_files(files.select(*KEY), ignores, extra, defaults), KEY, "left_anti")
+    return files.where(~_by_shared_rules(rules)) if rules else files
+
+
+def _by_shared_rules(rules) -> Column:
     if any(negate for _, _, negate, _ in rules):
-        return files.where(~_ignored(F.col("rel_path"), rules))
-    return files.where(~F.col("rel_path").rlike(_any_rule(rules))) if rules else files
+        return _ignored(F.col("rel_path"), rules)
+    return F.col("rel_path").rlike(_any_rule(rules)) if rules else F.lit(False)
+
 
+RULES = "repo_id string, seq int, meets string, key string, regex string, negate boolean, dir_only boolean"
+#: Parts of a repository's paths that meet its rules in tasks of their own.
+SALTS = 16
 
-RULES = "repo_id string, rules array<struct<seq:int,regex:string,negate:boolean,dir_only:boolean>>"
 
+def repository_rules(ignores: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES) -> DataFrame:
+    """A row for each rule of each repository that has a .gitignore (repo_id, text): defaults, its own, extras; the last that matches counts."""
 
-def _filter_by_repo_rules(files, ignores, extra, defaults):
-    import pandas as pd
+    def run(frames):
+        import pandas as pd
 
-    def compiled(frames):
         for frame in frames:
-            rules = [[(k, r, n, d) for k, r, n, d in compile_rules([*defaults, *(t or "").splitlines(), *extra])] for t in frame["text"]]
-            yield pd.DataFrame({"repo_id": frame["repo_id"], "rules": [[dict(zip(("seq", "regex", "negate", "dir_only"), r)) for r in x] for x in rules]})
-
-    own = ignores.mapInPandas(compiled, RULES)
-    plain = [F.struct(F.lit(k).cast("int").alias("seq"), F.lit(r).alias("regex"), F.lit(n).alias("negate"), F.lit(d).alias("dir_only")) for k, r, n, d in compile_rules([*defaults, *extra])]
-    joined = files.join(own, "repo_id", "left").withColumn("rules", F.coalesce("rules", F.array(*plain)))
-    depth = F.size(F.split("rel_path", "/"))
-    judged = F.expr(
-        "exists(transform(sequence(1, size(split(rel_path, '/'))), n -> struct(n AS n, array_join(slice(split(rel_path, '/'), 1, n), '/') AS p)), x ->"
-        " aggregate(rules, false, (a, r) -> CASE WHEN (NOT r.dir_only OR x.n < size(split(rel_path, '/'))) AND x.p RLIKE r.regex THEN NOT r.negate ELSE a END))"
+            rows = [(repo, *rule) for repo, text in zip(frame["repo_id"], frame["text"]) for rule in keyed_rules([*defaults, *(text or "").splitlines(), *extra])]
+            yield pd.DataFrame(rows, columns=["repo_id", "seq", "meets", "key", "regex", "negate", "dir_only"])
+
+    return ignores.mapInPandas(run, RULES)
+
+
+def ignored_prefixes(prefixes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(repo_id, prefix) of the directories and files (repo_id, prefix, is_dir) whose last matching rule ignores them.
+
+    Rules without wildcards and those for a suffix meet prefixes by equality; the others are tried on every
+    prefix of their repository, in order of the pattern, so that each is compiled once for all rows of a task.
+    A repository's prefixes are dealt to `SALTS` parts, to each of which its rules go.
+    """
+    name = F.element_at(F.split("prefix", "/"), -1)
+    salted = prefixes.withColumn("salt", F.pmod(F.xxhash64("prefix"), F.lit(SALTS)).cast("int"))
+    everywhere = rules.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    ways = F.array(
+        F.struct(F.lit("name").alias("meets"), name.alias("key")), F.struct(F.lit("path").alias("meets"), F.col("prefix").alias("key")), F.struct(F.lit("suffix").alias("meets"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("key"))
     )
-    return joined.where(~judged & (depth > 0)).drop("rules")
+    keyed = salted.select("repo_id", "salt", "prefix", "is_dir", F.explode(ways).alias("w")).select("repo_id", "salt", "prefix", "is_dir", "w.*")
+    verdict = ["repo_id", "prefix", "seq", "negate"]
+    by_key = keyed.join(everywhere.where("meets <> 'pattern'"), ["repo_id", "salt", "meets", "key"]).where("is_dir OR NOT dir_only").select(*verdict)
+    tried = salted.join(everywhere.where("meets = 'pattern'"), ["repo_id", "salt"]).where("is_dir OR NOT dir_only").sortWithinPartitions("regex")
+    by_pattern = tried.where("regexp_instr(prefix, regex) > 0").select(*verdict)
+    last = by_key.unionByName(by_pattern).groupBy("repo_id", "prefix").agg(F.max_by("negate", "seq").alias("negate"))
+    return last.where("NOT negate").select("repo_id", "prefix")
+
+
+def ignored_files(paths: DataFrame, ignores: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES) -> DataFrame:
+    """(repo_id, rel_path) of the files that go: they or a directory above them are ignored.
+
+    Every directory of a repository with rules of its own is judged once; repositories without share one pattern.
+    """
+    own = ignores.select("repo_id").distinct()
+    steps = F.split("rel_path", "/")
+    parts = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(F.array_join(F.slice(steps, 1, n), "/").alias("prefix"), (n < F.size(steps)).alias("is_dir")))
+    spine = paths.join(own, "repo_id", "left_semi").select(*KEY, F.explode(parts).alias("p")).select(*KEY, "p.*")
+    judged = ignored_prefixes(spine.select("repo_id", "prefix", "is_dir").distinct(), repository_rules(ignores, extra, defaults))
+    by_own = spine.join(judged, ["repo_id", "prefix"], "left_semi").select(*KEY).distinct()
+    by_default = paths.join(own, "repo_id", "left_anti").where(_by_shared_rules(compile_rules([*defaults, *extra]))).select(*KEY).distinct()
+    return by_own.unionByName(by_default)
 
 
 def filter_size(files: DataFrame, max_file_bytes: int = 2_000_000) -> DataFrame:

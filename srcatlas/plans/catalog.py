@@ -57,15 +57,30 @@ def former_state(files: DataFrame) -> DataFrame:
 def walk_changed_by_kind(spark, sf):
     """Which files changed since the last run, by kind: F1 F2 F3 X1 F4 J3 F5."""
     files = corpus(spark, sf)
-    live = fo.filter_near_empty(fo.filter_size(fo.filter_ignored(files)))
     # The text is read once: all that later steps need is taken here, and the text goes no further.
+    live = fo.filter_near_empty(fo.filter_size(fo.filter_ignored(files, own_rules=False)))
     slim = live.select("repo_id", "rel_path", X.fingerprint(F.col("text")).alias("fingerprint"), fo.kind(F.col("rel_path"), F.col("text")).alias("kind"))
     routed = fo.route(so.lookup_extraction(slim, former_state(files)))
     return routed.groupBy("repo_id", "kind", "route").agg(F.count("*").alias("files"))
 
 
 def f1_f2_f3_live_files(spark, sf):
-    return fo.filter_near_empty(fo.filter_size(fo.filter_ignored(corpus(spark, sf)))).select("repo_id", "rel_path", "size")
+    return fo.filter_near_empty(fo.filter_size(fo.filter_ignored(corpus(spark, sf), own_rules=False))).select("repo_id", "rel_path", "size")
+
+
+def f1_repository_rules(spark, sf):
+    """The files that stay where repositories have a .gitignore, with rules that bring files back; one repository in three has none.
+
+    Its rules: a suffix with exceptions by name and by wildcard, a directory at the root, one anywhere, a default that is lifted,
+    and an exception below an ignored directory, which brings nothing back.
+    """
+    files = corpus(spark, sf).select("repo_id", "rel_path", "size")
+    number = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int")
+    rules = F.array_join(F.array(
+        F.lit("# rules"), F.lit("*.go"), F.lit("!m*3.go"), F.lit("/de/"), F.lit("!de/m9.md"), F.lit("migrations/"), F.lit("!node_modules/"), F.lit("m[0-4]*.ts"), F.lit("**/m1?.md"), F.concat(F.lit("*.py\n!m"), number.cast("string"), F.lit("*.py")),
+    ), "\n")
+    ignores = files.select("repo_id").distinct().where(number % 3 != 0).select("repo_id", rules.alias("text"))
+    return fo.filter_ignored(files, own_rules=ignores).select("repo_id", "rel_path", "size")
 
 
 def f4_classify(spark, sf):
@@ -77,7 +92,7 @@ def x1_fingerprints(spark, sf):
 
 
 def a1_summarize_tree(spark, sf):
-    tree = fo.summarize_tree(fo.filter_ignored(corpus(spark, sf)))
+    tree = fo.summarize_tree(fo.filter_ignored(corpus(spark, sf), own_rules=False))
     return tree.select("repo_id", "dir", "depth", "file_count", "total_bytes", F.array_join(F.transform("extensions", lambda x: F.concat(x["ext"], F.lit("="), x["n"].cast("string"))), ",").alias("extensions"))
 
 
@@ -174,10 +189,18 @@ def j6_section_change(spark, sf):
     return delta.section_change_counts(n.withColumn("id", _altered(F.col("id"), 9)), n)
 
 
+def j6_changed_places(spark, sf):
+    """Which notes of a section are new and which stored ones are gone, by place and id."""
+    n = no.number_notes(_note_ids(spark, sf)).withColumn("place", F.col("note_no") - 1)
+    return delta.changed_places(n.withColumn("id", _altered(F.col("id"), 9)), n)
+
+
 def j11_diff_notes(spark, sf):
-    n = _note_ids(spark, sf)
-    run = lambda every: n.select("repo_id", "section_id", F.col("file").alias("finding"), _altered(F.col("id"), every).alias("finding_id"))
-    return delta.diff_notes(run(9), run(13))
+    """The whole text of every note that was added, by its digest."""
+    n = documents_as_notes(spark, sf).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")))
+    run = lambda every: n.select("repo_id", "section_id", "finding", _altered(F.col("id"), every).alias("finding_id"))
+    changed = delta.diff_notes(run(9), run(13))
+    return changed.select("repo_id", "section_id", "finding_id", "change", F.sha2("finding", 256).alias("finding_sha256"))
 
 
 def a4_coverage(spark, sf):
@@ -239,8 +262,8 @@ def u1_chunk_text(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        walk_changed_by_kind, f1_f2_f3_live_files, f4_classify, x1_fingerprints, a1_summarize_tree, x7_j1_j2_import_edges, a9_module_index, a6_w4_neighbors,
-        j4_j5_upsert_state, j4_pruned, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j11_diff_notes,
+        walk_changed_by_kind, f1_f2_f3_live_files, f1_repository_rules, f4_classify, x1_fingerprints, a1_summarize_tree, x7_j1_j2_import_edges, a9_module_index, a6_w4_neighbors,
+        j4_j5_upsert_state, j4_pruned, a8_lookup_counts, w1_dedupe_findings, w2_running_summary, a3_cacheable_files, w3_x2_number_notes, j6_section_change, j6_changed_places, j11_diff_notes,
         a4_coverage, x3_notes_hash, w6_number_sources, j9_claim_sources, m7_review_outcome, a5_section_report, u1_chunk_text,
     )
 }
@@ -258,6 +281,10 @@ ORACLES = {
     " FROM live LEFT JOIN state s ON s.repo_id = live.repo_id AND s.rel_path = live.rel_path AND s.fingerprint = live.fp)"
     " SELECT repo_id, kind, route, count(*) AS files FROM routed GROUP BY ALL",
     "f1_f2_f3_live_files": FILES + f"SELECT repo_id, rel_path, octet_length(encode(text))::BIGINT AS size FROM files WHERE {LIVE}",
+    "f1_repository_rules": FILES
+    + """, f AS (SELECT repo_id, rel_path, octet_length(encode(text))::BIGINT AS size, lang, doc_id AS d, doc_id % 8 AS e, doc_id % 10 AS r, regexp_extract(repo_id, '(\\d+)$', 1)::INTEGER AS n FROM files JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))
+  SELECT repo_id, rel_path, size FROM f WHERE CASE WHEN n % 3 = 0 THEN r <> 3 ELSE r <> 4 AND lang <> 'de' AND (e <> 3 OR d % 10 = 3) AND NOT (e = 2 AND left(d::VARCHAR, 1) BETWEEN '0' AND '4')
+    AND NOT (e = 5 AND d BETWEEN 10 AND 19) AND (e <> 0 OR starts_with(d::VARCHAR, n::VARCHAR)) END""",
     "f4_classify": FILES + f"SELECT repo_id, {KIND} AS kind, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM files GROUP BY 1, 2",
     "x1_fingerprints": FILES + f"SELECT repo_id, rel_path, {FP} AS fingerprint FROM files",
     "a1_summarize_tree": FILES
@@ -297,12 +324,18 @@ ORACLES = {
     count(CASE WHEN ln IS NOT NULL AND wn IS NOT NULL THEN 1 END) AS same, coalesce(sum(ln), 0) AS total, coalesce(sum(wn), 0) AS cached FROM both_ids GROUP BY ALL)
   SELECT repo_id, section_id, CASE WHEN fresh OR blank THEN 'rewrite' WHEN added + removed = 0 THEN 'unchanged' WHEN total = 0 THEN 'rewrite' WHEN (added + removed) / total <= 0.3 THEN 'surgical' ELSE 'rewrite' END AS decision,
     (CASE WHEN fresh OR blank THEN total ELSE added END)::INTEGER AS added, (CASE WHEN fresh THEN 0 WHEN blank THEN cached ELSE removed END)::INTEGER AS removed,
-    (CASE WHEN fresh OR blank THEN 0 ELSE same END)::INTEGER AS unchanged_count, total::INTEGER AS total_live FROM agg""",
+    (CASE WHEN fresh OR blank THEN 0 ELSE same END)::INTEGER AS unchanged_count, total::INTEGER AS total_live,
+    (CASE WHEN fresh OR blank THEN total + CASE WHEN fresh THEN 0 ELSE cached END ELSE added + removed END) / total AS churn FROM agg""",
+    "j6_changed_places": NOTES
+    + f""", ids AS (SELECT *, {FID} AS id, (row_number() OVER (PARTITION BY repo_id, section_id ORDER BY file, seq) - 1)::INTEGER AS place FROM notes),
+  was AS (SELECT repo_id, section_id, place, CASE WHEN seq % 9 = 0 THEN reverse(id) ELSE id END AS id FROM ids), blank AS (SELECT DISTINCT repo_id, section_id FROM ids WHERE id = '')
+  SELECT repo_id, section_id, 'added' AS change, place, id FROM ids n WHERE (repo_id, section_id) IN (SELECT repo_id, section_id FROM blank) OR NOT EXISTS (SELECT 1 FROM was w WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)
+  UNION ALL SELECT repo_id, section_id, 'removed', place, id FROM was w WHERE (repo_id, section_id) IN (SELECT repo_id, section_id FROM blank) OR NOT EXISTS (SELECT 1 FROM ids n WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)""",
     "j11_diff_notes": NOTES
-    + f""", ids AS (SELECT *, {FID} AS id FROM notes), was AS (SELECT repo_id, section_id, file, CASE WHEN seq % 9 = 0 THEN reverse(id) ELSE id END AS id FROM ids),
-  now AS (SELECT repo_id, section_id, file, CASE WHEN seq % 13 = 0 THEN reverse(id) ELSE id END AS id FROM ids)
-  SELECT repo_id, section_id, id AS finding_id, file AS finding, 'added' AS change FROM now n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)
-  UNION ALL SELECT repo_id, section_id, id, NULL, 'removed' FROM was w WHERE NOT EXISTS (SELECT 1 FROM now n WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)""",
+    + f""", ids AS (SELECT *, {FID} AS id FROM notes), was AS (SELECT repo_id, section_id, CASE WHEN seq % 9 = 0 THEN reverse(id) ELSE id END AS id FROM ids),
+  now AS (SELECT repo_id, section_id, finding, CASE WHEN seq % 13 = 0 THEN reverse(id) ELSE id END AS id FROM ids)
+  SELECT repo_id, section_id, id AS finding_id, 'added' AS change, sha256(finding) AS finding_sha256 FROM now n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)
+  UNION ALL SELECT repo_id, section_id, id, 'removed', NULL FROM was w WHERE NOT EXISTS (SELECT 1 FROM now n WHERE w.repo_id = n.repo_id AND w.section_id = n.section_id AND w.id = n.id)""",
     "x3_notes_hash": NOTES
     + """, one AS (SELECT repo_id, section_id, file, seq, substring(sha256(file), 1, 3) AS g, substring(sha256(concat_ws(chr(1), file, 'role', coalesce(finding, ''), '')), 1, 12) AS h FROM notes),
   parts AS (SELECT repo_id, section_id, g, substring(sha256(string_agg(h, chr(1) ORDER BY file, seq)), 1, 12) AS d FROM one GROUP BY ALL)

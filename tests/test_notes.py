@@ -1,6 +1,10 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from srcatlas.operators import delta, evidence as ev, notes as no, report as ro, state as so
+from srcatlas.operators.markers import annotated
 
 SRC = "array<struct<file:string,line_start:int,line_end:int,fingerprint:string>>"
 FILES = "repo_id string, rel_path string, kind string, fingerprint string"
@@ -108,6 +112,57 @@ def test_conflicts_list_all_sides(spark):
     assert got == f"B.\n\n## Conflicts in source\n{ev.CONFLICTS}\n\n- **they differ**\n  - x (`a`, `b:2-4`)\n  - y\n\n## Sources\n1. `a`\n2. `b:2-4`"
 
 
+def marked_one_by_one(body, claims):
+    """What the markers mean: each claim looks at the body as the claims before it left it."""
+    for text, mark in claims:
+        if text and mark and " ".join(text.split()) in " ".join(body.split()) and text in body and mark not in body:
+            body = body.replace(text, text + mark, 1)
+    return body
+
+
+def test_one_pass_puts_markers_where_one_by_one_does():
+    rng = random.Random(4)
+    for k in range(400):
+        words = ["ab", "a", "b c", "c", "a b", "x.", "é"] + (["[1]", "[2", "3]"] if k % 4 == 0 else [])
+        body = " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+        claims = []
+        for _ in range(rng.randint(0, 10)):
+            a = rng.randint(0, max(0, len(body) - 1))
+            text = rng.choice([body[a : a + rng.randint(1, 8)].strip(), rng.choice(words), ""])
+            claims.append((text, "".join(f"[{rng.randint(1, 4)}]" for _ in range(rng.randint(0, 3)))))
+        assert annotated(body, claims) == marked_one_by_one(body, claims), (body, claims)
+
+
+def test_ten_thousand_claims_in_a_megabyte():
+    sentences = [f"Sentence {k} says {k * 7919 % 10007} things about orders, customers, payments and all that follows from these facts." for k in range(10_000)]
+    body = "\n".join(sentences)
+    assert len(body) > 1_000_000
+    start = time.time()
+    got = annotated(body, [(s, f"[{k + 1}]") for k, s in enumerate(sentences)])
+    assert time.time() - start < 10 and got == "\n".join(f"{s}[{k + 1}]" for k, s in enumerate(sentences))
+
+
+def test_a_section_of_a_hundred_thousand_references(spark):
+    n = 100_000
+    claims = spark.range(n).select(
+        F.lit("r").alias("repo_id"), F.lit("s").alias("section_id"), F.col("id").alias("claim_idx"), F.concat(F.lit("c"), "id").alias("text"),
+        F.array(F.struct(F.concat(F.lit("f"), (F.col("id") % 50_000).cast("string")).alias("file"), *[F.lit(None).cast("int").alias(c) for c in ("line_start", "line_end")], F.lit("").alias("fingerprint"))).alias("sources"),
+    )
+    body = spark.createDataFrame([("r", "s", "B")], f"{KEY}, body string")
+    document = ev.render_sections(body, claims, spark.createDataFrame([], AGAINST)).first().document
+    lines = document.split("\n")
+    assert lines[:5] == ["B", "", "## Supporting claims", "- c0 [1]", "- c1 [2]"] and lines[3 + 60_000] == "- c60000 [10001]" and lines[-1] == "50000. `f49999`"
+
+
+def test_claims_are_numbered_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(delta, "CLAIMS", 4)
+    old = spark.createDataFrame([("r", "s", k, f"old {k}", []) for k in range(30)], CLAIMS)
+    removed = spark.createDataFrame([("r", "s", k) for k in range(0, 30, 3)], f"{KEY}, claim_idx int")
+    new = spark.createDataFrame([("r", "s", k, f"new {k}", []) for k in range(9)], f"{KEY}, claim_idx int, text string, note_indices array<int>")
+    rows = delta.merge_surgical_edit(old, removed, new, spark.createDataFrame([], NOTE)).orderBy("claim_idx").collect()
+    assert [(r.claim_idx, r.text) for r in rows] == list(enumerate([f"old {k}" for k in range(30) if k % 3] + [f"new {k}" for k in range(9)], 1))
+
+
 def test_empty_parts_are_left_out(spark):
     assert render(spark, " only a body \n", []) == "only a body" and render(spark, None, []) == ""
 

@@ -87,11 +87,34 @@ CHANGES = [
 ]
 
 
+def change_of(cached, live, threshold=0.3):
+    """(decision, added places, removed ids, unchanged, live, churn) of one section by its lists."""
+    cached = cached or []
+    anew = not cached or "" in cached or "" in live
+    added = [k for k, x in enumerate(live) if anew or x not in cached]
+    removed = [x for x in cached if cached and (anew or x not in live)]
+    changed = len(added) + len(removed)
+    decision = "rewrite" if anew else "unchanged" if not changed else "rewrite" if not live else "surgical" if changed / len(live) <= threshold else "rewrite"
+    churn = changed / len(live) if live else float(bool(removed))
+    return decision, added, removed, 0 if anew else len(set(cached) & set(live)), len(live), churn
+
+
+IDS = "repo_id string, section_id string, place int, id string"
+
+
+def places(spark, ids):  # of no section at all where there are none
+    return spark.createDataFrame([("r", "s", k, x) for k, x in enumerate(ids or [])], IDS)
+
+
 @pytest.mark.parametrize("cached,live,threshold,decision", CHANGES)
 def test_section_change(spark, cached, live, threshold, decision):
-    state = spark.createDataFrame([("r", "s", cached)], "repo_id string, section_id string, finding_ids array<string>")
-    now = spark.createDataFrame([("r", "s", live)], "repo_id string, section_id string, live_ids array<string>")
-    assert delta.classify_section_change(state, now, threshold).first().decision == decision
+    want = change_of(cached, live, threshold)
+    assert want[0] == decision
+    row = delta.section_change_counts(places(spark, cached), places(spark, live), threshold).first()
+    assert tuple(row)[2:] == (decision, len(want[1]), len(want[2]), *want[3:])
+    changed = delta.changed_places(places(spark, cached), places(spark, live)).collect()
+    assert sorted(r.place for r in changed if r.change == "added") == want[1] and sorted(r.id for r in changed if r.change == "removed") == sorted(want[2])
+    assert all(r.id == (live if r.change == "added" else cached)[r.place] for r in changed)
 
 
 TEXTS = [("hello world", 100, 10), ("", 100, 10), ("x" * 1000, 100, 0), ("line\n" * 200, 200, 40), ("abcdefghij" * 20, 50, 0), ("a b\n\n" * 50, 30, 0), ("aa\n\nbbb\ncccccccccccc\n\ndd", 10, 4), ("p q" * 9 + "\n\n\n" + "z" * 33, 12, 5)]
@@ -209,14 +232,11 @@ def test_section_report_prefers_gaps_and_ignores_empty_bodies(spark):
 
 
 def test_section_changes_count_like_the_lists(spark):
-    state = [("r", "a", i) for i in "wxyyz"] + [("r", "b", "x"), ("r", "c", ""), ("r", "d", "x"), ("r", "f", "p")]
-    live = [("r", "a", i) for i in "vvwxy"] + [("r", "b", "x"), ("r", "c", "x"), ("r", "e", "x"), *[("r", "f", i) for i in "pppq"]]
-    schema = "repo_id string, section_id string, id string"
-    was, now = spark.createDataFrame(state, schema), spark.createDataFrame(live, schema)
-    listed = lambda df, name: df.groupBy("repo_id", "section_id").agg(F.collect_list("id").alias(name))
-    want = delta.classify_section_change(listed(was, "finding_ids"), listed(now, "live_ids")).select(
-        "repo_id", "section_id", "decision", F.size("added_indices"), F.size("removed_ids"), "unchanged_count", "total_live"
-    )
-    got = delta.section_change_counts(was, now)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert "collect_list" not in got._jdf.queryExecution().toString()
+    was = {"a": "wxyyz", "b": "x", "c": [""], "d": "x", "f": "p"}
+    now = {"a": "vvwxy", "b": "x", "c": "x", "e": "x", "f": "pppq"}
+    table = lambda lists: spark.createDataFrame([("r", s, k, x) for s, ids in lists.items() for k, x in enumerate(ids or [])], IDS)
+    got = {r.section_id: tuple(r)[2:] for r in delta.section_change_counts(table(was), table(now)).collect()}
+    want = {s: change_of(list(was.get(s, "")), list(now.get(s, ""))) for s in {*was, *now}}
+    assert got == {s: (d, len(a), len(r), *rest) for s, (d, a, r, *rest) in want.items()}
+    plans = [delta.section_change_counts(table(was), table(now)), delta.changed_places(table(was), table(now))]
+    assert not any("collect_list" in p._jdf.queryExecution().toString() for p in plans)
