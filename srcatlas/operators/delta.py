@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +118,48 @@ def section_path(sections: DataFrame, live: DataFrame, state: DataFrame, changes
     return rows.select(*KEY, "path", "stored", kept.alias("stored_hash"))
 
 
-def fallback_lines(notes: DataFrame) -> DataFrame:
-    """The lines that list a section's raw findings where no answer came."""
-    return notes.select(*KEY, "note_no", F.concat(F.lit("- **"), F.coalesce("file", F.lit("?")), F.lit("** — "), F.coalesce("finding", F.lit(""))).alias("line"))
+# Fixed texts of sections without an answer and without notes.
+FAILED = "_Aggregation failed for **{title}** ({error}). Raw notes preserved below._"
+EMPTY = "_No findings were extracted for **{title}** during the last walk._"
+
+
+def _filled(text: str, **columns):
+    """A text with columns in place of its names in braces."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[columns[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
+def empty_body(title, description):
+    return F.concat(_filled(EMPTY, title=title), F.lit("\n\n> Brief: "), description, F.lit("\n"))
+
+
+def fallback_lines(notes: DataFrame, failed: DataFrame, sections: DataFrame) -> DataFrame:
+    """The lines, in order of line_no, that stand for a section whose rewrite failed: head, brief and its raw findings.
+
+    `failed` has (repo_id, section_id, error), `notes` note_no, file and finding; every line is a row.
+    """
+    named = failed.select(*KEY, F.coalesce("error", F.lit("")).alias("error")).join(F.broadcast(sections.select("section_id", "title", "description")), "section_id")
+    head = F.array(_filled(FAILED, title=F.col("title"), error=F.col("error")), F.lit(""), F.concat(F.lit("> Brief: "), "description"), *map(F.lit, ("", "", "## Raw findings", "")))
+    heads = named.select(*KEY, F.posexplode(head).alias("at", "line")).select(*KEY, (F.col("at") - 7).cast("long").alias("line_no"), "line")
+    line = F.concat(F.lit("- **"), F.coalesce("file", F.lit("?")), F.lit("** — "), F.coalesce("finding", F.lit("")))
+    return heads.unionByName(notes.join(failed.select(*KEY), KEY, "left_semi").select(*KEY, F.col("note_no").cast("long").alias("line_no"), line.alias("line")))
+
+
+def write_back(paths: DataFrame, state: DataFrame, answers: DataFrame, sections: DataFrame) -> DataFrame:
+    """What a run leaves behind of each section: (path, body, shown, in_state, notes_hash, stored_body).
+
+    `paths` comes from `section_path`, `state` has notes_hash and body, `answers` (request, ok, body) what
+    came of edits and rewrites.  `body` is what is shown (null for a fallback, which is shown as lines);
+    the state takes the new digest and body of sections that are stored and keeps all others as they were.
+    """
+    ok = answers.where("ok").groupBy(*KEY).agg(F.max(F.when(F.col("request") == "edit", F.col("body"))).alias("edit"), F.max(F.when(F.col("request") == "rewrite", F.col("body"))).alias("rewrite"))
+    rows = paths.join(state.select(*KEY, F.col("notes_hash").alias("was"), F.col("body").alias("old")), KEY, "left").join(ok, KEY, "left").join(F.broadcast(sections.select("section_id", "title", "description")), "section_id")
+    body = (
+        F.when(F.col("path") == "empty", empty_body(F.col("title"), F.col("description"))).when(F.col("path").isin("cached", "unchanged"), F.col("old"))
+        .when(F.col("path") == "edited", F.col("edit")).when(F.col("path") == "rewritten", F.col("rewrite"))
+    )
+    known = F.col("was").isNotNull()
+    return rows.select(
+        *KEY, "path", body.alias("body"), (F.col("stored") | known).alias("in_state"),
+        F.when(F.col("stored"), F.col("stored_hash")).otherwise(F.col("was")).alias("notes_hash"), F.when(F.col("stored"), body).otherwise(F.col("old")).alias("stored_body"),
+    )

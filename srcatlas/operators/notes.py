@@ -127,26 +127,56 @@ def section_request_lines(numbered: DataFrame, sections: DataFrame) -> DataFrame
     return heads.unionByName(numbered.select("repo_id", "section_id", F.col("note_no").cast("long").alias("line_no"), line.alias("line")))
 
 
-def delta_request_lines(added: DataFrame, removed: DataFrame, claims: DataFrame) -> DataFrame:
-    """The lines of the request that edits a section: notes added (A), ids removed (R) and claims kept (C), each by its own numbers.
+# Fixed texts of the request that edits a section.
+BODY_HEAD = "### Current section body (preserve unchanged paragraphs verbatim)"
+PART_HEADS = {
+    "A": "### Added findings ({n}) — index against new_claims.source_indices",
+    "R": "### Removed findings ({n}) — these no longer have source support; revise or drop the prose that depended on them",
+    "C": "### Cached claims ({n}) — index into removed_claim_indices to drop any whose evidence is gone",
+}
+NO_ROWS = "_(none)_"
+EDIT_END = "Edit the body to integrate the added findings and revise around the removed ones. Preserve unchanged paragraphs verbatim. Return SurgicalEdit per the schema."
+
+
+def delta_request_lines(bodies: DataFrame, sections: DataFrame, added: DataFrame, removed: DataFrame, claims: DataFrame) -> DataFrame:
+    """The lines of the requests that edit sections, in order of (part, line_no): head and body, then added notes (A), removed ids (R) and stored claims (C).
 
-    `added` has note_no, file, summary and finding, `removed` no and finding_id, `claims` claim_idx and text.
+    `bodies` (repo_id, section_id, body) holds the sections that are edited, `sections` title and
+    description, `added` note_no, file, summary and finding, `removed` no and finding_id, `claims`
+    claim_idx and text.  Each list counts by numbers of its own and says so where it is empty.  Every line
+    is a row (the body is one), so that a section may have any number of them.
     """
     key = ["repo_id", "section_id"]
+    asked = bodies.select(*key, F.coalesce("body", F.lit("")).alias("body"))
+    ids = asked.select(*key)
     role = F.when(F.coalesce("summary", F.lit("")) == "", "").otherwise(F.concat(F.lit(" (file role: "), "summary", F.lit(")")))
-
-    def lines(table: DataFrame, mark: str, number: str, text) -> DataFrame:
-        return table.select(*key, F.lit(mark).alias("part"), F.col(number).cast("long").alias("line_no"), F.concat(F.lit(f"[{mark}"), F.col(number).cast("string"), F.lit("] "), text).alias("line"))
-
-    return (
-        lines(added, "A", "note_no", F.concat(F.coalesce("file", F.lit("?")), role, F.lit(": "), F.coalesce("finding", F.lit(""))))
-        .unionByName(lines(removed, "R", "no", F.concat(F.lit("(cached finding id "), "finding_id", F.lit(")"))))
-        .unionByName(lines(claims, "C", "claim_idx", F.col("text")))
-    )
+    texts = {
+        "A": (added, "note_no", F.concat(F.coalesce("file", F.lit("?")), role, F.lit(": "), F.coalesce("finding", F.lit("")))),
+        "R": (removed, "no", F.concat(F.lit("(cached finding id "), "finding_id", F.lit(")"))),
+        "C": (claims, "claim_idx", F.coalesce("text", F.lit(""))),
+    }
+
+    def lines(table: DataFrame, part: int, *line) -> DataFrame:
+        rows = F.posexplode(F.array(*line)).alias("line_no", "line")
+        return table.select(*key, F.lit(part).alias("part"), rows).withColumn("line_no", F.col("line_no").cast("long"))
+
+    named = asked.join(F.broadcast(sections), "section_id")
+    head = (F.concat(F.lit("## Section: "), "title", F.lit(" (id: "), "section_id", F.lit(")")), F.lit(""), F.lit("### Brief"), F.col("description"), F.lit(""), F.lit(BODY_HEAD), F.lit("```markdown"), strip(F.col("body")), F.lit("```"), F.lit(""))
+    out = lines(named, 0, *head)
+    for k, (mark, (table, number, text)) in enumerate(texts.items()):
+        own = table.join(ids, key, "left_semi")
+        said = own.select(*key, F.lit(2 * k + 2).alias("part"), F.col(number).cast("long").alias("line_no"), F.concat(F.lit(f"[{mark}"), F.col(number).cast("string"), F.lit("] "), text).alias("line"))
+        counted = ids.join(own.groupBy(*key).agg(F.count("*").alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("string"))
+        before, behind = PART_HEADS[mark].split("{n}")
+        title = F.concat(F.lit(before), "n", F.lit(behind))
+        # A blank line ends the list before this one.
+        start = (F.lit(""), title) if k else (title,)
+        out = out.unionByName(lines(counted.where("n <> '0'"), 2 * k + 1, *start)).unionByName(lines(counted.where("n = '0'"), 2 * k + 1, *start, F.lit(NO_ROWS))).unionByName(said)
+    return out.unionByName(lines(ids, 2 * len(texts) + 1, F.lit(""), F.lit(EDIT_END)))
 
 
 def extraction_requests(chunks: DataFrame, neighbors: DataFrame) -> DataFrame:
-    return chunks.join(neighbors, FILE, "left").select(*FILE, "chunk_index", "chunks", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"), "body")
+    return chunks.join(neighbors, FILE, "left").select(*FILE, "chunk_index", "chunks", "char_start", F.coalesce("neighbors", F.array().cast("array<string>")).alias("neighbors"), "body")
 
 
 def extraction_stats(routed: DataFrame, notes: DataFrame, chunk_results: DataFrame, failed: DataFrame) -> DataFrame:

@@ -27,6 +27,34 @@ def coverage_percent(contributing: DataFrame, state_files: DataFrame) -> DataFra
     return both.select("repo_id", total.alias("total_files"), "with_findings", F.when(total > 0, F.bround(F.col("with_findings") * 100.0 / total, 1)).otherwise(0.0).alias("percent"))
 
 
+def coverage_report(notes: DataFrame, state: DataFrame, sections: Sequence[str]) -> DataFrame:
+    """Coverage of every repository that has notes or a state, by section (0 where nothing was found) and in all (section_id null).
+
+    `notes` has (repo_id, section_id, file), `state` a row for each file of the extraction state
+    (repo_id, rel_path, n_findings).  Notes count where a repository has any; else the state says how many
+    files there are and how many of them have findings.  Percent is half-even to one digit.
+    """
+    files = notes.where(F.col("section_id").isin(*sections)).groupBy(*KEY, F.coalesce("file", F.lit("")).alias("file")).agg(F.count("*").alias("n"))
+    per = files.groupBy(*KEY).agg(F.sum("n").alias("findings"), F.count_if(F.col("file") != "").alias("files"))
+    noted = files.where("file <> ''").select("repo_id", "file").distinct().groupBy("repo_id").agg(F.count("*").alias("noted"))
+    stored = state.groupBy("repo_id").agg(F.count("*").alias("stored"), F.count_if(F.col("n_findings") > 0).alias("stored_with"))
+    zero = F.lit(0).cast("long")
+    both = noted.join(stored, "repo_id", "full_outer").na.fill(0)
+    repos = both.unionByName(files.select("repo_id").distinct().join(both, "repo_id", "left_anti"), allowMissingColumns=True).na.fill(0)
+    spine = repos.select("repo_id", F.explode(F.array(*map(F.lit, sections))).alias("section_id"))
+    none = F.lit(None)
+    by_section = spine.join(per, KEY, "left").select(*KEY, F.coalesce("findings", zero).alias("findings"), F.coalesce("files", zero).alias("files"), none.cast("long").alias("total_files"), none.cast("double").alias("percent"))
+    has_notes = F.col("noted") > 0
+    with_findings = F.when(has_notes, F.col("noted")).otherwise(F.col("stored_with"))
+    total = F.when(has_notes, F.greatest("noted", "stored")).otherwise(F.col("stored"))
+    found = files.groupBy("repo_id").agg(F.sum("n").alias("findings"))
+    in_all = repos.join(found, "repo_id", "left").select(
+        "repo_id", none.cast("string").alias("section_id"), F.coalesce("findings", zero).alias("findings"), with_findings.alias("files"), total.alias("total_files"),
+        F.when(total > 0, F.bround(with_findings * 100.0 / total, 1)).otherwise(0.0).alias("percent"),
+    )
+    return by_section.unionByName(in_all)
+
+
 def collect_upstream(bodies: DataFrame, lineage: DataFrame) -> DataFrame:
     """Populated upstream bodies of each derivative section, in declared order."""
     up = bodies.where(F.col("body").isNotNull() & ~is_placeholder(F.col("body"), "derive")).withColumnRenamed("section_id", "upstream_id")

@@ -72,6 +72,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back, where two reads of it must agree to the row."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _names(spark: SparkSession, folder: str) -> list[str]:
     store, path = _path(spark, folder)
     return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []

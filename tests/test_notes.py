@@ -71,9 +71,59 @@ def test_request_lines(spark):
     about = spark.createDataFrame([("s", "Title", "About.")], "section_id string, title string, description string")
     lines = [r.line for r in no.section_request_lines(no.number_notes(notes), about).orderBy("line_no").collect()]
     assert lines == ["## Section: Title (id: s)", "", "### Brief", "About.", "", "### Notes from 2 file(s) — referenced by 1-based index in `source_indices`", "[1] a.py:1-2, b.py (file role: role): one", "[2] b.py: two"]
+
+
+def test_edit_requests(spark):
+    key = "repo_id string, section_id string"
+    about = spark.createDataFrame([("s", "Title", "About."), ("t", "Other", "More.")], "section_id string, title string, description string")
+    bodies = spark.createDataFrame([("r", "s", " Body.\nTwo. "), ("r", "t", None)], f"{key}, body string")
+    added = spark.createDataFrame([("r", "s", 1, "a.py", "role", "one"), ("r", "s", 2, None, None, "two"), ("r", "u", 1, "x", "", "not asked")], f"{key}, note_no int, file string, summary string, finding string")
+    removed = spark.createDataFrame([("r", "s", 1, "abc")], f"{key}, no int, finding_id string")
+    claims = spark.createDataFrame([("r", "t", 1, "claim")], f"{key}, claim_idx int, text string")
+    lines = {}
+    for r in no.delta_request_lines(bodies, about, added, removed, claims).orderBy("part", "line_no").collect():
+        lines.setdefault(r.section_id, []).append(r.line)
+    end = ["", "Edit the body to integrate the added findings and revise around the removed ones. Preserve unchanged paragraphs verbatim. Return SurgicalEdit per the schema."]
+    heads = no.PART_HEADS
+    first = ["## Section: Title (id: s)", "", "### Brief", "About.", "", no.BODY_HEAD, "```markdown", "Body.\nTwo.", "```", ""]
+    assert lines.pop("s") == [
+        *first, heads["A"].format(n=2), "[A1] a.py (file role: role): one", "[A2] ?: two", "", heads["R"].format(n=1), "[R1] (cached finding id abc)", "", heads["C"].format(n=0), no.NO_ROWS, *end
+    ]
+    assert lines.pop("t")[10:] == [heads["A"].format(n=0), no.NO_ROWS, "", heads["R"].format(n=0), no.NO_ROWS, "", heads["C"].format(n=1), "[C1] claim", *end] and not lines
+
+
+def test_what_is_written_back(spark):
     key = "repo_id string, section_id string"
-    delta_lines = no.delta_request_lines(no.number_notes(notes), spark.createDataFrame([("r", "s", 1, "abc")], f"{key}, no int, finding_id string"), spark.createDataFrame([("r", "s", 1, "claim")], f"{key}, claim_idx int, text string"))
-    assert {r.line for r in delta_lines.collect()} == {"[A1] a.py (file role: role): one", "[A2] b.py: two", "[R1] (cached finding id abc)", "[C1] claim"}
+    about = spark.createDataFrame([(s, s.title(), f"About {s}.") for s in ("empty", "kept", "edited", "failed", "new")], "section_id string, title string, description string")
+    paths = spark.createDataFrame(
+        [("r", "empty", "empty", True, ""), ("r", "kept", "unchanged", False, "old"), ("r", "edited", "edited", True, "now"), ("r", "failed", "fallback", False, "old"), ("r", "new", "fallback", False, None)],
+        f"{key}, path string, stored boolean, stored_hash string",
+    )
+    state = spark.createDataFrame([("r", s, "old", f"old {s}") for s in ("empty", "kept", "edited", "failed")], f"{key}, notes_hash string, body string")
+    answers = spark.createDataFrame([("r", "edited", "edit", True, "edited body"), ("r", "edited", "rewrite", False, "no"), ("r", "failed", "rewrite", False, None)], f"{key}, request string, ok boolean, body string")
+    got = {r.section_id: tuple(r)[2:] for r in delta.write_back(paths, state, answers, about).collect()}
+    empty = "_No findings were extracted for **Empty** during the last walk._\n\n> Brief: About empty.\n"
+    assert got == {
+        "empty": ("empty", empty, True, "", empty), "kept": ("unchanged", "old kept", True, "old", "old kept"), "edited": ("edited", "edited body", True, "now", "edited body"),
+        "failed": ("fallback", None, True, "old", "old failed"), "new": ("fallback", None, False, None, None),
+    }
+    notes = spark.createDataFrame([("r", "failed", 1, "a.py", "one"), ("r", "failed", 2, None, None), ("r", "kept", 1, "x", "y")], f"{key}, note_no int, file string, finding string")
+    failed = spark.createDataFrame([("r", "failed", "no answer")], f"{key}, error string")
+    lines = [r.line for r in delta.fallback_lines(notes, failed, about).orderBy("line_no").collect()]
+    assert "\n".join(lines) == "_Aggregation failed for **Failed** (no answer). Raw notes preserved below._\n\n> Brief: About failed.\n\n\n## Raw findings\n\n- **a.py** — one\n- **?** — "
+
+
+def test_coverage_falls_back_to_the_state(spark):
+    notes = spark.createDataFrame(
+        [("a", "intent", "x.py"), ("a", "intent", "x.py"), ("a", "intent", None), ("a", "domains", "y.py"), ("a", "personas", "z.py"), ("c", "intent", "")], "repo_id string, section_id string, file string"
+    )
+    state = spark.createDataFrame([("a", "x.py", 1), *[("b", f"f{k}", k % 2) for k in range(16)], ("c", "q", 0)], "repo_id string, rel_path string, n_findings int")
+    got = {(r.repo_id, r.section_id): tuple(r)[2:] for r in ro.coverage_report(notes, state, ("intent", "domains")).collect()}
+    assert got == {
+        ("a", "intent"): (3, 1, None, None), ("a", "domains"): (1, 1, None, None), ("a", None): (4, 2, 2, 100.0),
+        ("b", "intent"): (0, 0, None, None), ("b", "domains"): (0, 0, None, None), ("b", None): (0, 8, 16, 50.0),
+        ("c", "intent"): (1, 0, None, None), ("c", "domains"): (0, 0, None, None), ("c", None): (1, 0, 1, 0.0),
+    }
 
 
 KEY = "repo_id string, section_id string"

@@ -62,6 +62,42 @@ def test_import_edges(spark, rows, expected):
     assert {(r.src, r.dst) for r in io.import_edges(files(spark, rows)).collect()} == expected
 
 
+def test_pages_of_a_hub(spark):
+    edges = [("r", f"f{k:03d}.py", "hub.py") for k in range(230)] + [("r", "hub.py", "z.py"), ("q", "f.py", "hub.py"), ("r", "f000.py", "hub.py")]
+    pages = io.adjacency_pages(spark.createDataFrame(edges, "repo_id string, src string, dst string"), 50)
+    got = {(r.repo_id, r.rel_path, r.side, r.page): r.names for r in pages.collect()}
+    hub = [got["r", "hub.py", "imported_by", k] for k in range(5)]
+    assert [len(x) for x in hub] == [50, 50, 50, 50, 30] and sum(hub, []) == [f"f{k:03d}.py" for k in range(230)]
+    assert got["r", "hub.py", "imports", 0] == ["z.py"] and got["q", "hub.py", "imported_by", 0] == ["f.py"] and got["r", "f000.py", "imports", 0] == ["hub.py"]
+
+
+def test_repository_rules(spark):
+    """Every prefix by its last matching rule, against the rules tried one by one on each path."""
+    from srcatlas.functions.ignore import DEFAULT_EXCLUDES, compile_rules
+
+    text = "*.log\n!keep.log\n/only_root\na/**/b\nout/\n!dist/\n!x/y.txt\nx/\n\\#odd\n*.tar.gz\n[ab].txt\n/src/*.c\n!/src/k?.c\nname"
+    paths = ["keep.log", "z.log", "d/keep.log", "only_root", "d/only_root", "a/b", "a/q/r/b/f", "out", "out/f", "d/out/f", "dist/f", "x/y.txt", "#odd", "f.tar.gz", "a.txt", "c.txt", "src/m.c", "src/k1.c", "src/d/m.c", "name/f", "d/name", "build/f", "t.pyc"]
+    rules = compile_rules([*DEFAULT_EXCLUDES, *text.split("\n"), "extra/"])
+
+    def goes(path):
+        steps = path.split("/")
+        for n in range(1, len(steps) + 1):
+            gone = False
+            for _, regex, negate, dir_only in rules:
+                if (n < len(steps) or not dir_only) and re.search(regex, "/".join(steps[:n])):
+                    gone = not negate
+            if gone:
+                return True
+        return False
+
+    table = files(spark, [*((p, "x") for p in [*paths, "extra/f"]), (".gitignore", text)])
+    kept = {r.rel_path for r in fo.filter_ignored(table, extra=["extra/"]).collect()}
+    assert kept == {p for p in [*paths, "extra/f", ".gitignore"] if not goes(p)} and {"dist/f", "keep.log", "src/k1.c", "d/only_root", "c.txt"} <= kept
+    # Another repository has no rules of its own.
+    other = table.unionByName(table.where("rel_path <> '.gitignore'").withColumn("repo_id", F.lit("plain")))
+    assert {r.rel_path for r in fo.filter_ignored(other).where("repo_id = 'plain'").collect()} == set(paths) - {"dist/f", "build/f", "t.pyc"} | {"extra/f"}
+
+
 def test_neighbors_are_limited(spark):
     df = files(spark, [("hub.py", "".join(f"import leaf{k}\n" for k in range(20)))] + [(f"leaf{k}.py", "") for k in range(20)])
     edges = io.import_edges(df)
