@@ -86,7 +86,7 @@ def repository_rules(ignores: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES) ->
 
 
 def ignored_prefixes(prefixes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(repo_id, prefix) of the directories and files (repo_id, prefix, is_dir) whose last matching rule ignores them.
+    """Those of the directories and files (repo_id, prefix, is_dir) whose last matching rule ignores them.
 
     Rules without wildcards and those for a suffix meet prefixes by equality; the others are tried on every
     prefix of their repository, in order of the pattern, so that each is compiled once for all rows of a task.
@@ -99,12 +99,12 @@ def ignored_prefixes(prefixes: DataFrame, rules: DataFrame) -> DataFrame:
         F.struct(F.lit("name").alias("meets"), name.alias("key")), F.struct(F.lit("path").alias("meets"), F.col("prefix").alias("key")), F.struct(F.lit("suffix").alias("meets"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("key"))
     )
     keyed = salted.select("repo_id", "salt", "prefix", "is_dir", F.explode(ways).alias("w")).select("repo_id", "salt", "prefix", "is_dir", "w.*")
-    verdict = ["repo_id", "prefix", "seq", "negate"]
+    verdict = ["repo_id", "prefix", "is_dir", "seq", "negate"]
     by_key = keyed.join(everywhere.where("meets <> 'pattern'"), ["repo_id", "salt", "meets", "key"]).where("is_dir OR NOT dir_only").select(*verdict)
     tried = salted.join(everywhere.where("meets = 'pattern'"), ["repo_id", "salt"]).where("is_dir OR NOT dir_only").sortWithinPartitions("regex")
     by_pattern = tried.where("regexp_instr(prefix, regex) > 0").select(*verdict)
-    last = by_key.unionByName(by_pattern).groupBy("repo_id", "prefix").agg(F.max_by("negate", "seq").alias("negate"))
-    return last.where("NOT negate").select("repo_id", "prefix")
+    last = by_key.unionByName(by_pattern).groupBy("repo_id", "prefix", "is_dir").agg(F.max_by("negate", "seq").alias("negate"))
+    return last.where("NOT negate").drop("negate")
 
 
 def ignored_files(paths: DataFrame, ignores: DataFrame, extra=(), defaults=DEFAULT_EXCLUDES) -> DataFrame:
@@ -117,7 +117,7 @@ def ignored_files(paths: DataFrame, ignores: DataFrame, extra=(), defaults=DEFAU
     parts = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(F.array_join(F.slice(steps, 1, n), "/").alias("prefix"), (n < F.size(steps)).alias("is_dir")))
     spine = paths.join(own, "repo_id", "left_semi").select(*KEY, F.explode(parts).alias("p")).select(*KEY, "p.*")
     judged = ignored_prefixes(spine.select("repo_id", "prefix", "is_dir").distinct(), repository_rules(ignores, extra, defaults))
-    by_own = spine.join(judged, ["repo_id", "prefix"], "left_semi").select(*KEY).distinct()
+    by_own = spine.join(judged, ["repo_id", "prefix", "is_dir"], "left_semi").select(*KEY).distinct()
     by_default = paths.join(own, "repo_id", "left_anti").where(_by_shared_rules(compile_rules([*defaults, *extra]))).select(*KEY).distinct()
     return by_own.unionByName(by_default)
 
