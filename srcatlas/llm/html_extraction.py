@@ -38,15 +38,21 @@ BLANK = 0.25
 UNIT = 1 << 20
 
 _NAME = re.compile(r"/?[a-zA-Z][\w:-]*")
-_STOP = re.compile(r"[\"'>]")
+#: A quote opens a value right behind an equals sign alone; elsewhere in a tag it is a character like others.
+_STOP = re.compile(r"=[ \t\n\r\f]*+[\"']|>")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
+_SPOKEN = re.compile(r"[a-z']+")
 #: Elements whose content is no text of the page.
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea iframe svg".split()}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data em font i img kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 #: Elements that a start tag closes if they are open in the same container; a paragraph by any other.
 CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+#: Words of people who speak to each other, in the languages of the tables.
+TALK = frozenset(
+    "i me my mine i'm i've im we you your yours u thanks thank thx agree disagree great nice love loved hate lol haha wow imo imho reply replied wrote says said comment comments author ago cheers sorry awesome totally bravo danke super toll finde ich mein merci accord je moi mon gracias acuerdo yo mi genial".split()
+)
 CONTAINERS = frozenset("html body div article section main nav aside header footer form ul ol dl table figure blockquote".split())
 
 
@@ -75,7 +81,7 @@ def pieces(page: str):
             if stop is None or stop[0] == ">":
                 end = n if stop is None else stop.start()
                 break
-            close = page.find(stop[0], stop.end())
+            close = page.find(stop[0][-1], stop.end())
             end = stop.end() if close < 0 else close + 1
         if not quoted or end >= n:
             # Quotes that leave no tag end say nothing; they are not looked at again on this page.
@@ -113,13 +119,14 @@ class Ancestors:
     def __init__(self, weights: list[tuple[int, int]] | None = None):
         self.weights, self.held, self.sum = weights, {}, [0, 0]
         self.stack: list[tuple] = []
+        self.opened = 0
         self.open: dict[str, int] = {}
         self.inline: dict[str, int] = {}  # open since the last block element
         self.near: dict[str, int] = {}  # open since the last container
-        self.key = 0
+        self.key = self.home = 0  # of the open elements, and of those down to the last container
 
     def push(self, tag: str, slots) -> None:
-        self.stack.append((tag, slots, self.inline, self.near, self.key))
+        self.stack.append((tag, slots, self.inline, self.near, self.key, self.home))
         self.key = hash((self.key, tag, slots))
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag in INLINE:
@@ -127,7 +134,7 @@ class Ancestors:
         else:
             self.inline = {}
         if tag in CONTAINERS:
-            self.near = {}
+            self.near, self.home = {}, self.marked()
         else:
             self.near[tag] = self.near.get(tag, 0) + 1
         for s in slots:
@@ -139,7 +146,7 @@ class Ancestors:
                 self.sum[1] += b
 
     def pop(self) -> str:
-        tag, slots, self.inline, self.near, self.key = self.stack.pop()
+        tag, slots, self.inline, self.near, self.key, self.home = self.stack.pop()
         self.open[tag] -= 1
         if tag in INLINE:
             self.inline[tag] -= 1
@@ -155,6 +162,11 @@ class Ancestors:
                 self.sum[1] -= b
         return tag
 
+    def marked(self) -> int:
+        """A number for this very element: equal elements beside each other have different ones."""
+        self.opened += 1
+        return self.opened
+
     def close(self, tags) -> None:
         """End the innermost of `tags` and all that is open inside it."""
         while self.pop() not in tags:
@@ -162,9 +174,10 @@ class Ancestors:
 
 
 def leaf_blocks(page: str, weights: list[tuple[int, int]] | None = None) -> list[tuple]:
-    """(text, own tag, place, is mostly link, ancestors) of each block with text, in page order.
+    """(text, own tag, place, is mostly link, ancestors, container) of each block with text, in page order.
 
-    `place` is equal for blocks of equal ancestors; ancestors are their slots, or with `weights` the sums of these.
+    `place` is equal for blocks of equal ancestors, the container for those of one element; ancestors are
+    their slots, or with `weights` the sums of these.
     """
     up, blocks = Ancestors(weights), []
     parts, linked, length = [], 0, 0
@@ -174,7 +187,7 @@ def leaf_blocks(page: str, weights: list[tuple[int, int]] | None = None) -> list
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                blocks.append((text, up.stack[-1][0] if up.stack else "", up.key, linked * 2 > length, tuple(up.sum) if weights else tuple(up.held)))
+                blocks.append((text, up.stack[-1][0] if up.stack else "", up.key, linked * 2 > length, tuple(up.sum) if weights else tuple(up.held), up.home))
             parts, linked, length = [], 0, 0
 
     for text, tag, attributes in pieces(page):
@@ -216,8 +229,12 @@ def leaf_blocks(page: str, weights: list[tuple[int, int]] | None = None) -> list
 def text_slots(blocks) -> list[list[int]]:
     """Feature slots of each block's own text and of its place among the blocks."""
     out, n = [], len(blocks)
-    for k, (text, own, place, linked, _) in enumerate(blocks):
+    headed = next((b[5] for b in blocks if b[1] in ("h1", "h2")), None)
+    last = max((k for k, b in enumerate(blocks) if b[5] == headed), default=-1)
+    for k, (text, own, place, linked, _, home) in enumerate(blocks):
         words = text.count(" ") + 1
+        talk = sum(w in TALK for w in _SPOKEN.findall(text.lower()))
+        where = "none" if headed is None else "with" if home == headed else "past" if k > last else "before"
         names = (
             "bias",
             f"own:{own}",
@@ -232,11 +249,40 @@ def text_slots(blocks) -> list[list[int]]:
             f"bar:{'|' in text}",
             f"commas:{min(3, text.count(','))}",
             f"same:{k > 0 and place == blocks[k - 1][2]}",
+            f"talk:{min(3, talk)}",
+            f"talks:{talk * 8 > words}",
+            f"shout:{text.count('!') > 1 or '!!' in text}",
+            f"heading:{where}",
+            f"heading:{where}:talk:{min(2, talk)}",
+            f"heading:{where}:words:{min(8, words.bit_length())}",
         )
         out.append([_slot(x) for x in names])
     return out
 
 
+def chain_gradient(score: np.ndarray, trans: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood of labels y by the scores (pages, blocks, 2) and by the transitions; `on` tells blocks from padding."""
+    longest = on.shape[1]
+    alpha, beta = np.zeros_like(score), np.zeros_like(score)
+    alpha[:, 0] = score[:, 0]
+    for t in range(1, longest):
+        step = score[:, t] + np.logaddexp(alpha[:, t - 1, 0, None] + trans[0], alpha[:, t - 1, 1, None] + trans[1])
+        alpha[:, t] = np.where(on[:, t, None], step, alpha[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        after = score[:, t + 1] + beta[:, t + 1]
+        step = np.logaddexp(trans[:, 0][None] + after[:, :1], trans[:, 1][None] + after[:, 1:])
+        beta[:, t] = np.where(on[:, t + 1, None], step, 0.0)
+    total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    gap = (np.eye(2)[y] - np.exp(alpha + beta - total[:, None, None])) * on[:, :, None]
+    pair, both = np.zeros((2, 2)), on[:, 1:]
+    np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1.0)
+    for a in (0, 1):
+        for b in (0, 1):
+            e = alpha[:, :-1, a] + trans[a, b] + score[:, 1:, b] + beta[:, 1:, b] - total[:, None]
+            pair[a, b] -= np.exp(np.where(both, e, -np.inf)).sum()
+    return gap, pair
+
+
 def train(pages: list[tuple[list, list[int]]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(weights (features, 2), transitions (2, 2)) that maximise the likelihood of pages of (blocks, labels)."""
     rng, w, trans = np.random.default_rng(seed), np.zeros((FEATURES, 2)), np.zeros((2, 2))
@@ -261,24 +307,9 @@ def train(pages: list[tuple[list, list[int]]], seed: int = 7) -> tuple[np.ndarra
         use = ~(above & blank[page])
         c, s = cell[use], slot[use]
         score = np.stack([np.bincount(c, weights=w[s, k], minlength=on.size) for k in (0, 1)], axis=1).reshape(*on.shape, 2)
-        alpha, beta = np.zeros_like(score), np.zeros_like(score)
-        alpha[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            step = score[:, t] + np.logaddexp(alpha[:, t - 1, 0, None] + trans[0], alpha[:, t - 1, 1, None] + trans[1])
-            alpha[:, t] = np.where(on[:, t, None], step, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            after = score[:, t + 1] + beta[:, t + 1]
-            step = np.logaddexp(trans[:, 0][None] + after[:, :1], trans[:, 1][None] + after[:, 1:])
-            beta[:, t] = np.where(on[:, t + 1, None], step, 0.0)
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        gap = ((np.eye(2)[y] - np.exp(alpha + beta - total[:, None, None])) * on[:, :, None]).reshape(-1, 2)
+        gap, pair = chain_gradient(score, trans, y, on)
+        gap = gap.reshape(-1, 2)
         grad = np.stack([np.bincount(s, weights=gap[c, k], minlength=FEATURES) for k in (0, 1)], axis=1)
-        pair, both = np.zeros((2, 2)), on[:, 1:]
-        np.add.at(pair, (y[:, :-1][both], y[:, 1:][both]), 1.0)
-        for a in (0, 1):
-            for b in (0, 1):
-                e = alpha[:, :-1, a] + trans[a, b] + score[:, 1:, b] + beta[:, 1:, b] - total[:, None]
-                pair[a, b] -= np.exp(np.where(both, e, -np.inf)).sum()
         grad, pair = grad / len(pages) - DECAY * w, pair / len(pages) - DECAY * trans
         gw += grad**2
         gt += pair**2

@@ -23,6 +23,15 @@ MARKS = {
 SYLLABLES = "ba be di do fu ga ke li lo ma ne no pa pe ra ri sa se ta to un ve en er an is ti on".split()
 
 
+#: What readers write below articles, by hand.
+REMARKS = (
+    "Great piece, thanks for sharing.", "I disagree with the last point.", "Thank you, this helped me a lot!", "I tried this and it did not work for me.", "Nice article, but you forgot the second part.",
+    "lol", "First!", "Totally agree.", "My brother says the same.", "Could you please write more about this?", "I love it!!", "Sorry, but I think this is wrong.", "We had the same problem last year.",
+    "Thanks!", "You made my day.", "Does anyone know where I can find the figures?", "I've been reading you for years, cheers.", "Wow, awesome work.", "@Tom I agree with you.", "Anna wrote: thanks, I will try it.", "3 days ago",
+    "Imo the author is right.", "Danke, das finde ich super.", "Ich sehe das anders, aber toll geschrieben.", "Merci, je suis d'accord.", "Je ne suis pas convaincu, moi.", "Gracias, estoy de acuerdo.", "Yo no lo creo.",
+)
+
+
 class Maker:
     def __init__(self, rng: random.Random):
         self.rng = rng
@@ -56,7 +65,7 @@ class Maker:
                 elif kind < 0.26:
                     out.append(("blockquote", self.prose(1, 2)))
                 else:
-                    text = self.prose(1, 6) if rng.random() < 0.8 else self.words(1, 8)
+                    text = self.prose(1, 6) if rng.random() < 0.75 else self.words(1, 8) if rng.random() < 0.6 else rng.choice((self.words(15, 120), " ".join([self.word()] * rng.randint(10, 60)), self.prose(1, 3)[:-1]))
                     out.append(("p", text.replace(" ", rng.choice((" ", " <b>" + self.word() + "</b> ", " <a href='/x'>" + self.word() + "</a> ")), 1)))
             return out
         if part == "menu":
@@ -70,7 +79,10 @@ class Maker:
         if part == "form":
             return [("label", self.words(1, 3) + ":"), ("button", self.words(1, 2))]
         if part == "comments":
-            return [("h3", self.words(1, 2))] + [(rng.choice(("p", "div")), self.prose(1, 3)) for _ in range(rng.randint(1, 6))]
+            said = lambda: " ".join(rng.choice(REMARKS) for _ in range(rng.choice((1, 1, 2))))
+            head = [("h3", self.words(1, 2))] if rng.random() < 0.6 else []
+            own = rng.random() < 0.35
+            return head + [(rng.choice(("p", "div")), self.prose(1, 3) if own else said() + (" " + self.sentence() if rng.random() < 0.4 else "")) for _ in range(rng.randint(1, 6))]
         return [("p", f"&copy; {rng.randint(1999, 2030)} {self.words(1, 4)}" if rng.random() < 0.6 else self.prose(1, 1))]
 
     def part(self, part: str, telling: float) -> tuple[str, list[int]]:
@@ -86,6 +98,11 @@ class Maker:
             tag, name = rng.choice((("div",) * 3 + ("section",))), rng.choice(names)
             head = f'<{tag} {rng.choice(("class", "class", "id"))}="{name} {self.word()}">'
         inner = "".join(f"<{t}>{x}</{t}>" if t != "li" else f"<ul><li>{x}</ul>" for t, x in blocks)
+        if part == "article" and len(blocks) > 3 and rng.random() < 0.3:
+            # The parts of an article often stand in elements of their own.
+            rows = [f"<{t}>{x}</{t}>" if t != "li" else f"<ul><li>{x}</ul>" for t, x in blocks]
+            cut, box = rng.randint(1, len(rows) - 1), rng.choice(("div", "section", "header"))
+            inner = f"<{box}>{''.join(rows[:cut])}</{box}>" + (f"<div>{''.join(rows[cut:])}</div>" if rng.random() < 0.5 else "".join(rows[cut:]))
         for _ in range(rng.choice((0, 0, 0, 1, 4))):
             inner = f'<div class="{self.word()}">{inner}</div>'
         return f"{head}{inner}</{tag}>", [int(part == "article")] * len(blocks)

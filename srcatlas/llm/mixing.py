@@ -146,22 +146,13 @@ def _rate(steps: list[list[float]], domains: int) -> Column:
     return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - inner(s)))
 
 
-def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET, at_most: bool = False) -> Column:
-    """Rate of each document of `posteriors` as a column over its p.
-
-    With `at_most`, the weights of all domains but the largest are upper bounds: a domain that holds less
-    of the tokens is asked for what it holds and not repeated, and the largest domain takes the rest.
-    """
+def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET) -> Column:
+    """Rate of each document of `posteriors` as a column over its p."""
     k = len(targets)
     mass = [F.sum(F.col("tokens") * F.col("p")[d]).alias(f"s{d}") for d in range(k)]
     first = table.agg(*mass).first()
     have = np.array([x or 0.0 for x in first])
     main = int(np.argmax(targets))
-    if at_most:
-        share = np.minimum(targets, have / max(1.0, have.sum()))
-        share[main] = 0.0
-        share[main] = 1.0 - share.sum()
-        targets = share
     want = np.array(targets) * have[main] / targets[main] * budget
     steps: list[list[float]] = []
     for step in range(STEPS + 1):
@@ -182,13 +173,13 @@ def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET, at_most
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = BUDGET, text: str = "text", key: str = "doc_id", at_most: bool = False
+    docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = BUDGET, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate) of every document."""
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
     weights, bias = fit_domains(source, domain_of(labels))
     table = save(posteriors(source, weights, bias), "posteriors")
-    rate = fit_rates(table, targets, budget, at_most)
+    rate = fit_rates(table, targets, budget)
     return table.select("doc_id", "tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], rate.alias("rate"))
 
 
@@ -199,7 +190,7 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def mixed_documents(
-    docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = BUDGET, text: str = "text", key: str = "doc_id", at_most: bool = False
+    docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = BUDGET, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """The documents, each as often as its rate says, with all their columns.
 
@@ -207,7 +198,7 @@ def mixed_documents(
     """
     source = docs.selectExpr(f"CAST(`{key}` AS BIGINT) AS k", f"CAST(`{text}` AS STRING) AS t")
     weights, bias = fit_domains(source, domain_of(labels))
-    rate = fit_rates(save(posteriors(source, weights, bias), "posteriors"), targets, budget, at_most)
+    rate = fit_rates(save(posteriors(source, weights, bias), "posteriors"), targets, budget)
     at = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("array<double>")

@@ -1,7 +1,9 @@
 """Operator 3: secret scan with a random forest that removes false positives.
 
-A scan proposes candidates: vendor key shapes, private key blocks, values given to names such
-as token or password, and any long unbroken run of letters, digits and key marks.  Each is
+A scan proposes candidates: vendor key shapes, private key blocks, values given to names of any
+length that hold a word such as token or password (to the end of their quotes, or to white space),
+what such a word is said to be ("the password is ..."), passwords in addresses (user:pass@host), and
+any long unbroken run of letters, digits and key marks.  Each is
 described by its length, its character transitions (mean log probability under the transitions
 of all texts), entropy, the share of it that the corpus's most frequent words cover, its
 character kinds, the words beside it and its path.  Spark's random forest, trained on labelled
@@ -10,13 +12,14 @@ shuffled.
 
 Labelled findings are those given as a table (text, start, length, path, label), at most
 `LABELS` of them, those of the least hashes, or by default `labelled_findings`, which are made
-by rule.  Word and transition counts are summed over all documents by Spark; what is broadcast
+by rule, with `hand_findings`, which were written and labelled by hand.  Word and transition counts are summed over all documents by Spark; what is broadcast
 has a fixed size: a table of 256 x 256 transitions, `DICTIONARY` words and the trees.
 
 Defined cases: null and empty texts have no findings; null doc_ids are carried; each repeated
 row yields its own findings; without a path column all paths are empty; extra columns are ignored
 by `find_secrets` and kept by `redact_secrets`; an empty table gives no rows; overlapping
-candidates count once, the longest of the earliest first; values have no length limit.
+candidates count once, by shape first, then by name; names and values have no length limit.  A value
+without quotes ends at white space, at a quote or angle bracket, or before `,name=`.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -32,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save
+from .hand_findings import hand_findings
 from .labelled_findings import labelled_findings
 from .words import row_words
 
 LABELS = 20_000
 TREES, DEPTH = 32, 10
+#: How often each finding labelled by hand stands among those made by rule.
+HAND = 8
 DICTIONARY = 5000
 #: Numbers that the words before and behind a candidate are hashed to.
 BEFORE, BEHIND = 24, 8
@@ -50,15 +57,23 @@ _SHAPES = (
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{20,})+)?"),
 )
-_NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?token|credential|private[_-]?key"
-_KEYED = rf"(?i:\b[\w.-]{{0,24}}(?:{_NAMES})[\w-]{{0,12}}[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?)(?P<value>[^\s\"'<>,;]{{6,}})"
-_LONG = r"(?<![A-Za-z0-9+/_=@.\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9@])"
-CANDIDATE = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _SHAPES) + f"|(?P<keyed>{_KEYED})|(?P<long>{_LONG})")
+_NAMES = "token|secret|passwd|password|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?token|credential|private[_-]?key"
+_NAMED = re.compile(_NAMES, re.I)
+#: A name of any length with the mark that gives it a value; runs are taken whole, so that no text is looked at twice.
+_ASSIGNED = re.compile(r"(?<![\w.\-])(?P<name>[\w.\-]++)[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+")
+_SAID = re.compile(rf"(?i)\b(?:{_NAMES}|api key|access key)\s++(?:is|was)\s*+:?\s*+|\b(?:use|with)\s++(?:the\s++)?(?:{_NAMES})\s++")
+_IN_URL = re.compile(r"://[^\s/:@\"'<>]*+:(?P<value>[^\s/@\"'<>]++)@")
+_QUOTED = re.compile(r"\"(?P<double>(?:[^\"\\\n]|\\.)++)\"|'(?P<single>(?:[^'\\\n]|\\.)++)'")
+#: A value without quotes runs to white space, a quote or an angle bracket, or to the next name with a value.
+_BARE = re.compile(r"<[^<>\s]++>|[^\s\"'<>]++")
+_NEXT = re.compile(r"[,;&](?=[\w.\-]+[=:])")
+_SHAPED = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _SHAPES))
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=@.\-])[A-Za-z0-9+/_\-]{20,}+={0,2}(?![A-Za-z0-9@])")
 #: What every candidate needs; texts without it are passed over at once.
-QUICK = r"(?i)AKIA|ASIA|gh[pousr]_|xox|k_live|k_test|eyJ|PRIVATE KEY|token|secret|pass|pwd|key|auth|credential|[A-Za-z0-9+/_\-]{20}"
+QUICK = r"(?i)AKIA|ASIA|gh[pousr]_|xox|k_live|k_test|eyJ|PRIVATE KEY|token|secret|pass|pwd|key|auth|credential|://|[A-Za-z0-9+/_\-]{20}"
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|\*{3}|test|^none$|^null$|^true$|^false$|\$\{|^<")
 _URL = re.compile(r"(?i)https?:|www\.|\.com|\.org|/[a-z]+/")
-KINDS = [n for n, _ in _SHAPES] + ["keyed", "long"]
+KINDS = [n for n, _ in _SHAPES] + ["keyed", "said", "url", "long"]
 
 
 class CorpusModel:
@@ -120,11 +135,55 @@ def corpus_model(docs: DataFrame) -> CorpusModel:
     return CorpusModel(table.reshape(256, 256), common)
 
 
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the value at a place: all within its quotes, or a run without the marks that end a sentence."""
+    if quoted := _QUOTED.match(text, at):
+        return quoted.span(quoted.lastgroup)
+    bare = _BARE.match(text, at + (text[at : at + 1] in "\"'"))
+    if bare is None:
+        return None
+    start, end = bare.span()
+    if cut := _NEXT.search(text, start, end):
+        end = cut.start()
+    while end > start and text[end - 1] in ".,;:)]}`":
+        end -= 1
+    return (start, end) if end > start else None
+
+
 def candidates(text: str):
-    """(start, end, kind) of what might be a secret, in order and without overlaps."""
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k])
-        yield (*m.span("value"), "keyed") if m["keyed"] else (*m.span(), kind)
+    """(start, end, kind) of what might be a secret, in order and without overlaps.
+
+    Known shapes come before values of telling names, those before values that are spoken of and those in
+    addresses, and all before long runs of characters; the name of a value is no candidate itself.
+    """
+    found = [(*m.span(), m.lastgroup, m.start()) for m in _SHAPED.finditer(text)]
+    for m in _ASSIGNED.finditer(text):
+        if _NAMED.search(m["name"]) and (span := _value(text, m.end())):
+            found.append((*span, "keyed", m.start()))
+    found += [(*span, "said", m.start()) for m in _SAID.finditer(text) if (span := _value(text, m.end()))]
+    found += [(*m.span("value"), "url", m.start()) for m in _IN_URL.finditer(text)]
+    found += [(*m.span(), "long", m.start()) for m in _LONG.finditer(text)]
+    # Each keeps the place from where its name begins, if no kind before it has taken some of that.
+    taken: list[tuple[int, int]] = []
+    out = []
+    for kinds in (KINDS[: len(_SHAPES)], ["keyed"], ["said"], ["url"], ["long"]):
+        more = []
+        for start, end, kind, name in found:
+            if kind not in kinds:
+                continue
+            k = bisect_right(taken, (start, len(text))) - 1
+            if (k >= 0 and taken[k][1] > start) or (k + 1 < len(taken) and taken[k + 1][0] < end) or (more and more[-1][1] > start):
+                continue
+            out.append((start, end, kind))
+            more.append((min(name, start), end))
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(taken + more):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        taken = merged
+    return sorted(out)
 
 
 def _beside(word: list[str], n: int) -> int:
@@ -150,8 +209,13 @@ def describe(text: str, start: int, end: int, kind: str, path: str, model: Corpu
         share(lambda c: c in "0123456789abcdef"),
         share(lambda c: not c.isalnum()),
         sum(a != b for a, b in zip(sort, sort[1:])) / n,
-        float(bool(re.search(_NAMES, before, re.I))),
+        float(bool(_NAMED.search(before))),
         float(bool(re.search(r"[=:]\s{0,3}[\"']?$", before))),
+        float(value.isalpha() and (value.islower() or value.istitle())),
+        float(" " in value),
+        float(bool(re.search(r"[A-Za-z]", value) and re.search(r"[0-9]", value))),
+        float(bool(re.search(r"[!#$%&*+?^~]", value))),
+        float("(" in value or "[" in value or value.startswith(("/", "./", "$", "<", "{"))),
         float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)),
         model.coverage(before[-16:]),
         model.coverage(after[:16]),
@@ -230,7 +294,7 @@ def fit_scanner(docs: DataFrame, text: str = "text", labels: DataFrame | None =
 
     corpus = corpus_model(docs.select(F.col(f"`{text}`").cast("string").alias("t")))
     if labels is None:
-        rows = labelled_findings()
+        rows = labelled_findings() + hand_findings() * HAND
     else:
         columns = ["text", "start", "length", "path", "label"]
         rows = labels.where("text IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("text", "start"), "text", "start").limit(LABELS).select(*columns).toLocalIterator()

@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -386,6 +388,56 @@ def test_blocks_follow_the_rules_of_open_elements():
         assert summed[4] == (sum(plain[4]), -sum(plain[4]))
 
 
+HAND_PAGES = [
+    # (html, main text), as people write pages: without class names that tell, with menus, comments and footers.
+    ("<div><h1>How we count birds</h1><p>Every spring the volunteers walk the same path, early in the morning.</p><p>They write down each species that they hear.</p></div><div class='x'><p>Great piece, thanks for it!</p><p>I disagree with you, my count was higher.</p></div>",
+     "How we count birds\n\nEvery spring the volunteers walk the same path, early in the morning.\n\nThey write down each species that they hear."),
+    ("<body><ul><li><a href=/>Home</a><li><a href=/a>About</a><li><a href=/c>Contact</a></ul><div><h1>Bread without kneading</h1><p>Mix flour, water, salt and a little yeast in the evening. Leave the dough alone until the next morning.</p><p>Bake it in a hot pot for half an hour, then without the lid for a quarter more.</p></div><div><p>Thank you, I tried it and my family loved it.</p></div><div><p>&copy; 2021 The Oven</p></div></body>",
+     "Bread without kneading\n\nMix flour, water, salt and a little yeast in the evening. Leave the dough alone until the next morning.\n\nBake it in a hot pot for half an hour, then without the lid for a quarter more."),
+    ("<header><a href=/>The Paper</a></header><main><h1>Bridge closed until May</h1><p>The old bridge over the river will be closed from Monday, the city said. Engineers found cracks in two of the pillars.</p><blockquote>Safety comes first, said the mayor on Friday.</blockquote><p>Buses take the northern road.</p></main><aside><h4>More</h4><ul><li><a href=/1>Weather for the week</a></ul></aside><footer>Imprint | Privacy</footer>",
+     "Bridge closed until May\n\nThe old bridge over the river will be closed from Monday, the city said. Engineers found cracks in two of the pillars.\n\nSafety comes first, said the mayor on Friday.\n\nBuses take the northern road."),
+    ("<nav><a href=/>Docs</a></nav><article><h1>Install</h1><p title=it's>Download the archive and unpack it.</p><p>Second stays.</p><p>don't stop</p><p>Then run the installer from the folder.</p></article><section class=comments><p>Works fine, thanks.</p></section>",
+     "Install\n\nDownload the archive and unpack it.\n\nSecond stays.\n\ndon't stop\n\nThen run the installer from the folder."),
+]
+
+
+@pytest.mark.parametrize("page, text", HAND_PAGES)
+def test_pages_written_by_hand(extractor, page, text):
+    assert extractor.main_text(page) == text
+
+
+def test_a_quote_opens_right_behind_an_equals_sign_alone():
+    blocks = lambda page: [b[0] for b in H.leaf_blocks(page)]
+    assert blocks("<p title=it's>Article one.</p><p>Second stays.</p><p>don't stop</p><p>end</p>") == ["Article one.", "Second stays.", "don't stop", "end"]
+    assert blocks("<p a = 'x>y' b=\"'>\" c>one</p><p 'odd' d=\">\">two</p><p e=f\"g>three</p>") == ["one", "two", "three"]
+    assert blocks("<p title='never closed>lost?</p><p>kept</p>") == ["lost?", "kept"]
+
+
+def test_gradient_of_the_chain_equals_all_labellings():
+    rng = np.random.default_rng(7)
+    lengths, longest = (4, 2, 1), 4
+    score, trans = rng.normal(size=(3, longest, 2)), rng.normal(size=(2, 2))
+    on = np.array([[t < n for t in range(longest)] for n in lengths])
+    y = rng.integers(0, 2, size=(3, longest)) * on
+
+    def likelihood(score, trans):
+        total = 0.0
+        for k, n in enumerate(lengths):
+            path = lambda z: sum(score[k, t, z[t]] for t in range(n)) + sum(trans[a, b] for a, b in zip(z, z[1:]))
+            total += path(y[k, :n]) - np.log(sum(np.exp(path(z)) for z in itertools.product((0, 1), repeat=n)))
+        return total
+
+    gap, pair = H.chain_gradient(score, trans, y, on)
+    for at in np.ndindex(score.shape):
+        more = score.copy()
+        more[at] += 1e-6
+        assert abs((likelihood(more, trans) - likelihood(score, trans)) / 1e-6 - gap[at]) < 1e-4
+    for at in np.ndindex(trans.shape):
+        more = trans.copy()
+        more[at] += 1e-6
+        assert abs((likelihood(score, more) - likelihood(score, trans)) / 1e-6 - pair[at]) < 1e-4
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     score, trans = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
@@ -410,6 +462,46 @@ def test_secrets_are_told_from_look_alikes(scanner):
     assert right >= 0.97 * found and right >= 0.9 * want and want > 500  # values that are short and have no name are never proposed
 
 
+def test_secrets_of_findings_labelled_by_hand(scanner):
+    """Lines that neither the maker nor the forest has seen."""
+    from srcatlas.llm.hand_findings import hand_findings
+
+    right = found = want = 0
+    for text, start, length, path, label in hand_findings(held_out=True):
+        hit = any(a < start + length and b > start for a, b, *_ in scanner.find(text, path))
+        right, found, want = right + (hit and label), found + hit, want + label
+    assert want == 16 and right >= 0.85 * found and right >= 0.75 * want, (right, found, want)
+
+
+@pytest.mark.parametrize("text, value", [
+    ("DB_PASSWORD=abc$%12XYZ!", "abc$%12XYZ!"), ("MY_VERY_LONG_COMPANY_SERVICE_PRODUCTION_DB_PASSWORD=abc$%12XYZ!", "abc$%12XYZ!"), ("password_for_the_production_db = abc$%12XYZ!", "abc$%12XYZ!"),
+    ("password=abc,defGHI123xyz", "abc,defGHI123xyz"), ('db_password: "correct horse battery staple"', "correct horse battery staple"), ("the password is hunter2xyz", "hunter2xyz"), ("pwd=hunter2", "hunter2"),
+    ("https://user:S3cr3tPass@host", "S3cr3tPass"), ("x; token='a\\'b c'; y", "a\\'b c"), ("password=Abc12,user=b", "Abc12"), ("(secret: k9.d2)", "k9.d2"), ("p" * 300 + "_token=v1x", "v1x"),
+])
+def test_whole_values_are_proposed(text, value):
+    assert [text[a:b] for a, b, _ in secrets.candidates(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ["token" * 100_000, "a.b-" * 100_000, "password is " * 40_000, "://a:" * 100_000, "x" * 500_000, "token='" * 60_000, "\"" * 200_000, "token=\"\\" * 50_000])
+def test_candidates_take_linear_time(text):
+    start = time.time()
+    assert len(list(secrets.candidates(text))) < len(text)
+    assert time.time() - start < 15
+
+
+def test_trees_score_as_the_forest_does(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)).round(2)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.2).astype(float)
+    frame = spark.createDataFrame([(Vectors.dense(a), float(b), 1.0 + (k % 3)) for k, (a, b) in enumerate(zip(x, y))], ["features", "label", "weight"]).coalesce(1)
+    model = RandomForestClassifier(numTrees=12, maxDepth=6, seed=5, weightCol="weight").fit(frame)
+    want = [r.probability[1] for r in model.transform(frame).collect()]
+    assert np.allclose(secrets.Forest(model).scores(x), want, atol=1e-12)
+
+
 def test_secrets_follow_the_labels_of_a_table(spark):
     """What a table calls harmless is left alone, whatever its characters."""
     rng = random.Random(5)
@@ -585,12 +677,6 @@ def test_mixing_keeps_the_targets_of_a_scarce_domain(spark):
     rows = mixing.mix(docs(spark, texts), labels, targets).collect()
     mass = [sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS]
     assert np.allclose(np.array(mass) / sum(mass), targets, atol=0.005)
-    # As upper bounds, the weights of what is scarce come to what is there, and nothing is repeated beyond the budget.
-    rows = mixing.mix(docs(spark, texts), labels, targets, at_most=True).collect()
-    got = np.array([sum(r.rate * r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS])
-    have = np.array([sum(r.tokens * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS]) / sum(r.tokens for r in rows)
-    assert np.allclose(got / got.sum(), [min(0.1, have[0]), 1 - min(0.1, have[0]) - min(0.4, have[2]), min(0.4, have[2])], atol=0.005)
-    assert max(r.rate for r in rows) < 1.3 and min(r.rate for r in rows) > 0.5
     with pytest.warns(UserWarning, match="misses its targets"):
         mixing.mix(docs(spark, ["fine prose here"] * 3), labels, targets)
 
