@@ -268,6 +268,17 @@ def m6_derivation_paths(spark, sf):
     return ro.derivation_path(derived, hashes, state, review=True).select(*SECTION, "path", "stored_on_success")
 
 
+def m6_derivation_state(spark, sf):
+    """The state rows that a run of derivations leaves: answers for all but the diagrams, which fail."""
+    bodies = section_bodies(documents_as_notes(spark, sf))
+    hashes = so.upstream_hash(ro.collect_upstream(bodies, no.lineage(spark)))
+    derived = bodies.select("repo_id").distinct().select("repo_id", F.explode(F.array(*map(F.lit, no.DERIVED))).alias("section_id"))
+    state = hashes.select(*SECTION, F.when(F.col("repo_id").endswith("1"), F.col("upstream_hash")).otherwise("old").alias("upstream_hash"), F.lit(True).alias("revised"))
+    paths = ro.derivation_path(derived, hashes, state, review=True)
+    answers = paths.where("path = 'derive'").select(*SECTION, F.concat(F.lit("derived "), "section_id").alias("body"), (F.col("section_id") != "diagrams").alias("ok"))
+    return ro.derivation_rows(paths, answers, review=True).select(*SECTION, (F.col("upstream_hash") != "").alias("has_upstream"), "body", "revised")
+
+
 def section_bodies(notes: DataFrame) -> DataFrame:
     """A body for each section: its least finding, or a placeholder where the last note's number is a fifth one."""
     return notes.groupBy(*SECTION).agg(F.when(F.max("seq") % 5 == 0, "_No Findings were extracted_").otherwise(F.concat(F.lit("no findings: "), F.min("finding"))).alias("body"))
@@ -323,6 +334,17 @@ def j10_merge_edit(spark, sf):
     return merged.select(*SECTION, "claim_idx", F.sha2("text", 256).alias("text_sha256"), F.array_join(F.transform("sources", lambda s: s["file"]), ",").alias("files"))
 
 
+def j10_contradictions(spark, sf):
+    """Every fifth note of a section contradicts the next one: positions with the sources that their notes give, in place of stored contradictions."""
+    notes = no.number_notes(documents_as_notes(spark, sf))
+    side = lambda text, *at: F.struct(text.alias("text"), F.array(*at).alias("note_indices"))
+    n = F.col("note_no")
+    against = notes.where("note_no % 5 = 0").select(*SECTION, n.alias("c_idx"), F.concat(F.lit("differs from "), "file").alias("summary"), F.array(side(F.coalesce("finding", F.lit("")), n), side(F.lit("the next one"), n + 1, F.lit(0), n + 1)).alias("positions"))
+    found = delta.resolve_contradictions(against, notes)
+    files = lambda p: F.array_join(F.transform(p["sources"], lambda s: s["file"]), ",")
+    return found.select(*SECTION, "c_idx", "summary", F.sha2(F.col("positions")[0]["text"], 256).alias("text_sha256"), F.array_join(F.transform("positions", files), ";").alias("files"))
+
+
 def x8_m8_render_sections(spark, sf):
     """A conversation is a section: its even turns are the body, every turn is a claim with a source of its own, and all turns contradict each other."""
     turns = read(spark, sf, "conversations").select(
@@ -397,7 +419,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f8_select_manifests, s2_decode_text, a4_coverage_percent, a4_coverage_report, a2_files_by_kind, a6_adjacency_pages, m4_delta_request, m5_write_back, m5_fallback_lines, u2_u6_contract_findings, j7_scope_rpcs, o3_touched_tables, m2_apply_extraction, m3_o2_union_notes, a2_extraction_stats, m4_section_requests, m1_extraction_requests,
-        m5_section_paths, m6_derivation_paths, j8_collect_upstream, m9_context_pack, a7_short_circuit, j10_merge_edit, x8_m8_render_sections,
+        m5_section_paths, m6_derivation_paths, m6_derivation_state, j8_collect_upstream, m9_context_pack, a7_short_circuit, j10_merge_edit, j10_contradictions, x8_m8_render_sections,
     )
 }
 
@@ -481,6 +503,13 @@ ORACLES = {
     + f""", {UPSTREAM}, n AS (SELECT repo_id, section_id, count(*) AS n FROM up GROUP BY ALL), spine AS (SELECT repo_id, unnest(['personas', 'user_stories', 'diagrams']) AS section_id FROM (SELECT DISTINCT repo_id FROM notes))
   SELECT s.repo_id, s.section_id, CASE WHEN n IS NULL THEN 'skipped' WHEN n % 2 = 1 AND s.repo_id LIKE '%1' THEN 'cached' ELSE 'derive' END AS path, NOT (n IS NOT NULL AND n % 2 = 1 AND s.repo_id LIKE '%1') AS stored_on_success
   FROM spine s LEFT JOIN n ON n.repo_id = s.repo_id AND n.section_id = s.section_id""",
+    "m6_derivation_state": NOTES
+    + f""", {UPSTREAM}, n AS (SELECT repo_id, section_id, count(*) AS n FROM up GROUP BY ALL), spine AS (SELECT repo_id, unnest(['personas', 'user_stories', 'diagrams']) AS section_id FROM (SELECT DISTINCT repo_id FROM notes))
+  SELECT s.repo_id, s.section_id, n IS NOT NULL AS has_upstream, CASE WHEN n IS NULL THEN '' ELSE 'derived ' || s.section_id END AS body, true AS revised FROM spine s LEFT JOIN n ON n.repo_id = s.repo_id AND n.section_id = s.section_id
+  WHERE n IS NULL OR (s.repo_id NOT LIKE '%1' AND s.section_id <> 'diagrams')""",
+    "j10_contradictions": NOTES
+    + f""", {_NUMBERED} SELECT a.repo_id, a.section_id, a.note_no AS c_idx, 'differs from ' || a.file AS summary, sha256(coalesce(a.finding, '')) AS text_sha256, a.file || ';' || coalesce(b.file, '') AS files
+  FROM numbered a LEFT JOIN numbered b ON b.repo_id = a.repo_id AND b.section_id = a.section_id AND b.note_no = a.note_no + 1 WHERE a.note_no % 5 = 0""",
     "j8_collect_upstream": NOTES + f", {UPSTREAM} SELECT repo_id, section_id, ord, upstream_id, sha256(body) AS body_sha256 FROM up",
     "m9_context_pack": NOTES
     + f""", {BODIES}, s AS (SELECT unnest(range(8)) AS ord, unnest(['domains', 'intent', 'capabilities', 'external_dependencies', 'integrations', 'cross_cutting', 'entities', 'hard_specifications']) AS section_id)
