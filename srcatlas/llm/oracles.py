@@ -54,4 +54,31 @@ QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.forma
   b AS (SELECT *, n_words < {RULES['min_words']} OR 100 * n_repeat_words > {RULES['max_repeat_percent']} * n_words AS base_failed FROM m)
   SELECT *, NOT base_failed AND kept_words * 100 >= n_words * {RULES['min_kept_percent']} AS kept FROM b"""
 
-ORACLES = {"op2_pivot_near_dedup": VECTORS, "op5_minhash_near_dedup": NEAR, "op7_substring_dedup": REPEATS, "op8_quality_rules": QUALITY}
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: CRC-32 of an ASCII string: each byte is mixed in (elements from 0 on) and followed by eight shifts (elements of -1).
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(place) + 1), lambda k: [ord(place[k]), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+#: Conversations repaired by one forward programme over turns: for each state (start, after s, u, a) the cheapest and then least edits.
+TURNS = f"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+  how AS (SELECT *, ({_CRC} % 20)::INTEGER AS h FROM src),
+  hit AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM how WHERE h <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i, left(role, 1) AS c FROM hit),
+  rows AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN trim(txt, {_WS}) = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(rtrim(txt, {_WS}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+  per AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+  put(q, p, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (3, 2, 3, 'I', ['user:']),
+    (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 6, 'II', ['assistant:', 'user:']), (3, 3, 6, 'II', ['user:', 'assistant:'])),
+  move(p, q, edit, c, cost, role) AS (VALUES (0, 0, 'D', NULL, 4, NULL), (1, 1, 'D', NULL, 4, NULL), (2, 2, 'D', NULL, 4, NULL), (3, 3, 'D', NULL, 4, NULL), (0, 1, 'K', 's', 0, NULL), (0, 2, 'K', 'u', 0, NULL), (1, 2, 'K', 'u', 0, NULL),
+    (3, 2, 'K', 'u', 0, NULL), (2, 3, 'K', 'a', 0, NULL), (0, 2, 'R', NULL, 3, 'user'), (1, 2, 'R', NULL, 3, 'user'), (3, 2, 'R', NULL, 3, 'user'), (2, 3, 'R', NULL, 3, 'assistant')),
+  best AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM per
+    UNION ALL SELECT b.conv_id, r.i, m.q, b.cost + put.cost + m.cost + CASE WHEN r.fault = 'truncated' AND m.edit <> 'D' THEN 3 ELSE 0 END AS spent, b.audit || put.audit || m.edit AS edits,
+      b.lines || put.lines || CASE WHEN m.edit = 'D' THEN [] ELSE [coalesce(m.role, r.role) || ':' || r.txt] END AS lines
+    FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN put ON put.q = b.q JOIN move m ON m.p = put.p AND (m.c IS NULL OR m.c = r.c) AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+    QUALIFY row_number() OVER (PARTITION BY b.conv_id, m.q ORDER BY spent, edits) = 1),
+  done AS (SELECT p.*, b.cost + put.cost AS spent, b.audit || put.audit AS edits, array_to_string(b.lines || put.lines, chr(10)) AS said FROM per p JOIN best b ON b.conv_id IS NOT DISTINCT FROM p.conv_id AND b.i = p.n JOIN put ON put.q = b.q AND put.p IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY spent, edits) = 1)
+  SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(spent, 0)::BIGINT AS cost,
+    coalesce(edits, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLES = {"op2_pivot_near_dedup": VECTORS, "op5_minhash_near_dedup": NEAR, "op7_substring_dedup": REPEATS, "op8_quality_rules": QUALITY, "op11_turn_repair": TURNS}

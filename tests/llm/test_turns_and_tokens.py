@@ -106,6 +106,20 @@ def test_repair_equals_one_programme_over_each_conversation(spark, rows_a_chunk)
     assert got == {c: plainly_repaired(want[c]) for c in {r[0] for r in rows}}
 
 
+def test_repair_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from srcatlas.llm.oracles import ORACLES
+    from srcatlas.llm.queries import QUERIES
+
+    spark.createDataFrame(some_conversations(11), CONVERSATIONS).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    said = con.sql(ORACLES["op11_turn_repair"])
+    got = QUERIES["op11_turn_repair"](spark, f"file://{tmp_path}").select(*said.columns).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(said.fetchall(), key=key)
+
+
 def test_a_long_conversation_over_many_chunks(spark):
     rng = random.Random(5)
     rows = [(1, t, rng.choice(["user", "assistant", "assistant", "system"]), rng.choice([f"t{t}.", f"t{t}", "same.", " "])) for t in range(400)]
