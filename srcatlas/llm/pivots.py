@@ -63,8 +63,10 @@ def described(vectors: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame
         salts = mix(np.arange(2 * size, dtype=U), 31).reshape(2, size) | U(1)
         for batch in batches:
             batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("v")), size), False))
-            for first in range(0, batch.num_rows, 2048):
-                part = batch.slice(first, 2048)
+            # As many rows at once as keep their products with all pivots within 16 MB.
+            step = min(2048, max(16, (1 << 21) // len(base)))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) + 0.0
                 u = unit(x)
                 good = np.isfinite(u).all(axis=1) & np.isfinite(x).all(axis=1)
