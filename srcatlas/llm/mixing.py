@@ -138,12 +138,11 @@ def posteriors(source: DataFrame, weights: np.ndarray, bias: np.ndarray) -> Data
 
 
 def _rate(steps: list[list[float]], domains: int) -> Column:
-    """The rate after the given steps: r <- max(0, r - sum_d step_d p_d), from r = 1."""
-    if not steps:
-        return F.lit(1.0)
-    taken = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    inner = lambda s: sum((s[d] * F.col("p")[d] for d in range(domains)), F.lit(0.0))
-    return F.aggregate(taken, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - inner(s)))
+    """The rate after the given steps: r <- max(0, r - sum_d step_d p_d), from r = 1; plain arithmetic, which Spark compiles."""
+    r = F.lit(1.0)
+    for s in steps:
+        r = F.greatest(F.lit(0.0), r - sum((F.lit(float(s[d])) * F.col("p")[d] for d in range(domains)), F.lit(0.0)))
+    return r
 
 
 def fit_rates(table: DataFrame, targets=TARGETS, budget: float = BUDGET) -> Column:
