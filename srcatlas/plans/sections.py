@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import chunking, contracts as co, delta, evidence, files as fo, imports as io, notes as no, report as ro, state as so
+from ..sources.files import saved
 from .catalog import EDGES, FID, FILES, FP, KIND, NOTES, corpus, documents_as_notes, read
 
 SECTION = ["repo_id", "section_id"]
@@ -244,10 +245,11 @@ def m5_fallback_lines(spark, sf):
 
 def m4_delta_request(spark, sf):
     """Every line of the requests that edit sections: notes that are new since a run in which every ninth note read otherwise, ids that are gone, stored claims."""
-    numbered = no.number_notes(documents_as_notes(spark, sf)).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding")))
+    # Six lists of lines are made of these: they are numbered and compared once.
+    numbered = saved(no.number_notes(documents_as_notes(spark, sf)).withColumn("id", X.finding_id(F.col("file"), F.col("section_id"), F.col("finding"))), "notes")
     live = numbered.select(*SECTION, (F.col("note_no") - 1).alias("place"), "id", "seq")
     state = live.withColumn("id", F.when(F.col("seq") % 9 == 0, F.reverse("id")).otherwise(F.col("id")))
-    changed = delta.changed_places(state, live).withColumn("range", F.floor(F.col("place") / evidence.CLAIMS))
+    changed = saved(delta.changed_places(state, live).withColumn("range", F.floor(F.col("place") / evidence.CLAIMS)), "changes")
     counted = lambda change, name: evidence.numbered(changed.where(F.col("change") == change), SECTION, ["place"], ["range"], name)
     notes = numbered.select(*SECTION, (F.col("note_no") - 1).alias("place"), "file", "summary", "finding")
     added = counted("added", "note_no").join(notes, [*SECTION, "place"])
