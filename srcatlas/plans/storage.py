@@ -61,7 +61,7 @@ def s5_write_sections(spark, sf):
     taxonomy = no.sections(spark).withColumns({"title": F.upper("section_id"), "description": F.concat(F.lit("All of "), "section_id")})
     bodies = documents_as_notes(spark, sf).groupBy(*SECTION).agg(F.coalesce(F.max("finding"), F.lit("")).alias("body"))
     path = _folder(spark, "sections")
-    sf_.write_sections(sf_.section_documents(bodies, taxonomy), path)
+    sf_.write_sections(sf_.section_documents(bodies, taxonomy, [*no.PRIMARY, *no.DERIVED]), path)
     return spark.read.parquet(path).select(*SECTION, F.sha2("document", 256).alias("document_sha256"))
 
 

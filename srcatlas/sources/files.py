@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,13 +181,14 @@ def load_state(spark: SparkSession, root: str, scope: str, schema: str, required
 NOT_YET = "_Not yet populated. Run `{tool} walk` to fill this section._"
 
 
-def section_documents(bodies: DataFrame, sections: DataFrame, tool: str = "srcatlas") -> DataFrame:
+def section_documents(bodies: DataFrame, sections: DataFrame, ids: Sequence[str], tool: str = "srcatlas") -> DataFrame:
     """(repo_id, section_id, document) of every section of each repository: title and stripped body.
 
-    `sections` (section_id, title, description) is the small table of the taxonomy.  A section without
-    a body gets a placeholder with its description, an empty body an empty document.
+    `ids` are the sections of the taxonomy, `sections` (section_id, title, description) its small table.  A
+    section without a body gets a placeholder with its description, an empty body an empty document.
     """
-    spine = bodies.select("repo_id").distinct().crossJoin(F.broadcast(sections.select("section_id", "title", "description")))
+    every = bodies.select("repo_id").distinct().select("repo_id", F.explode(F.array(*map(F.lit, ids))).alias("section_id"))
+    spine = every.join(F.broadcast(sections.select("section_id", "title", "description")), "section_id")
     title, none = F.concat(F.lit("# "), "title", F.lit("\n\n")), NOT_YET.format(tool=tool)
     blank = F.concat(title, F.lit(f"{none}\n\n> "), "description", F.lit("\n"))
     rows = spine.join(bodies.select("repo_id", "section_id", "body"), ["repo_id", "section_id"], "left")

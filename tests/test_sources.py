@@ -133,7 +133,7 @@ def test_an_older_snapshot_stays_readable_while_a_newer_is_written(spark, tmp_pa
 def test_sections_without_a_body_get_a_placeholder(spark, tmp_path):
     taxonomy = spark.createDataFrame([("intent", "Intent", "What it is for."), ("domains", "Domains", "Its parts.")], "section_id string, title string, description string")
     bodies = spark.createDataFrame([("r", "intent", " It counts.\n"), ("q", "domains", "")], "repo_id string, section_id string, body string")
-    documents = sf.section_documents(bodies, taxonomy)
+    documents = sf.section_documents(bodies, taxonomy, ["intent", "domains"])
     got = {(r.repo_id, r.section_id): r.document for r in documents.collect()}
     assert got["r", "intent"] == "# Intent\n\nIt counts.\n" and got["q", "domains"] == "# Domains\n\n\n" and len(got) == 4
     assert got["r", "domains"] == "# Domains\n\n_Not yet populated. Run `srcatlas walk` to fill this section._\n\n> Its parts.\n"
