@@ -18,7 +18,8 @@ import numpy as np
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
 _BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
-_ODD_SPACE = re.compile(r"[^\S \t\n\r]")
+#: White space but blanks, tabs and line ends; each is looked for on its own, which is faster than a class of characters.
+_ODD_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of pieces remembered per worker, and as many of pieces that were in use before these.
 CACHE_BYTES = 40 << 20
 #: What Python needs for an entry beyond its ids and characters.
@@ -83,7 +84,7 @@ class PieceEncoder:
             self._each(rest)
 
     def _whole(self, text: str) -> bool:
-        return bool((self.special and self.sign in text and self.special.search(text)) or _ODD_SPACE.search(text))
+        return bool((self.special and self.sign in text and self.special.search(text)) or any(map(text.__contains__, _ODD_SPACES)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
