@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
+
 SEPARATORS = ("\n\n", "\n", " ", "")
 #: Characters of chunks handed back to Spark at once.
-FLUSH = 8 << 20
+FLUSH = 2 << 20
 
 
 def base_spans(text: str, limit: int, start: int = 0, stop: int | None = None, level: int = 0):
@@ -56,7 +58,7 @@ def split_text(text: str, size: int = 150_000, overlap: int = 8_000) -> list[str
     return [text[a:b] for a, b in chunk_spans(text, size, overlap)]
 
 
-def line_offsets(text: str, chunks: list[str]) -> list[int]:
+def line_offsets(text: str, chunks: Iterable[str]) -> list[int]:
     """Lines before each chunk, by searching it from half a chunk behind the last find: repeated text may give an earlier line."""
     ends, cursor, out = [m.start() for m in re.finditer("\n", text)], 0, []
     for body in chunks:
@@ -79,21 +81,30 @@ def chunk_files(files: DataFrame, size: int = 150_000, overlap: int = 8_000) ->
     short = files.where(F.length("text") <= size).select(
         "repo_id", "rel_path", F.lit(0).alias("chunk_index"), F.lit(1).alias("chunks"), F.col("text").alias("body"), F.lit(0).alias("line_offset"), F.lit(0).alias("char_start")
     )
-    names = CHUNKS.replace(",", "").split()[::2]
-
-    def run(frames):
-        rows, held = [], 0
-        for frame in frames:
-            for repo, path, text in zip(frame["repo_id"], frame["rel_path"], frame["text"]):
-                spans = chunk_spans(text, size, overlap)
-                bodies = [text[a:b] for a, b in spans]
-                rows += [(repo, path, k, len(spans), body, line, a) for k, (body, line, (a, _)) in enumerate(zip(bodies, line_offsets(text, bodies), spans))]
-                held += sum(map(len, bodies))
-                if held > FLUSH:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    long = files.where(F.length("text") > size).select("repo_id", "rel_path", "text").mapInPandas(run, CHUNKS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        string, number = pa.string(), pa.int32()
+        types = [string, string, number, number, string, number, number]
+        names = CHUNKS.replace(",", "").split()[::2]
+
+        def flush(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows, held = [], 0
+                for repo, path, text in zip(*(part.column(c).to_pylist() for c in ("repo_id", "rel_path", "text"))):
+                    spans = chunk_spans(text, size, overlap)
+                    for k, ((a, b), line) in enumerate(zip(spans, line_offsets(text, (text[a:b] for a, b in spans)))):
+                        rows.append((repo, path, k, len(spans), text[a:b], line, a))
+                        held += b - a
+                        if held > FLUSH:
+                            yield flush(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield flush(rows)
+
+    long = files.where(F.length("text") > size).select("repo_id", "rel_path", "text").mapInArrow(run, CHUNKS)
     return short.unionByName(long)

@@ -1,9 +1,11 @@
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from srcatlas.functions import scalar as X
+from srcatlas.functions.batches import slices
 from srcatlas.functions.ignore import compile_rules
 from srcatlas.operators import chunking, delta, evidence, files as fo, imports as io, notes as no, report as ro, state as so
 
@@ -198,6 +200,28 @@ def test_chunk_files_place_and_lines(spark):
     assert chunking.line_offsets("a\nb\nc\nd", ["a\nb\n", "c\n", "d"]) == [0, 2, 3]
 
 
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    """However many texts arrive in one batch, a worker holds few of them and of their chunks as strings, and hands on what it has."""
+    df, caught = files(spark, [("a", "b")]), []
+    as_it_is = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.append(run) or as_it_is(self, run, schema))
+    chunking.chunk_files(df, 150_000, 8_000)
+    texts = [f"{k} word\n" * 60_000 for k in range(60)]
+    batch = pa.RecordBatch.from_pydict({"repo_id": ["r"] * 60, "rel_path": [f"f{k}" for k in range(60)], "text": texts})
+    out = list(caught[0](iter([batch])))
+    assert max(sum(map(len, b.column("body").to_pylist())) for b in out) <= chunking.FLUSH + 150_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["rel_path"], r["chunk_index"], r["body"]) for r in rows] == [(f"f{k}", i, body) for k, t in enumerate(texts) for i, body in enumerate(chunking.split_text(t))]
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [5, 5, 5], [20, 1, 1], [1, 20, 1, None, 9, 2]])
+def test_slices_of_batches(sizes):
+    texts = [None if n is None else "ä" * n for n in sizes]
+    parts = [p.column("t").to_pylist() for p in slices(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t", 20)]
+    assert sum(parts, []) == texts
+    assert all(p and (len(p) == 1 or sum(2 * len(x or "") for x in p) <= 20) for p in parts)
+
+
 @pytest.mark.parametrize("overlap", [10, -1])
 def test_chunk_errors(spark, overlap):
     with pytest.raises(ValueError):
