@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from string import ascii_lowercase
 
 import numpy as np
 
@@ -45,6 +47,8 @@ class PieceEncoder:
         # Tokenizers that keep white space attach one blank to the word after it.
         self.keeps_space = self._ids("a b") != self._ids("a") + self._ids("b")
         self.lowers = self._ids("A") == self._ids("a")
+        # Where a row of small letters is one word as it stands, new ones go to the model without the steps that come before it.
+        self.model = None if self.keeps_space or not self.tok.pre_tokenizer or not self._is_word(ascii_lowercase) else self.tok.model
         # Letters and marks part where one ends and the other begins; what is neither stays whole.
         blank = " ?" if self.keeps_space else ""
         parts = [rf"{blank}[{_LETTERS}]+(?=[{_MARKS} \t\n\r]|$)", rf"[{_MARKS}]+(?=[{_LETTERS} \t\n\r]|$)", rf"{blank}[^ \t\n\r]+"]
@@ -60,11 +64,24 @@ class PieceEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _is_word(self, text: str) -> bool:
+        """Whether the tokenizer hands this text to its model whole and unchanged."""
+        normal = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        words = [word for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
+        return words == [text] and [t.id for t in self.tok.model.tokenize(text)] == self._ids(text)
+
     def _each(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False)):
             self.cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
+        if self.model:
+            tokenize = self.model.tokenize
+            words = [x for x in new if x.isascii() and x.isalpha() and x.islower()]
+            for x in words:
+                ids = [t.id for t in tokenize(x)]
+                self.cache[x] = struct.pack(f"<{len(ids)}I", *ids)
+            new = [x for x in new if x not in self.cache]
         if self.mark_id is None:
             return self._each(new)
         plain = [x for x in new if self.mark not in x and not x.isspace()]

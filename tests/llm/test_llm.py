@@ -169,6 +169,23 @@ def test_piece_encoder_forgets_by_bytes(monkeypatch):
     assert len(enc.cache) + len(enc.older) < 300
 
 
+def test_new_plain_words_go_to_the_model_alone():
+    """What comes before the model is most of the time of a new word; small ASCII letters pass it unchanged, and nothing else may skip it."""
+    enc, seen = PieceEncoder(P.path("word_bpe_49k.json")), []
+    whole = enc.tok
+
+    class Seen:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **more)
+
+    enc.tok = Seen()
+    texts = ["zorblish quuxen, zorblish", "Zorblesh ÉTÉ niño", "Кот Zorblosh FLURB zorblush x1y don't l'été zorb\u0301", "ﬁn İx K zorblash"]
+    assert enc.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    asked = " ".join(seen).split()
+    assert not {"zorblish", "quuxen", "zorblesh", "zorblash"} & set(asked) and {"Zorblosh", "FLURB"} <= set(asked)
+
+
 def test_packing_places_every_id_once(spark):
     texts = [*corpus(4), "long text " * 3000]
     rows = packing.pack_documents(docs(spark, texts), P.path("word_bpe_49k.json"), end_id=1, window=256).collect()
