@@ -214,6 +214,17 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     assert [(r["rel_path"], r["chunk_index"], r["body"]) for r in rows] == [(f"f{k}", i, body) for k, t in enumerate(texts) for i, body in enumerate(chunking.split_text(t))]
 
 
+def test_the_chunks_of_one_long_text_leave_in_small_batches(spark, monkeypatch):
+    df, caught = files(spark, [("a", "b")]), []
+    as_it_is = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.append(run) or as_it_is(self, run, schema))
+    chunking.chunk_files(df, 2000, 100)
+    text = "".join(f"word {k}\n" * 3 for k in range(300_000))
+    out = list(caught[0](iter([pa.RecordBatch.from_pydict({"repo_id": ["r"], "rel_path": ["f"], "text": [text]})])))
+    assert len(out) > 2 and max(sum(map(len, b.column("body").to_pylist())) for b in out) <= chunking.FLUSH + 2000
+    assert [x for b in out for x in b.column("body").to_pylist()] == chunking.split_text(text, 2000, 100)
+
+
 @pytest.mark.parametrize("sizes", [[], [0, 0], [5, 5, 5], [20, 1, 1], [1, 20, 1, None, 9, 2]])
 def test_slices_of_batches(sizes):
     texts = [None if n is None else "ä" * n for n in sizes]
