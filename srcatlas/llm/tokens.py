@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import re
 import struct
-from string import ascii_lowercase
+from collections.abc import Callable
+from string import ascii_letters, ascii_lowercase
 
 import numpy as np
 
@@ -26,9 +27,27 @@ _ODD_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2
 CACHE_BYTES = 40 << 20
 #: What Python needs for an entry beyond its ids and characters.
 ENTRY_BYTES = 190
+#: Characters of the longest piece that `Pieces` remember: longer ones hardly recur.
+LONGEST_PIECE = 64
 _WORKER: dict[str, "PieceEncoder"] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces, learnt when first asked for, so that texts need no look at their pieces before."""
+
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]):
+        self.learn, self.older, self.held = learn, older, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = ids
+            self.held += ENTRY_BYTES + len(piece) + len(ids)
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts to little-endian uint32 bytes, equal to the tokenizer's own result."""
 
@@ -49,12 +68,18 @@ class PieceEncoder:
         self.lowers = self._ids("A") == self._ids("a")
         # Where a row of small letters is one word as it stands, new ones go to the model without the steps that come before it.
         self.model = None if self.keeps_space or not self.tok.pre_tokenizer or not self._is_word(ascii_lowercase) else self.tok.model
+        # The same where words keep their blank: what the model gets for a blank and for each letter.
+        self.signs = self._signs() if self.keeps_space else None
+        self.tokenize = self.tok.model.tokenize
+        if self.signs:
+            self.cache = Pieces(self._one, self.older)
         # Letters and marks part where one ends and the other begins; what is neither stays whole.
         blank = " ?" if self.keeps_space else ""
-        parts = [rf"{blank}[{_LETTERS}]+(?=[{_MARKS} \t\n\r]|$)", rf"[{_MARKS}]+(?=[{_LETTERS} \t\n\r]|$)", rf"{blank}[^ \t\n\r]+"]
+        parts = [rf"{blank}[{_LETTERS}]+(?![^{_MARKS} \t\n\r])", rf"[{_MARKS}]+(?![^{_LETTERS} \t\n\r])", rf"{blank}[^ \t\n\r]+"]
         if self.keeps_space:
             parts += [r"[ \t\n\r]+(?![^ \t\n\r])", r"[ \t\n\r]"]
         self.pieces = re.compile("|".join(parts))
+        self.words = re.compile(rf" ?[{_LETTERS}]+")
         # A mark of a single id that no other text yields tells joined pieces apart.
         marks = "\n" if self.keeps_space else "¶§•†‡¤°±£€"
         self.mark = next((m for m in marks if len(self._ids(m)) == 1), None)
@@ -70,6 +95,31 @@ class PieceEncoder:
         words = [word for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
         return words == [text] and [t.id for t in self.tok.model.tokenize(text)] == self._ids(text)
 
+    def _signs(self) -> dict[int, str] | None:
+        """What the model gets for a blank and for each letter; None if words of these do not come to it whole and sign by sign."""
+        if self.tok.normalizer or not self.tok.pre_tokenizer:
+            return None
+        row = " " + "".join(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
+        signs, *words = [[word for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(x)] for x in (row, *row)]
+        table = {ord(c): "".join(word) for c, word in zip(row, words)}
+        whole = signs == [row.translate(table)] and all(table[ord(c)] == c for c in ascii_letters)
+        return table if whole and [t.id for t in self.tok.model.tokenize(signs[0])] == self._ids(row) else None
+
+    def _one(self, piece: str) -> bytes:
+        """Ids of a piece; words go to the model without the steps that come before it."""
+        if self.words.fullmatch(piece):
+            ids = [t.id for t in self.tokenize(piece.replace(" ", self.signs[32]) if piece.isascii() else piece.translate(self.signs))]
+        else:
+            ids = self._ids(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _joined(self, text: str) -> bytes:
+        """Ids of a text from those of its pieces; what is known becomes the older half once there is enough of it."""
+        if self.cache.held > CACHE_BYTES:
+            self.older = dict(self.cache)
+            self.cache = Pieces(self._one, self.older)
+        return b"".join(map(self.cache.__getitem__, self.pieces.findall(text)))
+
     def _each(self, pieces: list[str]) -> None:
         for piece, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False)):
             self.cache[piece] = np.array(e.ids, dtype="<u4").tobytes()
@@ -106,6 +156,8 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         whole = [bool(t) and self._whole(t) for t in texts]
+        if self.signs:
+            return [b"" if not t else np.array(self._ids(t), dtype="<u4").tobytes() if w else self._joined(t) for t, w in zip(texts, whole)]
         if self.lowers:  # Latin-1 letters have one lower-case form each
             texts = [t if w or not t or _BEYOND_LATIN.search(t) else t.lower() for t, w in zip(texts, whole)]
         cut = [None if w or not t else self.pieces.findall(t) for t, w in zip(texts, whole)]
