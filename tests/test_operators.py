@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -225,6 +226,27 @@ def test_the_chunks_of_one_long_text_leave_in_small_batches(spark, monkeypatch):
     assert [x for b in out for x in b.column("body").to_pylist()] == chunking.split_text(text, 2000, 100)
 
 
+def test_a_chunking_worker_holds_no_more_of_a_full_batch(spark, monkeypatch):
+    """What Python holds besides Arrow's own memory is the same for 5 MB and 40 MB of texts in a batch, and for several batches."""
+    df, caught = files(spark, [("a", "b")]), []
+    as_it_is = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: caught.append(run) or as_it_is(self, run, schema))
+    chunking.chunk_files(df, 2000, 100)
+
+    def peak(n, times):
+        batch = pa.RecordBatch.from_pydict({"repo_id": ["r"] * n, "rel_path": [f"f{k}" for k in range(n)], "text": [f"{k} {'word ' * 300}\n" * 5 for k in range(n)]})
+        tracemalloc.start()
+        try:
+            rows = sum(out.num_rows for out in caught[0](iter([batch] * times)))
+            return rows, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, least), (many, full), (most, again) = peak(700, 1), peak(5_600, 1), peak(5_600, 2)
+    assert many > 7 * few and most == 2 * many
+    assert max(full, again) < 1.3 * least < 16 << 20
+
+
 @pytest.mark.parametrize("sizes", [[], [0, 0], [5, 5, 5], [20, 1, 1], [1, 20, 1, None, 9, 2]])
 def test_slices_of_batches(sizes):
     texts = [None if n is None else "ä" * n for n in sizes]
